@@ -1,6 +1,8 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from quarrylens.llm.langid import op3_langid
+from quarrylens.llm.pii import op9_pii
 from quarrylens.llm.simhash import op2_simhash
 
-QUERIES = {"op2_simhash": op2_simhash}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_langid, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
