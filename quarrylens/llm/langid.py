@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import cut, map_batches
 
 #: The training bounds: distinct texts of each language, and characters of each text and language.
-SAMPLE_TEXTS, SAMPLE_CHARS, REFERENCE_CHARS = 400, 600, 30_000
+SAMPLE_TEXTS, SAMPLE_CHARS, REFERENCE_CHARS = 200, 600, 30_000
 PIECE, WIDTH = 1024, 64
 OTHER, GAP = 0, 1
 
@@ -172,7 +172,7 @@ def train(labelled: DataFrame) -> CrossParser:
     with most of the rows is never gathered in one task.
     """
     have = labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    keys = have.select("lang", "h").distinct().withColumn("salt", F.expr("pmod(h, 256)"))
+    keys = have.select("lang", "h").distinct().withColumn("salt", F.expr("pmod(h, 16)"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
     keys = keys.withColumn("r", rank("lang", "salt")).where(F.col("r") <= SAMPLE_TEXTS).withColumn("r", rank("lang")).where(F.col("r") <= SAMPLE_TEXTS)
     keys = cut(keys.select("lang", "h"))
