@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from quarrylens.llm.chat import OP7_SQL, op7_chat
 from quarrylens.llm.langid import op3_langid
 from quarrylens.llm.mixing import op4_mixing
 from quarrylens.llm.pii import op9_pii
 from quarrylens.llm.simhash import op2_simhash
 from quarrylens.llm.topk import OP10_SQL, op10_topk
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_langid, op4_mixing, op9_pii, op10_topk)}
-ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_langid, op4_mixing, op7_chat, op9_pii, op10_topk)}
+ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL, "op10_topk": OP10_SQL}
