@@ -6,6 +6,7 @@ from quarrylens.llm.mixing import op4_mixing
 from quarrylens.llm.pii import op9_pii
 from quarrylens.llm.simhash import op2_simhash
 from quarrylens.llm.topk import OP10_SQL, op10_topk
+from quarrylens.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_langid, op4_mixing, op7_chat, op9_pii, op10_topk)}
-ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL, "op10_topk": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_langid, op4_mixing, op6_warc, op7_chat, op9_pii, op10_topk)}
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op7_chat": OP7_SQL, "op10_topk": OP10_SQL}
