@@ -13,8 +13,6 @@ blocks in tasks of bounded size; each task returns k rows for each query.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,32 +34,56 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, counters: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row index, score) of the k best of each query, ties to the smaller id; components are whole numbers in doubles."""
-    own = query_ids[:, None] == row_ids[None, :]
-    norms = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :]
-    slack = 1e-9 * norms + 1e-6
-    alive = ~own
-    floor = np.full(len(queries), -np.inf)
     width = queries.shape[1]
-    levels = [m for m in (2, 8, 24) if m < width] or ([1] if width else [])
-    for level, m in enumerate(levels):
-        lower = norms - 2 * (statistics(queries, m) @ statistics(rows, m).T)
-        upper = (norms - lower) / 2 + slack
-        upper[~alive] = -np.inf
-        if level == 0 and len(row_ids) > k:
-            # the k likeliest, scored exactly, set the score to beat
-            likely = np.argpartition(-upper, k - 1, axis=1)[:, :k]
-            score = np.einsum("qd,qkd->qk", queries, rows[likely])
-            score[np.take_along_axis(own, likely, 1)] = -np.inf
-            floor = score.min(1)
-        alive &= upper >= floor[:, None]
-    q, c = np.nonzero(alive)
-    if counters is not None:
-        counters["scored"] = counters.get("scored", 0) + len(q)
-        counters["pairs"] = counters.get("pairs", 0) + own.size
-    score = np.empty(len(q))
-    for at in range(0, len(q), 1 << 17):
-        s = slice(at, at + (1 << 17))
-        score[s] = np.einsum("nd,nd->n", queries[q[s]], rows[c[s]])
+    if not width:
+        queries, rows, width = np.zeros((len(queries), 1)), np.zeros((len(rows), 1)), 1
+    # single precision is exact while no sum of products can reach 2^24
+    top = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * width
+    kind = np.float32 if top < 1 << 23 else np.float64
+    x, y = queries.astype(kind), rows.astype(kind)
+    slack = (1e-5 if kind is np.float32 else 1e-9) * np.sqrt((queries**2).sum(1).max(initial=0) * (rows**2).sum(1).max(initial=0)) + 1e-3
+    spot = {int(i): c for c, i in enumerate(row_ids)}
+    own = [(q, spot[int(i)]) for q, i in enumerate(query_ids) if int(i) in spot]
+    oq, oc = (np.array(z, np.int64) for z in zip(*own)) if own else (np.empty(0, np.int64),) * 2
+    cols = np.arange(len(row_ids))
+    floor = np.full(len(queries), -np.inf, kind)
+    alive = None
+    for m in [m for m in (2, 8, 24) if m < width] or [1]:
+        # |q|^2 + |c|^2 - 2 * bound is the lower bound of the squared distance, so bound is the upper one of the product
+        bound = (statistics(queries, m).astype(kind) @ statistics(rows[cols], m).astype(kind).T) + kind(slack)
+        if alive is None:
+            here = np.searchsorted(cols, oc)
+            bound[oq, here] = -np.inf
+            if len(cols) > k:
+                # the likeliest of each query, scored exactly, set the score to beat
+                likely = np.argpartition(bound, len(cols) - k, axis=1)[:, -k:]
+                floor = np.matmul(y[likely], x[:, :, None])[:, :, 0]
+                floor = np.where(np.isneginf(np.take_along_axis(bound, likely, 1)), -np.inf, floor).min(1)
+            alive = bound >= floor[:, None]
+            alive[oq, here] = False
+        else:
+            alive &= bound >= floor[:, None]
+        some = alive.any(0)
+        if counters is not None:
+            counters.setdefault("alive", []).append(int(alive.sum()))
+        if not some.all():
+            cols, alive = cols[some], alive[:, some]
+    # exact scores of the survivors: one by one if they are few, else as one product of which the others are struck out
+    if alive.sum() * 50 < alive.size:
+        q, c = np.nonzero(alive)
+        score = np.empty(len(q), np.float64)
+        for at in range(0, len(q), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            score[s] = np.einsum("nd,nd->n", queries[q[s]], rows[cols[c[s]]])
+    else:
+        full = x @ y[cols].T
+        full[~alive] = -np.inf
+        if len(cols) > k:
+            last = np.partition(full, len(cols) - k, axis=1)[:, -k]
+            alive &= full >= last[:, None]
+        q, c = np.nonzero(alive)
+        score = full[q, c].astype(np.float64)
+    c = cols[c]
     order = np.lexsort((row_ids[c], -score, q))
     q, c, score = q[order], c[order], score[order]
     first = np.searchsorted(q, np.arange(len(queries)))
