@@ -110,6 +110,84 @@ def simhash_groups(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFra
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
+#: Fingerprints for a similarity of 0.8 have 128 bits, in 7 segments of 18 bits; that similarity is 19 bits apart on average.
+WIDE_SEGMENTS, WIDE_BITS, WIDE_DISTANCE = 7, 18, 22
+
+
+def wide_fingerprint(text: str | None, words: int) -> tuple[int, int, int]:
+    """Two 64-bit halves over the set of shingles, and its size."""
+    h = np.unique(shingle_hashes(text, words))
+    if not len(h):
+        return 0, 0, 0
+    g = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    g ^= g >> np.uint64(29)
+    return signed(majority(h)), signed(majority(g)), len(h)
+
+
+def wide_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
+    """(src, dst) over (id, a, b, n): ids of fingerprints that differ in at most WIDE_DISTANCE of 128 bits.
+
+    The index is the same: segments under one-bit-out variants, equality join,
+    verification. Seven segments of 18 bits find a pair at similarity 0.8 with a
+    probability of about 0.85, and nearly always above 0.9. Where far more
+    fingerprints share a segment than chance explains, they are linked to the
+    least of those that share a second segment as well, if near enough: a number
+    of links linear in the group.
+    """
+    n = fps.count()
+    limit = bucket + 4 * n // (1 << WIDE_BITS)
+    ones = (1 << WIDE_BITS) - 1
+    # segments 0-2 and half of 3 lie in a, the rest in b
+    bits = [f"(shiftrightunsigned(a, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)] + [f"(shiftleft(a & 511, 9) | (b & 511))"] + [f"(shiftrightunsigned(b, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)]
+    segs = fps.select("id", "a", "b", F.posexplode(F.array(*[F.expr(x).cast("long") for x in bits])).alias("s", "v"))
+    dense = cut(segs.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > limit).select("s", "v"))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(WIDE_BITS - 1)))
+    own = dense.select("s", "v", F.lit(ones).cast("long").alias("mask"))
+    side = dense.select("s", "v", bit.alias("p")).select("s", F.expr("v ^ shiftleft(1L, p)").alias("v"), F.expr("shiftleft(1L, p)").alias("mask"))
+    masks = own.unionAll(side).groupBy("s", "v").agg(F.expr("bit_or(mask)").alias("mask"))
+    segs = cut(segs.join(masks, ["s", "v"], "left").select("id", "a", "b", "s", "v", F.coalesce("mask", F.lit(0)).alias("mask")))
+    near = F.expr(f"bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= {WIDE_DISTANCE}")
+    pair = [F.col("l.id").alias("src"), F.col("r.id").alias("dst")]
+    plain = segs.where(F.col("mask") != ones)
+    key = plain.select("id", "a", "b", F.expr(f"shiftleft(CAST(s AS BIGINT), {WIDE_BITS}) | v").alias("k"))
+    same = key.alias("l").join(key.alias("r"), "k").where(F.expr("l.id < r.id") & near).select(*pair)
+    variants = plain.select("id", "a", "b", "s", "v", "mask", bit.alias("p")).where("(shiftright(mask, p) & 1) = 0")
+    variants = variants.select("id", "a", "b", F.expr("(shiftright(v, p) & 1) = 1").alias("one"), F.expr(f"shiftleft(CAST(s * {WIDE_BITS} + p AS BIGINT), {WIDE_BITS}) | (v & ~shiftleft(1L, p))").alias("k"))
+    differ = variants.where("NOT one").alias("l").join(variants.where("one").alias("r"), "k").where(near).select(*pair)
+    # crowded segments: with each second segment, to the least that shares both
+    full = segs.where(F.col("mask") == ones).select("id", "a", "b", "s", "v", F.posexplode(F.array(*[F.expr(x).cast("long") for x in bits])).alias("t", "w")).where("s <> t")
+    full = full.select("id", "a", "b", F.xxhash64("s", "v", "t", "w").alias("k"))
+    least = full.groupBy("k").agg(F.min(F.struct("id", "a", "b")).alias("x"), F.count("*").alias("m")).where("m > 1").select("k", "x.*")
+    star = full.alias("l").join(least.alias("r"), "k").where(F.expr("l.id <> r.id") & near).select(*pair)
+    links = same.unionAll(differ).unionAll(star).distinct()
+    # sets whose sizes differ too much cannot be that similar
+    size = lambda end: fps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    return links.join(size("src"), "src").join(size("dst"), "dst").where("least(n_src, n_dst) >= 0.75 * greatest(n_src, n_dst)").select("src", "dst")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``docs`` without near copies (similarity of 5-word shingle sets of about 0.8 and more): of each group the least doc_id stays.
+
+    Null ids count as greater than any; of equal ids the least text hash stays,
+    of repeated rows one. Texts without words are copies of each other. Columns
+    stay as they are.
+    """
+
+    def rows(x: dict) -> dict:
+        got = [wide_fingerprint(t, words) for t in x["text"]]
+        return {"doc_id": x["doc_id"], "tie": x["tie"], "a": [g[0] for g in got], "b": [g[1] for g in got], "n": [g[2] for g in got]}
+
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    source = docs.select(last.alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    each = cut(map_batches(source, rows, "doc_id long, tie long, a long, b long, n long"))
+    distinct = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.max("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    roots = components(wide_links(distinct.select("id", "a", "b", "n")))
+    first = distinct.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.tie").alias("keep_tie"))
+    columns = docs.columns
+    keyed = docs.select(F.struct(*columns).alias("row"), last.alias("keep_id"), F.xxhash64("text").alias("keep_tie"))
+    return keyed.join(cut(first), ["keep_id", "keep_tie"]).dropDuplicates(["keep_id", "keep_tie"]).select("row.*")
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, fingerprints within 2 bits linked."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
