@@ -25,8 +25,8 @@ def keep_first(df: DataFrame, keys: list[str], *order: str | Column) -> DataFram
 
 def admit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends exist."""
-    ids = nodes.select("id")
-    return edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
+    ids = nodes.select(F.col("id").alias("_end"))
+    return edges.join(ids, F.col("source") == F.col("_end"), "left_semi").join(ids, F.col("target") == F.col("_end"), "left_semi")
 
 
 def merge_call_sites(sites: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     known = cut(front.withColumn("distance", F.lit(0).cast("long")))
     for step in range(1, depth + 1):
         # the frontier is what was new last; Spark broadcasts it when its written size allows
-        front = known.where(F.col("distance") == step - 1).select("id")
-        new = edges.join(front, F.col("source") == F.col("id")).select(F.col("target").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+        front = known.where(F.col("distance") == step - 1).select(F.col("id").alias("_at"))
+        new = edges.select("source", "target").join(front, F.col("source") == F.col("_at")).select(F.col("target").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
         new = cut(new.withColumn("distance", F.lit(step).cast("long")))
         if new.isEmpty():
             break
