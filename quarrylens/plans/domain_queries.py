@@ -261,7 +261,7 @@ COMPARED = f"""{SIMULATED}, {EXPECTED}, cmp AS (
 RESULTS = f"""{COMPARED}, res AS (SELECT case_id, count(*) FILTER (outcome = 'match') AS n_match, count(*) FILTER (outcome = 'divergence') AS n_divergence, count(*) FILTER (outcome = 'undecidable') AS n_undecidable FROM cmp GROUP BY case_id),
 st AS (SELECT *, CASE WHEN n_match = 0 AND n_divergence = 0 AND n_undecidable > 0 THEN 'SKIPPED' WHEN n_divergence > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM res)"""
 RECORDS = f"""{RESULTS}, dv AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY key) AS i FROM cmp WHERE outcome = 'divergence'),
-rec AS (SELECT 'DIV-' || case_id || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS divergence_id, case_id, key AS rule_id, CASE WHEN got IS NULL THEN 'MISSING_IN_NEW' ELSE 'REQUIRES_REVIEW' END AS status,
+rec AS (SELECT 'DIV-' || case_id || '-' || printf('%02d', i) AS divergence_id, case_id, key AS rule_id, CASE WHEN got IS NULL THEN 'MISSING_IN_NEW' ELSE 'REQUIRES_REVIEW' END AS status,
   detail AS summary, want AS legacy, got AS new_system, CASE WHEN key = 'RULE-A-001' THEN 'rules.bas:12' ELSE 'manual observation' END AS source, case_id % 50 <> 0 AS blocking FROM dv)"""
 
 
@@ -324,7 +324,7 @@ def verify_totals(spark: SparkSession, d: str) -> DataFrame:
 
 CANDIDATES = """k AS (SELECT replace(p_brand, '#', '') AS flow, p_partkey AS seq, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_name END AS name, list_filter(['size ' || p_size, CASE WHEN p_partkey % 2 = 0 THEN 'type ' || p_type END, CASE WHEN p_partkey % 11 = 0 THEN ' ' END], lambda x: x IS NOT NULL AND p_partkey % 13 <> 0) AS observation, CASE WHEN p_partkey % 3 = 0 THEN ['guess'] ELSE CAST([] AS VARCHAR[]) END AS inference FROM part),
 o AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY lower(name), coalesce(observation[1], ''), seq) AS ordinal FROM k),
-a AS (SELECT 'RULE-' || flow || '-' || lpad(CAST(ordinal AS VARCHAR), 3, '0') AS rule_id, flow, seq, ordinal, trim(name) AS name, len(list_filter(observation, lambda x: trim(x) <> '')) AS n_obs, len(inference) AS n_inf FROM o),
+a AS (SELECT 'RULE-' || flow || '-' || printf('%03d', ordinal) AS rule_id, flow, seq, ordinal, trim(name) AS name, len(list_filter(observation, lambda x: trim(x) <> '')) AS n_obs, len(inference) AS n_inf FROM o),
 r AS (SELECT *, CASE WHEN name = '' THEN 'candidate has no name' WHEN n_obs < 1 THEN 'no observation to point at' END AS reason FROM a)"""
 
 

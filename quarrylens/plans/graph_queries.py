@@ -84,11 +84,10 @@ HUBS = f"""{CENTRAL}, k AS (SELECT * FROM c WHERE kind IN ('COMPONENT', 'PROCEDU
 )"""
 
 
-@query(f"WITH {HUBS} SELECT 'HUB-' || upper(label) || '-' || lpad(CAST(rank AS VARCHAR), 2, '0') AS hub_id, id, links, round(centrality, 6) AS centrality, rank FROM hub")
+@query(f"WITH {HUBS} SELECT 'HUB-' || upper(label) || '-' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank AS hub_id, id, links, round(centrality, 6) AS centrality, rank FROM hub")
 def hubs(spark: SparkSession, d: str) -> DataFrame:
     h = _hubs(spark, d)
-    number = F.when(F.length(F.col("rank").cast("string")) >= 2, F.col("rank").cast("string")).otherwise(F.lpad(F.col("rank").cast("string"), 2, "0"))
-    return h.select(F.concat(F.lit("HUB-"), F.upper("label"), F.lit("-"), number).alias("hub_id"), "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
+    return h.select(F.concat(F.lit("HUB-"), F.upper("label"), F.lit("-"), F.when(F.col("rank") < 10, "0").otherwise(""), F.col("rank").cast("string")).alias("hub_id"), "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
 
 
 def _hubs(spark: SparkSession, d: str) -> DataFrame:

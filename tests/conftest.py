@@ -24,7 +24,7 @@ def spark():
     s.stop()
 
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
