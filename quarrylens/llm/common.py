@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows that Python functions handle at once; texts can be very long, so batches are small.
-BATCH_ROWS = 512
+from pyspark.sql import DataFrame
 
+from quarrylens.operators.graph import connected as components
+from quarrylens.operators.lineage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='quarrylens-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["BATCH_ROWS", "components", "cut", "map_batches", "shared_dir"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrylens/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows that Python functions handle at once; texts can be very long, so batches are small.
+BATCH_ROWS = 512
 
 
 def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: str) -> DataFrame:
@@ -51,29 +33,3 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (src, dst: long), root the smallest node reachable.
-
-    Alternating large-star and small-star rounds; each is two shuffles over the
-    remaining edges, hot centres are pre-aggregated and skewed joins are split
-    by adaptive execution. Nothing but a count and a checksum reaches the driver.
-    """
-    edges = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    seen = None
-    for _ in range(most_rounds):
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
