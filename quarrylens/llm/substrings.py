@@ -32,7 +32,7 @@ from quarrylens.llm.common import BATCH_ROWS, cut
 
 WINDOW, GRAM = 200, 32
 #: Bytes of text handled at once; bytes of a shard; strips of one anchor in a shard.
-CHUNK, SHARD, STRIPS = 2 << 20, 2 << 20, 4096
+CHUNK, SHARD, STRIPS = 128 << 10, 2 << 20, 4096
 POS_BITS = 23
 BASE = 0x9E3779B97F4A7C55
 NONE = -(1 << 63)
@@ -43,10 +43,16 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    p = np.full(n, np.uint64(base), np.uint64)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
+    """The first ``n`` powers; a task keeps the most that it has needed."""
+    if len(_KNOWN.get(base, ())) < n:
+        p = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
+        p[0] = 1
+        _KNOWN[base] = np.multiply.accumulate(p)
+    return _KNOWN[base][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,18 +99,17 @@ def strips(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int =
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks; the last symbol of ``symbols`` (uint16 or uint32) occurs once.
+    """Suffix array and ranks of bytes; a suffix that ends comes before those that go on.
 
-    Groups of suffixes with equal first ``h`` symbols hold the rank of their
-    first; each round sorts only groups of two and more, by the rank ``h`` on.
+    Groups of suffixes with equal first ``h`` bytes hold the rank of their first;
+    each round sorts only groups of two and more, by the rank ``h`` on.
     """
-    n, wide = len(symbols), symbols.dtype.itemsize
-    h = 8 // wide
-    padded = np.concatenate((symbols, np.zeros(h, symbols.dtype))).astype(np.uint64)
+    n, h = len(symbols), 8
+    padded = np.concatenate((symbols, np.zeros(h, np.uint8)))
     key = np.zeros(n, np.uint64)
     for j in range(h):
-        key = key << np.uint64(8 * wide) | padded[j : j + n]
-    sa = np.argsort(key, kind="stable")
+        key = key << np.uint64(8) | padded[j : j + n]
+    sa = np.argsort(key)
     rank = np.empty(n, np.int64)
     todo, key = np.arange(n), key[sa]
     while True:
@@ -116,14 +121,16 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(todo):
             return sa, rank
         at = sa[todo]
-        key = rank[at] << 32 | rank[at + h]
-        order = np.argsort(key, kind="stable")
+        # beyond the end the shorter suffix comes first
+        over = at + h - n
+        key = (rank[at] << 32) + np.where(over < 0, rank[np.minimum(at + h, n - 1)], -1 - over)
+        order = np.argsort(key)
         sa[todo], key = at[order], key[order]
         h *= 2
 
 
 def common_prefixes(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix its common prefix with the one before it in the array, ``most`` at most: Kasai's scan, strips side by side."""
+    """For each suffix its common prefix with the one before it in the array, ``most`` and its string's length at most: Kasai's scan, strips side by side."""
     out = np.zeros(len(symbols), np.int64)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
@@ -136,8 +143,9 @@ def common_prefixes(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray
         n[rank[at] == 0] = 0
         going = np.flatnonzero(rank[at] > 0)
         while len(going):
-            m = n[going]
-            same = (m < most) & (symbols[at[going] + np.minimum(m, most - 1)] == symbols[before[going] + np.minimum(m, most - 1)])
+            mine = symbols[at[going] + n[going]]
+            # a string's end is no part of a prefix
+            same = (n[going] < most) & (mine != 0) & (mine == symbols[before[going] + n[going]])
             going = going[same]
             n[going] += 1
         have[:live] = n
@@ -149,13 +157,8 @@ def repeats(parts: list[bytes], window: int = WINDOW) -> np.ndarray:
     """Over the windows of all strings one after another: whether the window occurs elsewhere among them."""
     size = np.array([len(p) for p in parts], np.int64)
     starts = np.concatenate(([0], np.cumsum(size[:-1] + 1)))
-    symbols = np.empty(int((size + 1).sum()), np.uint16 if len(parts) < 65_000 else np.uint32)
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    stops = starts + size
-    body = np.ones(len(symbols), bool)
-    body[stops] = False
-    symbols[body] = raw
-    symbols[stops] = 256 + np.arange(len(parts))  # each string ends in a symbol of its own
+    # 0 ends each string; UTF-8 has no byte above 244, so that all others can move up by one
+    symbols = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8) + np.uint8(1)
     sa, rank = suffix_array(symbols)
     shared = common_prefixes(symbols, starts, size, sa, rank, window)
     after = np.concatenate((shared[sa[1:]], [0]))
@@ -243,12 +246,18 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema(list(zip(names, [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.bool_(), pa.binary()])))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
         for batch in batches:
             for row in range(batch.num_rows):
                 x = batch.slice(row, 1).to_pylist()[0]
                 raw = _unpack(x["z"], x["n_bytes"])
-                rows = [(x["k"], x["doc_id"], w["anchor"], w["digest"], w["s"], w["n"], w["shard"], w["big"], raw[w["s"] : w["s"] + w["n"] + WINDOW - 1]) for w in x["w"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                held += [(x["k"], x["doc_id"], w["anchor"], w["digest"], w["s"], w["n"], w["shard"], w["big"], raw[w["s"] : w["s"] + w["n"] + WINDOW - 1]) for w in x["w"]]
+                if len(held) >= 4096:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
 
     return both.mapInArrow(run, "k long, doc_id long, anchor long, digest long, s long, n int, shard long, big boolean, body binary")
 
@@ -261,19 +270,23 @@ def _search(bodies: DataFrame, crowded: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         # equal order in every attempt
         table = table.sort_by([("anchor", "ascending"), ("digest", "ascending")])
-        out: list[tuple] = []
         body = table["body"].to_pylist()
-        flags, at = repeats(body), 0
-        for k, d, s, n, big, raw in zip(*(table[c].to_pylist() for c in ("k", "doc_id", "s", "n", "big")), body):
-            mine = flags[at : at + n]
-            at += n
-            out += [(k, d, s + a, s + b + WINDOW - 1, None) for a, b in ranges(mine)]
-            if big:
-                # keys of all windows go on; those that are known to repeat only witness for others
-                left = np.arange(n)
-                keys = span_hashes(np.frombuffer(raw, np.uint8), left, left + WINDOW).view(np.int64)
-                out += [(k, d, None if f else s + a, s + a + WINDOW, key) for a, f, key in zip(left.tolist(), mine.tolist(), keys.tolist())]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+        k, d, s, n = (table[c].to_numpy() for c in ("k", "doc_id", "s", "n"))
+        flags = repeats(body)
+        # runs of repeated windows within a strip
+        of = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.flatnonzero(flags & np.concatenate(([True], ~flags[:-1] | (of[1:] != of[:-1]))))
+        last = np.flatnonzero(flags & np.concatenate((~flags[1:] | (of[1:] != of[:-1]), [True])))
+        o = of[first]
+        out = [pa.table([k[o], d[o], s[o] + place[first], s[o] + place[last] + WINDOW, pa.nulls(len(o), pa.int64())], schema=schema)]
+        for i in np.flatnonzero(table["big"].to_numpy(zero_copy_only=False)):
+            # keys of all windows go on; those that are known to repeat only witness for others
+            left = np.arange(n[i])
+            keys = span_hashes(np.frombuffer(body[i], np.uint8), left, left + WINDOW).view(np.int64)
+            mine = flags[np.searchsorted(of, i) : np.searchsorted(of, i, side="right")]
+            out.append(pa.table([np.full(len(left), k[i]), np.full(len(left), d[i]), pa.array(s[i] + left, mask=mine), s[i] + left + WINDOW, keys], schema=schema))
+        return pa.concat_tables(out)
 
     found = bodies.groupBy("shard").applyInArrow(run, "k long, doc_id long, a long, b long, key long")
     if not crowded:
@@ -295,7 +308,8 @@ def _search(bodies: DataFrame, crowded: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(k, doc_id, spans): byte spans of each text that are covered by repeated windows, unmerged."""
     found = cut(find_strips(docs))
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("m"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("m > 1").select(F.col("anchor").alias("again"), (F.col("lo") != F.col("hi")).alias("unequal"))
+    # written down: both sides of the join then come from exchanges, and a crowded anchor can be split
+    anchors = cut(found.groupBy("anchor").agg(F.count("*").alias("m"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("m > 1").select(F.col("anchor").alias("again"), (F.col("lo") != F.col("hi")).alias("unequal")))
     hits = cut(found.join(anchors, F.col("anchor") == F.col("again")).select("k", "doc_id", "anchor", "digest", "s", "n", "unequal"))
     whole = lambda df: df.select("k", "doc_id", F.col("s").alias("a"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("b"))
     unequal = hits.where("unequal")

@@ -12,9 +12,8 @@ from quarrylens.llm.substrings import common_prefixes, op5_substrings, ranges, r
 @given(st.lists(st.integers(0, 2), max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_suffix_array_and_prefixes(x):
-    s = np.array([*x, 9], np.uint16)
+    s = np.array([v + 1 for v in x] + [0], np.uint8)
     sa, rank = suffix_array(s)
-    assert suffix_array(s.astype(np.uint32))[0].tolist() == sa.tolist()
     t = s.tolist()
     assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
     assert rank[sa].tolist() == list(range(len(t)))
