@@ -184,8 +184,8 @@ def train(labelled: DataFrame) -> CrossParser:
     return CrossParser(samples)
 
 
-def identify(docs: DataFrame, model: CrossParser, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score.
+def identify(docs: DataFrame, model: CrossParser, *keep: str, text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred and score, for the column ``text``.
 
     Null texts and texts without a letter are ``und`` with score 0; so are all
     texts if nothing was learned. Repeated rows stay; clashing extra columns do
@@ -198,11 +198,11 @@ def identify(docs: DataFrame, model: CrossParser, *keep: str) -> DataFrame:
         m = shared.value
         if not made:
             made.append(m.dense() if m.langs else None)
-        lang, score = m.predict(x["text"], made[0])
+        lang, score = m.predict(x[text], made[0])
         return {c: x[c] for c in keep} | {"lang_pred": lang, "score": score}
 
     types = dict(docs.dtypes)
-    cols = list(dict.fromkeys([*keep, "text"]))
+    cols = list(dict.fromkeys([*keep, text]))
     return map_batches(docs.select(*cols), rows, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double"]))
 
 

@@ -274,7 +274,7 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def detect(docs: DataFrame, field: Field, *keep: str, redact: bool = False) -> DataFrame:
+def detect(docs: DataFrame, field: Field, *keep: str, text: str = "text", redact: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans.
 
     Offsets are code points, ends exclusive. A null text counts as empty: no
@@ -284,18 +284,18 @@ def detect(docs: DataFrame, field: Field, *keep: str, redact: bool = False) -> D
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def rows(x: dict) -> dict:
-        base, full = find(x["text"], shared.value)
+        base, full = find(x[text], shared.value)
         out = {c: x[c] for c in keep}
         for k in KINDS:
             out[f"n_{k}"] = [sum(s[0] == k for s in b) for b in base]
         out["base_sha256"] = [hashlib.sha256(digest(b).encode()).hexdigest() for b in base]
         out["spans"] = [digest(f) for f in full]
         if redact:
-            out["redacted"] = [replace(t, f) for t, f in zip(x["text"], full)]
+            out["redacted"] = [replace(t, f) for t, f in zip(x[text], full)]
         return out
 
     types = dict(docs.dtypes)
-    cols = list(dict.fromkeys([*keep, "text"]))
+    cols = list(dict.fromkeys([*keep, text]))
     made = ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", *["redacted string"] * redact]
     return map_batches(docs.select(*cols), rows, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *made]))
 

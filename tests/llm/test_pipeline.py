@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quarrylens.llm.pii import base_spans
@@ -79,3 +80,17 @@ def test_edge_cases(spark, sf):
     one = keep_one(df).collect()
     assert sorted(str(r.doc_id) for r in one) == ["2", "3", "5", "6", "None"] or sorted(str(r.doc_id) for r in one) == ["1", "3", "5", "6", "None"]
     assert np.isfinite(len(one))
+
+
+def test_clashing_columns(spark, sf):
+    names = ["score", "lang_pred", "tie", "spans", "redacted", "n_email", "leak_id", "copies", "size", "n_words", "row", "keep_id", "h", "a", "fp", "c0_", "k_text"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain, wide = docs, docs.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    for name, stage in cp.STAGES:
+        plain, new = cp.cut(stage(spark, plain, sf)), cp.cut(stage(spark, wide, sf))
+        if name != "mixture":
+            assert new.columns == wide.columns
+        assert sorted(r.doc_id for r in new.collect()) == sorted(r.doc_id for r in plain.collect())
+        assert new.where("score <> 'x0' OR copies <> 'x7' OR k_text <> 'x16'").count() == 0
+        wide = new
+    assert {"_copies", "_n_words", "taken_words"} <= set(wide.columns)
