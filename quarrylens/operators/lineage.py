@@ -9,15 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
+    """spark.checkpoint.dir; where it is unset the context's checkpoint folder, or a temporary one that becomes it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='quarrylens-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='quarrylens-')}")
+    return (path or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ SLICE = f"""{WITH_GRAPH}, r(id, d) AS (
 
 
 def _slice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = og.edges(spark, d).where(F.col("kind").isin(*g.TRAVERSED))
+    edges = og.edges(spark, d, merged=False).where(F.col("kind").isin(*g.TRAVERSED))
     return g.reach(edges, spark.createDataFrame([(og.START,)], "id string"), og.DEPTH), edges
 
 
@@ -124,7 +124,7 @@ def slice_forward(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {SLICE} SELECT kind, source, target FROM e WHERE source IN (SELECT id FROM slice) AND target IN (SELECT id FROM slice) AND kind IN ({KINDS})")
 def slice_induced_edges(spark: SparkSession, d: str) -> DataFrame:
     reached, edges = _slice(spark, d)
-    return g.induced(edges, reached).select("kind", "source", "target")
+    return g.induced(edges, reached).select("kind", "source", "target").distinct()
 
 
 @query(f"WITH RECURSIVE {SLICE} SELECT count(*) AS n_nodes, max(distance) AS max_distance, max(distance) = {og.DEPTH} AS truncated FROM slice")

@@ -36,8 +36,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """kind, source, target, via, call_sites; of order to part one edge for all lines."""
+def edges(spark: SparkSession, d: str, merged: bool = True) -> DataFrame:
+    """kind, source, target, via, call_sites; of order to part one edge for all lines.
+
+    A traversal does not need merged edges: without ``merged`` lines stay single, and nothing is shuffled.
+    """
     t = lambda n: table(spark, d, n)
     end = lambda prefix, key: F.concat(F.lit(prefix + "-"), F.col(key).cast("string"))
     plain = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), end(*a).alias("source"), end(*b).alias("target"), F.lit("").alias("via"), F.lit(1).cast("long").alias("call_sites"))
@@ -46,8 +49,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         plain(t("customer"), "CONTAINS", ("NATION", "c_nationkey"), ("CUST", "c_custkey")),
         plain(t("supplier"), "CONTAINS", ("NATION", "s_nationkey"), ("SUPP", "s_suppkey")),
         plain(t("orders"), "CALLS", ("CUST", "o_custkey"), ("ORDER", "o_orderkey")),
-        call_sites(spark, d),
-        plain(t("lineitem").select("l_partkey", "l_suppkey").distinct(), "READS", ("PART", "l_partkey"), ("SUPP", "l_suppkey")),
+        call_sites(spark, d) if merged else plain(t("lineitem"), "CALLS", ("ORDER", "l_orderkey"), ("PART", "l_partkey")),
+        plain(t("lineitem").select("l_partkey", "l_suppkey").distinct() if merged else t("lineitem"), "READS", ("PART", "l_partkey"), ("SUPP", "l_suppkey")),
         plain(t("customer"), "ENTRY_TO", ("SEGMENT", "c_mktsegment"), ("CUST", "c_custkey")),
     )
 
