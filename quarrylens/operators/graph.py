@@ -91,9 +91,27 @@ def truncated(reached: DataFrame, depth: int) -> DataFrame:
     return reached.agg(F.count("*").alias("n_nodes"), F.max("distance").alias("max_distance"), F.coalesce(F.max("distance") == depth, F.lit(False)).alias("truncated"))
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of all ends of (src, dst), root the least node reachable; large-star and small-star rounds."""
-    edges = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of all ends of (src, dst), root the least node reachable.
+
+    Every node first hangs on its least neighbour; the trees that come of this
+    are resolved, the edges are renamed to their roots, and only what joins two
+    trees is resolved again: each edge is joined twice, whatever the rounds.
+    """
+    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    least = both_ways(e.select(F.col("u").alias("source"), F.col("v").alias("target"))).groupBy(F.col("source").alias("u")).agg(F.min("target").alias("v"))
+    least = cut(least)
+    trees = cut(_stars(least.where("v < u")))
+    of = lambda end: trees.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    ends = e.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ru", "u").alias("a"), F.coalesce("rv", "v").alias("b"))
+    rest = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    over = _stars(rest).select(F.col("node").alias("tree"), F.col("root").alias("over"))
+    nodes = least.select(F.col("u").alias("node")).join(trees, "node", "left").select("node", F.coalesce("root", "node").alias("tree"))
+    return nodes.join(over, "tree", "left").select("node", F.coalesce("over", "tree").alias("root"))
+
+
+def _stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of all ends of (u, v), v < u, by rounds of large-star and small-star."""
     seen = None
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -103,7 +121,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.where("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             break
         seen = state
     else:

@@ -201,6 +201,34 @@ def test_graph_edges(spark):
         g.reach(loop, nodes, 0)
 
 
+def test_components_match_union_find(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(220)] + [(5, i) for i in range(2000, 2100)] + [(7, 7), (8, 9), (8, 9)]
+    rnd.shuffle(pairs)
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    rename = rnd.sample(range(10_000), 3000)
+    want = {}
+    for x in parent:
+        want.setdefault(root(x), []).append(rename[x])
+    df = spark.createDataFrame([(rename[a], rename[b]) for a, b in pairs], "src long, dst long")
+    got = {r.node: r.root for r in g.connected(df).collect()}
+    assert got == {x: min(members) for members in want.values() for x in members}
+    assert g.connected(df.limit(0)).count() == 0
+
+
 def test_run_log(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     with runlog.timed(spark, path, "analyze", source="dbPassword=abc") as d:
