@@ -124,15 +124,15 @@ def wide_fingerprint(text: str | None, words: int) -> tuple[int, int, int]:
     return signed(majority(h)), signed(majority(g)), len(h)
 
 
-def wide_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
+def wide_links(fps: DataFrame, bucket: int = 24) -> DataFrame:
     """(src, dst) over (id, a, b, n): ids of fingerprints that differ in at most WIDE_DISTANCE of 128 bits.
 
     The index is the same: segments under one-bit-out variants, equality join,
     verification. Seven segments of 18 bits find a pair at similarity 0.8 with a
     probability of about 0.85, and nearly always above 0.9. Where far more
     fingerprints share a segment than chance explains, they are linked to the
-    least of those that share a second segment as well, if near enough: a number
-    of links linear in the group.
+    one nearest to their bitwise majority, and to each other within parts of
+    about ``bucket``: a number of links linear in the group.
     """
     n = fps.count()
     limit = bucket + 4 * n // (1 << WIDE_BITS)
@@ -140,7 +140,7 @@ def wide_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     # segments 0-2 and half of 3 lie in a, the rest in b
     bits = [f"(shiftrightunsigned(a, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)] + [f"(shiftleft(a & 511, 9) | (b & 511))"] + [f"(shiftrightunsigned(b, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)]
     segs = fps.select("id", "a", "b", F.posexplode(F.array(*[F.expr(x).cast("long") for x in bits])).alias("s", "v"))
-    dense = cut(segs.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > limit).select("s", "v"))
+    dense = cut(segs.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > limit))
     bit = F.explode(F.sequence(F.lit(0), F.lit(WIDE_BITS - 1)))
     own = dense.select("s", "v", F.lit(ones).cast("long").alias("mask"))
     side = dense.select("s", "v", bit.alias("p")).select("s", F.expr("v ^ shiftleft(1L, p)").alias("v"), F.expr("shiftleft(1L, p)").alias("mask"))
@@ -154,12 +154,22 @@ def wide_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     variants = plain.select("id", "a", "b", "s", "v", "mask", bit.alias("p")).where("(shiftright(mask, p) & 1) = 0")
     variants = variants.select("id", "a", "b", F.expr("(shiftright(v, p) & 1) = 1").alias("one"), F.expr(f"shiftleft(CAST(s * {WIDE_BITS} + p AS BIGINT), {WIDE_BITS}) | (v & ~shiftleft(1L, p))").alias("k"))
     differ = variants.where("NOT one").alias("l").join(variants.where("one").alias("r"), "k").where(near).select(*pair)
-    # crowded segments: with each second segment, to the least that shares both
-    full = segs.where(F.col("mask") == ones).select("id", "a", "b", "s", "v", F.posexplode(F.array(*[F.expr(x).cast("long") for x in bits])).alias("t", "w")).where("s <> t")
-    full = full.select("id", "a", "b", F.xxhash64("s", "v", "t", "w").alias("k"))
-    least = full.groupBy("k").agg(F.min(F.struct("id", "a", "b")).alias("x"), F.count("*").alias("m")).where("m > 1").select("k", "x.*")
-    star = full.alias("l").join(least.alias("r"), "k").where(F.expr("l.id <> r.id") & near).select(*pair)
+    # crowded segments: to the one nearest to the bitwise majority, as a rule the original of all the copies
+    crowd = cut(segs.where(F.col("mask") == ones).select("id", "a", "b", "s", "v"))
+    sums = lambda c: F.array(*[F.sum(F.expr(f"shiftrightunsigned({c}, {i}) & 1")) for i in range(64)])
+    more = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda x, i: x.bitwiseOR(F.when(F.get(c, i) * 2 > F.col("m"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    middle = crowd.groupBy("s", "v").agg(F.count("*").alias("m"), sums("a").alias("sa"), sums("b").alias("sb")).select("s", "v", more("sa").alias("ma"), more("sb").alias("mb"))
+    off = crowd.join(middle, ["s", "v"]).select("s", "v", F.struct(F.expr("bit_count(a ^ ma) + bit_count(b ^ mb)").alias("d"), "id", "a", "b").alias("x"))
+    centre = cut(off.groupBy("s", "v").agg(F.min("x").alias("x")).select("s", "v", "x.id", "x.a", "x.b"))
+    middle_links = cut(crowd.alias("l").join(centre.alias("r"), ["s", "v"]).where(near).select(*pair).distinct())
+    # and to each other within parts of about ``bucket``, dealt anew for each segment
+    parts = crowd.join(dense, ["s", "v"]).select("id", "a", "b", F.expr(f"xxhash64(s, v, pmod(xxhash64(id, s), CAST(ceil(m / {bucket}) AS BIGINT)))").alias("k"))
+    star = parts.alias("l").join(parts.alias("r"), "k").where(F.expr("l.id < r.id") & near).select(*pair)
     links = same.unionAll(differ).unionAll(star).distinct()
+    # two that hang on one centre need no link of their own
+    hub = lambda end: middle_links.groupBy(F.col("src").alias(end)).agg(F.min("dst").alias(f"c_{end}"))
+    links = links.join(hub("src"), "src", "left").join(hub("dst"), "dst", "left").where("c_src IS NULL OR c_dst IS NULL OR c_src <> c_dst").select("src", "dst")
+    links = links.unionAll(middle_links.where("src <> dst"))
     # sets whose sizes differ too much cannot be that similar
     size = lambda end: fps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
     return links.join(size("src"), "src").join(size("dst"), "dst").where("least(n_src, n_dst) >= 0.75 * greatest(n_src, n_dst)").select("src", "dst")
