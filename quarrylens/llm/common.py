@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.operators.graph import connected as components
 from quarrylens.operators.lineage import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "components", "cut", "map_batches", "shared_dir"]
+__all__ = ["BATCH_ROWS", "components", "cut", "map_batches", "share", "shared_dir"]
 
 #: Rows that Python functions handle at once; texts can be very long, so batches are small.
 BATCH_ROWS = 512
 
 
+def share(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcasts an object of bounded size with its class; each task unpacks it once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    made: list = []
+
+    def get() -> object:
+        if not made:
+            made.append(pickle.loads(sent.value))
+        return made[0]
+
+    return get
+
+
 def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list | pa.Array]], schema: str) -> DataFrame:
     """Apply a function of Python column lists to slices of BATCH_ROWS rows; ``schema`` is a DDL string."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, map_batches
+from quarrylens.llm.common import cut, map_batches, share
 
 #: The training bounds: distinct texts of each language, and characters of each text and language.
 SAMPLE_TEXTS, SAMPLE_CHARS, REFERENCE_CHARS = 200, 600, 30_000
@@ -191,11 +191,11 @@ def identify(docs: DataFrame, model: CrossParser, *keep: str, text: str = "text"
     texts if nothing was learned. Repeated rows stay; clashing extra columns do
     not matter, for only ``keep`` is carried along.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     made: list = []
 
     def rows(x: dict) -> dict:
-        m = shared.value
+        m = shared()
         if not made:
             made.append(m.dense() if m.langs else None)
         lang, score = m.predict(x[text], made[0])

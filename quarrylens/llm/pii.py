@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import map_batches
+from quarrylens.llm.common import map_batches, share
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -281,10 +281,10 @@ def detect(docs: DataFrame, field: Field, *keep: str, text: str = "text", redact
     spans, the hash of the empty string. With ``redact`` a column redacted has
     the text with each span as <KIND>, of overlapping spans the union.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = share(docs.sparkSession, field)
 
     def rows(x: dict) -> dict:
-        base, full = find(x[text], shared.value)
+        base, full = find(x[text], shared())
         out = {c: x[c] for c in keep}
         for k in KINDS:
             out[f"n_{k}"] = [sum(s[0] == k for s in b) for b in base]
