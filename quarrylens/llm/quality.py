@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, map_batches
+from quarrylens.llm.common import cut, map_batches, share
 
 #: The classifier is fitted on so many labelled documents at most, chosen by hash.
 FIT_ROWS = 20_000
@@ -135,12 +135,15 @@ def score(docs: DataFrame, labels: DataFrame, sites: DataFrame) -> DataFrame:
 
     feats = cut(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, f array<double>"))
     known = cut(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("double").alias("y")))
-    sample = feats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(FIT_ROWS).collect()
+    # thinned by hash first: else every partition would send FIT_ROWS rows to the driver
+    most = math.ceil((1 << 20) * min(1.0, 1.25 * FIT_ROWS / max(1, known.count())))
+    thin = known.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 20}) < {most}"))
+    sample = feats.join(thin, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(FIT_ROWS).collect()
     model = Classifier(np.array([r.f for r in sample]).reshape(-1, len(FEATURES)), np.array([r.y for r in sample]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def judge(x: dict) -> dict:
-        return {"doc_id": x["doc_id"], "p_text": shared.value.probability(np.array(x["f"]).reshape(-1, len(FEATURES))).tolist()}
+        return {"doc_id": x["doc_id"], "p_text": shared().probability(np.array(x["f"]).reshape(-1, len(FEATURES))).tolist()}
 
     scored = map_batches(feats, judge, "doc_id long, p_text double")
     place = sites.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"))).alias("x")).select("doc_id", "x.*")
