@@ -43,13 +43,22 @@ class Vocabulary(dict):
     """Token to number; classes and hashes by number."""
 
     def __init__(self):
+        from xxhash import xxh64_intdigest
+
         super().__init__()
+        self.digest = xxh64_intdigest
         self.kind: list[int] = []
         self.hash: list[int] = []
+        self.known = np.empty(0, np.int8), np.empty(0, np.uint64)
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and hashes; only what is new since the last call is converted."""
+        n = len(self.known[0])
+        if n < len(self.kind):
+            self.known = np.concatenate((self.known[0], np.array(self.kind[n:], np.int8))), np.concatenate((self.known[1], np.array(self.hash[n:], np.uint64)))
+        return self.known
 
+    def __missing__(self, token: str) -> int:
         low = token.lower()
         if token in ".!?\n":
             kind = STOP
@@ -63,7 +72,7 @@ class Vocabulary(dict):
             kind = WORD
         self[token] = n = len(self.kind)
         self.kind.append(kind)
-        self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7))
+        self.hash.append(self.digest(low.encode("utf-8", "surrogatepass"), 7))
         return n
 
 
@@ -79,7 +88,7 @@ def tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray,
     if not ids:
         return text, np.empty(0, np.int8), np.empty(0, np.uint64)
     at = np.array(ids, np.int64)
-    kind, value = np.array(vocabulary.kind, np.int8)[at], np.array(vocabulary.hash, np.uint64)[at]
+    kind, value = (x[at] for x in vocabulary.arrays())
     new = np.concatenate(([True], text[1:] != text[:-1]))
     after = np.concatenate(([WORD], kind[:-1]))
     # a capital at the start of a sentence is no name, a unit stands after a number
