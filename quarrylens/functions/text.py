@@ -23,9 +23,10 @@ def redact(text: Column | str) -> Column:
     """The text with secrets replaced; bearer tokens first, so that a header's value does not hide them."""
     c = F.col(text) if isinstance(text, str) else text
     c = F.regexp_replace(c, BEARER, f"Bearer {PLACEHOLDER}")
-    c = F.regexp_replace(c, KEY_VALUE, f"$1$2$3$4$5{PLACEHOLDER}$4$5")
+    # the two patterns that try every word run only where their fixed part occurs
+    c = F.when(c.rlike(f"(?i){SECRET_WORDS}"), F.regexp_replace(c, KEY_VALUE, f"$1$2$3$4$5{PLACEHOLDER}$4$5")).otherwise(c)
     c = F.regexp_replace(c, JDBC, f"$1;{PLACEHOLDER}")
-    return F.regexp_replace(c, USER_INFO, f"$1{PLACEHOLDER}@")
+    return F.when(F.contains(c, F.lit("://")), F.regexp_replace(c, USER_INFO, f"$1{PLACEHOLDER}@")).otherwise(c)
 
 
 def redact_map(m: Column | str) -> Column:
