@@ -314,7 +314,8 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     whole = lambda df: df.select("k", "doc_id", F.col("s").alias("a"), (F.col("s") + F.col("n") + (WINDOW - 1)).alias("b"))
     unequal = hits.where("unequal")
     kinds = cut(unequal.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct("k", "doc_id", "s", "n")).alias("x")))
-    equal = unequal.join(kinds.where("c > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+    # written down: with its size known the small side is broadcast at once, or both sides come from exchanges
+    equal = unequal.join(cut(kinds.where("c > 1").select("anchor", "digest")), ["anchor", "digest"], "left_semi")
     # one of each kind is searched; a strip that stands alone is its own only place
     many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.expr(f"x.n + {WINDOW}")).alias("size"))
     total = many.agg(F.sum("size"), F.max("kinds")).first()
