@@ -110,88 +110,104 @@ def simhash_groups(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFra
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-#: Fingerprints for a similarity of 0.8 have 128 bits, in 7 segments of 18 bits; that similarity is 19 bits apart on average.
-WIDE_SEGMENTS, WIDE_BITS, WIDE_DISTANCE = 7, 18, 22
+#: Near copies: exact similarity of shingle sets; candidates agree in all ROWS least hashes of one of BANDS bands.
+SIMILAR, BANDS, ROWS = 0.8, 20, 4
+_rng = np.random.default_rng(20)
+FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, words: int) -> tuple[int, int, int]:
-    """Two 64-bit halves over the set of shingles, and its size."""
-    h = np.unique(shingle_hashes(text, words))
-    if not len(h):
-        return 0, 0, 0
-    g = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    g ^= g >> np.uint64(29)
-    return signed(majority(h)), signed(majority(g)), len(h)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def wide_links(fps: DataFrame, bucket: int = 24) -> DataFrame:
-    """(src, dst) over (id, a, b, n): ids of fingerprints that differ in at most WIDE_DISTANCE of 128 bits.
+def band_keys(h: np.ndarray) -> list[int]:
+    """One key for each band of least hashes of a set; the empty set has keys of its own."""
+    import xxhash
 
-    The index is the same: segments under one-bit-out variants, equality join,
-    verification. Seven segments of 18 bits find a pair at similarity 0.8 with a
-    probability of about 0.85, and nearly always above 0.9. Where far more
-    fingerprints share a segment than chance explains, they are linked to the
-    one nearest to their bitwise majority, and to each other within parts of
-    about ``bucket``: a number of links linear in the group.
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        part = h[at : at + (1 << 12)]
+        for i in range(BANDS * ROWS):
+            x = (part ^ SHIFTS[i]) * FACTORS[i]
+            x ^= x >> np.uint64(32)
+            least[i] = min(least[i], (x * FACTORS[i]).min())
+    return [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(src, dst, j): the Jaccard similarity of the sets (id, h) of each pair."""
+    end = lambda e: sets.select(F.col("id").alias(e), F.col("h").alias(f"h_{e}"))
+    both = pairs.join(end("src"), "src").join(end("dst"), "dst").withColumn("m", F.size(F.array_intersect("h_src", "h_dst")))
+    total = F.size("h_src") + F.size("h_dst") - F.col("m")
+    return both.select("src", "dst", F.when(total == 0, 1.0).otherwise(F.col("m") / total).alias("j"))
+
+
+def near_copy_links(keys: DataFrame, sets, bucket: int = 24) -> DataFrame:
+    """(src, dst) over (id, n, k: the band keys): enough verified links to connect all candidates of similarity SIMILAR.
+
+    ``sets`` gives (id, h) for a frame of ids. Two sets of similarity 0.8 share
+    a band with a probability of 1 - (1 - 0.8^4)^20, or 0.99997. Pairs that
+    share a key are verified. Where more than ``bucket`` sets share a key, all are
+    compared with the most popular of them; two that are linked to it need no
+    comparison. All others of the key are compared with every member that can be
+    similar to them: distance is a metric, so those that are nearer to the
+    popular one by over 1 - SIMILAR cannot. No pair that shares a key is left out.
     """
-    n = fps.count()
-    limit = bucket + 4 * n // (1 << WIDE_BITS)
-    ones = (1 << WIDE_BITS) - 1
-    # segments 0-2 and half of 3 lie in a, the rest in b
-    bits = [f"(shiftrightunsigned(a, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)] + [f"(shiftleft(a & 511, 9) | (b & 511))"] + [f"(shiftrightunsigned(b, {64 - WIDE_BITS * (i + 1)}) & {ones})" for i in range(3)]
-    segs = fps.select("id", "a", "b", F.posexplode(F.array(*[F.expr(x).cast("long") for x in bits])).alias("s", "v"))
-    dense = cut(segs.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > limit))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(WIDE_BITS - 1)))
-    own = dense.select("s", "v", F.lit(ones).cast("long").alias("mask"))
-    side = dense.select("s", "v", bit.alias("p")).select("s", F.expr("v ^ shiftleft(1L, p)").alias("v"), F.expr("shiftleft(1L, p)").alias("mask"))
-    masks = own.unionAll(side).groupBy("s", "v").agg(F.expr("bit_or(mask)").alias("mask"))
-    segs = cut(segs.join(masks, ["s", "v"], "left").select("id", "a", "b", "s", "v", F.coalesce("mask", F.lit(0)).alias("mask")))
-    near = F.expr(f"bit_count(l.a ^ r.a) + bit_count(l.b ^ r.b) <= {WIDE_DISTANCE}")
+    each = keys.select("id", "n", F.explode("k").alias("k"))
+    each = cut(each.join(each.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "k"))
+    fits = f"least(l.n, r.n) >= {SIMILAR} * greatest(l.n, r.n)"
     pair = [F.col("l.id").alias("src"), F.col("r.id").alias("dst")]
-    plain = segs.where(F.col("mask") != ones)
-    key = plain.select("id", "a", "b", F.expr(f"shiftleft(CAST(s AS BIGINT), {WIDE_BITS}) | v").alias("k"))
-    same = key.alias("l").join(key.alias("r"), "k").where(F.expr("l.id < r.id") & near).select(*pair)
-    variants = plain.select("id", "a", "b", "s", "v", "mask", bit.alias("p")).where("(shiftright(mask, p) & 1) = 0")
-    variants = variants.select("id", "a", "b", F.expr("(shiftright(v, p) & 1) = 1").alias("one"), F.expr(f"shiftleft(CAST(s * {WIDE_BITS} + p AS BIGINT), {WIDE_BITS}) | (v & ~shiftleft(1L, p))").alias("k"))
-    differ = variants.where("NOT one").alias("l").join(variants.where("one").alias("r"), "k").where(near).select(*pair)
-    # crowded segments: to the one nearest to the bitwise majority, as a rule the original of all the copies
-    crowd = cut(segs.where(F.col("mask") == ones).select("id", "a", "b", "s", "v"))
-    sums = lambda c: F.array(*[F.sum(F.expr(f"shiftrightunsigned({c}, {i}) & 1")) for i in range(64)])
-    more = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda x, i: x.bitwiseOR(F.when(F.get(c, i) * 2 > F.col("m"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    middle = crowd.groupBy("s", "v").agg(F.count("*").alias("m"), sums("a").alias("sa"), sums("b").alias("sb")).select("s", "v", more("sa").alias("ma"), more("sb").alias("mb"))
-    off = crowd.join(middle, ["s", "v"]).select("s", "v", F.struct(F.expr("bit_count(a ^ ma) + bit_count(b ^ mb)").alias("d"), "id", "a", "b").alias("x"))
-    centre = cut(off.groupBy("s", "v").agg(F.min("x").alias("x")).select("s", "v", "x.id", "x.a", "x.b"))
-    middle_links = cut(crowd.alias("l").join(centre.alias("r"), ["s", "v"]).where(near).select(*pair).distinct())
-    # and to each other within parts of about ``bucket``, dealt anew for each segment
-    parts = crowd.join(dense, ["s", "v"]).select("id", "a", "b", F.expr(f"xxhash64(s, v, pmod(xxhash64(id, s), CAST(ceil(m / {bucket}) AS BIGINT)))").alias("k"))
-    star = parts.alias("l").join(parts.alias("r"), "k").where(F.expr("l.id < r.id") & near).select(*pair)
-    links = same.unionAll(differ).unionAll(star).distinct()
-    # two that hang on one centre need no link of their own
-    hub = lambda end: middle_links.groupBy(F.col("src").alias(end)).agg(F.min("dst").alias(f"c_{end}"))
-    links = links.join(hub("src"), "src", "left").join(hub("dst"), "dst", "left").where("c_src IS NULL OR c_dst IS NULL OR c_src <> c_dst").select("src", "dst")
-    links = links.unionAll(middle_links.where("src <> dst"))
-    # sets whose sizes differ too much cannot be that similar
-    size = lambda end: fps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
-    return links.join(size("src"), "src").join(size("dst"), "dst").where("least(n_src, n_dst) >= 0.75 * greatest(n_src, n_dst)").select("src", "dst")
+    few = each.where(F.col("m") <= bucket)
+    plain = few.alias("l").join(few.alias("r"), "k").where(F.expr(f"l.id < r.id AND {fits}")).select(*pair)
+    crowd = each.where(F.col("m") > bucket).select("k", "id", "n")
+    popular = each.groupBy("id").agg(F.sum("m").alias("p"))
+    centre = crowd.join(popular, "id").groupBy("k").agg(F.max(F.struct("p", "id")).alias("x")).select("k", F.col("x.id").alias("dst"))
+    crowd = cut(crowd.join(centre, "k"))
+    star = crowd.where("id <> dst").select(F.col("id").alias("src"), "dst")
+    pairs = cut(plain.unionAll(star).distinct())
+    ids = lambda p: p.select(F.col("src").alias("id")).unionAll(p.select("dst")).distinct()
+    have = cut(sets(ids(pairs)))
+    scored = cut(similar(pairs, have))
+    links = scored.where(F.col("j") >= SIMILAR).select("src", "dst")
+    # the rest of the crowds: what does not hang on the popular one, against all that it may resemble and is not tied to
+    tied = components(links).select(F.col("node").alias("id"), "root")
+    far = crowd.join(scored.select(F.col("src").alias("id"), "dst", "j"), ["id", "dst"], "left").select("k", "id", "n", (1 - F.coalesce("j", F.lit(1.0))).alias("d"))
+    far = cut(far.join(tied, "id", "left").select("k", "id", "n", "d", F.coalesce("root", "id").alias("root")))
+    slack = 1 - SIMILAR + 1e-9
+    rest = far.where(F.col("d") > slack).alias("l").join(far.alias("r"), "k").where(F.expr(f"l.root <> r.root AND abs(l.d - r.d) <= {slack} AND (r.d <= {slack} OR l.id < r.id) AND {fits}"))
+    more = cut(rest.select(*pair).distinct())
+    return links.unionAll(similar(more, have).where(F.col("j") >= SIMILAR).select("src", "dst"))
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` without near copies (similarity of 5-word shingle sets of about 0.8 and more): of each group the least doc_id stays.
+    """``docs`` without near copies (similarity of 5-word shingle sets of 0.8 and more): of each group the least doc_id stays.
 
     Null ids count as greater than any; of equal ids the least text hash stays,
     of repeated rows one. Texts without words are copies of each other. Columns
     stay as they are.
     """
+    import xxhash
 
     def rows(x: dict) -> dict:
-        got = [wide_fingerprint(t, words) for t in x["text"]]
-        return {"doc_id": x["doc_id"], "tie": x["tie"], "a": [g[0] for g in got], "b": [g[1] for g in got], "n": [g[2] for g in got]}
+        got = [shingle_set(t, words) for t in x["text"]]
+        digest = lambda seed: [signed(xxhash.xxh64_intdigest(h.tobytes(), seed)) for h in got]
+        return {"doc_id": x["doc_id"], "tie": x["tie"], "a": digest(1), "b": digest(2), "n": [len(h) for h in got], "k": [band_keys(h) for h in got]}
+
+    def hashes(x: dict) -> dict:
+        return {"id": x["id"], "h": [shingle_set(t, words).view(np.int64) for t in x["text"]]}
 
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     source = docs.select(last.alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    each = cut(map_batches(source, rows, "doc_id long, tie long, a long, b long, n long"))
-    distinct = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.max("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    roots = components(wide_links(distinct.select("id", "a", "b", "n")))
+    each = cut(map_batches(source, rows, "doc_id long, tie long, a long, b long, n long, k array<long>"))
+    # sets that are equal are one
+    distinct = cut(each.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("k").alias("k")).withColumn("id", F.monotonically_increasing_id()))
+
+    def sets(ids: DataFrame) -> DataFrame:
+        of = distinct.join(ids, "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"))
+        return map_batches(source.join(of, ["doc_id", "tie"]).dropDuplicates(["id"]).select("id", "text"), hashes, "id long, h array<long>")
+
+    roots = components(near_copy_links(distinct.select("id", "n", "k"), sets))
     first = distinct.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.tie").alias("keep_tie"))
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), last.alias("keep_id"), F.xxhash64("text").alias("keep_tie"))
