@@ -56,3 +56,18 @@ def test_crowd_matches_brute_force(spark, seed):
     rnd.shuffle(rows)
     texts = [" ".join(w) for w in rows]
     assert kept(spark, texts) == brute(texts)
+
+
+def test_pairs_about_the_threshold(spark):
+    """Of pairs at 0.8 to 0.86 none stays, of those below 0.8 both."""
+    rnd = random.Random(3)
+    texts, near = [], []
+    while len(texts) < 1200:
+        base = [f"w{rnd.getrandbits(32)}" for _ in range(rnd.randint(60, 300))]
+        a, b = " ".join(base), " ".join(edited(rnd, base, max(1, round(len(base) * rnd.uniform(0.018, 0.045)))))
+        if 0.6 < jaccard(a, b) < 0.86:
+            near.append(jaccard(a, b) >= 0.8)
+            texts += [a, b]
+    got = kept(spark, texts)
+    assert np.sum(near) > 100 and {2 * i for i in range(len(near))} <= got
+    assert [2 * i + 1 not in got for i in range(len(near))] == near
