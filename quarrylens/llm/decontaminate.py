@@ -4,9 +4,10 @@ Texts become templates: lower-cased words, with numbers, units after numbers and
 names as typed placeholders. Windows of the templates are hash-joined with those
 of the benchmark items. A document and an item are a pair if enough windows of
 the item occur in the document and the values in the slots map onto each other
-consistently, one value to one value: so a question whose numbers or names were
-exchanged is found, and a text that only looks alike is not. Windows are also
-taken with names left as words, so that a copy in other case is found.
+consistently, one value to one value, over the document or over one occurrence:
+so a question whose numbers or names were exchanged is found, and a text that
+only looks alike is not. Windows are also taken with names left as words, so
+that a copy in other case is found.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import BATCH_ROWS, cut
@@ -26,6 +27,8 @@ from quarrylens.llm.common import BATCH_ROWS, cut
 WINDOW, WORDS, SHORTEST = 8, 5, 4
 #: Windows that an item needs in a document: these many, or this share if it has fewer.
 NEED, SHARE, CONSISTENT = 6, 0.5, 0.75
+#: Tokens by which neighbouring windows of one occurrence may shift against the item, where a name has more or fewer words.
+SHIFT = 4
 #: So many distinct benchmark windows may be broadcast; beyond it everything goes through the shuffle join.
 BROADCAST_WINDOWS = 500_000
 
@@ -129,10 +132,10 @@ def windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray, size: int) -
 
 
 def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
-    """(doc_id, tie, h, values): windows of the documents, those in ``known`` if it is given."""
+    """(doc_id, tie, at, h, values): windows of the documents and their token numbers, those in ``known`` if it is given."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(known) if known is not None else None
-    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         filt, listed = None, None
@@ -147,6 +150,7 @@ def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Dat
                 if len(vocabulary) > 500_000:
                     vocabulary = Vocabulary()
                 found = tokens(part.column("text").to_pylist(), vocabulary)
+                begin = np.searchsorted(found[0], np.arange(part.num_rows))
                 for size, names in product(sizes, (True, False)):
                     text, symbol, kind, value, place = template(*found, names)
                     at, h = windows(text, symbol, kind, size)
@@ -158,8 +162,8 @@ def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Dat
                     if filt is not None:
                         near = filt[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
                         at, h = at[near], h[near]
-                        place = np.searchsorted(listed, h)
-                        real = listed[np.minimum(place, len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
+                        near = np.searchsorted(listed, h)
+                        real = listed[np.minimum(near, len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
                         at, h = at[real], h[real]
                     for lo in range(0, len(at), 1 << 16):
                         a, g = at[lo : lo + (1 << 16)], h[lo : lo + (1 << 16)]
@@ -168,10 +172,10 @@ def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Dat
                         slot = kind[span] != WORD
                         ends = np.concatenate(([0], np.cumsum(slot.sum(1)))).astype(np.int32)
                         slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[span][slot].view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("tie").take(of), pa.array(g.view(np.int64)), slots], schema=schema)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("tie").take(of), pa.array(place[a] - begin[text[a]]), pa.array(g.view(np.int64)), slots], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, tie long, h long, slots array<long>")
+    return source.mapInArrow(run, "doc_id long, tie long, at long, h long, slots array<long>")
 
 
 def _index(benchmark: DataFrame) -> DataFrame:
@@ -202,12 +206,31 @@ def _index(benchmark: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "item_id long, size int, pos int, n_windows int, h long, slots array<long>")
 
 
+def _fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each group with windows enough, how many of the item's it has and how well their slots map."""
+    # the same item may hold a window more than once; distinct positions are counted
+    per = pairs.groupBy(*keys).agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
+    one = lambda side: F.size(F.array_distinct(F.transform("z", lambda x: x[side])))
+    slots = F.size("z")
+    per = per.select(
+        *[c for c in keys if c != "n_windows"],
+        F.col("n_windows").cast("long").alias("n_windows"),
+        F.size("at").cast("long").alias("n_matched"),
+        (F.size("at") / F.col("n_windows")).alias("coverage"),
+        slots.cast("long").alias("n_slots"),
+        F.when(slots == 0, 1.0).otherwise(F.least(one("theirs"), one("slots")) / slots).alias("consistency"),
+        F.exists("z", lambda x: x["theirs"] != x["slots"]).alias("reparameterised"),
+    )
+    return per.where(F.col("n_matched") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document (doc_id, tie = xxhash64 of its text) and benchmark item that it holds.
 
     Columns: doc_id, item_id, n_windows of the item, n_matched of them, coverage,
     n_slots compared, consistency (share of slot values that fit one mapping) and
-    reparameterised (some value differs). Null and empty texts hold nothing, nor
+    reparameterised (some value differs); where the occurrences of an item
+    contradict each other, the figures are those of the best one. Null and empty texts hold nothing, nor
     do items of fewer than SHORTEST symbols match anything. Repeated rows give
     one row, ties none; extra columns are ignored; empty tables give no rows.
     """
@@ -217,24 +240,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = np.sort(np.array([r.h for r in index.select("h").distinct().collect()], np.int64).view(np.uint64)) if few else None
     found = _matches(docs, sizes, known)
     right = index.select(F.col("h").alias("g"), "item_id", "pos", "n_windows", F.col("slots").alias("theirs"))
-    # the same item may hold a window more than once; distinct positions are counted
     both = found.join(F.broadcast(right) if few else right, F.col("h") == F.col("g"))
-    pairs = both.select("doc_id", "tie", "item_id", "n_windows", "pos", F.arrays_zip("theirs", "slots").alias("z"))
-    per = pairs.groupBy("doc_id", "tie", "item_id", "n_windows").agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
-    one = lambda side: F.size(F.array_distinct(F.transform("z", lambda x: x[side])))
-    slots = F.size("z")
-    per = per.select(
-        "doc_id",
-        "tie",
-        "item_id",
-        F.col("n_windows").cast("long").alias("n_windows"),
-        F.size("at").cast("long").alias("n_matched"),
-        (F.size("at") / F.col("n_windows")).alias("coverage"),
-        slots.cast("long").alias("n_slots"),
-        F.when(slots == 0, 1.0).otherwise(F.least(one("theirs"), one("slots")) / slots).alias("consistency"),
-        F.exists("z", lambda x: x["theirs"] != x["slots"]).alias("reparameterised"),
-    )
-    return per.where((F.col("n_matched") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE))) & (F.col("consistency") >= CONSISTENT))
+    keys = ["doc_id", "tie", "item_id", "n_windows"]
+    pairs = cut(both.select(*keys, "pos", (F.col("at") - F.col("pos")).alias("off"), F.arrays_zip("theirs", "slots").alias("z")))
+    whole = cut(_fit(pairs, keys))
+    fits = F.col("consistency") >= CONSISTENT
+    # several variants in one document contradict each other: each occurrence, windows at one offset, is looked at by itself
+    lost = F.broadcast(whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:3]]))
+    mine = pairs.join(lost, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("tie") == F.col("w_tie")) & (F.col("item_id").eqNullSafe(F.col("w_item_id"))), "left_semi")
+    order = Window.partitionBy(*keys).orderBy("off")
+    mine = mine.withColumn("new", F.when(F.col("off") - F.lag("off").over(order) > SHIFT, 1).otherwise(0)).withColumn("occurrence", F.sum("new").over(order))
+    one = _fit(mine, [*keys, "occurrence"]).where(fits)
+    best = one.groupBy(*keys).agg(F.max(F.struct("consistency", "n_matched", "coverage", "n_slots", "reparameterised")).alias("x")).select(*keys, "x.*")
+    return whole.where(fits).unionByName(best)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

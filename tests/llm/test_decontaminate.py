@@ -81,3 +81,14 @@ def test_whole_table_matches_brute_force(spark, sf):
     got = {(r.doc_id, r.item_id, r.n_matched) for r in op1_decontaminate(spark, sf).collect()}
     assert got == want and want
     assert np.mean([r in want for r in got]) == 1
+
+
+def test_item_and_variants_in_one_document(spark):
+    variant = ITEM.replace("Mary Smith", "Jane Roe").replace("Bob", "Tim").replace("12", "30").replace("5 apples", "8 apples").replace("3.5", "7")
+    other = ITEM.replace("Mary Smith", "Eve").replace("Bob", "Max").replace("12", "41").replace("5 apples", "9 apples").replace("3.5", "6")
+    mixed = "A farmer named Ann has 12 apples and gives 5 apples to Ann, who walks 12 km home. How many apples are left for Zed in the end?"
+    docs = [(1, ITEM + " " + variant), (2, variant + " and then. " + other), (None, other + " " + ITEM + " " + variant), (4, mixed + " " + mixed)]
+    got = rows(spark, docs, [(9, ITEM)])
+    assert set(got) == {(1, 9), (2, 9), (None, 9)}
+    assert got[1, 9].consistency == 1 and got[1, 9].coverage == 1
+    assert got[2, 9].reparameterised
