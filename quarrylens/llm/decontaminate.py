@@ -8,6 +8,10 @@ consistently, one value to one value, over the document or over one occurrence:
 so a question whose numbers or names were exchanged is found, and a text that
 only looks alike is not. Windows are also taken with names left as words, so
 that a copy in other case is found.
+
+An item whose template has no window with words enough is indexed by windows
+that go on to their fifth word, and an item without any of these by windows of
+the values themselves, which find exact copies.
 """
 
 from __future__ import annotations
@@ -131,7 +135,30 @@ def windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray, size: int) -
     return at, h[at]
 
 
-def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> DataFrame:
+def long_windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and length of each window that needs more than WINDOW symbols for its WORDS words and ends at the last of them."""
+    words = np.flatnonzero(kind == WORD)
+    at = np.arange(len(kind))
+    nth = np.searchsorted(words, at) + WORDS - 1
+    at, nth = at[nth < len(words)], nth[nth < len(words)]
+    end = words[nth]
+    ok = (end - at >= WINDOW) & (text[at] == text[end])
+    at, size = at[ok], (end - at + 1)[ok]
+    # a polynomial from prefix sums; the factor is odd, so its powers can be divided by
+    grow = np.concatenate((np.ones(1, np.uint64), np.full(len(symbol), MIX, np.uint64))).cumprod(dtype=np.uint64)
+    shrink = np.concatenate((np.ones(1, np.uint64), np.full(len(symbol), pow(int(MIX), -1, 1 << 64), np.uint64))).cumprod(dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbol * grow[:-1], dtype=np.uint64)))
+    h = (total[at + size] - total[at]) * shrink[at] + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return at, h ^ (h >> np.uint64(29)), size
+
+
+def literal_windows(text: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window of ``size`` values."""
+    return windows(text, value ^ MIX, np.full(len(text), WORD), size)
+
+
+def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray | None) -> DataFrame:
     """(doc_id, tie, at, h, values): windows of the documents and their token numbers, those in ``known`` if it is given."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(known) if known is not None else None
@@ -151,27 +178,39 @@ def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Dat
                     vocabulary = Vocabulary()
                 found = tokens(part.column("text").to_pylist(), vocabulary)
                 begin = np.searchsorted(found[0], np.arange(part.num_rows))
-                for size, names in product(sizes, (True, False)):
+                for (mode, size), names in product(sizes, (True, False)):
+                    # only plain windows are taken both ways
+                    if mode == "long" and not names or mode == "literal" and names:
+                        continue
                     text, symbol, kind, value, place = template(*found, names)
-                    at, h = windows(text, symbol, kind, size)
-                    if not names:
+                    lengths = None
+                    if mode == "long":
+                        at, h, lengths = long_windows(text, symbol, kind)
+                    elif mode == "literal":
+                        at, h = literal_windows(text, value, size)
+                    else:
+                        at, h = windows(text, symbol, kind, size)
+                    if mode == "plain" and not names:
                         # windows without a name are those of the first pass
                         named = np.concatenate(([0], np.cumsum(found[1] == NAME)))
                         own = named[place[at + size - 1] + 1] > named[place[at]]
                         at, h = at[own], h[own]
                     if filt is not None:
                         near = filt[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                        at, h = at[near], h[near]
+                        at, h, lengths = at[near], h[near], lengths if lengths is None else lengths[near]
                         near = np.searchsorted(listed, h)
                         real = listed[np.minimum(near, len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
-                        at, h = at[real], h[real]
+                        at, h, lengths = at[real], h[real], lengths if lengths is None else lengths[real]
                     for lo in range(0, len(at), 1 << 16):
                         a, g = at[lo : lo + (1 << 16)], h[lo : lo + (1 << 16)]
                         of = pa.array(text[a])
-                        span = a[:, None] + np.arange(size)
-                        slot = kind[span] != WORD
-                        ends = np.concatenate(([0], np.cumsum(slot.sum(1)))).astype(np.int32)
-                        slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[span][slot].view(np.int64)))
+                        if lengths is None:
+                            span = a[:, None] + np.arange(size)
+                            slot = (kind[span] != WORD) & (mode != "literal")
+                            ends = np.concatenate(([0], np.cumsum(slot.sum(1)))).astype(np.int32)
+                            slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[span][slot].view(np.int64)))
+                        else:
+                            slots = pa.array([value[i : i + k][kind[i : i + k] != WORD].view(np.int64) for i, k in zip(a, lengths[lo : lo + (1 << 16)])], pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("tie").take(of), pa.array(place[a] - begin[text[a]]), pa.array(g.view(np.int64)), slots], schema=schema)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
@@ -179,8 +218,12 @@ def _matches(docs: DataFrame, sizes: list[int], known: np.ndarray | None) -> Dat
 
 
 def _index(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, pos, n_windows, h, values) of all windows; an item shorter than WINDOW is one window of its own size."""
-    schema = pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
+    """(item_id, mode, size, pos, n_windows, h, values) of all windows; an item shorter than WINDOW is one window of its own size.
+
+    Long windows (size 0) are added where the template has no plain ones, and
+    literal ones where there are neither.
+    """
+    schema = pa.schema([("item_id", pa.int64()), ("mode", pa.string()), ("size", pa.int32()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -188,6 +231,8 @@ def _index(benchmark: DataFrame) -> DataFrame:
             for item, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 found = tokens([t], vocabulary)
                 held: dict[tuple, tuple] = {}
+                held_long: dict[tuple, tuple] = {}
+                held_literal: dict[tuple, tuple] = {}
                 most = 0
                 for names in (True, False):
                     text, symbol, kind, value, place = template(*found, names)
@@ -198,12 +243,22 @@ def _index(benchmark: DataFrame) -> DataFrame:
                     most = max(most, len(at))
                     for a, g in zip(at, h.view(np.int64)):
                         held[int(place[a]), int(g)] = (size, [int(x) for x in value[a : a + size][kind[a : a + size] != WORD].view(np.int64)])
-                rows = [(item, size, pos, most, g, slots) for (pos, g), (size, slots) in held.items()]
+                    if names and not len(at):
+                        at, h, lengths = long_windows(text, symbol, kind)
+                        for a, g, k in zip(at, h.view(np.int64), lengths):
+                            held_long[int(place[a]), int(g)] = (0, [int(x) for x in value[a : a + k][kind[a : a + k] != WORD].view(np.int64)])
+                    elif not names and not held and not held_long:
+                        at, h = literal_windows(text, value, size)
+                        for a, g in zip(at, h.view(np.int64)):
+                            held_literal[int(place[a]), int(g)] = (size, [])
+                rows = [(item, "plain", size, pos, most, g, slots) for (pos, g), (size, slots) in held.items()]
+                rows += [(item, "long", size, pos, len(held_long), g, slots) for (pos, g), (size, slots) in held_long.items()]
+                rows += [(item, "literal", size, pos, len(held_literal), g, slots) for (pos, g), (size, slots) in held_literal.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), schema.types)], schema=schema)
 
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "item_id long, size int, pos int, n_windows int, h long, slots array<long>")
+    return source.mapInArrow(run, "item_id long, mode string, size int, pos int, n_windows int, h long, slots array<long>")
 
 
 def _fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,24 +290,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one row, ties none; extra columns are ignored; empty tables give no rows.
     """
     index = cut(_index(benchmark))
-    sizes = sorted(r[0] for r in index.select("size").distinct().collect())
+    sizes = sorted(map(tuple, index.select("mode", "size").distinct().collect()))
     few = index.select("h").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS and index.count() <= 4 * BROADCAST_WINDOWS
     known = np.sort(np.array([r.h for r in index.select("h").distinct().collect()], np.int64).view(np.uint64)) if few else None
     found = _matches(docs, sizes, known)
-    right = index.select(F.col("h").alias("g"), "item_id", "pos", "n_windows", F.col("slots").alias("theirs"))
+    right = index.select(F.col("h").alias("g"), "item_id", "mode", "pos", "n_windows", F.col("slots").alias("theirs"))
     both = found.join(F.broadcast(right) if few else right, F.col("h") == F.col("g"))
-    keys = ["doc_id", "tie", "item_id", "n_windows"]
+    keys = ["doc_id", "tie", "item_id", "mode", "n_windows"]
     pairs = cut(both.select(*keys, "pos", (F.col("at") - F.col("pos")).alias("off"), F.arrays_zip("theirs", "slots").alias("z")))
     whole = cut(_fit(pairs, keys))
     fits = F.col("consistency") >= CONSISTENT
     # several variants in one document contradict each other: each occurrence, windows at one offset, is looked at by itself
-    lost = F.broadcast(whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:3]]))
-    mine = pairs.join(lost, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("tie") == F.col("w_tie")) & (F.col("item_id").eqNullSafe(F.col("w_item_id"))), "left_semi")
+    lost = F.broadcast(whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:4]]))
+    mine = pairs.join(lost, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("tie") == F.col("w_tie")) & F.col("item_id").eqNullSafe(F.col("w_item_id")) & (F.col("mode") == F.col("w_mode")), "left_semi")
     order = Window.partitionBy(*keys).orderBy("off")
     mine = mine.withColumn("new", F.when(F.col("off") - F.lag("off").over(order) > SHIFT, 1).otherwise(0)).withColumn("occurrence", F.sum("new").over(order))
     one = _fit(mine, [*keys, "occurrence"]).where(fits)
     best = one.groupBy(*keys).agg(F.max(F.struct("consistency", "n_matched", "coverage", "n_slots", "reparameterised")).alias("x")).select(*keys, "x.*")
-    return whole.where(fits).unionByName(best)
+    # an item may have both plain and long windows: plain ones count first
+    found = whole.where(fits).unionByName(best)
+    columns = ["n_windows", "n_matched", "coverage", "n_slots", "consistency", "reparameterised"]
+    return found.groupBy("doc_id", "tie", "item_id").agg(F.max_by(F.struct(*columns), "mode").alias("x")).select("doc_id", "tie", "item_id", "x.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -92,3 +92,18 @@ def test_item_and_variants_in_one_document(spark):
     assert set(got) == {(1, 9), (2, 9), (None, 9)}
     assert got[1, 9].consistency == 1 and got[1, 9].coverage == 1
     assert got[2, 9].reparameterised
+
+
+def test_items_dense_in_slots(spark):
+    table = "3 14 27 8 95 12 7 41 66 20 5 11 13"
+    maths = "Compute 3 times 14 plus 27 minus 8 over 5 with 12 and 7 or 41 then 66 and 20 less 11"
+    other = "Compute 4 times 15 plus 28 minus 9 over 6 with 13 and 8 or 42 then 67 and 21 less 31"
+    people = "If Anna meets Bob and Carl, Dora calls Emil, Fred, Gina and Hugo before Ida sees Jan with Karl"
+    changed = "If Olga meets Pete and Quinn, Rosa calls Stan, Tina, Uwe and Vera before Will sees Xena with Yann"
+    docs = [(1, "see: " + table + " end"), (2, "so. " + maths + " it is"), (3, "so. " + other + " it is"), (4, "now. " + changed), (5, "3 14 27 9 95 12 8 41 66 21 5 11 14"), (6, "9 " * 3000)]
+    items = [(1, table), (2, maths), (3, people), (4, "12 km 5")]
+    for share in (1, 2):
+        got = rows(spark, docs * share, items)
+        assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3)}
+    assert got[3, 2].reparameterised and got[4, 3].reparameterised and not got[2, 2].reparameterised and not got[1, 1].reparameterised
+    assert got[1, 1].coverage == got[2, 2].coverage == got[3, 2].coverage == got[4, 3].coverage == 1
