@@ -175,28 +175,41 @@ def communities(nodes: DataFrame, edges: DataFrame, method: str = "components",
     return rest.select("node", F.coalesce("root", "node").alias("root")), method
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, most_nodes: int = 5000) -> DataFrame:
-    """(id, betweenness): directed, unweighted, normalised by (n - 1)(n - 2); 0 for all beyond ``most_nodes``.
+def betweenness(nodes: DataFrame, edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
+    """(id, betweenness): directed, unweighted, normalised by (n - 1)(n - 2), for graphs of any size.
 
-    Shortest paths are counted from all nodes at once, level by level; a node lies
-    on a shortest path s-t if the distances through it add up.
+    Shortest paths are counted from many sources at once, level by level, and the
+    shares of the nodes between are summed from the last level back. Sources come
+    in blocks, so that a block reaches ``block_rows`` nodes at most.
     """
     n = nodes.count()
-    if n < 3 or n > most_nodes:
+    if n < 3:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
     simple = cut(edges.where("source <> target").select("source", "target").distinct())
-    known = cut(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("w")))
-    for step in range(1, n):
-        new = known.where(F.col("d") == step - 1).join(simple, F.col("v") == F.col("source")).groupBy("s", F.col("target").alias("v")).agg(F.sum("w").alias("w"))
-        new = cut(new.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(step).alias("d"), "w"))
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    known = cut(known.where("d > 0"))
-    a, b, c = known.alias("a"), known.alias("b"), known.alias("c")
-    # a: s to v, b: v to t, c: s to t
-    through = a.join(b, F.expr("a.v = b.s AND a.s <> b.v")).join(c, F.expr("c.s = a.s AND c.v = b.v AND c.d = a.d + b.d"))
-    part = through.groupBy(F.col("a.v").alias("id")).agg(F.sum(F.expr("a.w * b.w / c.w")).alias("x"))
+    blocks = -(-n * n // block_rows)
+    part = None
+    for i in range(blocks):
+        sources = nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        levels = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("w")))]
+        known = levels[0].select("s", "v")
+        while True:
+            new = levels[-1].join(simple, F.col("v") == F.col("source")).groupBy("s", F.col("target").alias("v")).agg(F.sum("w").alias("w"))
+            new = cut(new.join(known, ["s", "v"], "left_anti"))
+            if new.isEmpty():
+                break
+            levels.append(new)
+            known = known.unionByName(new.select("s", "v"))
+        # x: what the node adds to those before it
+        after = levels[-1].select("s", "v", "w", F.lit(0.0).alias("x"))
+        for level in levels[-2:0:-1]:
+            back = after.join(simple, F.col("v") == F.col("target")).select("s", F.col("source").alias("v"), ((1 + F.col("x")) / F.col("w")).alias("y"))
+            back = level.join(back, ["s", "v"], "left").groupBy("s", "v").agg(F.first("w").alias("w"), F.sum("y").alias("y"))
+            after = cut(back.select("s", "v", "w", (F.col("w") * F.coalesce("y", F.lit(0.0))).alias("x")))
+            got = after.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("x"))
+            part = got if part is None else part.unionByName(got)
+    if part is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    part = cut(part.groupBy("id").agg(F.sum("x").alias("x")))
     return nodes.select("id").join(part, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
