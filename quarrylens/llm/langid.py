@@ -25,6 +25,9 @@ from quarrylens.llm.common import cut, map_batches, share
 SAMPLE_TEXTS, SAMPLE_CHARS, REFERENCE_CHARS = 200, 600, 30_000
 PIECE, WIDTH = 1024, 64
 OTHER, GAP = 0, 1
+#: A sample of more letters than WIDTH holds gives symbols of their own to the commonest, the others are spelled in DIGITS symbols of BITS bits.
+DIGITS, BITS = 4, 5
+COMMON = WIDTH - 2 - (1 << BITS)
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -59,15 +62,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
-    """Code point to symbol: the commonest letters of the sample have their own, other letters share OTHER."""
+    """Code point to symbol: the letters of the sample have their own; if they are too many, rarer ones are spelled from WIDTH on, with their code point."""
     count = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    own = {c: i + 2 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: WIDTH - 2])}
-    out = np.full(0x110000, GAP, np.uint8)
+    few = len(count) <= WIDTH - 2
+    own = {c: i + 2 for i, (c, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: WIDTH - 2 if few else COMMON])}
+    out = np.full(0x110000, GAP, np.uint8 if few else np.int32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
-            out[i] = own.get(low if len(low) == 1 else low[0], OTHER)
+            low = low if len(low) == 1 else low[0]
+            out[i] = own.get(low, OTHER if few else WIDTH + ord(low))
     return out
 
 
@@ -79,7 +84,16 @@ def symbols(text: str | None, table: np.ndarray) -> np.ndarray:
     gap = s == GAP
     if gap.all():
         return np.empty(0, np.uint8)
-    return s[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
+    s = s[np.concatenate(([True], ~(gap[1:] & gap[:-1])))]
+    if s.dtype == np.uint8:
+        return s
+    rare = s >= WIDTH
+    at = np.cumsum(np.where(rare, DIGITS, 1)) - 1
+    out = np.zeros(at[-1] + 1, np.uint8)
+    out[at[~rare]] = s[~rare]
+    for i in range(DIGITS):
+        out[at[rare] - i] = COMMON + 2 + ((s[rare] - WIDTH) >> (BITS * i) & ((1 << BITS) - 1))
+    return out
 
 
 class CrossParser:
@@ -177,7 +191,12 @@ def train(labelled: DataFrame) -> CrossParser:
     keys = keys.withColumn("r", rank("lang", "salt")).where(F.col("r") <= SAMPLE_TEXTS).withColumn("r", rank("lang")).where(F.col("r") <= SAMPLE_TEXTS)
     keys = cut(keys.select("lang", "h"))
     # one row of bounded length for each sampled text
-    rows = have.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).join(keys, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    # from a place given by the hash, so that common headings do not fill the sample
+    begin = F.expr(f"CAST(pmod(xxhash64(h), greatest(char_length(text) - {SAMPLE_CHARS}, 0) + 1) AS INT) + 1")
+    part = F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS))
+    # a part without a letter teaches nothing
+    part = F.when(part.rlike(r"\p{L}"), part).otherwise(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_CHARS))
+    rows = have.withColumn("text", part).join(keys, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r.lang, []).append(r.text)

@@ -63,3 +63,23 @@ def test_edge_cases(spark):
     none = train(df.limit(0).select("text", "lang"))
     assert {r.lang_pred for r in identify(df, none, "doc_id").collect()} == {"und"}
     assert identify(df.limit(0), model, "doc_id").count() == 0
+
+
+def test_large_alphabets_stay_apart():
+    """Languages of one thousand letters each, beside one of few."""
+    rnd = random.Random(4)
+    make = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    sets = {"han": [chr(0x4E00 + i) for i in range(0, 4000, 4)], "hon": [chr(0x4E02 + i) for i in range(0, 4000, 4)], "kor": [chr(0xAC00 + i) for i in range(1000)], "lat": list("abcdefghij ")}
+    m = CrossParser({k: [make(x, 600) for _ in range(40)] for k, x in sets.items()})
+    dense = m.dense()
+    for k, x in sets.items():
+        assert m.predict([make(x, 300) for _ in range(10)], dense)[0] == [k] * 10
+
+
+def test_common_headings_do_not_fill_the_sample(spark):
+    rnd = random.Random(5)
+    head = "this heading stands above every text of the site. " * 13
+    make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(900))
+    rows = [(head + make(x), k) for k, x in (("a", "abcde"), ("b", "fghij")) for _ in range(60)]
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.predict([make("abcde"), make("fghij")], model.dense())[0] == ["a", "b"]
