@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -139,7 +140,7 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
     if "@" in text:
         at = text.find("@")
         while at >= 0:
-            lo = _local_start(text, at, max(0, at - 64))
+            lo = _local_start(text, at, 0)
             m = _LOOSE_MAIL.match(text, at)
             if m and lo < at and free(lo, m.end()):
                 out.append(Candidate(text, lo, m.end(), ""))
@@ -184,8 +185,11 @@ class Field:
         return out + np.array([0.0, 0.0 if mail else -40.0, *([-40.0 if mail else 0.0] * 3)])
 
 
-def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Loopy sum-product in logs: label probabilities of each node; ``pair[e, x, y]`` belongs to edge (u, v)."""
+def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product in logs, until messages settle: label probabilities of each node; ``pair[e, x, y]`` belongs to edge (u, v).
+
+    Messages that swing are damped more and more from round 200 on, so that they settle too.
+    """
     soft = lambda x: x - np.logaddexp.reduce(x, axis=-1, keepdims=True)
     if not len(edges):
         return np.exp(soft(unary))
@@ -194,14 +198,16 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
     both = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
     msg = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds):
+    for r in count() if rounds is None else range(rounds):
         total = unary.copy()
         np.add.at(total, dst, msg)
         new = soft(np.logaddexp.reduce((total[src] - msg[back])[:, :, None] + both, axis=1))
-        if np.abs(new - msg).max() < 1e-4:
-            msg = new
+        step = 0.7 * min(1.0, 0.99 ** (r - 200))
+        moved = np.abs(new - msg).max()
+        if moved < 1e-4 or moved * step < 1e-7:
+            msg = new if moved < 1e-4 else msg
             break
-        msg = 0.3 * msg + 0.7 * new
+        msg = (1 - step) * msg + step * new
     total = unary.copy()
     np.add.at(total, dst, msg)
     return np.exp(soft(total))

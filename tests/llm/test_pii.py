@@ -88,3 +88,22 @@ def test_whole_table(spark, sf):
         want = naive(docs[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(digest(want).encode()).hexdigest()
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(r.spans.split(","))  | {""}
+
+
+def test_look_alike_mail_is_taken_whole():
+    text = "mail " + "long.name-" * 20 + "x@host now"
+    (c,) = candidates(text, [])
+    assert (c.start, c.end) == (5, text.index(" now"))
+
+
+def test_evidence_reaches_all_repeats():
+    import numpy as np
+
+    n = 60
+    unary = np.tile(np.log([0.5, 0.5]), (n, 1))
+    unary[0] = np.log([1e-9, 1.0])
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    p = beliefs(unary, edges, np.array([np.eye(2) * 7.0] * (n - 1)))
+    # probability that an even number of links differs
+    want = (1 + np.tanh(3.5) ** np.arange(n)) / 2
+    assert np.allclose(p[:, 1], want, atol=0.01)
