@@ -33,13 +33,13 @@ LABELS = ("none", *KINDS)
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+$")
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _GROUP = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])+")
 _LOOSE_MAIL = re.compile(r"@[A-Za-z0-9-]+")
-_CUE = re.compile(r"([^\W\d_]+)[^\w+@]*$")
+_CUE = re.compile(r"([^\W\d_]+)[^\w+@]*\Z")
 
 Span = tuple[str, int, int]
 

@@ -26,12 +26,14 @@ def naive(text):
 
 def test_base_spans_match_the_patterns():
     rnd = random.Random(11)
-    for letters in ("a@.b ", "01.2+- (", "1234567890 -+", "a@b.c1.2.3.4+5 -)", "é@a.b9"):
+    for letters in ("a@.b ", "01.2+- (", "1234567890 -+", "a@b.c1.2.3.4+5 -)", "é@a.b9", "ab@.\n\r\u2028", "12.+ \n-\r\t", "a1@.-+\x0b\x85\n"):
         for _ in range(3000):
             t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40)))
             assert base_spans(t) == naive(t), t
     t = "x 4111 1111 1111 1111, +1 (555) 123-4567; a.b+c@x-y.co.uk 10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8"
     assert base_spans(t) == naive(t) and len(base_spans(t)) == 6
+    for t in ("abc\n@x.yz tail", "\n@x.yz", "a@b.c\nd@e.f", "+12345\n6789", "1.2.3.4\n.5"):
+        assert base_spans(t) == naive(t), t
 
 
 def test_long_runs_take_linear_time():
