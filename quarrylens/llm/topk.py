@@ -8,7 +8,8 @@ Bounds are tried from few segments to many against the k-th best score already
 known, and only what survives is scored exactly.
 
 Queries are a stated set (every ``every``-th id). Query blocks meet candidate
-blocks in tasks of bounded size; each task returns k rows for each query.
+blocks in tasks of bounded size; each task returns k rows for each query. Rows
+that are equal count as one row with a number.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import cut
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Queries and candidates that meet in one group; queries that are scored at once; partitions for the groups at most.
+QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE, PARTITIONS = 8192, 4096, 1024, 20_000
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -42,9 +44,11 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     kind = np.float32 if top < 1 << 23 else np.float64
     x, y = queries.astype(kind), rows.astype(kind)
     slack = (1e-5 if kind is np.float32 else 1e-9) * np.sqrt((queries**2).sum(1).max(initial=0) * (rows**2).sum(1).max(initial=0)) + 1e-3
-    spot = {int(i): c for c, i in enumerate(row_ids)}
-    own = [(q, spot[int(i)]) for q, i in enumerate(query_ids) if int(i) in spot]
-    oq, oc = (np.array(z, np.int64) for z in zip(*own)) if own else (np.empty(0, np.int64),) * 2
+    # all rows of a query's own id are struck out
+    by_id = np.argsort(row_ids, kind="stable")
+    lo, hi = (np.searchsorted(row_ids[by_id], query_ids, side) for side in ("left", "right"))
+    oq = np.repeat(np.arange(len(query_ids)), hi - lo)
+    oc = by_id[np.arange(len(oq)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)]
     cols = np.arange(len(row_ids))
     floor = np.full(len(queries), -np.inf, kind)
     alive = None
@@ -101,34 +105,43 @@ def quantised(df: DataFrame, scale: int = 64) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score over (vec_id, v), for ids divisible by ``every`` against all others.
 
-    Rows that repeat both id and vector count once; a row is never a candidate
-    for a query of its own id. Only vectors of equal length are compared; those
-    of length 0 score 0. Ties go to the smaller vec_id.
+    No row of a query's own id is a candidate. Rows that repeat both id and vector
+    are candidates and queries as often as they stand there; rows that share an id
+    only are rows of their own, and all queries of one id share its k places. Only
+    vectors of equal length are compared; those of length 0 score 0. Ties go to
+    the smaller vec_id.
     """
-    vectors = cut(vectors.select("vec_id", "v").dropDuplicates())
+    vectors = cut(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("m"), F.size(F.first("v")).alias("d")))
     is_query = F.col("vec_id") % every == 0
-    vectors = vectors.withColumn("d", F.size("v"))
-    sizes = vectors.groupBy("d").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("nc"), F.ceil(F.count_if(is_query) / QUERY_BLOCK).alias("nq"))
-    vectors = vectors.join(sizes, "d").withColumn("h", F.expr("pmod(xxhash64(vec_id), 2147483647)"))
-    half = lambda role, own, other: (F.lit(role).alias("role"), "d", "vec_id", "v", F.expr(own).alias("own"), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias("other"))
+    sizes = cut(vectors.groupBy("d").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("nc"), F.ceil(F.count_if(is_query) / QUERY_BLOCK).alias("nq")))
+    groups = sizes.agg(F.sum(F.expr("nc * nq"))).first()[0] or 0
+    # by row, so that no id fills a block
+    vectors = vectors.withColumn("h", F.expr("pmod(xxhash64(monotonically_increasing_id()), 2147483647)")).join(sizes, "d")
+    half = lambda role, own, other: (F.lit(role).alias("role"), "d", "vec_id", "v", "m", F.expr(own).alias("own"), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias("other"))
     q = vectors.where(is_query & (F.col("nq") > 0)).select(*half(0, "h % nq", "nc"))
     c = vectors.where("nq > 0").select(*half(1, "h % nc", "nq"))
-    both = q.select("role", "d", "vec_id", "v", F.col("own").alias("qb"), F.col("other").alias("cb")).unionAll(c.select("role", "d", "vec_id", "v", F.col("other").alias("qb"), F.col("own").alias("cb")))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    both = q.select("role", "d", "vec_id", "v", "m", F.col("own").alias("qb"), F.col("other").alias("cb")).unionAll(c.select("role", "d", "vec_id", "v", "m", F.col("other").alias("qb"), F.col("own").alias("cb")))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         role = table["role"].to_numpy()
-        ids = table["vec_id"].to_numpy()
+        ids, many = table["vec_id"].to_numpy(), table["m"].to_numpy()
         width = table["d"][0].as_py()
         v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
-        a, b = role == 0, role == 1
-        if not a.any() or not b.any():
+        a, b = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        if not len(a) or not len(b):
             return schema.empty_table()
-        qi, ci = ids[a], ids[b]
-        i, j, score = best(v[a], qi, v[b], ci, k)
-        return pa.table([qi[i], ci[j], score], schema=schema)
-
-    near = both.groupBy("d", "qb", "cb").applyInArrow(run, "query_id long, vec_id long, score long")
+        out = []
+        for lo in range(0, len(a), AT_ONCE):
+            at = a[lo : lo + AT_ONCE]
+            i, j, score = best(v[at], ids[at], v[b], ids[b], k)
+            out.append(pa.table([ids[at][i], ids[b][j], score, np.minimum(many[at][i] * many[b][j], k)], schema=schema))
+        return pa.concat_tables(out)
+
+    # a fixed number of partitions, which adaptive execution does not merge into one task; more than groups, so that few share one
+    spread = both.repartition(max(1, min(4 * groups, PARTITIONS)), "d", "qb", "cb")
+    near = spread.groupBy("d", "qb", "cb").applyInArrow(run, "query_id long, vec_id long, score long, n long")
+    near = near.withColumn("_", F.explode(F.expr("sequence(1L, n)")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,18 +1,10 @@
 import duckdb
 import numpy as np
 
+from quarrylens.llm import topk
 from quarrylens.llm.topk import OP10_SQL, best, op10_topk, quantised, top_k
 
 
-def brute(ids, v, k, every):
-    out = []
-    for i in range(len(ids)):
-        if ids[i] % every == 0:
-            scored = sorted((-int(np.dot(v[i], v[j])), ids[j]) for j in range(len(ids)) if ids[j] != ids[i])[:k]
-            out += [(ids[i], r + 1, j, -s) for r, (s, j) in enumerate(scored)]
-    return sorted(out)
-
-
 def test_survivors_hold_the_best():
     rnd = np.random.default_rng(1)
     for width, spread in ((64, 30), (64, 30_000), (7, 2), (2, 3), (1, 5)):
@@ -39,6 +31,21 @@ def test_edge_cases(spark):
     rows = [(0, [0.5, -0.01]), (0, [0.5, -0.01]), (20, [0.5, -0.01]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf, 0.0]), (None, [1.0, 1.0]), (5, [0.25, 0.25]), (6, [0.25, 0.25]), (7, []), (40, [1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = sorted(map(tuple, top_k(quantised(df), 2).collect()))
-    keep = {0: [32, -1], 20: [32, -1], 5: [16, 16], 6: [16, 16]}
-    assert got == brute(list(keep), list(keep.values()), 2, 20)
+    # the repeated row of id 0 is a query twice and a candidate twice
+    assert got == [(0, 1, 20, 1025), (0, 2, 20, 1025), (20, 1, 0, 1025), (20, 2, 0, 1025)]
     assert top_k(quantised(df.limit(0))).count() == 0
+
+
+def test_repeated_ids_match_sql(spark, tmp_path, monkeypatch):
+    """Ids that repeat with other vectors and with the same, one of them a third of the rows, over several blocks."""
+    rnd = np.random.default_rng(5)
+    rows = [(int(rnd.integers(0, 90)) if i % 3 else 40, [float(x) for x in rnd.integers(-3, 4, 4 + (i % 50 == 0)) / 8]) for i in range(900)]
+    rows += [(20, [0.5, 0.25, 1.0, 2.0]), (20, [1.0, 0.0, 0.0, 2.0])] * 3 + [(60, [0.5, 0.25, 1.0, 2.0])] * 30
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, n in (("QUERY_BLOCK", 64), ("CANDIDATE_BLOCK", 100), ("AT_ONCE", 10)):
+        monkeypatch.setattr(topk, name, n)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(OP10_SQL).fetchall())
+    assert sorted(map(tuple, op10_topk(spark, str(tmp_path)).collect())) == want and len(want) == 100
+    assert all(q != v for q, _, v, _ in want)
