@@ -11,7 +11,9 @@ that a copy in other case is found.
 
 An item whose template has no window with words enough is indexed by windows
 that go on to their fifth word, and an item without any of these by windows of
-the values themselves, which find exact copies.
+the values themselves, which find exact copies. An item of fewer than SHORTEST
+symbols is found in documents that hold nothing else. In scripts that put no
+space between words every letter is a token.
 """
 
 from __future__ import annotations
@@ -21,26 +23,32 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import BATCH_ROWS, cut
+from quarrylens.llm.common import cut, slices
 
-#: Symbols of a window; words among them at least; symbols of the shortest item that is searched.
+#: Symbols of a window; words among them at least; symbols of the shortest item that is searched within texts.
 WINDOW, WORDS, SHORTEST = 8, 5, 4
 #: Windows that an item needs in a document: these many, or this share if it has fewer.
 NEED, SHARE, CONSISTENT = 6, 0.5, 0.75
 #: Tokens by which neighbouring windows of one occurrence may shift against the item, where a name has more or fewer words.
 SHIFT = 4
-#: So many distinct benchmark windows may be broadcast; beyond it everything goes through the shuffle join.
-BROADCAST_WINDOWS = 500_000
+#: So many bytes of benchmark windows may be broadcast; beyond it everything goes through the shuffle join.
+BROADCAST_BYTES = 48 << 20
+#: Tokens that a worker remembers.
+REMEMBERED = 150_000
 
 # fixed values: unit and number words
 UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet yard yards meter meters metre metres kilometer kilometers mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent kmh mph hz khz mhz ghz kb mb gb tb degree degrees".split())
 NUMBERS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
-TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[.!?\n]")
+# fixed values: blocks of scripts without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han)
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|[{_DENSE}]|[^\W\d_{_DENSE}]+|[.!?\n\u3002\uff01\uff1f]")
+STOPS = ".!?\n\u3002\uff01\uff1f"
 WORD, NUM, UNIT, NAME, STOP = range(5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOT = np.array([0, 0xA5A5_0001_1357_9BDF, 0xA5A5_0002_2468_ACE1, 0xA5A5_0003_369C_F135, 0], np.uint64)
@@ -67,7 +75,7 @@ class Vocabulary(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        if token in ".!?\n":
+        if token in STOPS:
             kind = STOP
         elif token[0].isdigit() or low in NUMBERS:
             kind = NUM
@@ -158,6 +166,15 @@ def literal_windows(text: np.ndarray, value: np.ndarray, size: int) -> tuple[np.
     return windows(text, value ^ MIX, np.full(len(text), WORD), size)
 
 
+def only(text: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each text that has ``size`` values and no more."""
+    at, h = literal_windows(text, value, size)
+    if len(at):
+        whole = np.bincount(text)[text[at]] == size
+        at, h = at[whole], h[whole]
+    return at, h
+
+
 def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray | None) -> DataFrame:
     """(doc_id, tie, at, h, values): windows of the documents and their token numbers, those in ``known`` if it is given."""
     context = docs.sparkSession.sparkContext
@@ -172,15 +189,14 @@ def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray |
             filt[(listed & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         vocabulary = Vocabulary()
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
-                if len(vocabulary) > 500_000:
+            for part in slices(batch):
+                if len(vocabulary) > REMEMBERED:
                     vocabulary = Vocabulary()
                 found = tokens(part.column("text").to_pylist(), vocabulary)
                 begin = np.searchsorted(found[0], np.arange(part.num_rows))
                 for (mode, size), names in product(sizes, (True, False)):
                     # only plain windows are taken both ways
-                    if mode == "long" and not names or mode == "literal" and names:
+                    if mode == "long" and not names or mode in ("literal", "only") and names:
                         continue
                     text, symbol, kind, value, place = template(*found, names)
                     lengths = None
@@ -188,6 +204,8 @@ def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray |
                         at, h, lengths = long_windows(text, symbol, kind)
                     elif mode == "literal":
                         at, h = literal_windows(text, value, size)
+                    elif mode == "only":
+                        at, h = only(text, value, size)
                     else:
                         at, h = windows(text, symbol, kind, size)
                     if mode == "plain" and not names:
@@ -206,7 +224,7 @@ def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray |
                         of = pa.array(text[a])
                         if lengths is None:
                             span = a[:, None] + np.arange(size)
-                            slot = (kind[span] != WORD) & (mode != "literal")
+                            slot = (kind[span] != WORD) & (mode == "plain")
                             ends = np.concatenate(([0], np.cumsum(slot.sum(1)))).astype(np.int32)
                             slots = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[span][slot].view(np.int64)))
                         else:
@@ -221,7 +239,8 @@ def _index(benchmark: DataFrame) -> DataFrame:
     """(item_id, mode, size, pos, n_windows, h, values) of all windows; an item shorter than WINDOW is one window of its own size.
 
     Long windows (size 0) are added where the template has no plain ones, and
-    literal ones where there are neither.
+    literal ones where there are neither. Of an item below SHORTEST symbols only
+    the whole counts (mode "only").
     """
     schema = pa.schema([("item_id", pa.int64()), ("mode", pa.string()), ("size", pa.int32()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
@@ -233,11 +252,15 @@ def _index(benchmark: DataFrame) -> DataFrame:
                 held: dict[tuple, tuple] = {}
                 held_long: dict[tuple, tuple] = {}
                 held_literal: dict[tuple, tuple] = {}
+                rows_only: list[tuple] = []
                 most = 0
                 for names in (True, False):
                     text, symbol, kind, value, place = template(*found, names)
                     size = min(WINDOW, len(symbol))
                     if size < SHORTEST:
+                        if not names and size:
+                            at, h = only(text, value, size)
+                            rows_only = [(item, "only", size, 0, 1, int(g), []) for g in h.view(np.int64)]
                         continue
                     at, h = windows(text, symbol, kind, size)
                     most = max(most, len(at))
@@ -251,7 +274,8 @@ def _index(benchmark: DataFrame) -> DataFrame:
                         at, h = literal_windows(text, value, size)
                         for a, g in zip(at, h.view(np.int64)):
                             held_literal[int(place[a]), int(g)] = (size, [])
-                rows = [(item, "plain", size, pos, most, g, slots) for (pos, g), (size, slots) in held.items()]
+                rows = rows_only if not held else []
+                rows += [(item, "plain", size, pos, most, g, slots) for (pos, g), (size, slots) in held.items()]
                 rows += [(item, "long", size, pos, len(held_long), g, slots) for (pos, g), (size, slots) in held_long.items()]
                 rows += [(item, "literal", size, pos, len(held_literal), g, slots) for (pos, g), (size, slots) in held_literal.items()]
                 if rows:
@@ -261,37 +285,74 @@ def _index(benchmark: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "item_id long, mode string, size int, pos int, n_windows int, h long, slots array<long>")
 
 
+def matched(theirs: list, ours: list) -> float:
+    """Of the distinct pairs of values, the share that one value to one value can keep: a largest matching, by augmenting paths."""
+    to: dict[int, list[int]] = {}
+    for a, b in zip(theirs, ours):
+        to.setdefault(a, []).append(b)
+    held: dict[int, int] = {}
+    fit = 0
+    for a in to:
+        # breadth first over alternating paths from an item's value, of which there are few
+        via: dict[int, int] = {}
+        queue, free = [a], None
+        while queue and free is None:
+            x = queue.pop(0)
+            for b in to[x]:
+                if b not in via:
+                    via[b] = x
+                    if b not in held:
+                        free = b
+                        break
+                    queue.append(held[b])
+        fit += free is not None
+        while free is not None:
+            x = via[free]
+            before = next((b for b, y in held.items() if y == x), None)
+            held[free] = x
+            free = before
+    return fit / max(1, len(theirs))
+
+
 def _fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Of each group with windows enough, how many of the item's it has and how well their slots map."""
     # the same item may hold a window more than once; distinct positions are counted
     per = pairs.groupBy(*keys).agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
-    one = lambda side: F.size(F.array_distinct(F.transform("z", lambda x: x[side])))
+    per = per.where(F.size("at") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE)))
+    side = lambda name: F.transform("z", lambda x: x[name])
     slots = F.size("z")
-    per = per.select(
+    # every value with one partner: nothing to match
+    plain = (F.size(F.array_distinct(side("theirs"))) == slots) & (F.size(F.array_distinct(side("slots"))) == slots)
+
+    @F.pandas_udf("double")
+    def share(theirs: pd.Series, ours: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if a is None else matched(list(a), list(b)) for a, b in zip(theirs, ours)], dtype=float)
+
+    return per.select(
         *[c for c in keys if c != "n_windows"],
         F.col("n_windows").cast("long").alias("n_windows"),
         F.size("at").cast("long").alias("n_matched"),
         (F.size("at") / F.col("n_windows")).alias("coverage"),
         slots.cast("long").alias("n_slots"),
-        F.when(slots == 0, 1.0).otherwise(F.least(one("theirs"), one("slots")) / slots).alias("consistency"),
+        share(F.when(~plain, side("theirs")), F.when(~plain, side("slots"))).alias("consistency"),
         F.exists("z", lambda x: x["theirs"] != x["slots"]).alias("reparameterised"),
     )
-    return per.where(F.col("n_matched") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document (doc_id, tie = xxhash64 of its text) and benchmark item that it holds.
 
     Columns: doc_id, item_id, n_windows of the item, n_matched of them, coverage,
-    n_slots compared, consistency (share of slot values that fit one mapping) and
+    n_slots compared, consistency (share of slot pairs in a largest one-to-one mapping) and
     reparameterised (some value differs); where the occurrences of an item
-    contradict each other, the figures are those of the best one. Null and empty texts hold nothing, nor
-    do items of fewer than SHORTEST symbols match anything. Repeated rows give
+    contradict each other, the figures are those of the best one. Null and empty texts hold nothing;
+    an item without a symbol matches nothing, one of fewer than SHORTEST symbols
+    only a document that is nothing else. Repeated rows give
     one row, ties none; extra columns are ignored; empty tables give no rows.
     """
     index = cut(_index(benchmark))
     sizes = sorted(map(tuple, index.select("mode", "size").distinct().collect()))
-    few = index.select("h").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS and index.count() <= 4 * BROADCAST_WINDOWS
+    few = (index.agg(F.sum(F.size("slots") * 8 + 96)).first()[0] or 0) <= BROADCAST_BYTES
     known = np.sort(np.array([r.h for r in index.select("h").distinct().collect()], np.int64).view(np.uint64)) if few else None
     found = _matches(docs, sizes, known)
     right = index.select(F.col("h").alias("g"), "item_id", "mode", "pos", "n_windows", F.col("slots").alias("theirs"))
@@ -301,7 +362,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     whole = cut(_fit(pairs, keys))
     fits = F.col("consistency") >= CONSISTENT
     # several variants in one document contradict each other: each occurrence, windows at one offset, is looked at by itself
-    lost = F.broadcast(whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:4]]))
+    lost = whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:4]])
     mine = pairs.join(lost, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("tie") == F.col("w_tie")) & F.col("item_id").eqNullSafe(F.col("w_item_id")) & (F.col("mode") == F.col("w_mode")), "left_semi")
     order = Window.partitionBy(*keys).orderBy("off")
     mine = mine.withColumn("new", F.when(F.col("off") - F.lag("off").over(order) > SHIFT, 1).otherwise(0)).withColumn("occurrence", F.sum("new").over(order))

@@ -1,4 +1,5 @@
-import numpy as np
+import random
+import re
 
 from quarrylens.llm import decontaminate as dc
 from quarrylens.llm.decontaminate import NAME, NUM, UNIT, WORD, Vocabulary, leaks, op1_decontaminate, template, tokens
@@ -28,11 +29,11 @@ def test_exact_changed_and_clean(spark, monkeypatch):
     mixed = "A farmer named Ann has 12 apples and gives 5 apples to Ann, who walks 12 km home. How many apples are left for Zed in the end?"
     docs = [(1, "intro words. " + ITEM + " more words"), (2, "x y z. " + changed.upper().replace("HOW", "How")), (3, changed), (4, "nothing of it is here at all, only words and words"), (5, None), (6, ""), (7, ITEM.lower()), (8, "w " * 50_000 + ITEM), (1, "intro words. " + ITEM + " more words"), (None, ITEM)]
     items = [(9, ITEM), (9, ITEM), (10, "too short"), (11, None), (12, "six words that stand in here")]
-    for bound in (500_000, 0):
-        monkeypatch.setattr(dc, "BROADCAST_WINDOWS", bound)
+    for bound in (1 << 24, 0):
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", bound)
         got = rows(spark, docs + [(20, "look: six words that stand in here now")], items)
         assert {(1, 9), (3, 9), (7, 9), (8, 9), (None, 9), (20, 12)} <= set(got)
-        assert not {4, 5, 6} & {d for d, _ in got}
+        assert not {4, 5, 6} & {d for d, _ in got} and not any(i in (10, 11) for _, i in got)
         assert got[3, 9].reparameterised and not got[1, 9].reparameterised and got[1, 9].coverage == 1
         assert got[3, 9].consistency == 1
     got = rows(spark, [(1, mixed)], [(9, ITEM)])
@@ -40,47 +41,92 @@ def test_exact_changed_and_clean(spark, monkeypatch):
     assert rows(spark, [], items) == {} and rows(spark, docs, []) == {}
 
 
-def test_whole_table_matches_brute_force(spark, sf):
+def plain_tokens(text):
+    """(class, value) of the tokens of a text, told one by one: W a word, # a number, U a unit, N a name, . the end of a sentence."""
+    out = []
+    for t in re.findall(r"[0-9]+(?:[.,:][0-9]+)*|[^\W\d_]+|[.!?\n]", text or ""):
+        low, last = t.lower(), out[-1][0] if out else "."
+        if t in ".!?\n":
+            out.append((".", t))
+        elif t[0].isdigit() or low in dc.NUMBERS:
+            out.append(("#", low))
+        elif low in dc.UNITS and last == "#":
+            out.append(("U", low))
+        elif t[0].isupper() and not (len(t) > 1 and t.isupper()) and last != "." and low not in dc.UNITS:
+            out.append(("N", low))
+        else:
+            out.append(("W", low))
+    return out
+
+
+def plain_windows(text, names):
+    """(token number, symbols, values) of all windows of eight symbols with five words."""
+    symbols, last = [], None
+    for at, (kind, value) in enumerate(plain_tokens(text)):
+        if kind == "N" and not names:
+            kind = "W"
+        if kind == "N" and last == "N":
+            symbols[-1][2] += (value,)
+        elif kind != ".":
+            symbols.append([at, kind, (value,)])
+        last = kind
+    for i in range(len(symbols) - 7):
+        part = symbols[i : i + 8]
+        if sum(k == "W" for _, k, _ in part) >= 5:
+            yield part[0][0], tuple(v if k == "W" else k for _, k, v in part), tuple(tuple(sorted(v)) for _, k, v in part if k != "W")
+
+
+def largest_matching(pairs):
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    held = {}
+
+    def place(a, seen):
+        for b in to[a] - seen:
+            seen.add(b)
+            if b not in held or place(held[b], seen):
+                held[b] = a
+                return True
+        return False
+
+    return sum(place(a, set()) for a in to)
+
+
+def test_whole_table_matches_brute_force(spark):
+    """Whole documents without variants of one item in one of them, told token by token."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
-
-    v = Vocabulary()
-
-    def grams(t):
-        out = {}
-        for names in (True, False):
-            _, s, k, val, at = template(*tokens([t], v), names)
-            for i in range(len(s) - 7):
-                if (k[i : i + 8] == WORD).sum() >= 5:
-                    out[int(at[i]), tuple(s[i : i + 8].tolist())] = tuple(val[i : i + 8][k[i : i + 8] != WORD].tolist())
-        return out
-
-    def most(t):
-        return max(sum((k[i : i + 8] == WORD).sum() >= 5 for i in range(len(k) - 7)) for k in (template(*tokens([t], v), n)[2] for n in (True, False)))
-
-    by = {}
-    total = {}
+    by, total = {}, {}
     for r in items:
-        g = grams(r.text)
-        total[r.item_id] = most(r.text)
-        for (i, h), z in g.items():
-            by.setdefault(h, []).append((r.item_id, i, z))
+        both = [list(plain_windows(r.text, n)) for n in (True, False)]
+        total[r.item_id] = max(map(len, both))
+        for at, h, z in set(both[0] + both[1]):
+            by.setdefault(h, []).append((r.item_id, at, z))
     want = set()
     for r in docs:
         hit = {}
-        for (_, h), z in grams(r.text).items():
+        for _, h, z in {w for n in (True, False) for w in plain_windows(r.text, n)}:
             for item, i, other in by.get(h, ()):
                 at, zs = hit.setdefault(item, (set(), set()))
                 at.add(i)
                 zs.update(zip(other, z))
         for item, (at, zs) in hit.items():
-            fit = min(len({a for a, _ in zs}), len({b for _, b in zs})) / len(zs) if zs else 1
+            fit = largest_matching(zs) / len(zs) if zs else 1
             if len(at) >= min(6, -(-total[item] // 2)) and fit >= 0.75:
                 want.add((r.doc_id, item, len(at)))
     got = {(r.doc_id, r.item_id, r.n_matched) for r in op1_decontaminate(spark, sf).collect()}
     assert got == want and want
-    assert np.mean([r in want for r in got]) == 1
+
+
+def test_largest_matching():
+    rnd = random.Random(8)
+    for _ in range(400):
+        pairs = sorted({(rnd.randrange(6), rnd.randrange(6)) for _ in range(rnd.randint(1, 14))})
+        assert dc.matched([a for a, _ in pairs], [b for _, b in pairs]) == largest_matching(pairs) / len(pairs)
+    # two of four pairs fit, though both sides have three values
+    assert dc.matched([1, 2, 3, 3], [7, 7, 8, 9]) == 0.5
 
 
 def test_item_and_variants_in_one_document(spark):
@@ -107,3 +153,15 @@ def test_items_dense_in_slots(spark):
         assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3)}
     assert got[3, 2].reparameterised and got[4, 3].reparameterised and not got[2, 2].reparameterised and not got[1, 1].reparameterised
     assert got[1, 1].coverage == got[2, 2].coverage == got[3, 2].coverage == got[4, 3].coverage == 1
+
+
+def test_items_in_scripts_without_spaces_and_short_items(spark):
+    han = "一个农夫有十二个苹果他把五个苹果给了朋友然后走了三公里回家他还剩下多少个苹果"
+    kana = "あるひとがりんごをいつつもっていましたそしてふたつたべましたのこりはいくつですか"
+    docs = [(1, "前言。" + han + "。后记"), (2, "天气很好我们去公园散步然后回家吃饭看书睡觉明天再来一次"), (3, "x " + kana), (4, "2 + 2 = 4"), (5, "so 2 + 2 = 4 it is"), (6, "Yes!"), (7, "Yes, of course"), (8, None)]
+    items = [(1, han), (2, kana), (3, "2+2 = 4"), (4, "yes"), (5, "?"), (6, "")]
+    for bound in (1 << 24, 0):
+        dc.BROADCAST_BYTES, old = bound, dc.BROADCAST_BYTES
+        got = rows(spark, docs, items)
+        dc.BROADCAST_BYTES = old
+        assert set(got) == {(1, 1), (3, 2), (4, 3), (6, 4)}
