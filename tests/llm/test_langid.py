@@ -25,9 +25,9 @@ def test_phrases_match_naive_parsing():
     rnd = random.Random(3)
     make = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
     m = CrossParser({"a": [make("abcd ", 300)], "b": [make("cdef ", 300)]})
-    texts = ["Abc, d!", "ccc", "fed", "", None, "abcd" * 50, "12 ;"]
+    texts = ["Abc, d!", "ccc", "fed", "", None, "abcd" * 50, "12 ;", make("abcdef ", 9000), "ab" * 6000, "a" * 5000 + "b", make("abcd", 2048), "abc" * 1500 + make("cd ", 3000), "x" * 3000]
     syms = [symbols(t, m.table) for t in texts]
-    got = m.phrases(syms, m.dense())
+    got = m.phrases(syms, m.dense)
     for g, (s, c, to) in enumerate(m.edges):
         step = [{} for _ in range(m.states[g])]
         for i, j, k in zip(s, c, to):
@@ -71,7 +71,7 @@ def test_large_alphabets_stay_apart():
     make = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
     sets = {"han": [chr(0x4E00 + i) for i in range(0, 4000, 4)], "hon": [chr(0x4E02 + i) for i in range(0, 4000, 4)], "kor": [chr(0xAC00 + i) for i in range(1000)], "lat": list("abcdefghij ")}
     m = CrossParser({k: [make(x, 600) for _ in range(40)] for k, x in sets.items()})
-    dense = m.dense()
+    dense = m.dense
     for k, x in sets.items():
         assert m.predict([make(x, 300) for _ in range(10)], dense)[0] == [k] * 10
 
@@ -82,4 +82,26 @@ def test_common_headings_do_not_fill_the_sample(spark):
     make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(900))
     rows = [(head + make(x), k) for k, x in (("a", "abcde"), ("b", "fghij")) for _ in range(60)]
     model = train(spark.createDataFrame(rows, "text string, lang string"))
-    assert model.predict([make("abcde"), make("fghij")], model.dense())[0] == ["a", "b"]
+    assert model.predict([make("abcde"), make("fghij")], model.dense)[0] == ["a", "b"]
+
+
+def test_every_part_of_a_text_can_be_sampled(spark):
+    """A language whose letters stand at the end of one very long text, and a passage that stands in very many texts."""
+    rnd = random.Random(6)
+    make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [("0 " * 30_000 + make("klmno", 300), "late")] + [("often " * 100, "full")] * 300 + [(make("abcde", 300), "full") for _ in range(30)]
+    model = train(spark.createDataFrame(rows, "text string, lang string").repartition(7))
+    again = train(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3))
+    assert model.predict([make("klmno", 50), make("abcde", 50)], model.dense)[0] == ["late", "full"]
+    assert [x.tolist() for e in model.edges for x in e] == [x.tolist() for e in again.edges for x in e]
+
+
+def test_texts_of_no_learned_language_are_foreign():
+    rnd = random.Random(7)
+    words = {k: ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(200)] for k, letters in (("a", "abcdefgh"), ("b", "efghijkl"))}
+    say = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    m = CrossParser({k: [say(k, 100) for _ in range(30)] for k in words})
+    noise = " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 8))) for _ in range(200))
+    other = "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(300))
+    texts = [say("a", 100), say("b", 100), say("a", 1), "a", noise, other, "", "1 2"]
+    assert m.predict(texts, m.dense)[2] == [False] * 4 + [True, True, False, False]
