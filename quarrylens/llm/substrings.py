@@ -13,7 +13,8 @@ anchor occurs twice can hold repeats:
   (Kasai's scan, all strips of a shard side by side). A window repeats if it
   shares ``WINDOW`` bytes with a neighbour in the array;
 * an anchor with very many distinct strips is split over shards, and the sorted
-  window keys of those are merged across shards by binary search.
+  window keys of those are merged across shards by binary search. Each shard
+  sends a key once, so that a common passage gathers no more rows than shards.
 
 Texts travel compressed, and only to rows that need them.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import BATCH_ROWS, cut
+from quarrylens.llm.common import cut, slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of text handled at once; bytes of a shard; strips of one anchor in a shard.
@@ -198,8 +199,7 @@ def find_strips(docs: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in slices(batch):
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     raw = _bytes(text)
                     if len(raw) < WINDOW:
@@ -226,8 +226,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in slices(batch):
                 raw = [_bytes(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(r) for r in raw], pa.int64()), part.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw])], schema=schema)
 
@@ -247,15 +246,19 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
         for batch in batches:
             for row in range(batch.num_rows):
-                x = batch.slice(row, 1).to_pylist()[0]
-                raw = _unpack(x["z"], x["n_bytes"])
-                held += [(x["k"], x["doc_id"], w["anchor"], w["digest"], w["s"], w["n"], w["shard"], w["big"], raw[w["s"] : w["s"] + w["n"] + WINDOW - 1]) for w in x["w"]]
-                if len(held) >= 4096:
-                    yield flush()
-                    held = []
+                k, doc, n_bytes, z = (batch.column(c)[row].as_py() for c in ("k", "doc_id", "n_bytes", "z"))
+                raw = _unpack(z, n_bytes)
+                w = batch.column("w")[row].values
+                for x in zip(*(w.field(c).to_pylist() for c in ("anchor", "digest", "s", "n", "shard", "big"))):
+                    held.append((k, doc, *x, raw[x[2] : x[2] + x[3] + WINDOW - 1]))
+                    size += len(held[-1][-1])
+                    if size >= CHUNK * 8:
+                        yield flush()
+                        held, size = [], 0
         if held:
             yield flush()
 
@@ -280,11 +283,17 @@ def _search(bodies: DataFrame, crowded: bool) -> DataFrame:
         last = np.flatnonzero(flags & np.concatenate((~flags[1:] | (of[1:] != of[:-1]), [True])))
         o = of[first]
         out = [pa.table([k[o], d[o], s[o] + place[first], s[o] + place[last] + WINDOW, pa.nulls(len(o), pa.int64())], schema=schema)]
+        told: set[int] = set()
         for i in np.flatnonzero(table["big"].to_numpy(zero_copy_only=False)):
-            # keys of all windows go on; those that are known to repeat only witness for others
+            # keys of all windows go on: an undecided one stands once in its shard, of those that are known to repeat one witness goes for all
             left = np.arange(n[i])
             keys = span_hashes(np.frombuffer(body[i], np.uint8), left, left + WINDOW).view(np.int64)
             mine = flags[np.searchsorted(of, i) : np.searchsorted(of, i, side="right")]
+            new = ~mine
+            for j in np.flatnonzero(mine):
+                new[j] = keys[j] not in told
+                told.add(keys[j])
+            left, mine, keys = left[new], mine[new], keys[new]
             out.append(pa.table([np.full(len(left), k[i]), np.full(len(left), d[i]), pa.array(s[i] + left, mask=mine), s[i] + left + WINDOW, keys], schema=schema))
         return pa.concat_tables(out)
 
@@ -328,6 +337,17 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return spans.groupBy("k", "doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
+def merged(spans: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the unions of spans that overlap or touch, from structs (a, b) in any order."""
+    if spans is None or not len(spans):
+        return (np.empty(0, np.int64),) * 2
+    a, b = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    first = np.concatenate(([True], a[1:] > reach[:-1]))
+    return a[first], reach[np.concatenate((first[1:], [True]))]
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs`` (doc_id, text), and the kept bytes.
 
@@ -343,22 +363,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
+            for part in slices(batch):
                 rows = []
-                for x in batch.slice(at, BATCH_ROWS).to_pylist():
-                    raw = _unpack(x["z"], x["n_bytes"])
-                    kept, n, end, gone = [], 0, 0, 0
-                    for a, b in sorted((y["a"], y["b"]) for y in x["spans"] or ()):
-                        if a > end or not n:
-                            n += 1
-                            kept.append(raw[end:a])
-                            gone += b - a
-                            end = b
-                        elif b > end:
-                            gone += b - end
-                            end = b
-                    body = b"".join(kept) + raw[end:]
-                    rows.append((None if x["doc_id"] == NONE else x["doc_id"], len(raw), gone, n, hashlib.sha256(body).hexdigest(), body))
+                for i in range(part.num_rows):
+                    doc, n_bytes, z = (part.column(c)[i].as_py() for c in ("doc_id", "n_bytes", "z"))
+                    raw = _unpack(z, n_bytes)
+                    a, b = merged(part.column("spans")[i].values)
+                    ends = np.concatenate(([0], b))
+                    body = b"".join(raw[x:y] for x, y in zip(ends.tolist(), [*a.tolist(), len(raw)]))
+                    rows.append((None if doc == NONE else doc, len(raw), int((b - a).sum()), len(a), hashlib.sha256(body).hexdigest(), body))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
