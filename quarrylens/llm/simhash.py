@@ -12,6 +12,13 @@ fingerprints meet by whole-fingerprint variants with one bit flipped instead.
 Two values within two bits share such a variant, any two that share one are
 within two bits, and a variant holds at most 65 fingerprints, so every link is
 found without listing all pairs of a large group.
+
+Near copies at a similarity of 0.8 (``keep_one``) use the same index over another
+signature. Two texts that similar differ in 15 % of the bits of a fingerprint, so
+that no segment long enough to tell texts apart would differ in one bit at most.
+Their least hashes differ in 20 % of the places only, and each place has 64 bits:
+segments of five, with one place left out of each variant, equality join, and
+verification by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -110,10 +117,10 @@ def simhash_groups(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFra
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-#: Near copies: exact similarity of shingle sets; candidates agree in all ROWS least hashes of one of BANDS bands.
-SIMILAR, BANDS, ROWS = 0.8, 20, 4
+#: Near copies: exact similarity of shingle sets; candidates agree in all but at most one of the ROWS least hashes of one of SEGMENTS segments.
+SIMILAR, SEGMENTS, ROWS = 0.8, 5, 5
 _rng = np.random.default_rng(20)
-FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, SEGMENTS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -121,18 +128,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """One key for each band of least hashes of a set; the empty set has keys of its own."""
+def variant_keys(h: np.ndarray) -> list[int]:
+    """The signature of a set is SEGMENTS segments of ROWS least hashes; one key for each segment and place that is left out."""
     import xxhash
 
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    least = np.full(SEGMENTS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), 1 << 12):
         part = h[at : at + (1 << 12)]
-        for i in range(BANDS * ROWS):
+        for i in range(SEGMENTS * ROWS):
             x = (part ^ SHIFTS[i]) * FACTORS[i]
             x ^= x >> np.uint64(32)
             least[i] = min(least[i], (x * FACTORS[i]).min())
-    return [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
+    return [signed(xxhash.xxh64_intdigest(np.delete(least[i * ROWS : (i + 1) * ROWS], j).tobytes(), i * ROWS + j)) for i in range(SEGMENTS) for j in range(ROWS)]
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,10 +151,11 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copy_links(keys: DataFrame, sets, bucket: int = 24) -> DataFrame:
-    """(src, dst) over (id, n, k: the band keys): enough verified links to connect all candidates of similarity SIMILAR.
+    """(src, dst) over (id, n, k: the variant keys): enough verified links to connect all candidates of similarity SIMILAR.
 
-    ``sets`` gives (id, h) for a frame of ids. Two sets of similarity 0.8 share
-    a band with a probability of 1 - (1 - 0.8^4)^20, or 0.99997. Pairs that
+    ``sets`` gives (id, h) for a frame of ids. Two sets of similarity s differ in
+    at most one place of a segment with a probability of p = s^5 + 5 s^4 (1 - s)
+    and share a variant with one of 1 - (1 - p)^5: 0.9987 at 0.8. Pairs that
     share a key are verified. Where more than ``bucket`` sets share a key, all are
     compared with the most popular of them; two that are linked to it need no
     comparison. All others of the key are compared with every member that can be
@@ -192,7 +200,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     def rows(x: dict) -> dict:
         got = [shingle_set(t, words) for t in x["text"]]
         digest = lambda seed: [signed(xxhash.xxh64_intdigest(h.tobytes(), seed)) for h in got]
-        return {"doc_id": x["doc_id"], "tie": x["tie"], "a": digest(1), "b": digest(2), "n": [len(h) for h in got], "k": [band_keys(h) for h in got]}
+        return {"doc_id": x["doc_id"], "tie": x["tie"], "a": digest(1), "b": digest(2), "n": [len(h) for h in got], "k": [variant_keys(h) for h in got]}
 
     def hashes(x: dict) -> dict:
         return {"id": x["id"], "h": [shingle_set(t, words).view(np.int64) for t in x["text"]]}
