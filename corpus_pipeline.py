@@ -19,10 +19,13 @@ def apart(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or have no letter go."""
+    """Documents whose language can be told, with that language as their lang; texts that are null, have no letter or are foreign go."""
     model = langid.train(docs.select("text", "lang"))
     rows, text = apart(docs)
-    return langid.identify(rows, model, *rows.columns, text=text).where("lang_pred <> 'und'").select(*rows.columns).toDF(*docs.columns)
+    told = langid.identify(rows, model, *rows.columns, text=text).where("lang_pred <> 'und' AND NOT foreign")
+    if "lang" in docs.columns:
+        told = told.withColumn(f"c{docs.columns.index('lang')}_", F.col("lang_pred").cast(dict(docs.dtypes)["lang"]))
+    return told.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
