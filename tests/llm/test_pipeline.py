@@ -66,6 +66,21 @@ def test_stages(spark, sf):
     assert not any(b in r.text for r in at.collect() for b in benchmark)
 
 
+def test_language_is_told_not_copied(spark, sf):
+    """The stage follows the parse: it names the language, whatever the label says, and drops what no language explains."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rnd = random.Random(9)
+    noise = [(10**6 + i, " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(150)), "en", "s") for i in range(5)]
+    wrong = docs.where("doc_id % 40 = 7").select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source")
+    rest = docs.where("doc_id % 40 <> 7").select("doc_id", "text", "lang", "source")
+    df = rest.unionAll(wrong).unionAll(spark.createDataFrame(noise, rest.schema))
+    got = {r.doc_id: r.lang for r in cp.language(spark, df, sf).collect()}
+    truth = {r.doc_id: r.lang for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert set(got) == set(truth)
+    told = [got[r.doc_id] == truth[r.doc_id] for r in wrong.collect() if r.doc_id in truth]
+    assert np.mean(told) > 0.95 and None not in got.values()
+
+
 def test_edge_cases(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the cat sat on the mat today", "en", "a", 9), (3, "the cat sat on the mat today", "en", "a", 9), (None, "mail a.b@c.de now please my friend", "en", None, 5), (5, "w" * 150_000, "en", "b", 1), (6, "!!! 123", "en", "b", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
