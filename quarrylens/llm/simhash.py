@@ -24,7 +24,7 @@ verification by the exact similarity of the shingle sets.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import components, cut, map_batches
@@ -119,6 +119,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFra
 
 #: Near copies: exact similarity of shingle sets; candidates agree in all but at most one of the ROWS least hashes of one of SEGMENTS segments.
 SIMILAR, SEGMENTS, ROWS = 0.8, 5, 5
+#: Sets are similar if the sum of their sizes is this many times their symmetric difference at least; their sizes then fit.
+RATIO = round((1 + SIMILAR) / (1 - SIMILAR))
+FITS = f"least(l.n, r.n) >= {SIMILAR} * greatest(l.n, r.n)"
+#: Sets that a crowd's reference is made of; classes of partners; rounds in which crowds of one popular set are merged, and after which they may grow, so that they end.
+REFERENCE, CLASSES, MERGED, ROUNDS = 15, 10, 2, 12
 _rng = np.random.default_rng(20)
 FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, SEGMENTS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -156,36 +161,92 @@ def near_copy_links(keys: DataFrame, sets, bucket: int = 24) -> DataFrame:
     ``sets`` gives (id, h) for a frame of ids. Two sets of similarity s differ in
     at most one place of a segment with a probability of p = s^5 + 5 s^4 (1 - s)
     and share a variant with one of 1 - (1 - p)^5: 0.9987 at 0.8. Pairs that
-    share a key are verified. Where more than ``bucket`` sets share a key, all are
-    compared with the most popular of them; two that are linked to it need no
-    comparison. All others of the key are compared with every member that can be
-    similar to them: distance is a metric, so those that are nearer to the
-    popular one by over 1 - SIMILAR cannot. No pair that shares a key is left out.
+    share a key are verified. Where more than ``bucket`` sets share a key, they are
+    a crowd (see ``crowd_links``). No pair that shares a key is left out.
     """
     each = keys.select("id", "n", F.explode("k").alias("k"))
     each = cut(each.join(each.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "k"))
-    fits = f"least(l.n, r.n) >= {SIMILAR} * greatest(l.n, r.n)"
-    pair = [F.col("l.id").alias("src"), F.col("r.id").alias("dst")]
-    few = each.where(F.col("m") <= bucket)
-    plain = few.alias("l").join(few.alias("r"), "k").where(F.expr(f"l.id < r.id AND {fits}")).select(*pair)
-    crowd = each.where(F.col("m") > bucket).select("k", "id", "n")
-    popular = each.groupBy("id").agg(F.sum("m").alias("p"))
-    centre = crowd.join(popular, "id").groupBy("k").agg(F.max(F.struct("p", "id")).alias("x")).select("k", F.col("x.id").alias("dst"))
-    crowd = cut(crowd.join(centre, "k"))
-    star = crowd.where("id <> dst").select(F.col("id").alias("src"), "dst")
-    pairs = cut(plain.unionAll(star).distinct())
-    ids = lambda p: p.select(F.col("src").alias("id")).unionAll(p.select("dst")).distinct()
-    have = cut(sets(ids(pairs)))
-    scored = cut(similar(pairs, have))
-    links = scored.where(F.col("j") >= SIMILAR).select("src", "dst")
-    # the rest of the crowds: what does not hang on the popular one, against all that it may resemble and is not tied to
-    tied = components(links).select(F.col("node").alias("id"), "root")
-    far = crowd.join(scored.select(F.col("src").alias("id"), "dst", "j"), ["id", "dst"], "left").select("k", "id", "n", (1 - F.coalesce("j", F.lit(1.0))).alias("d"))
-    far = cut(far.join(tied, "id", "left").select("k", "id", "n", "d", F.coalesce("root", "id").alias("root")))
-    slack = 1 - SIMILAR + 1e-9
-    rest = far.where(F.col("d") > slack).alias("l").join(far.alias("r"), "k").where(F.expr(f"l.root <> r.root AND abs(l.d - r.d) <= {slack} AND (r.d <= {slack} OR l.id < r.id) AND {fits}"))
-    more = cut(rest.select(*pair).distinct())
-    return links.unionAll(similar(more, have).where(F.col("j") >= SIMILAR).select("src", "dst"))
+    few = each.where(F.col("m") <= bucket).select("id", "n", "k")
+    pairs = cut(few.alias("l").join(few.alias("r"), "k").where(F.expr(f"l.id < r.id AND {FITS}")).select(F.col("l.id").alias("src"), F.col("r.id").alias("dst")).distinct())
+    members = merged_crowds(each.where(F.col("m") > bucket).select("k", "id"))
+    members = cut(merged_crowds(members.select(F.col("c").alias("k"), "id")))
+    have = cut(sets(pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).unionAll(members.select("id")).distinct()))
+    links = similar(pairs, have).where(F.col("j") >= SIMILAR).select("src", "dst")
+    for more in crowd_links(members, have, bucket):
+        links = links.unionAll(more)
+    return links
+
+
+def crowds(crowded: DataFrame) -> DataFrame:
+    """(c, id) of keys (k, id): keys that the same sets hold are one crowd."""
+    same = crowded.groupBy("k").agg(F.xxhash64(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).alias("c"))
+    return crowded.join(same, "k").select("c", "id").distinct()
+
+
+def merged_crowds(crowded: DataFrame) -> DataFrame:
+    """(c, id) of keys (k, id): keys of one group of near copies have nearly the same sets; those with the same most popular set are one crowd."""
+    popular = crowded.groupBy("id").agg(F.count("*").alias("p"))
+    centre = crowded.join(popular, "id").groupBy("k").agg(F.max(F.struct("p", "id")).alias("x")).select("k", F.col("x.id").alias("c"))
+    return crowded.join(centre, "k").select("c", "id").distinct()
+
+
+def crowd_links(members: DataFrame, have: DataFrame, bucket: int):
+    """Links of crowds (c, id) over the sets (id, h), one frame after another; no similar pair of a crowd stays unconnected.
+
+    A crowd has a reference: the elements that most of a few of its sets hold. D is
+    what a set has more or less than it. Two sets are similar if their symmetric
+    difference is a ninth of their sizes' sum at most, so surely if |D| + |D'| is;
+    with a = 9 |D| - n this is a + a' <= 0. Sets that it ties to the one of least a
+    hang on that. Any other one has a + a' > 0 with every set, and those that are
+    similar share (a + a') / 18 elements of D at least. Of the others, and one more,
+    the rarest elements are keys: a similar pair meets in one. As this depends on
+    the partner, sets have one key for each class of partners. Keys that many hold
+    are crowds again, about a reference that has what they share, so that no group
+    is compared pair by pair and each crowd is smaller than the one it comes from.
+    """
+    rounds = 0
+    while not members.isEmpty():
+        some = members.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= REFERENCE)
+        some = some.join(some.groupBy("c").agg(F.count("*").alias("m")), "c").join(have, "id")
+        middle = some.select("c", "m", F.explode("h").alias("x")).groupBy("c", "x").agg(F.count("*").alias("f"), F.first("m").alias("m")).where("2 * f > m")
+        middle = cut(middle.groupBy("c").agg(F.collect_list("x").alias("v")))
+        x = members.join(have, "id").join(middle, "c", "left").withColumn("v", F.coalesce("v", F.array().cast("array<long>")))
+        # an element that is lost has another key than one that is extra
+        d = F.concat(F.array_except("h", "v"), F.transform(F.array_except("v", "h"), lambda e: F.xxhash64(e)))
+        x = x.select("c", "id", F.size("h").alias("n"), F.size("v").alias("nv"), d.alias("d")).withColumn("a", F.expr(f"{RATIO} * size(d) - n"))
+        x = cut(x)
+        least = x.groupBy("c").agg(F.min(F.struct("a", "id")).alias("s")).select("c", F.col("s.a").alias("least"), F.col("s.id").alias("dst"))
+        x = x.join(least, "c").withColumn("asks", F.expr("a + least > 0 AND id <> dst"))
+        yield x.where("NOT asks AND id <> dst").select(F.col("id").alias("src"), "dst")
+        x = x.join(x.where("asks").select("c").distinct(), "c", "left_semi")
+        # classes of a; a partner's is that of its class at least, and one of a set that asks, for a set that does not
+        wide = "greatest(1, nv) / 2"
+        x = x.withColumn("cls", F.expr(f"CAST(least({CLASSES} - 1, floor((a - least) / ({wide}))) AS INT)")).withColumn("size", F.size("d"))
+        row = ["c", "id", "n", "a", "size", "asks", "cls"]
+        held = x.select(*row, "least", "nv", F.explode("d").alias("key"))
+        often = held.groupBy("c", "key").agg(F.count("*").alias("f"), F.count_if("asks").alias("asked"))
+        order = F.row_number().over(Window.partitionBy("c", "id").orderBy("f", "key"))
+        shared = F.count_if(F.col("f") > 1).over(Window.partitionBy("c", "id"))
+        held = held.join(often, ["c", "key"]).withColumn("r", order).withColumn("shared", shared).where("f > 1 AND asked > 0")
+        partner = f"CASE WHEN asks THEN least + j * {wide} ELSE greatest(least + j * {wide}, - least) END"
+        need = f"greatest(1, ceil((a + {partner}) / {2 * RATIO} - 1e-9))"
+        # no more than what others of the crowd have too, nor than the D of such a partner can have
+        room = f"(j = {CLASSES} - 1 OR {need} <= (least + (j + 1) * {wide} + n / {SIMILAR}) / {RATIO})"
+        classes = F.expr(f"filter(sequence(0, {CLASSES} - 1), j -> r <= size + 1 - {need} AND {need} <= shared AND {room})")
+        held = held.select(*row, "r", "key", F.explode(classes).alias("j"))
+        held = cut(held.withColumn("key", F.xxhash64("key", F.least("cls", "j"), F.greatest("cls", "j"))))
+        size = held.groupBy("c", "key").agg(F.count_if("asks").alias("many"), F.count("*").alias("p")).where("many > 0 AND p > 1")
+        held = held.join(size, ["c", "key"])
+        small = F.col("many") * F.col("p") <= bucket * bucket
+        # the first element that two sets share is followed by no more of them than are left of either
+        can = f"l.id <> r.id AND l.j = r.cls AND {FITS} AND least(l.size - l.r, r.size - r.r) + 1 >= (l.a + r.a) / {2 * RATIO}"
+        pairs = held.where(small & F.col("asks")).alias("l").join(held.where(small).alias("r"), ["c", "key"]).where(F.expr(can))
+        pairs = cut(pairs.select(F.least("l.id", "r.id").alias("src"), F.greatest("l.id", "r.id").alias("dst")).distinct())
+        yield similar(pairs, have).where(F.col("j") >= SIMILAR).select("src", "dst")
+        members = cut((merged_crowds if rounds < MERGED else crowds)(held.where(~small).select(F.xxhash64("c", "key").alias("k"), "id")))
+        rounds += 1
+        if rounds > ROUNDS:
+            bucket *= 2
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quarrylens.llm import simhash
 from quarrylens.llm.simhash import keep_one, shingle_hashes
 
 
@@ -58,6 +59,38 @@ def test_crowd_matches_brute_force(spark, seed):
     assert kept(spark, texts) == brute(texts)
 
 
+def test_crowd_of_cut_and_extended_copies(spark):
+    """Copies that lack parts or have common additions, so that links run between copies far from the centre."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.getrandbits(24)}"
+    base = [word() for _ in range(150)]
+    add = [[word() for _ in range(60)] for _ in range(3)]
+    rows = [edited(rnd, base, 1) for _ in range(60)]
+    rows += [edited(rnd, base[: rnd.randint(40, 150)], 1) for _ in range(90)] + [base[a : a + rnd.randint(50, 90)] for a in (rnd.randint(0, 60) for _ in range(60))]
+    rows += [edited(rnd, base + rnd.choice(add)[: rnd.randint(20, 60)], rnd.randint(0, 2)) for _ in range(90)]
+    rows += [edited(rnd, base, rnd.randint(4, 8)) for _ in range(60)]
+    rnd.shuffle(rows)
+    texts = [" ".join(w) for w in rows]
+    assert kept(spark, texts) == brute(texts)
+
+
+def test_large_crowd_grows_in_proportion(spark, monkeypatch):
+    """Copies of a short text with an edit or two: hardly any pair is similar, and hardly any is compared."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.getrandbits(24)}" for _ in range(34)]
+    texts = [" ".join(edited(rnd, base, rnd.randint(1, 2))) for _ in range(3000)]
+    compared, plain = [], simhash.similar
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    got = kept(spark, texts)
+    assert sum(compared) < 12 * len(texts)
+    assert got == brute(texts)
+
+
 def test_pairs_about_the_threshold(spark):
     """Of pairs at 0.8 to 0.86 none stays, of those below 0.8 both."""
     rnd = random.Random(3)
