@@ -52,10 +52,10 @@ class Engine:
     def slice(self, entry: str, depth: int = 5) -> dict:
         """The bounded flow from an entry: its row, nodes with distance, edges and redacted fragments."""
         start = sy.resolve_entry(self.nodes, entry)
-        followed = self.edges.where(F.col("kind").isin(*graph.TRAVERSED))
+        followed = cut(graph.flow_edges(self.nodes, self.edges))
         reached = cut(graph.reach(followed, self.spark.createDataFrame([(start,)], "id string"), depth))
         t = graph.truncated(reached, depth).first()
-        kept, hubs = graph.induced(followed, reached), self.hubs()
+        kept, hubs = graph.induced(self.edges, reached), self.hubs()
         parts = sy.fragments(self.system, reached)
         flow = {"flow_id": f"FLOW-{slug_text(entry)}", "entry": start, "depth": depth, "truncated": t.truncated, "n_nodes": t.n_nodes}
         seen = hubs.join(reached.select("id"), "id", "left_semi")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.lineage import cut
 
-#: kinds that a slice follows and kinds of nodes that communities are made of (fixed values)
-TRAVERSED = ("CALLS", "READS", "WRITES", "QUERIES", "INVOKES", "TRIGGERS", "OBSERVES", "ENTRY_TO", "CONTAINS")
+# Kinds of edges that carry a flow, and kinds of nodes that belong to one. What contains what is shape, not flow.
+TRAVERSED = ("CALLS", "READS", "WRITES", "QUERIES", "INVOKES", "DEPENDS_ON", "ENTRY_TO", "TRIGGERS", "OBSERVES")
+IN_FLOW = ("PROCEDURE", "TABLE", "VIEW", "DBPROC", "SQL", "ENTRY", "COMPONENT", "FLOW")
 GIANT_SHARE, HUB_RATIO = 0.5, 0.6
 
 
@@ -61,8 +62,26 @@ def hubs(central: DataFrame, kinds: list[str], betweenness: DataFrame | None = N
     peak = some.agg(F.max("centrality").alias("peak"))
     some = some.crossJoin(F.broadcast(peak)).where((F.col("links") > 1) & (F.col("centrality") >= F.col("peak") * HUB_RATIO))
     some = some.join(betweenness, "id", "left").na.fill(0.0, ["betweenness"]) if betweenness is not None else some.withColumn("betweenness", F.lit(0.0))
-    order = Window.orderBy(F.col("centrality").desc(), F.col("betweenness").desc(), "id")
-    return some.withColumn("rank", F.row_number().over(order).cast("long")).select("id", "label", "links", "centrality", "betweenness", "rank")
+    placed = numbered(some, "_rank", F.col("centrality").desc(), F.col("betweenness").desc(), "id")
+    return placed.withColumn("rank", F.col("_rank") + 1).select("id", "label", "links", "centrality", "betweenness", "rank")
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows numbered from 0 in the given total order: sorted by ranges in parallel, the ranges' offsets from their counts."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = placed.withColumn("_of", part).join(counts.select(F.col("_part").alias("_of"), before.alias("_before")), "_of")
+    return both.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_of", "_at", "_before")
+
+
+def flow_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that a slice follows: of a kind that carries a flow, to a node that belongs to one."""
+    ends = nodes.where(F.col("kind").isin(*IN_FLOW)).select(F.col("id").alias("_end"))
+    return edges.where(F.col("kind").isin(*TRAVERSED)).join(ends, F.col("target") == F.col("_end"), "left_semi")
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -140,8 +159,7 @@ def cluster_stats(members: DataFrame, edges: DataFrame) -> DataFrame:
     out = out.withColumn("share", F.col("size") / F.col("total"))
     out = out.withColumn("cohesion", F.when(F.col("size") > 1, F.col("inner_edges") / (F.col("size") * (F.col("size") - 1))).otherwise(0.0))
     # shares over one half can belong to one cluster at most
-    order = Window.orderBy(F.col("size").desc(), "first")
-    return out.select("root", (F.row_number().over(order) - 1).cast("long").alias("idx"), "size", "share", "cohesion", (F.col("share") > GIANT_SHARE).alias("is_giant"))
+    return numbered(out, "idx", F.col("size").desc(), "first").select("root", "idx", "size", "share", "cohesion", (F.col("share") > GIANT_SHARE).alias("is_giant"))
 
 
 def cluster_labels(members: DataFrame, degrees: DataFrame, most: int = 3) -> DataFrame:
@@ -213,5 +231,16 @@ def betweenness(nodes: DataFrame, edges: DataFrame, block_rows: int = 20_000_000
     return nodes.select("id").join(part, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
+def contained(members: DataFrame, reached: DataFrame) -> DataFrame:
+    """The clusters (node, root) of which every member is in a slice (id)."""
+    out = members.join(reached.select(F.col("id").alias("node")), "node", "left_anti").select("root").distinct()
+    return members.select("root").distinct().join(out, "root", "left_anti")
+
+
+def with_clusters(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes with the root of their cluster as cluster_id, null for those outside of all."""
+    return nodes.join(members.select(F.col("node").alias("id"), F.col("root").alias("cluster_id")), "id", "left")
+
+
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What cut() has written and nobody has deleted, the innermost scope last.
+_written: list[list[str]] = [[]]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset the context's checkpoint folder, or a temporary one that becomes it."""
+    """spark.checkpoint.dir; where it is unset the context's checkpoint folder, or on one machine a temporary one that becomes it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or f"file://{tempfile.mkdtemp(prefix='quarrylens-')}")
     return (path or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -21,5 +28,47 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylens/{uuid.uuid4().hex}"
+    _written[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what a frame of cut() was read from; any other frame stays as it is."""
+    path = getattr(df, "_cut_path", None)
+    for paths in _written:
+        if path in paths:
+            paths.remove(path)
+            _delete(df.sparkSession, [path])
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes what cut() wrote inside, but for the frames that are put into the list that it gives.
+
+    Only a frame that cut() returned may leave; one that reads other files of the scope would find them gone.
+    """
+    kept: list[DataFrame] = list(keep)
+    _written.append([])
+    try:
+        yield kept
+    finally:
+        mine = _written.pop()
+        stay = {getattr(df, "_cut_path", None) for df in kept}
+        _written[-1] += [p for p in mine if p in stay]
+        _delete(spark, [p for p in mine if p not in stay])
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that cut() has written in this process and that is left; frames that read it can no longer be used."""
+    for paths in _written:
+        _delete(spark, paths)
+        paths.clear()

@@ -49,9 +49,20 @@ def state_names(transitions: DataFrame) -> DataFrame:
 def attribute(needles: DataFrame, fragments: DataFrame, key: str, order: str) -> DataFrame:
     """The first fragment (by ``order``) whose text holds the needle, else the first fragment.
 
-    Needles are observations of one slice; Spark streams the fragments past them.
+    A word inside a needle, with something else on both sides, stands as a word
+    in every text that holds the needle: the longest such word joins needles and
+    texts by equality, and what meets is compared. Only needles without one are
+    held against all texts.
     """
-    hits = fragments.join(needles.select(F.col(key).alias("_k"), "needle"), F.contains(F.col("text"), F.col("needle"))).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
+    apart = r"[^\p{L}\p{N}]+"
+    inner = F.slice(F.split("needle", apart), 2, F.greatest(F.lit(0), F.size(F.split("needle", apart)) - 2))
+    named = needles.select(F.col(key).alias("_k"), "needle", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_w"))
+    words = fragments.select(F.col(order).alias("_o"), F.explode(F.array_distinct(F.split("text", apart))).alias("_w"))
+    met = words.join(named.where("_w <> ''"), "_w").select("_o", "_k", "needle").distinct()
+    holds = F.contains(F.col("text"), F.col("needle"))
+    by_word = fragments.join(met, F.col(order) == F.col("_o")).where(holds).select("_k", order)
+    by_text = fragments.join(named.where("_w IS NULL OR _w = ''"), holds).select("_k", order)
+    hits = by_word.unionAll(by_text).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
     default = fragments.agg(F.min(order).alias("_default"))
     out = needles.join(hits, F.col(key) == F.col("_k"), "left").crossJoin(F.broadcast(default))
     return out.select(key, F.coalesce("_first", "_default").alias(order), F.col("_first").isNotNull().alias("attributed"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

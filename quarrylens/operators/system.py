@@ -92,8 +92,21 @@ def _objects(sql: DataFrame, calls: DataFrame) -> DataFrame:
     return per
 
 
-def graph(s: System) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, kind, label, file, line) and admitted edges (id, kind, source, target, label, via, confidence)."""
+def any_node(s: System, wanted: DataFrame) -> DataFrame:
+    """(ref, id) of references to a procedure, else a component, else a file, by id; what is none of them is left out."""
+    out = wanted.select("ref").distinct()
+    for i, table in enumerate((s.procedures, s.components, s.files)):
+        ids = table.select(F.col("id").alias(f"id{i}")).distinct()
+        out = out.join(ids, F.col("ref") == F.col(f"id{i}"), "left")
+    return out.select("ref", F.coalesce("id0", "id1", "id2").alias("id")).where("id IS NOT NULL")
+
+
+def graph(s: System, flows: DataFrame | None = None, dependencies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label, file, line) and admitted edges (id, kind, source, target, label, via, confidence).
+
+    ``flows`` (id, name, node_ids) become nodes that depend on their members,
+    ``dependencies`` (source, target, label) edges between procedures, components or files.
+    """
     null = lambda t: F.lit(None).cast(t)
     node = lambda df, kind, label, file, line: df.select("id", F.lit(kind).alias("kind"), label.alias("label"), file.alias("file"), line.alias("line"))
     c = F.col
@@ -107,6 +120,8 @@ def graph(s: System) -> tuple[DataFrame, DataFrame]:
         s.objects.select("id", c("kind"), c("name").alias("label"), c("first_seen.file").alias("file"), c("first_seen.line").alias("line")),
         node(s.entry_points, "ENTRY", c("name"), c("file"), c("line")),
     )
+    if flows is not None:
+        nodes = g.union(nodes, node(flows, "FLOW", c("name"), null("string"), null("int")))
     nodes = cut(g.keep_first(nodes, ["id"], "kind", "file", "line"))
     edge = lambda df, kind, a, b, label="", via="", conf="OK": df.select(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), c(a).alias("source"), c(b).alias("target"), F.lit(label).alias("label"), F.lit(via).alias("via"), F.lit(conf).alias("confidence"))
     file_id = F.concat(F.lit("FILE-"), slug("file"))
@@ -123,11 +138,18 @@ def graph(s: System) -> tuple[DataFrame, DataFrame]:
         edge(parameters, "HAS_PARAMETER", "proc", "id"),
         edge(depends, "DEPENDS_ON", "id", "target"),
         calls,
-        edge(s.statements, "CONTAINS", "procedure_id", "id", "executes"),
+        edge(s.statements, "DEPENDS_ON", "procedure_id", "id", "executes"),
         touches.select(verb.alias("kind"), c("id").alias("source"), "target", F.lit("").alias("label"), F.lit("").alias("via"), F.lit("OK").alias("confidence")),
         edge(s.entry_points, "ENTRY_TO", "id", "component_id"),
         edge(s.entry_points.where("procedure_id IS NOT NULL"), "ENTRY_TO", "id", "procedure_id"),
     )
+    if flows is not None:
+        edges = g.union(edges, edge(flows.select("id", F.explode("node_ids").alias("member")).where("member <> id"), "DEPENDS_ON", "id", "member", "contains"))
+    if dependencies is not None:
+        known = any_node(s, dependencies.select(F.col("source").alias("ref")).unionAll(dependencies.select("target")))
+        at = lambda end: known.select(c("ref").alias(end), c("id").alias(f"{end}_id"))
+        ends = dependencies.join(at("source"), "source").join(at("target"), "target")
+        edges = g.union(edges, ends.select(F.lit("DEPENDS_ON").alias("kind"), c("source_id").alias("source"), c("target_id").alias("target"), "label", F.lit("").alias("via"), F.lit("OK").alias("confidence")))
     edges = g.keep_first(edges, ["kind", "source", "target"], "via")
     edges = g.admit(edges, nodes).withColumn("id", F.concat_ws("-", F.lit("EDGE"), "kind", "source", "target"))
     return nodes, cut(edges)

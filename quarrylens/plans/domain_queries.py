@@ -196,12 +196,17 @@ STATEMENTS = (
     "call proc(1)",
     "GRANT x TO y",
     "",
+    "WITH a AS (SELECT 1 FROM b) SELECT * FROM a",
+    "-- note\nDELETE FROM t",
+    "/* note */ WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x",
 )
+#: by hand
+OPERATIONS = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "ALTER", "DROP", "TRUNCATE", "CALL", "CALL", "UNKNOWN", "UNKNOWN", "SELECT", "DELETE", "INSERT")
+
 
 
 @query(f"""SELECT id, operation, CASE WHEN operation = 'SELECT' THEN 'READ' WHEN operation IN ('UNKNOWN', 'CALL') THEN 'UNKNOWN' ELSE 'WRITE' END AS access_mode FROM (
-SELECT id, CASE w WHEN 'SELECT' THEN w WHEN 'INSERT' THEN w WHEN 'UPDATE' THEN w WHEN 'DELETE' THEN w WHEN 'MERGE' THEN w WHEN 'CREATE' THEN w WHEN 'ALTER' THEN w WHEN 'DROP' THEN w WHEN 'TRUNCATE' THEN w WHEN 'CALL' THEN w ELSE 'UNKNOWN' END AS operation
-FROM (SELECT id, upper(regexp_extract(stmt, '^[\\s{{(]*([A-Za-z]+)', 1)) AS w FROM {_values([*enumerate(STATEMENTS)], 'id, stmt')}))""")
+SELECT id, operation FROM {_values([*enumerate(OPERATIONS)], 'id, operation')})""")
 def sql_access_mode(spark: SparkSession, d: str) -> DataFrame:
     s = _inline(spark, list(enumerate(STATEMENTS)), "id int, stmt string")
     return s.select("id", operation("stmt").alias("operation"), access_mode(operation("stmt")).alias("access_mode"))
@@ -379,7 +384,7 @@ def review_transition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {REVIEWED}, w AS (SELECT *, array_to_string(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || substr(x, 2)), '') AS big FROM v WHERE status = 'validated'),
 b AS (SELECT *, lower(big[1]) || substr(big, 2) AS base FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY rule_id) AS i FROM b)
-SELECT rule_id, base || CASE WHEN i > 1 THEN CAST(i AS VARCHAR) ELSE '' END AS operation_id, '/' || CASE WHEN flow LIKE '%1%' THEN 'form' ELSE 'rules' END || '/' || lower(replace(rule_id, '-', '_')) AS path, CASE WHEN flow LIKE '%1%' THEN 'form' ELSE 'rules' END AS entry_group FROM n""")
+SELECT rule_id, base || CASE WHEN i > 1 THEN CAST(i AS VARCHAR) ELSE '' END AS operation_id, '/' || CASE WHEN flow LIKE '%1%' THEN 'form' ELSE 'rules' END || '/' || base || CASE WHEN i > 1 THEN CAST(i AS VARCHAR) ELSE '' END AS path, CASE WHEN flow LIKE '%1%' THEN 'form' ELSE 'rules' END AS entry_group FROM n""")
 def contract_operations(spark: SparkSession, d: str) -> DataFrame:
     rules = _reviewed(spark, d).withColumn("entry_point_id", F.concat(F.lit("ENTRY-"), F.col("flow")))
     entries = table(spark, d, "part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("flow")).distinct().where("flow LIKE '%1%'").select(F.concat(F.lit("ENTRY-"), F.col("flow")).alias("entry_point_id"), F.lit("FORM").alias("kind"))

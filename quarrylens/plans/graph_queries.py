@@ -13,7 +13,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 WITH_GRAPH = f"n AS ({og.NODES_SQL}), e AS ({og.EDGES_SQL})"
-KINDS = ", ".join(f"'{k}'" for k in g.TRAVERSED)
+#: written out, so that the SQL does not follow a mistake: flows go from customers by orders, parts and suppliers to nations, never to what only contains, nor to regions
+STEPS = "(SELECT source, target FROM e WHERE (kind = 'CALLS' OR kind = 'READS' OR kind = 'ENTRY_TO' OR kind = 'DEPENDS_ON') AND target NOT LIKE 'REGION-%')"
 #: kinds of nodes that can be hubs
 STRUCTURAL = ("COMPONENT", "PROCEDURE", "TABLE")
 
@@ -84,10 +85,10 @@ HUBS = f"""{CENTRAL}, k AS (SELECT * FROM c WHERE kind IN ('COMPONENT', 'PROCEDU
 )"""
 
 
-@query(f"WITH {HUBS} SELECT 'HUB-' || upper(label) || '-' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank AS hub_id, id, links, round(centrality, 6) AS centrality, rank FROM hub")
+@query(f"WITH {HUBS} SELECT 'HUB-' || upper(label) || '-' || CASE WHEN rank <= 10 THEN '0' ELSE '' END || (rank - 1) AS hub_id, id, links, round(centrality, 6) AS centrality, rank FROM hub")
 def hubs(spark: SparkSession, d: str) -> DataFrame:
     h = _hubs(spark, d)
-    return h.select(F.concat(F.lit("HUB-"), F.upper("label"), F.lit("-"), F.when(F.col("rank") < 10, "0").otherwise(""), F.col("rank").cast("string")).alias("hub_id"), "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
+    return h.select(F.concat(F.lit("HUB-"), F.upper("label"), F.lit("-"), F.when(F.col("rank") <= 10, "0").otherwise(""), (F.col("rank") - 1).cast("string")).alias("hub_id"), "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
 
 
 def _hubs(spark: SparkSession, d: str) -> DataFrame:
@@ -106,14 +107,18 @@ def betweenness_trade(spark: SparkSession, d: str) -> DataFrame:
     return g.betweenness(og.trade_nodes(spark, d), og.trade_edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-SLICE = f"""{WITH_GRAPH}, r(id, d) AS (
-  SELECT '{og.START}', 0 UNION SELECT e.target, r.d + 1 FROM r JOIN e ON e.source = r.id WHERE r.d < {og.DEPTH} AND e.kind IN ({KINDS})
+def _slice_sql(start: str, depth: int) -> str:
+    return f"""r(id, d) AS (
+  SELECT '{start}', 0 UNION SELECT s.target, r.d + 1 FROM r JOIN {STEPS} s ON s.source = r.id WHERE r.d < {depth}
 ), slice AS (SELECT id, CAST(min(d) AS BIGINT) AS distance FROM r GROUP BY id)"""
 
 
-def _slice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    edges = og.edges(spark, d, merged=False).where(F.col("kind").isin(*g.TRAVERSED))
-    return g.reach(edges, spark.createDataFrame([(og.START,)], "id string"), og.DEPTH), edges
+SLICE = f"{WITH_GRAPH}, {_slice_sql(og.START, og.DEPTH)}"
+
+
+def _slice(spark: SparkSession, d: str, start: str = og.START, depth: int = og.DEPTH) -> tuple[DataFrame, DataFrame]:
+    edges = og.edges(spark, d, merged=False)
+    return g.reach(g.flow_edges(og.nodes(spark, d), edges), spark.createDataFrame([(start,)], "id string"), depth), edges
 
 
 @query(f"WITH RECURSIVE {SLICE} SELECT id, distance FROM slice")
@@ -121,15 +126,17 @@ def slice_forward(spark: SparkSession, d: str) -> DataFrame:
     return _slice(spark, d)[0]
 
 
-@query(f"WITH RECURSIVE {SLICE} SELECT kind, source, target FROM e WHERE source IN (SELECT id FROM slice) AND target IN (SELECT id FROM slice) AND kind IN ({KINDS})")
+@query(f"WITH RECURSIVE {SLICE} SELECT kind, source, target FROM e WHERE source IN (SELECT id FROM slice) AND target IN (SELECT id FROM slice)")
 def slice_induced_edges(spark: SparkSession, d: str) -> DataFrame:
     reached, edges = _slice(spark, d)
     return g.induced(edges, reached).select("kind", "source", "target").distinct()
 
 
-@query(f"WITH RECURSIVE {SLICE} SELECT count(*) AS n_nodes, max(distance) AS max_distance, max(distance) = {og.DEPTH} AS truncated FROM slice")
+@query(f"WITH RECURSIVE {SLICE} SELECT {og.DEPTH} AS depth, count(*) AS n_nodes, max(distance) AS max_distance, max(distance) = {og.DEPTH} AS truncated FROM slice UNION ALL SELECT 2, count(*), max(distance), max(distance) = 2 FROM slice WHERE distance <= 2")
 def slice_truncated(spark: SparkSession, d: str) -> DataFrame:
-    return g.truncated(_slice(spark, d)[0], og.DEPTH)
+    """To the bound and to where nothing follows."""
+    one = lambda depth: g.truncated(_slice(spark, d, depth=depth)[0], depth).select(F.lit(depth).alias("depth"), "*")
+    return one(og.DEPTH).unionAll(one(2))
 
 
 @query(f"""WITH RECURSIVE t AS ({og.TRADE_SQL}), b AS (SELECT source, target FROM t UNION SELECT target, source FROM t), r(id, d) AS (
@@ -140,14 +147,17 @@ def slice_undirected(spark: SparkSession, d: str) -> DataFrame:
     return g.reach(both, spark.createDataFrame([(0,)], "id int"), 2)
 
 
-@query(f"WITH RECURSIVE {HUBS}, r(id, d) AS (SELECT '{og.START}', 0 UNION SELECT e.target, r.d + 1 FROM r JOIN e ON e.source = r.id WHERE r.d < {og.DEPTH} AND e.kind IN ({KINDS})) SELECT id, rank FROM hub WHERE id IN (SELECT id FROM r)")
+HUB_SLICE = f"{HUBS}, {_slice_sql(og.HUB_START, og.DEPTH)}"
+
+
+@query(f"WITH RECURSIVE {HUB_SLICE} SELECT id, rank FROM hub WHERE id IN (SELECT id FROM slice)")
 def slice_hub_refs(spark: SparkSession, d: str) -> DataFrame:
-    return _hubs(spark, d).join(_slice(spark, d)[0].select("id"), "id", "left_semi").select("id", "rank")
+    return _hubs(spark, d).join(_slice(spark, d, og.HUB_START)[0].select("id"), "id", "left_semi").select("id", "rank")
 
 
-@query(f"WITH RECURSIVE {HUBS}, r(id, d) AS (SELECT '{og.START}', 0 UNION SELECT e.target, r.d + 1 FROM r JOIN e ON e.source = r.id WHERE r.d < {og.DEPTH} AND e.kind IN ({KINDS})) SELECT id, rank FROM hub WHERE id NOT IN (SELECT id FROM r)")
+@query(f"WITH RECURSIVE {HUB_SLICE} SELECT id, rank FROM hub WHERE id NOT IN (SELECT id FROM slice)")
 def slice_excluded_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return _hubs(spark, d).join(_slice(spark, d)[0].select("id"), "id", "left_anti").select("id", "rank")
+    return _hubs(spark, d).join(_slice(spark, d, og.HUB_START)[0].select("id"), "id", "left_anti").select("id", "rank")
 
 
 LINES = """l AS (SELECT DISTINCT doc_id, md5(line) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),

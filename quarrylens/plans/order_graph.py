@@ -2,7 +2,7 @@
 
 Order graph: regions contain nations, nations their customers and suppliers;
 customers call orders, orders call parts at line numbers, parts read suppliers,
-market segments enter customers. Trade graph: each customer nation points to the
+suppliers depend on nations and these on regions, market segments enter customers. Trade graph: each customer nation points to the
 three other supplier nations that earn most from it.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.operators.graph import keep_first, merge_call_sites, union
 
-DEPTH, START = 3, "CUST-1"
+DEPTH, START, HUB_START = 5, "CUST-1", "ORDER-1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,8 @@ def edges(spark: SparkSession, d: str, merged: bool = True) -> DataFrame:
         plain(t("orders"), "CALLS", ("CUST", "o_custkey"), ("ORDER", "o_orderkey")),
         call_sites(spark, d) if merged else plain(t("lineitem"), "CALLS", ("ORDER", "l_orderkey"), ("PART", "l_partkey")),
         plain(t("lineitem").select("l_partkey", "l_suppkey").distinct() if merged else t("lineitem"), "READS", ("PART", "l_partkey"), ("SUPP", "l_suppkey")),
+        plain(t("supplier"), "DEPENDS_ON", ("SUPP", "s_suppkey"), ("NATION", "s_nationkey")),
+        plain(t("nation"), "DEPENDS_ON", ("NATION", "n_nationkey"), ("REGION", "n_regionkey")),
         plain(t("customer"), "ENTRY_TO", ("SEGMENT", "c_mktsegment"), ("CUST", "c_custkey")),
     )
 
@@ -100,6 +102,8 @@ UNION ALL SELECT 'CONTAINS', 'NATION-' || s_nationkey, 'SUPP-' || s_suppkey, '',
 UNION ALL SELECT 'CALLS', 'CUST-' || o_custkey, 'ORDER-' || o_orderkey, '', 1 FROM orders
 UNION ALL SELECT 'CALLS', 'ORDER-' || l_orderkey, 'PART-' || l_partkey, array_to_string(list_sort(list(DISTINCT l_linenumber)), ','), CAST(count(DISTINCT l_linenumber) AS BIGINT) FROM lineitem GROUP BY l_orderkey, l_partkey
 UNION ALL SELECT DISTINCT 'READS', 'PART-' || l_partkey, 'SUPP-' || l_suppkey, '', 1 FROM lineitem
+UNION ALL SELECT 'DEPENDS_ON', 'SUPP-' || s_suppkey, 'NATION-' || s_nationkey, '', 1 FROM supplier
+UNION ALL SELECT 'DEPENDS_ON', 'NATION-' || n_nationkey, 'REGION-' || n_regionkey, '', 1 FROM nation
 UNION ALL SELECT 'ENTRY_TO', 'SEGMENT-' || c_mktsegment, 'CUST-' || c_custkey, '', 1 FROM customer
 """
 

@@ -65,6 +65,6 @@ def vb6_rules(spark: SparkSession, d: str) -> DataFrame:
     s = sy.build(_extracted(spark))
     nodes, edges = sy.graph(s)
     start = sy.resolve_entry(nodes, "MainForm.cmdSave_Click")
-    reached = g.reach(edges.where(F.col("kind").isin(*g.TRAVERSED)), spark.createDataFrame([(start,)], "id string"), 5)
+    reached = g.reach(g.flow_edges(nodes, edges), spark.createDataFrame([(start,)], "id string"), 5)
     got = rl.read_rules(sy.fragments(s, reached).select("fragment", "procedure", "text"))
     return rl.admit(got.withColumns({"flow": F.lit("SAVE"), "seq": F.coalesce("line_no", F.lit(1 << 30))})).select("rule_id", "name", "expression", "behavior_type", "confidence", "status", "observation", "inference")

@@ -34,8 +34,12 @@ SQL_HEAD = re.compile(r"(?i)^\s*(select|insert\s+into|update|delete\s+from|merge
 SQL_TAIL = re.compile(r"(?i)\b(from|into|set|values|where|join|group\s+by|order\s+by)\b")
 OUT_NAME = re.compile(r"^P_[A-Z0-9_]+$")
 STATE_ASSIGN = re.compile(r'^\s*([A-Za-z_][\w.$]*)\s*=\s*"([A-Z][A-Z0-9_]*)"\s*$')
-STATE_SETTER = re.compile(r'^\s*(?:call\s+)?([A-Za-z_][\w.$]*)\s+[A-Za-z_][\w.$]*\s*,\s*"([A-Z][A-Z0-9_]*)"\s*$', re.I)
-STATE_CALL = re.compile(r'^\s*(?:call\s+)?([A-Za-z_][\w.$]*)\s*\(\s*(?:[A-Za-z_][\w.$]*)?\s*,\s*(?:(?:adVar|Types\.)?\w+\s*,\s*)?"([A-Z][A-Z0-9_]*)"', re.I)
+STATE_SETTER = re.compile(r'^\s*(?:call\s+)?([A-Za-z_][\w.$]*)\s+([A-Za-z_][\w.$]*)\s*,\s*"([A-Z][A-Z0-9_]*)"\s*$')
+STATE_CALL = re.compile(r'^\s*(?:call\s+)?[A-Za-z_][\w.$]*\s*\(\s*([A-Za-z_][\w.$]*)?\s*,\s*(?:(?:adVar|Types\.)?\w+\s*,\s*)?"([A-Z][A-Z0-9_]*)"')
+STATE_VALUE = re.compile(r"[A-Z][A-Z0-9_]{2,}")
+NO_STATE = frozenset(
+    "SELECT INSERT UPDATE DELETE FROM WHERE VALUES CREATE ALTER DROP TABLE ORDER GROUP JOIN INNER OUTER LEFT RIGHT FULL CROSS RETURNING CURRENT_TIMESTAMP CURRENT_DATE AND OR NOT NULL TRUE FALSE REJECTED APPROVED UNKNOWN".split()
+)
 
 SCAN = re.compile(
     r"""(?P<CONTINUATION>[ \t]+_[ \t]*\r?\n)|(?P<NEWLINE>\r?\n)|(?P<SPACE>[ \t\f\v]+)|(?P<COMMENT>'[^\r\n]*)|(?P<STRING>"(?:[^"\r\n]|"")*")|(?P<OPEN>"[^\r\n]*)"""
@@ -247,12 +251,24 @@ def sql_string(s: Statement) -> dict | None:
     return {"text": text, "raw": s.text.strip(), "is_dynamic": len(lits) > 1 or any(t.value == "&" for t in s.tokens), "line": s.line, "state_token": literal, "mentions_state_column": bool(re.search(r"(?i)\b(ESTADO|STATE|SITUACAO|STATUS|ESTADO_RASTRO)\b", joined))}
 
 
+def _names_state(name: str | None) -> bool:
+    return any(h in (name or "").lower() for h in STATE_HINTS)
+
+
 def state_write(s: Statement) -> dict | None:
-    for shape, pattern in (("assignment", STATE_ASSIGN), ("setter", STATE_SETTER), ("inline_call", STATE_CALL)):
-        m = pattern.match(s.text)
-        if m and any(h in m[1].lower() for h in STATE_HINTS):
-            low = m[1].lower() + " " + s.text.lower()
-            return {"target": m[1], "value": m[2], "line": s.line, "shape": shape, "domain": "GRUPO" if "grupo" in low else "CONSISTENCIA" if "consistencia" in low else "UNKNOWN"}
+    """A literal in capitals that is assigned to a state, or passed to a setter or with an argument that names one."""
+    leaf = lambda x: (x or "").rsplit(".", 1)[-1]
+    found = []
+    if m := STATE_ASSIGN.match(s.text):
+        found.append(("assignment", m[1], m[2], _names_state(leaf(m[1]))))
+    if m := STATE_SETTER.match(s.text):
+        found.append(("setter", leaf(m[1]), m[3], _names_state(leaf(m[1])) or _names_state(m[2])))
+    if m := STATE_CALL.match(s.text):
+        found.append(("inline_call", leaf(m[1]), m[2], _names_state(leaf(m[1]))))
+    for shape, target, value, named in found:
+        if named and STATE_VALUE.fullmatch(value) and value not in NO_STATE:
+            low = target.lower()
+            return {"target": target, "value": value, "line": s.line, "shape": shape, "domain": "GRUPO" if "grupo" in low else "CONSISTENCIA" if "consistencia" in low else "UNKNOWN"}
     return None
 
 
