@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm import decontaminate, langid, mixing, pii, simhash
 from quarrylens.llm.common import cut
+from quarrylens.operators.lineage import drop, scratch
 
 
 def apart(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -79,8 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
+    """All stages over the documents table, each written to the shared folder and read again; what a stage no longer needs is deleted there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as kept:
+            new = cut(stage(spark, docs, sf_dir))
+            kept.append(new)
+        drop(docs)
+        docs = new
     return docs
