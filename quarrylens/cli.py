@@ -5,10 +5,13 @@ from __future__ import annotations
 import argparse
 import sys
 
+from quarrylens.settings import load
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quarrylens")
-    p.add_argument("--home", default="out")
+    given = load()
+    p.add_argument("--home", default=str(given.home))
     p.add_argument("--system", default="system")
     sub = p.add_subparsers(dest="command", required=True)
     add = lambda name, *args: _add(sub, name, *args)
@@ -22,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     add("validate")
     add("contract", ("root",))
     add("generate")
-    add("verify", ("cases",))
+    add("verify", ("cases",), ("--url", str, given.new_system_url))
     add("report", ("root",))
     return p
 
@@ -36,6 +39,7 @@ def _add(sub, name: str, *args: tuple) -> None:
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(argv)
     from quarrylens.facade import Engine, NotAvailable
+    from quarrylens.operators.answers import http_answers
     from quarrylens.operators.contract import ContractError
     from quarrylens.operators.system import EntryNotFound
     from quarrylens.sources.catalogs import CatalogError
@@ -78,7 +82,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif a.command == "generate":
             e.generate_code()
         elif a.command == "verify":
-            results, records, totals = e.verify(a.cases)
+            results, records, totals = e.verify(a.cases, http_answers(a.url) if a.url else None)
             t = totals.first()
             print(f"{t.passed} passed, {t.failed} failed, {t.skipped} skipped, {t.blocking} blocking")
             return int(not t.ok_strict)

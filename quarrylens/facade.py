@@ -10,12 +10,12 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens import report
+from quarrylens import codegen, report
 from quarrylens.functions.text import redact, slug_text
 from quarrylens.operators import contract, graph, rules, verify
 from quarrylens.operators import system as sy
 from quarrylens.operators.lineage import cut
-from quarrylens.sources import catalogs, exports
+from quarrylens.sources import catalogs, exports, sqlite
 from quarrylens.sources.vb6 import extract, read_sources
 
 
@@ -30,6 +30,7 @@ class Engine:
         self.spark, self.system_id, self.home = spark, system_id, Path(home)
         self.home.mkdir(parents=True, exist_ok=True)
         self.catalog_path = str(self.home / "rules.yaml")
+        self.generated: codegen.Generated | None = None
 
     def analyse(self, root: str | None = None, sources: DataFrame | None = None) -> sy.System:
         """From a folder, or from (file, content) rows."""
@@ -40,7 +41,7 @@ class Engine:
     def clusters(self, method: str = "components") -> tuple[DataFrame, str]:
         structural = self.nodes.where(F.col("kind").isin("FILE", "COMPONENT", "PROCEDURE", "SQL", "TABLE", "VIEW", "DBPROC", "ENTRY"))
         members, used = graph.communities(structural, graph.admit(self.edges, structural), method)
-        members = cut(members)
+        members = self.members = cut(members)
         stats = graph.cluster_stats(members, self.edges)
         degree = graph.node_degree(self.nodes, self.edges).select(F.col("id").alias("node"), "degree").join(self.nodes.select(F.col("id").alias("node"), "label"), "node")
         return stats.join(graph.cluster_labels(members, degree), "root", "left"), used
@@ -72,10 +73,12 @@ class Engine:
     def extract_rules(self, found: dict) -> tuple[DataFrame, DataFrame]:
         """Candidates of a slice go into the catalog if it lacks them; the second result has what was rejected and why."""
         flow = found["flow"]["flow_id"]
+        hubs = [r.id for r in found["hubs"].orderBy("rank").limit(1).collect()]
+        procedures = [r.id for r in found["nodes"].where("id LIKE 'PROC-%'").limit(1).collect()]
         context = found["fragments"].withColumn("text", redact("text"))
         got = rules.read_rules(context.select("fragment", "procedure", "text"))
         got = got.join(context.select("fragment", "file", "line", F.array("procedure").alias("procedures")), "fragment", "left")
-        got = got.withColumns({"flow": F.lit(flow.removeprefix("FLOW-")), "seq": F.coalesce("line_no", F.lit(1 << 30)), "flow_id": F.lit(flow), "entry_point_id": F.lit(found["flow"]["entry"])})
+        got = got.withColumns({"flow": F.lit(rules.domain_key(flow, hubs, procedures)), "seq": F.coalesce("line_no", F.lit(1 << 30)), "flow_id": F.lit(flow), "entry_point_id": F.lit(found["flow"]["entry"])})
         admitted = cut(rules.admit(got))
         good = admitted.where("reason IS NULL")
         old = self.catalog()
@@ -141,6 +144,11 @@ class Engine:
         text = [report.system_report(self.system, self.nodes, self.catalog()), report.graph_report(self.nodes, self.edges, stats, self.hubs(), used)]
         if verified:
             text.append(report.verification_report(*verified))
+        rules, made = self.catalog(), self.home / "openapi.yaml"
+        text.append(report.traceability(rules))
+        text.insert(0, report.summary_line(rules, verified, str(made) if made.exists() else None, self.generated.summary() if self.generated else None))
+        if verified:
+            (self.home / "divergences.md").write_text(report.divergence_report(self.system_id, verified[1]) + "\n")
         path = self.home / "report.md"
         path.write_text("\n\n".join(text) + "\n")
         return str(path)
@@ -148,5 +156,20 @@ class Engine:
     def export(self) -> list[str]:
         return exports.export(self.nodes, self.edges, f"file://{self.home.resolve()}/graph")
 
-    def generate_code(self, *_, **__):
-        raise NotAvailable("code generation runs a container; call a generator on openapi.yaml yourself")
+    def export_sqlite(self, path: str | None = None) -> str:
+        """Nodes with their clusters, edges, clusters and hubs as one SQLite file."""
+        stats, used = self.clusters()
+        central = graph.degree_centrality(self.nodes, self.edges).select("id", F.col("links").alias("degree"), F.col("centrality").alias("degree_centrality"))
+        nodes = graph.with_clusters(self.nodes, self.members).join(central, "id", "left")
+        clusters = stats.select(F.col("root").alias("id"), F.lit(used).alias("algorithm"), "idx", "size", "share", "cohesion", "label", "is_giant")
+        hubs = self.hubs().select("id", F.col("label").alias("name"), F.col("links").alias("degree"), F.col("centrality").alias("degree_centrality"), "betweenness")
+        meta = self.spark.createDataFrame([("system_id", self.system_id), ("algorithm", used)], "key string, value string")
+        return sqlite.write_sqlite(path or self.home / "graph.db", nodes=nodes, edges=self.edges, clusters=clusters, hubs=hubs, meta=meta)
+
+    def generate_code(self, package: str = "legacy.contract", compile_it: bool = False, runner=codegen.run) -> codegen.Generated:
+        """A project from the contract, by a generator that must be installed."""
+        try:
+            self.generated = codegen.generate(self.home / "openapi.yaml", self.home / "generated", package, runner=runner)
+            return codegen.compile_java(self.generated, runner=runner) if compile_it else self.generated
+        except codegen.CodegenError as e:
+            raise NotAvailable(str(e)) from e

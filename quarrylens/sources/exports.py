@@ -75,12 +75,18 @@ def save_tables(prefix: str, **tables: DataFrame) -> list[str]:
     return names
 
 
-def slice_json(flow: dict, reached: DataFrame, edges: DataFrame, fragments: DataFrame) -> DataFrame:
-    """One row of JSON for a slice; source text is redacted here, at the sink."""
+def slice_json(flow: dict, reached: DataFrame, edges: DataFrame, fragments: DataFrame, standalone: bool = False) -> DataFrame:
+    """One row of JSON for a slice; source text is redacted here, at the sink.
+
+    A standalone file calls its texts source_fragments and says how many tokens they have.
+    """
     ids = reached.agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("nodes"))
     links = edges.agg(F.sort_array(F.collect_list(F.struct("kind", "source", "target"))).alias("edges"))
     texts = fragments.select("fragment", "procedure", "file", "line", redact("text").alias("text")).agg(F.sort_array(F.collect_list(F.struct("fragment", "procedure", "file", "line", "text"))).alias("fragments"))
     fields = [F.lit(v).alias(k) for k, v in flow.items()]
+    if standalone:
+        many = F.expr("aggregate(fragments, 0L, (n, x) -> n + (length(x.text) + 3) DIV 4)")
+        return ids.crossJoin(links).crossJoin(texts).select(F.to_json(F.struct(*fields, "nodes", "edges", F.col("fragments").alias("source_fragments"), many.alias("context_token_estimate"))).alias("value"))
     return ids.crossJoin(links).crossJoin(texts).select(F.to_json(F.struct(*fields, "nodes", "edges", "fragments")).alias("value"))
 
 
