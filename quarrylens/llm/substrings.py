@@ -33,7 +33,7 @@ from quarrylens.llm.common import cut, slices
 
 WINDOW, GRAM = 200, 32
 #: Bytes of text handled at once; bytes of a shard; strips of one anchor in a shard.
-CHUNK, SHARD, STRIPS = 128 << 10, 2 << 20, 4096
+CHUNK, SHARD, STRIPS = 128 << 10, 1 << 20, 4096
 POS_BITS = 23
 BASE = 0x9E3779B97F4A7C55
 NONE = -(1 << 63)
