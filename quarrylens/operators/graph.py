@@ -84,8 +84,8 @@ def flow_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin(*TRAVERSED)).join(ends, F.col("target") == F.col("_end"), "left_semi")
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, distance): all nodes within ``depth`` steps of the nodes in ``start`` (id), by frontiers."""
+def reach(edges: DataFrame, start: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
+    """(id, distance): all nodes within ``depth`` steps of the nodes in ``start`` (id), by frontiers; with ``within`` (id) only over these nodes."""
     if depth < 1:
         raise ValueError("depth starts at 1")
     front = start.select("id").distinct()
@@ -94,6 +94,9 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         # the frontier is what was new last; Spark broadcasts it when its written size allows
         front = known.where(F.col("distance") == step - 1).select(F.col("id").alias("_at"))
         new = edges.select("source", "target").join(front, F.col("source") == F.col("_at")).select(F.col("target").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+        if within is not None:
+            # the new ones are few, so they are looked up rather than all edges filtered
+            new = within.select("id").join(new, "id", "left_semi")
         new = cut(new.withColumn("distance", F.lit(step).cast("long")))
         if new.isEmpty():
             break

@@ -118,7 +118,9 @@ SLICE = f"{WITH_GRAPH}, {_slice_sql(og.START, og.DEPTH)}"
 
 def _slice(spark: SparkSession, d: str, start: str = og.START, depth: int = og.DEPTH) -> tuple[DataFrame, DataFrame]:
     edges = og.edges(spark, d, merged=False)
-    return g.reach(g.flow_edges(og.nodes(spark, d), edges), spark.createDataFrame([(start,)], "id string"), depth), edges
+    # written down once for all levels
+    followed = cut(edges.where(F.col("kind").isin(*g.TRAVERSED)).select("source", "target"))
+    return g.reach(followed, spark.createDataFrame([(start,)], "id string"), depth, cut(og.nodes(spark, d).where(F.col("kind").isin(*g.IN_FLOW)).select("id"))), edges
 
 
 @query(f"WITH RECURSIVE {SLICE} SELECT id, distance FROM slice")
