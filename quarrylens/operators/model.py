@@ -31,12 +31,13 @@ def fold_declarations(declared: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def inferred_transitions(writes: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """From each written value to the next different one of its group; with a column ``domain`` only within a domain or an UNKNOWN one."""
+    """From each written value to the next different one of its group; with a column ``domain`` only within a domain or an UNKNOWN one, and in the one that is known."""
     w = Window.partitionBy(group).orderBy(*order)
     out = writes.withColumn("from_state", F.col("value")).withColumn("to_state", F.lead("value").over(w))
     if "domain" in writes.columns:
         nxt = F.lead("domain").over(w)
-        out = out.withColumn("_next", nxt).where("domain = _next OR domain = 'UNKNOWN' OR _next = 'UNKNOWN'").drop("_next")
+        out = out.withColumn("_next", nxt).where("domain = _next OR domain = 'UNKNOWN' OR _next = 'UNKNOWN'")
+        out = out.withColumn("domain", F.when(F.col("_next") != "UNKNOWN", F.col("_next")).otherwise(F.col("domain"))).drop("_next")
     return out.where("to_state <> from_state")
 
 

@@ -47,13 +47,10 @@ def build(extracted: DataFrame) -> System:
     order = Window.partitionBy("caller_id", "line").orderBy("seq")
     calls = calls.withColumn("i", F.row_number().over(order) - 1).withColumn("id", F.concat_ws("-", F.lit("CALL"), "caller_id", slug("callee"), F.concat(F.lit("L"), "line"), "i"))
     calls = _resolve(calls, procedures)
-    sql = entity(x, "sql").withColumn("f", facts("text")).select("file", "seq", "component", "procedure", "text", "raw", "is_dynamic", "line", "state_token", "f.*")
+    sql = entity(x, "sql").withColumn("f", facts("text")).select("file", "seq", "component", "procedure", "text", "raw", "is_dynamic", "line", "state_tokens", "mentions_state_column", "domain", "f.*")
     sql = sql.withColumn("id", F.concat_ws("-", F.lit("SQL"), slug("file"), F.concat(F.lit("L"), "line"), F.substring(F.sha2("raw", 256), 1, 8))).withColumn("procedure_id", _id("PROC", "component", "procedure"))
     writes = entity(x, "state_write").withColumn("procedure_id", _id("PROC", "component", "procedure"))
-    place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    seen = writes.select(F.col("domain"), F.lit("UNKNOWN").alias("from_state"), F.col("value").alias("to_state"), F.col("procedure_id").alias("trigger"), place.alias("source"), F.lit("OBSERVATION").alias("evidence"))
-    guessed = inferred_transitions(writes, "procedure_id", ["line", "seq"]).select("domain", "from_state", "to_state", F.col("procedure_id").alias("trigger"), place.alias("source"), F.lit("INFERENCE").alias("evidence"))
-    transitions = g.keep_first(seen.unionByName(guessed), ["domain", "from_state", "to_state", "trigger"], "source")
+    transitions = _transitions(writes, sql)
     entries = entity(x, "entry_point").withColumn("id", F.when(F.col("kind") == "FORM", _id("ENTRY", "name")).otherwise(F.concat_ws("-", _id("ENTRY", "name"), F.lit("P"))))
     entries = g.keep_first(entries.withColumns({"component_id": _id("CMP", "component"), "procedure_id": F.when(F.col("procedure").isNotNull(), _id("PROC", "component", "procedure"))}), ["id"], F.col("procedure").isNull(), "file", "seq")
     # an entry point of a component that is only declared is none
@@ -92,6 +89,18 @@ def _objects(sql: DataFrame, calls: DataFrame) -> DataFrame:
     return per
 
 
+def _transitions(writes: DataFrame, sql: DataFrame) -> DataFrame:
+    """Each change of state once for each procedure: by writes, from one write to the next, by SQL that mentions a state's column."""
+    c = F.col
+    row = ["domain", "from_state", "to_state", F.concat_ws(".", "component", "procedure").alias("trigger"), "procedure_id", "file", "line", "seq"]
+    kind = lambda evidence, n: [F.lit(evidence).alias("evidence"), F.lit(n).alias("n")]
+    seen = writes.withColumns({"from_state": F.lit("UNKNOWN"), "to_state": c("value")}).select(*row, *kind("OBSERVATION", 0))
+    guessed = inferred_transitions(writes, "procedure_id", ["line", "seq"]).select(*row, *kind("INFERENCE", 1))
+    said = sql.where("mentions_state_column").withColumns({"from_state": F.lit("UNKNOWN"), "to_state": F.explode("state_tokens")}).select(*row, *kind("OBSERVATION", 2))
+    kept = g.keep_first(seen.unionByName(guessed).unionByName(said), ["domain", "from_state", "to_state", "trigger"], "file", "n", "line", "seq")
+    return kept.select("domain", "from_state", "to_state", "trigger", "procedure_id", F.concat_ws(":", "file", c("line").cast("string")).alias("source"), "evidence")
+
+
 def any_node(s: System, wanted: DataFrame) -> DataFrame:
     """(ref, id) of references to a procedure, else a component, else a file, by id; what is none of them is left out."""
     out = wanted.select("ref").distinct()

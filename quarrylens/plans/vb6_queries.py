@@ -1,4 +1,8 @@
-"""Queries over a small invented VB6 system; source text cannot be analysed in SQL."""
+"""Queries over VB6 source text that is written from the tables: one form for each customer, one class for each nation.
+
+What the readers must find stands below by hand, as rows with places to fill in;
+SQL fills them from the same tables, so it shares no code with the readers.
+"""
 
 from __future__ import annotations
 
@@ -8,63 +12,355 @@ from pyspark.sql import functions as F
 from quarrylens.operators import graph as g
 from quarrylens.operators import rules as rl
 from quarrylens.operators import system as sy
-from quarrylens.plans.sample import FILES
 from quarrylens.sources.vb6 import entity, extract
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: {k} is a customer, {p} the next one, {n} a nation, {s} a market segment.
+FORM = """Attribute VB_Name = "C{k}"
+Option Explicit
+Private m_statusGrupo As String
+Public Function Total{k}(ByVal id As Long, Optional rate As Double) As Currency
+    Dim rs As N{n}
+    ' totals of one customer
+    If id > {n} Then
+        Exit Function
+    End If
+    Set rs = N{n}.OpenRows{n}("SELECT O_KEY, O_TOTAL FROM ORDERS_{n} WHERE CUST = " & id)
+    Total{k} = Total{p}(id, rate)
+End Function
+
+Private Sub cmdSave_Click()
+    m_statusGrupo = "{s}"
+    If Not N{n}.IsOpen(id) Then
+        Exit Sub
+    End If
+    Call Audit("UPDATE SEGMENT_{n} SET STATUS = '" & "POSTED" & "' WHERE ID = {k}")
+    SetStatus id, "SAVED"
+    MsgBox "saved " & _
+        Total{k}(1)
+End Sub
+Public Sub Audit(msg, Optional ByVal level As Long)
+    Debug.Print msg
+End Sub
+"""
+CLASS = """Attribute VB_Name = "N{n}"
+Public Function OpenRows{n}(sql As String) As Object
+    Set OpenRows{n} = CreateObject("ADODB.Recordset")
+End Function
+"""
+FORM_FILE, CLASS_FILE = "cust/C{k}.frm", "nation/N{n}.cls"
+
+# Tokens by line: spaces before, first letter of the kind (W: newline, X: a continued line, no token), value.
+KINDS = {"A": "ATTRIBUTE", "K": "KEYWORD", "I": "IDENTIFIER", "N": "NUMBER", "S": "STRING", "O": "OPERATOR", "P": "PUNCTUATION", "C": "COMMENT", "W": "NEWLINE", "X": ""}
+FORM_TOKENS = """0AAttribute VB_Name = "C{k}"
+0KOption¦1KExplicit
+0KPrivate¦1Im_statusGrupo¦1KAs¦1KString
+0KPublic¦1KFunction¦1ITotal{k}¦0P(¦0KByVal¦1Iid¦1KAs¦1KLong¦0P,¦1KOptional¦1Irate¦1KAs¦1KDouble¦0P)¦1KAs¦1KCurrency
+4KDim¦1Irs¦1KAs¦1IN{n}
+4C' totals of one customer
+4KIf¦1Iid¦1O>¦1N{n}¦1KThen
+8KExit¦1KFunction
+4KEnd¦1KIf
+4KSet¦1Irs¦1O=¦1IN{n}¦0P.¦0IOpenRows{n}¦0P(¦0S"SELECT O_KEY, O_TOTAL FROM ORDERS_{n} WHERE CUST = "¦1O&¦1Iid¦0P)
+4ITotal{k}¦1O=¦1ITotal{p}¦0P(¦0Iid¦0P,¦1Irate¦0P)
+0KEnd¦1KFunction
+
+0KPrivate¦1KSub¦1IcmdSave_Click¦0P(¦0P)
+4Im_statusGrupo¦1O=¦1S"{s}"
+4KIf¦1KNot¦1IN{n}¦0P.¦0IIsOpen¦0P(¦0Iid¦0P)¦1KThen
+8KExit¦1KSub
+4KEnd¦1KIf
+4KCall¦1IAudit¦0P(¦0S"UPDATE SEGMENT_{n} SET STATUS = '"¦1O&¦1S"POSTED"¦1O&¦1S"' WHERE ID = {k}"¦0P)
+4ISetStatus¦1Iid¦0P,¦1S"SAVED"
+4IMsgBox¦1S"saved "¦1O&¦0X _
+8ITotal{k}¦0P(¦0N1¦0P)
+0KEnd¦1KSub
+0KPublic¦1KSub¦1IAudit¦0P(¦0Imsg¦0P,¦1KOptional¦1KByVal¦1Ilevel¦1KAs¦1KLong¦0P)
+4IDebug¦0P.¦0KPrint¦1Imsg
+0KEnd¦1KSub"""
+CLASS_TOKENS = """0AAttribute VB_Name = "N{n}"
+0KPublic¦1KFunction¦1IOpenRows{n}¦0P(¦0Isql¦1KAs¦1KString¦0P)¦1KAs¦1KObject
+4KSet¦1IOpenRows{n}¦1O=¦1ICreateObject¦0P(¦0S"ADODB.Recordset"¦0P)
+0KEnd¦1KFunction"""
+
+TOTAL, CLICK, AUDIT = "PROC-C{k}-TOTAL{k}", "PROC-C{k}-CMDSAVE_CLICK", "PROC-C{k}-AUDIT"
+OPEN = "PROC-N{n}-OPENROWS{n}"
+SELECT, UPDATE = "SELECT O_KEY, O_TOTAL FROM ORDERS_{n} WHERE CUST = ", "UPDATE SEGMENT_{n} SET STATUS = 'POSTED' WHERE ID = {k}"
+SELECT_LINE = f'Set rs = N{{n}}.OpenRows{{n}}("{SELECT}" & id)'
+UPDATE_LINE = """Call Audit("UPDATE SEGMENT_{n} SET STATUS = '" & "POSTED" & "' WHERE ID = {k}")"""
+
 
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
-def _extracted(spark: SparkSession, tokens: bool = False) -> DataFrame:
-    return extract(spark.createDataFrame(list(FILES.items()), "file string, content string"), tokens)
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """(file, content) of all forms and classes."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"))
+    c = c.select(F.lit(FORM_FILE).alias("file"), F.lit(FORM).alias("content"), "k", "n", "s")
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.lit(CLASS_FILE).alias("file"), F.lit(CLASS).alias("content"), F.lit(0).cast("long").alias("k"), F.col("n_nationkey").alias("n"), F.lit("").alias("s"))
+    fill = {"{k}": F.col("k").cast("string"), "{p}": (F.col("k") + 1).cast("string"), "{n}": F.col("n").cast("string"), "{s}": F.col("s")}
+    out = c.unionByName(n)
+    for place, value in fill.items():
+        out = out.withColumns({x: F.replace(x, F.lit(place), value) for x in ("file", "content")})
+    # the scanner is Python: its work is spread whatever the number of input files
+    return out.select("file", "content").repartition("file")
+
+
+def _system(spark: SparkSession, d: str) -> sy.System:
+    return sy.build(extract(sources(spark, d)))
+
+
+def _quoted(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + x.replace("'", "''") + "'"
+
+
+def filled(expected: list[tuple], columns: str, of: str = "C") -> str:
+    """SQL of rows with their places filled for each customer (C) or nation (N)."""
+    table = "(SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS s FROM customer)" if of == "C" else "(SELECT 0 AS k, n_nationkey AS n, '' AS s FROM nation)"
+    fill = lambda c: f"replace(replace(replace(replace({c}, '{{k}}', k::VARCHAR), '{{p}}', (k + 1)::VARCHAR), '{{n}}', n::VARCHAR), '{{s}}', s) AS {c}"
+    names = columns.split(", ")
+    text = [any(isinstance(r[i], str) for r in expected) for i in range(len(names))]
+    rows = ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in expected)
+    return f"SELECT {', '.join(fill(c) if t else f'v.{c}' for c, t in zip(names, text))} FROM {table} AS t CROSS JOIN (VALUES {rows}) AS v({columns})"
+
+
+def both(forms: list[tuple], classes: list[tuple], columns: str) -> str:
+    return f"{filled(forms, columns)} UNION ALL {filled(classes, columns, 'N')}"
+
+
+def _cells(tokens: str) -> list[tuple]:
+    out = []
+    for line, cells in enumerate(tokens.split("\n"), 1):
+        row = [c for c in cells.split("¦") if c]
+        row = [*row[:-1], row[-1] + "\n"] if row and row[-1][1] == "X" else [*row, "0W\n"]
+        out += [(len(out) + i, line, int(c[0]), KINDS[c[1]], c[2:]) for i, c in enumerate(row)]
+    return out
+
+
+def _with_file(rows: list[tuple], file: str) -> list[tuple]:
+    return [(file, *r) for r in rows]
+
+
+_COLUMNS = "file, pos, line, lead, kind, value"
+SQL["vb6_tokens"] = f"""
+WITH cell AS ({both(_with_file(_cells(FORM_TOKENS), FORM_FILE), _with_file(_cells(CLASS_TOKENS), CLASS_FILE), _COLUMNS)}),
+placed AS (SELECT *, sum(lead + length(value)) OVER (PARTITION BY file ORDER BY pos) - length(value) AS start FROM cell),
+lined AS (SELECT *, min(start - lead) OVER (PARTITION BY file, line) AS line_start FROM placed)
+SELECT file, kind, value, line::INT AS line, (start - line_start + 1)::INT AS col, start::INT AS "offset" FROM lined WHERE kind <> ''"""
 
 
 @query
 def vb6_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return entity(_extracted(spark, True), "token")
+    return entity(extract(sources(spark, d), True), "token").select("file", "kind", "value", "line", "col", "offset")
+
+
+def _statement_rows(source: str) -> list[tuple]:
+    """Every line is a statement but for empty ones, comments and the one that is continued."""
+    lines = source.split("\n")
+    return [(i, i, x.strip()) for i, x in enumerate(lines, 1) if x.strip() and not x.strip().startswith(("'", "MsgBox", "Total{k}(1)"))]
+
+
+SQL["vb6_statements"] = both(
+    _with_file([*_statement_rows(FORM), (21, 22, 'MsgBox "saved " & _\n        Total{k}(1)')], FORM_FILE), _with_file(_statement_rows(CLASS), CLASS_FILE), "file, line, end_line, text"
+)
 
 
 @query
 def vb6_statements(spark: SparkSession, d: str) -> DataFrame:
-    return entity(_extracted(spark, True), "statement")
+    return entity(extract(sources(spark, d), True), "statement").select("file", "line", "end_line", "text")
+
+
+SQL["vb6_components"] = both(
+    [("CMP-C{k}", "C{k}", "FORM", "OK", True, "N{n}", "", FORM_FILE)], [("CMP-N{n}", "N{n}", "CLASS", "OK", None, "", "late-binding", CLASS_FILE)], "id, name, kind, status, option_explicit, depends_on, attention_points, file"
+)
+
+
+@query
+def vb6_components(spark: SparkSession, d: str) -> DataFrame:
+    listed = [F.array_join(c, ",").alias(c) for c in ("depends_on", "attention_points")]
+    return _system(spark, d).components.select("id", "name", "kind", "status", "option_explicit", *listed, "file")
+
+
+SQL["vb6_procedures"] = both(
+    [
+        (TOTAL, "function", "public", "Currency", False, None, 4, 12),
+        (CLICK, "sub", "private", None, True, "Click", 14, 23),
+        (AUDIT, "sub", "public", None, False, None, 24, 26),
+    ],
+    [(OPEN, "function", "public", "Object", False, None, 2, 4)],
+    "id, kind, visibility, return_type, is_event_handler, event_name, line, end_line",
+)
+
+
+@query
+def vb6_procedures(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d).procedures.select("id", "kind", "visibility", "return_type", "is_event_handler", "event_name", "line", "end_line")
+
+
+SQL["vb6_parameters"] = both(
+    [
+        (TOTAL, 0, "id", "Long", "IN", False, False, "OK"),
+        (TOTAL, 1, "rate", "Double", "IN", True, True, "OK"),
+        (AUDIT, 0, "msg", None, "IN", True, False, "UNKNOWN"),
+        (AUDIT, 1, "level", "Long", "IN", False, True, "OK"),
+    ],
+    [(OPEN, 0, "sql", "String", "IN", True, False, "OK")],
+    "procedure_id, pos, name, type_name, direction, by_ref, optional, type_confidence",
+)
+
+
+@query
+def vb6_parameters(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d).procedures.select(F.col("id").alias("procedure_id"), F.posexplode("parameters").alias("pos", "p")).select("procedure_id", "pos", "p.*")
+
+
+SQL["vb6_variables"] = filled([("C{k}", None, "m_statusGrupo", "String", "module", 3), ("C{k}", "Total{k}", "rs", "N{n}", "local", 5)], "component, procedure, name, type_name, scope, line")
+
+
+@query
+def vb6_variables(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d).variables.select("component", "procedure", "name", "type_name", "scope", "line")
+
+
+SQL["vb6_entry_points"] = both(
+    [
+        ("ENTRY-C{k}", "C{k}", "FORM", "CMP-C{k}", None),
+        ("ENTRY-C{k}_TOTAL{k}-P", "C{k}.Total{k}", "COMMAND", "CMP-C{k}", TOTAL),
+        ("ENTRY-C{k}_CMDSAVE_CLICK-P", "C{k}.cmdSave_Click", "EVENT_HANDLER", "CMP-C{k}", CLICK),
+        ("ENTRY-C{k}_AUDIT-P", "C{k}.Audit", "COMMAND", "CMP-C{k}", AUDIT),
+    ],
+    [("ENTRY-N{n}_OPENROWS{n}-P", "N{n}.OpenRows{n}", "COMMAND", "CMP-N{n}", OPEN)],
+    "id, name, kind, component_id, procedure_id",
+)
+
+
+@query
+def vb6_entry_points(spark: SparkSession, d: str) -> DataFrame:
+    return _system(spark, d).entry_points.select("id", "name", "kind", "component_id", "procedure_id")
+
+
+# the next customer's function need not exist; Audit stands in every form, so a call of it stays open
+_CALLS = both(
+    [
+        (f"CALL-{TOTAL}-OPENROWS{{n}}-L10-0", TOTAL, "OpenRows{n}", "N{n}", "DYNAMIC", OPEN, 10),
+        (f"CALL-{TOTAL}-TOTAL{{p}}-L11-0", TOTAL, "Total{p}", None, "STATIC", "PROC-C{p}-TOTAL{p}", 11),
+        (f"CALL-{CLICK}-ISOPEN-L16-0", CLICK, "IsOpen", "N{n}", "DYNAMIC", None, 16),
+        (f"CALL-{CLICK}-AUDIT-L19-0", CLICK, "Audit", None, "UNRESOLVED", None, 19),
+        (f"CALL-{CLICK}-SETSTATUS-L20-0", CLICK, "SetStatus", None, "STATIC", None, 20),
+        (f"CALL-{CLICK}-MSGBOX-L21-0", CLICK, "MsgBox", None, "EXTERNAL", None, 21),
+        (f"CALL-{CLICK}-TOTAL{{k}}-L22-0", CLICK, "Total{k}", None, "STATIC", TOTAL, 22),
+    ],
+    [(f"CALL-{OPEN}-CREATEOBJECT-L3-0", OPEN, "CreateObject", None, "STATIC", None, 3)],
+    "id, caller_id, callee, receiver, kind, callee_id, line",
+)
+_LAST = "(SELECT 'PROC-C' || (max(c_custkey) + 1) || '-TOTAL' || (max(c_custkey) + 1) FROM customer)"
+SQL["vb6_calls"] = f"SELECT * REPLACE (nullif(callee_id, {_LAST}) AS callee_id) FROM ({_CALLS})"
 
 
 @query
 def vb6_calls(spark: SparkSession, d: str) -> DataFrame:
-    return sy.build(_extracted(spark)).calls.select("id", "caller_id", "callee", "receiver", "kind", "callee_id", "line")
+    return _system(spark, d).calls.select("id", "caller_id", "callee", "receiver", "kind", "callee_id", "line")
+
+
+_STATEMENTS = filled(
+    [
+        ("SQL-CUST_C{k}_FRM-L10-", SELECT_LINE, TOTAL, SELECT + "?", "SELECT", "ORDERS_{n}", "", "O_KEY,O_TOTAL,CUST", "READ", "OK"),
+        ("SQL-CUST_C{k}_FRM-L19-", UPDATE_LINE, CLICK, UPDATE, "UPDATE", "SEGMENT_{n}", "", "STATUS,ID", "WRITE", "OK"),
+    ],
+    "id, raw, procedure_id, text, operation, tables, views, columns, access_mode, parse_status",
+)
+SQL["vb6_sql"] = f"SELECT * EXCLUDE (raw) REPLACE (id || substring(sha256(raw), 1, 8) AS id) FROM ({_STATEMENTS})"
 
 
 @query
 def vb6_sql(spark: SparkSession, d: str) -> DataFrame:
-    return sy.build(_extracted(spark)).statements.select("id", "text", "operation", "tables", "views", "columns", "procedure_name", "access_mode", "parse_status")
+    listed = [F.array_join(c, ",").alias(c) for c in ("tables", "views", "columns")]
+    return _system(spark, d).statements.select("id", "procedure_id", "text", "operation", *listed, "access_mode", "parse_status")
+
+
+SQL["vb6_objects"] = f"""
+SELECT id, kind, name, split_part(min(place), ':', 1) AS file, any_value(line)::INT AS line, count(DISTINCT procedure_id)::INT AS n_callers
+FROM ({filled([("TABLE-ORDERS_{n}", "TABLE", "ORDERS_{n}", FORM_FILE + ":", 10, TOTAL), ("TABLE-SEGMENT_{n}", "TABLE", "SEGMENT_{n}", FORM_FILE + ":", 19, CLICK)], "id, kind, name, place, line, procedure_id")})
+GROUP BY id, kind, name"""
 
 
 @query
 def vb6_objects(spark: SparkSession, d: str) -> DataFrame:
-    return sy.build(_extracted(spark)).objects
+    return _system(spark, d).objects.select("id", "kind", "name", "first_seen.file", "first_seen.line", F.size("called_by").alias("n_callers"))
+
+
+SQL["vb6_transitions"] = filled(
+    [
+        ("GRUPO", "UNKNOWN", "{s}", "C{k}.cmdSave_Click", CLICK, FORM_FILE + ":15", "OBSERVATION"),
+        ("UNKNOWN", "UNKNOWN", "SAVED", "C{k}.cmdSave_Click", CLICK, FORM_FILE + ":20", "OBSERVATION"),
+        ("UNKNOWN", "UNKNOWN", "POSTED", "C{k}.cmdSave_Click", CLICK, FORM_FILE + ":19", "OBSERVATION"),
+        # the place is that of the write before
+        ("GRUPO", "{s}", "SAVED", "C{k}.cmdSave_Click", CLICK, FORM_FILE + ":15", "INFERENCE"),
+    ],
+    "domain, from_state, to_state, trigger, procedure_id, source, evidence",
+)
 
 
 @query
 def vb6_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return sy.build(_extracted(spark)).transitions
+    return _system(spark, d).transitions.select("domain", "from_state", "to_state", "trigger", "procedure_id", "source", "evidence")
+
+
+_SELECT_ID, _UPDATE_ID = f"SQL-CUST_C{{k}}_FRM-L10-#{SELECT_LINE}", f"SQL-CUST_C{{k}}_FRM-L19-#{UPDATE_LINE}"
+_EDGES = both(
+    [
+        ("CONTAINS", "FILE-CUST_C{k}_FRM", "CMP-C{k}", "", "", "OK"),
+        *[("CONTAINS", "CMP-C{k}", p, "", "", "OK") for p in (TOTAL, CLICK, AUDIT)],
+        *[("HAS_PARAMETER", p, f"PARAM-{p}-{x}", "", "", "OK") for p, x in ((TOTAL, "ID"), (TOTAL, "RATE"), (AUDIT, "MSG"), (AUDIT, "LEVEL"))],
+        ("DEPENDS_ON", "CMP-C{k}", "CMP-N{n}", "", "", "OK"),
+        ("CALLS", TOTAL, OPEN, "", f"CALL-{TOTAL}-OPENROWS{{n}}-L10-0", "PARTIAL"),
+        ("CALLS", TOTAL, "PROC-C{p}-TOTAL{p}", "", f"CALL-{TOTAL}-TOTAL{{p}}-L11-0", "OK"),
+        ("CALLS", CLICK, TOTAL, "", f"CALL-{CLICK}-TOTAL{{k}}-L22-0", "OK"),
+        ("DEPENDS_ON", TOTAL, _SELECT_ID, "executes", "", "OK"),
+        ("DEPENDS_ON", CLICK, _UPDATE_ID, "executes", "", "OK"),
+        ("READS", _SELECT_ID, "TABLE-ORDERS_{n}", "", "", "OK"),
+        ("WRITES", _UPDATE_ID, "TABLE-SEGMENT_{n}", "", "", "OK"),
+        *[("ENTRY_TO", f"ENTRY-C{{k}}{x}", "CMP-C{k}", "", "", "OK") for x in ("", "_TOTAL{k}-P", "_CMDSAVE_CLICK-P", "_AUDIT-P")],
+        *[("ENTRY_TO", f"ENTRY-C{{k}}{x}", p, "", "", "OK") for x, p in (("_TOTAL{k}-P", TOTAL), ("_CMDSAVE_CLICK-P", CLICK), ("_AUDIT-P", AUDIT))],
+    ],
+    [
+        ("CONTAINS", "FILE-NATION_N{n}_CLS", "CMP-N{n}", "", "", "OK"),
+        ("CONTAINS", "CMP-N{n}", OPEN, "", "", "OK"),
+        ("HAS_PARAMETER", OPEN, f"PARAM-{OPEN}-SQL", "", "", "OK"),
+        ("ENTRY_TO", "ENTRY-N{n}_OPENROWS{n}-P", "CMP-N{n}", "", "", "OK"),
+        ("ENTRY_TO", "ENTRY-N{n}_OPENROWS{n}-P", OPEN, "", "", "OK"),
+    ],
+    "kind, source, target, label, via, confidence",
+)
+_HASHED = "CASE WHEN contains({0}, '#') THEN split_part({0}, '#', 1) || substring(sha256(split_part({0}, '#', 2)), 1, 8) ELSE {0} END AS {0}"
+SQL["vb6_graph"] = f"SELECT * REPLACE ({_HASHED.format('source')}, {_HASHED.format('target')}) FROM ({_EDGES}) WHERE target <> {_LAST}"
 
 
 @query
 def vb6_graph(spark: SparkSession, d: str) -> DataFrame:
-    return sy.graph(sy.build(_extracted(spark)))[1]
+    return sy.graph(_system(spark, d))[1].select("kind", "source", "target", "label", "via", "confidence")
+
+
+SQL["vb6_rules"] = filled(
+    [
+        ("RULE-C{k}-001", "Branch when id > {n}", "id > {n}", "unknown", "medium", "candidate", "C{k}.Total{k}: If id > {n} Then", "the slice shows the comparison but not which side is the rejection (outcome detected as 'reject')"),
+        ("RULE-C{k}-002", "Reject when IsOpen is false", "N{n}.IsOpen(id)", "reject", "medium", "candidate", "C{k}.cmdSave_Click: If Not N{n}.IsOpen(id) Then", "'IsOpen' is treated as a validator; the slice does not state the reason."),
+    ],
+    "rule_id, name, expression, behavior_type, confidence, status, observation, inference",
+)
 
 
 @query
 def vb6_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates from the slice of the sample's form."""
-    s = sy.build(_extracted(spark))
-    nodes, edges = sy.graph(s)
-    start = sy.resolve_entry(nodes, "MainForm.cmdSave_Click")
-    reached = g.reach(g.flow_edges(nodes, edges), spark.createDataFrame([(start,)], "id string"), 5)
-    got = rl.read_rules(sy.fragments(s, reached).select("fragment", "procedure", "text"))
-    return rl.admit(got.withColumns({"flow": F.lit("SAVE"), "seq": F.coalesce("line_no", F.lit(1 << 30))})).select("rule_id", "name", "expression", "behavior_type", "confidence", "status", "observation", "inference")
+    """Candidates from all procedures, the rules of a form being one flow."""
+    s = _system(spark, d)
+    parts = sy.fragments(s, s.procedures.select("id"))
+    got = rl.read_rules(parts.select("fragment", "procedure", "text"))
+    flow = F.regexp_extract("fragment", "^PROC-([^-]+)-", 1)
+    got = rl.admit(got.withColumns({"flow": flow, "seq": "line_no"}))
+    listed = [F.array_join(c, ",").alias(c) for c in ("observation", "inference")]
+    return got.select("rule_id", "name", "expression", "behavior_type", "confidence", "status", *listed)

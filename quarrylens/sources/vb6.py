@@ -31,12 +31,14 @@ NOT_CALLED = frozenset("if elseif else for each next while wend do loop select c
 MODIFIERS = frozenset("public private friend static global".split())
 STATE_HINTS = ("estado", "state", "rastro", "situacao", "status", "resultado", "fase")
 SQL_HEAD = re.compile(r"(?i)^\s*(select|insert\s+into|update|delete\s+from|merge|create\s+(table|view|or\s+replace)|alter\s+table|drop\s+table|truncate|execute|exec|call|\{call)\b")
+SQL_CALL = re.compile(r"(?i)^\s*\{?\s*call\b")
 SQL_TAIL = re.compile(r"(?i)\b(from|into|set|values|where|join|group\s+by|order\s+by)\b")
 OUT_NAME = re.compile(r"^P_[A-Z0-9_]+$")
 STATE_ASSIGN = re.compile(r'^\s*([A-Za-z_][\w.$]*)\s*=\s*"([A-Z][A-Z0-9_]*)"\s*$')
 STATE_SETTER = re.compile(r'^\s*(?:call\s+)?([A-Za-z_][\w.$]*)\s+([A-Za-z_][\w.$]*)\s*,\s*"([A-Z][A-Z0-9_]*)"\s*$')
 STATE_CALL = re.compile(r'^\s*(?:call\s+)?[A-Za-z_][\w.$]*\s*\(\s*([A-Za-z_][\w.$]*)?\s*,\s*(?:(?:adVar|Types\.)?\w+\s*,\s*)?"([A-Z][A-Z0-9_]*)"')
 STATE_VALUE = re.compile(r"[A-Z][A-Z0-9_]{2,}")
+STATE_COLUMN = re.compile(r"(?i)\b(ESTADO|STATE|SITUACAO|SITUAÇÃO|STATUS|ESTADO_RASTRO)\b")
 NO_STATE = frozenset(
     "SELECT INSERT UPDATE DELETE FROM WHERE VALUES CREATE ALTER DROP TABLE ORDER GROUP JOIN INNER OUTER LEFT RIGHT FULL CROSS RETURNING CURRENT_TIMESTAMP CURRENT_DATE AND OR NOT NULL TRUE FALSE REJECTED APPROVED UNKNOWN".split()
 )
@@ -228,9 +230,9 @@ def sql_string(s: Statement) -> dict | None:
     lits = [t for t in s.tokens if t.kind == "STRING"]
     if not lits:
         return None
-    head = _unquote(lits[0].value)
-    joined = " ".join(_unquote(t.value) for t in lits)
-    if not (SQL_HEAD.match(head) or len(head) > 12 and SQL_TAIL.search(head)):
+    values = [_unquote(t.value) for t in lits]
+    joined = "".join(values)
+    if not (SQL_HEAD.match(joined) or len(joined) > 12 and SQL_TAIL.search(joined)):
         return None
     first, last = s.tokens.index(lits[0]), len(s.tokens) - 1 - s.tokens[::-1].index(lits[-1])
     parts, gap, depth = [], False, 0
@@ -247,8 +249,19 @@ def sql_string(s: Statement) -> dict | None:
             gap = True
     text = "".join(parts) + "?" * gap
     text = re.sub(r"'\?'", "?", text)
-    literal = next((_unquote(t.value) for t in lits if re.fullmatch(r"[A-Z][A-Z0-9_]*", _unquote(t.value))), None)
-    return {"text": text, "raw": s.text.strip(), "is_dynamic": len(lits) > 1 or any(t.value == "&" for t in s.tokens), "line": s.line, "state_token": literal, "mentions_state_column": bool(re.search(r"(?i)\b(ESTADO|STATE|SITUACAO|STATUS|ESTADO_RASTRO)\b", joined))}
+    if SQL_CALL.match(joined):
+        text = joined
+    states = [v.strip().upper() for v in values if _is_state(v.strip().upper())]
+    return {"text": text, "raw": s.text.strip(), "is_dynamic": len(lits) > 1 or any(t.value == "&" for t in s.tokens), "line": s.line, "state_tokens": states, "mentions_state_column": bool(STATE_COLUMN.search(s.text))}
+
+
+def _is_state(value: str) -> bool:
+    return STATE_VALUE.fullmatch(value) is not None and value not in NO_STATE
+
+
+def state_domain(name: str) -> str:
+    low = name.lower()
+    return "GRUPO" if "grupo" in low else "CONSISTENCIA" if "consistencia" in low else "UNKNOWN"
 
 
 def _names_state(name: str | None) -> bool:
@@ -266,9 +279,8 @@ def state_write(s: Statement) -> dict | None:
     if m := STATE_CALL.match(s.text):
         found.append(("inline_call", leaf(m[1]), m[2], _names_state(leaf(m[1]))))
     for shape, target, value, named in found:
-        if named and STATE_VALUE.fullmatch(value) and value not in NO_STATE:
-            low = target.lower()
-            return {"target": target, "value": value, "line": s.line, "shape": shape, "domain": "GRUPO" if "grupo" in low else "CONSISTENCIA" if "consistencia" in low else "UNKNOWN"}
+        if named and _is_state(value):
+            return {"target": target, "value": value, "line": s.line, "shape": shape}
     return None
 
 
@@ -337,10 +349,10 @@ def read_file(file: str, source: str) -> Iterator[tuple[str, dict]]:
                 rows.append(("call", c | {"procedure": where}))
             w = state_write(s)
             if w:
-                rows.append(("state_write", w | {"procedure": where}))
+                rows.append(("state_write", w | {"procedure": where, "domain": state_domain(f"{w['target']} {where}")}))
             q = sql_string(s)
             if q:
-                rows.append(("sql", q | {"procedure": where}))
+                rows.append(("sql", q | {"procedure": where, "domain": state_domain(f"{q['raw']} {where}")}))
     status = "OK"
     if current:
         status = "PARTIAL"
@@ -381,7 +393,7 @@ SCHEMAS = {
     "procedure": "component string, name string, kind string, visibility string, parameters array<struct<name:string,type_name:string,direction:string,by_ref:boolean,optional:boolean,type_confidence:string>>, return_type string, declared boolean, is_event_handler boolean, event_name string, line int, end_line int, body string",
     "variable": "component string, procedure string, name string, type_name string, scope string, line int",
     "call": "component string, procedure string, callee string, receiver string, kind string, line int, arguments array<string>, expression string",
-    "sql": "component string, procedure string, text string, raw string, is_dynamic boolean, line int, state_token string, mentions_state_column boolean",
+    "sql": "component string, procedure string, text string, raw string, is_dynamic boolean, line int, state_tokens array<string>, mentions_state_column boolean, domain string",
     "state_write": "component string, procedure string, target string, value string, line int, shape string, domain string",
     "control": "component string, name string, kind string, line int",
     "attention": "component string, procedure string, note string, line int",

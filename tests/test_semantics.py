@@ -9,12 +9,12 @@ from quarrylens.operators import lineage, model
 from quarrylens.operators import rules as rl
 from quarrylens.operators import system as sy
 from quarrylens.operators.contract import operations
-from quarrylens.sources.vb6 import extract, split_statements, state_write, tokenize
+from quarrylens.sources.vb6 import extract, read_file, split_statements, sql_string, state_domain, state_write, tokenize
 
 
 def written(text):
     w = state_write(split_statements(text, tokenize(text))[0])
-    return w and (w["target"], w["value"], w["shape"], w["domain"])
+    return w and (w["target"], w["value"], w["shape"], state_domain(w["target"]))
 
 
 def test_state_writes():
@@ -29,6 +29,35 @@ def test_state_writes():
         assert written(text) is None, text
 
 
+def test_sql_of_all_literals():
+    find = lambda text: sql_string(split_statements(text, tokenize(text))[0])
+    # what SQL is, all literals say together
+    assert find('s = "" & "SELECT A FROM T"')["text"] == "SELECT A FROM T"
+    assert find('s = "{call a.b(" & "?)}"')["text"] == "{call a.b(?)}"
+    assert find('s = "no statement"') is None
+    got = find('s = "UPDATE T SET STATUS = \'" & "Posted" & "\'"')
+    assert got["state_tokens"] == ["POSTED"] and got["mentions_state_column"]
+
+
+def test_transitions(spark):
+    code = 'Attribute VB_Name = "M"\nSub GravaGrupo()\nfase = "AAA"\nEnd Sub\nSub B()\nfase = "AAA"\n\n\n\nfaseGrupo = "BBB"\nfase = "BBB"\nfase = "AAA"\ns = "UPDATE T SET ESTADO = " & "CCC"\nEnd Sub\n'
+    rows = list(read_file("m.bas", code))
+    # the procedure's name counts for the domain
+    assert [r["domain"] for e, r in rows if e == "state_write"] == ["GRUPO", "UNKNOWN", "GRUPO", "UNKNOWN", "UNKNOWN"]
+    got = sy.build(extract(spark.createDataFrame([("m.bas", code)], "file string, content string"))).transitions
+    rows = {(r.domain, r.from_state, r.to_state, r.trigger, r.source, r.evidence) for r in got.collect()}
+    assert rows == {
+        ("GRUPO", "UNKNOWN", "AAA", "M.GravaGrupo", "m.bas:3", "OBSERVATION"),
+        # once, at the first place by number of line
+        ("UNKNOWN", "UNKNOWN", "AAA", "M.B", "m.bas:6", "OBSERVATION"),
+        ("GRUPO", "UNKNOWN", "BBB", "M.B", "m.bas:10", "OBSERVATION"),
+        ("UNKNOWN", "UNKNOWN", "BBB", "M.B", "m.bas:11", "OBSERVATION"),
+        ("UNKNOWN", "UNKNOWN", "CCC", "M.B", "m.bas:13", "OBSERVATION"),
+        ("GRUPO", "AAA", "BBB", "M.B", "m.bas:6", "INFERENCE"),
+        ("UNKNOWN", "BBB", "AAA", "M.B", "m.bas:11", "INFERENCE"),
+    }
+
+
 CODE = {
     "a.frm": 'Attribute VB_Name = "Form1"\nPrivate Sub cmd_Click()\n  Save\nEnd Sub\nPrivate Sub Unrelated()\n  Load Other\nEnd Sub\nPublic Sub Save()\n  x = "SELECT a FROM T1 WHERE a = 1"\nEnd Sub\nPrivate Sub AlsoUnrelated()\nEnd Sub\n',
     "b.frm": 'Attribute VB_Name = "Other"\nPrivate Sub Go()\nEnd Sub\n',
