@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.lineage import cut
+from quarrylens.operators.lineage import cut, scratch
 
 # Kinds of edges that carry a flow, and kinds of nodes that belong to one. What contains what is shape, not flow.
 TRAVERSED = ("CALLS", "READS", "WRITES", "QUERIES", "INVOKES", "DEPENDS_ON", "ENTRY_TO", "TRIGGERS", "OBSERVES")
@@ -182,12 +182,63 @@ def propagate_labels(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
+def _modularity(pairs: DataFrame, at: DataFrame, total: int) -> float:
+    """Of communities (node, root) of weighted (source, target, w), given both ways, of weight ``total``."""
+    a, b = (at.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
+    per = pairs.join(a, "source").join(b, "target").groupBy("rsource").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("rsource") == F.col("rtarget"), F.col("w")).otherwise(0)).alias("inner"))
+    return per.agg(F.sum(F.col("inner") / total - (F.col("tot") / total) ** 2)).first()[0]
+
+
+def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
+    """(node, root) by modularity of the undirected simple graph: nodes move, then communities become nodes, until nothing is gained.
+
+    All nodes of a sweep see the same communities. Half of them, by a hash that
+    changes with the sweep, move to where they gain most, so that neighbours do
+    not swap for ever; the best state of a level is kept. Reruns agree.
+    """
+    with scratch(edges.sparkSession) as kept:
+        pairs = cut(both_ways(edges.where("source <> target")).distinct().withColumn("w", F.lit(1).cast("long")))
+        members = cut(pairs.select(F.col("source").alias("node")).distinct().withColumn("root", F.col("node")))
+        total = pairs.agg(F.sum("w")).first()[0]
+        for level in range(levels if total else 0):
+            degree = cut(pairs.groupBy("source").agg(F.sum("w").alias("k")))
+            at = degree.select(F.col("source").alias("node"), F.col("source").alias("root"))
+            best, found, idle = _modularity(pairs, at, total), None, 0
+            for sweep in range(sweeps):
+                mine = degree.join(at.select(F.col("node").alias("source"), F.col("root").alias("own")), "source")
+                tot = mine.groupBy(F.col("own").alias("root")).agg(F.sum("k").alias("tot"))
+                near = pairs.where("source <> target").join(at.withColumnRenamed("node", "target"), "target").select("source", "root", "w")
+                near = near.unionAll(mine.select("source", "own", F.lit(0).cast("long"))).groupBy("source", "root").agg(F.sum("w").alias("w"))
+                away = F.col("root") != F.col("own")
+                loss = F.col("w") * -1.0 + F.col("k") * (F.col("tot") - F.when(away, 0).otherwise(F.col("k"))) / total
+                pick = near.join(tot, "root").join(mine, "source").groupBy("source").agg(F.min(F.struct(loss.alias("loss"), away.alias("away"), "root")).alias("to"), F.min("own").alias("own"))
+                turn = F.pmod(F.xxhash64("source", F.lit(level * sweeps + sweep)), F.lit(2)) == 0
+                at = cut(pick.select(F.col("source").alias("node"), F.when(turn, F.col("to.root")).otherwise(F.col("own")).alias("root")))
+                q = _modularity(pairs, at, total)
+                if q > best + 1e-9:
+                    best, found, idle = q, at, 0
+                else:
+                    idle += 1
+                    if idle == 3:
+                        break
+            if found is None:
+                break
+            over = found.select(F.col("node").alias("root"), F.col("root").alias("over"))
+            members = cut(members.join(over, "root").select("node", F.col("over").alias("root")))
+            a, b = (found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
+            pairs = cut(pairs.join(a, "source").join(b, "target").groupBy(F.col("rsource").alias("source"), F.col("rtarget").alias("target")).agg(F.sum("w").alias("w")))
+        kept.append(members)
+    return members
+
+
 def communities(nodes: DataFrame, edges: DataFrame, method: str = "components", rounds: int = 8) -> tuple[DataFrame, str]:
     """(node, root) and the method that was used; fewer than three nodes are one cluster."""
     if nodes.limit(3).count() < 3:
         return nodes.select(F.col("id").alias("node"), F.min("id").over(Window.partitionBy(F.lit(0))).alias("root")), "singleton"
     if method == "label_propagation":
         found = propagate_labels(edges, rounds).withColumnRenamed("label", "root")
+    elif method == "louvain":
+        found = louvain(edges)
     elif method == "components":
         found = connected(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
     else:
