@@ -9,9 +9,15 @@ so a question whose numbers or names were exchanged is found, and a text that
 only looks alike is not. Windows are also taken with names left as words, so
 that a copy in other case is found.
 
+A capital at the start of a sentence is no name in these windows. An item that
+has too few of them without such words (its sentences begin with names) is
+indexed by a third form too, where they are names: slot consistency tells.
+
 An item whose template has no window with words enough is indexed by windows
 that go on to their fifth word, and an item without any of these by windows of
-the values themselves, which find exact copies. An item of fewer than SHORTEST
+the values themselves, which find exact copies, and, if it has numbers and signs
+of arithmetic, by windows in which the signs are words: of these 0.8 must occur
+and all slots must map. An item of fewer than SHORTEST
 symbols is found in documents that hold nothing else. In scripts that put no
 space between words every letter is a token.
 """
@@ -34,6 +40,8 @@ from quarrylens.llm.common import cut, slices
 WINDOW, WORDS, SHORTEST = 8, 5, 4
 #: Windows that an item needs in a document: these many, or this share if it has fewer.
 NEED, SHARE, CONSISTENT = 6, 0.5, 0.75
+#: Share of the windows with signs of arithmetic that an item needs.
+SIGNS_SHARE = 0.8
 #: Tokens by which neighbouring windows of one occurrence may shift against the item, where a name has more or fewer words.
 SHIFT = 4
 #: So many bytes of benchmark windows may be broadcast; beyond it everything goes through the shuffle join.
@@ -48,10 +56,12 @@ NUMBERS = frozenset("two three four five six seven eight nine ten eleven twelve
 # fixed values: blocks of scripts without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han)
 _DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|[{_DENSE}]|[^\W\d_{_DENSE}]+|[.!?\n\u3002\uff01\uff1f]")
+#: Signs of arithmetic that touch no letter are tokens too.
+SIGNED = re.compile(TOKEN.pattern + r"|(?<![^\W\d_])[-+*/=×÷^%<>](?![^\W\d_])")
 STOPS = ".!?\n\u3002\uff01\uff1f"
-WORD, NUM, UNIT, NAME, STOP = range(5)
+WORD, NUM, UNIT, NAME, STOP, HEAD = range(6)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLOT = np.array([0, 0xA5A5_0001_1357_9BDF, 0xA5A5_0002_2468_ACE1, 0xA5A5_0003_369C_F135, 0], np.uint64)
+SLOT = np.array([0, 0xA5A5_0001_1357_9BDF, 0xA5A5_0002_2468_ACE1, 0xA5A5_0003_369C_F135, 0, 0], np.uint64)
 
 
 class Vocabulary(dict):
@@ -91,12 +101,15 @@ class Vocabulary(dict):
         return n
 
 
-def tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts one after another: text number, kind and value hash of each token, ends of sentences included."""
+def tokens(texts: list[str | None], vocabulary: Vocabulary, pattern: re.Pattern = TOKEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts one after another: text number, kind and value hash of each token, ends of sentences included.
+
+    A word with a capital is a NAME, at the start of a sentence a HEAD.
+    """
     ids, lengths = [], []
     look = vocabulary.__getitem__
     for t in texts:
-        got = list(map(look, TOKEN.findall(t))) if t else []
+        got = list(map(look, pattern.findall(t))) if t else []
         ids += got
         lengths.append(len(got))
     text = np.repeat(np.arange(len(texts)), lengths)
@@ -106,15 +119,16 @@ def tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray,
     kind, value = (x[at] for x in vocabulary.arrays())
     new = np.concatenate(([True], text[1:] != text[:-1]))
     after = np.concatenate(([WORD], kind[:-1]))
-    # a capital at the start of a sentence is no name, a unit stands after a number
-    kind = np.where((kind == NAME) & (new | (after == STOP)), WORD, kind)
+    # a unit stands after a number
+    kind = np.where((kind == NAME) & (new | (after == STOP)), HEAD, kind)
     kind = np.where((kind == UNIT) & (new | (after != NUM)), WORD, kind)
     return text, kind, value
 
 
-def template(text: np.ndarray, kind: np.ndarray, value: np.ndarray, names: bool = True) -> tuple[np.ndarray, ...]:
-    """text number, symbol, kind, value and token number of each symbol; without ``names`` they count as words."""
+def template(text: np.ndarray, kind: np.ndarray, value: np.ndarray, names: bool = True, heads: bool = False) -> tuple[np.ndarray, ...]:
+    """text number, symbol, kind, value and token number of each symbol; without ``names`` they count as words, with ``heads`` first words of sentences as names."""
     at = np.arange(len(kind))
+    kind = np.where(kind == HEAD, NAME if heads else WORD, kind)
     if names and len(kind):
         # a name of several words is one symbol
         again = (kind[1:] == NAME) & (kind[:-1] == NAME) & (text[1:] == text[:-1])
@@ -143,14 +157,21 @@ def windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray, size: int) -
     return at, h[at]
 
 
-def long_windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash and length of each window that needs more than WINDOW symbols for its WORDS words and ends at the last of them."""
+def long_windows(text: np.ndarray, symbol: np.ndarray, kind: np.ndarray, all_starts: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and length of each window that needs more than WINDOW symbols for its WORDS words and ends at the last of them.
+
+    With ``all_starts`` also windows of WINDOW symbols with words enough: one from each symbol.
+    """
     words = np.flatnonzero(kind == WORD)
     at = np.arange(len(kind))
     nth = np.searchsorted(words, at) + WORDS - 1
     at, nth = at[nth < len(words)], nth[nth < len(words)]
     end = words[nth]
-    ok = (end - at >= WINDOW) & (text[at] == text[end])
+    if all_starts:
+        end = np.maximum(end, at + WINDOW - 1)
+        ok = end < len(text)
+        at, end = at[ok], end[ok]
+    ok = ((end - at >= WINDOW) | all_starts) & (text[at] == text[end])
     at, size = at[ok], (end - at + 1)[ok]
     # a polynomial from prefix sums; the factor is odd, so its powers can be divided by
     grow = np.concatenate((np.ones(1, np.uint64), np.full(len(symbol), MIX, np.uint64))).cumprod(dtype=np.uint64)
@@ -193,15 +214,17 @@ def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray |
                 if len(vocabulary) > REMEMBERED:
                     vocabulary = Vocabulary()
                 found = tokens(part.column("text").to_pylist(), vocabulary)
-                begin = np.searchsorted(found[0], np.arange(part.num_rows))
+                signed = tokens(part.column("text").to_pylist(), vocabulary, SIGNED) if ("signs", 0) in sizes else None
                 for (mode, size), names in product(sizes, (True, False)):
                     # only plain windows are taken both ways
-                    if mode == "long" and not names or mode in ("literal", "only") and names:
+                    if mode in ("long", "heads", "signs") and not names or mode in ("literal", "only") and names:
                         continue
-                    text, symbol, kind, value, place = template(*found, names)
+                    read = signed if mode == "signs" else found
+                    begin = np.searchsorted(read[0], np.arange(part.num_rows))
+                    text, symbol, kind, value, place = template(*read, names, mode in ("heads", "signs"))
                     lengths = None
-                    if mode == "long":
-                        at, h, lengths = long_windows(text, symbol, kind)
+                    if mode in ("long", "heads", "signs"):
+                        at, h, lengths = long_windows(text, symbol, kind, mode != "long")
                     elif mode == "literal":
                         at, h = literal_windows(text, value, size)
                     elif mode == "only":
@@ -238,8 +261,10 @@ def _matches(docs: DataFrame, sizes: list[tuple[str, int]], known: np.ndarray |
 def _index(benchmark: DataFrame) -> DataFrame:
     """(item_id, mode, size, pos, n_windows, h, values) of all windows; an item shorter than WINDOW is one window of its own size.
 
-    Long windows (size 0) are added where the template has no plain ones, and
-    literal ones where there are neither. Of an item below SHORTEST symbols only
+    Long windows (size 0) are added where the template has no plain ones, literal
+    ones where there are neither, and with these such with signs of arithmetic if
+    the item has three numbers. Windows with first words as names (heads) are added
+    where fewer plain ones are free of first words than an item needs. Of an item below SHORTEST symbols only
     the whole counts (mode "only").
     """
     schema = pa.schema([("item_id", pa.int64()), ("mode", pa.string()), ("size", pa.int32()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))])
@@ -252,8 +277,16 @@ def _index(benchmark: DataFrame) -> DataFrame:
                 held: dict[tuple, tuple] = {}
                 held_long: dict[tuple, tuple] = {}
                 held_literal: dict[tuple, tuple] = {}
+                held_more: dict[str, dict[tuple, tuple]] = {"heads": {}, "signs": {}}
                 rows_only: list[tuple] = []
-                most = 0
+                most = free = 0
+
+                def stretch(mode: str, read: tuple) -> None:
+                    text, symbol, kind, value, place = template(*read, True, True)
+                    at, h, lengths = long_windows(text, symbol, kind, True)
+                    for a, g, k in zip(at, h.view(np.int64), lengths):
+                        held_more[mode][int(place[a]), int(g)] = (0, [int(x) for x in value[a : a + k][kind[a : a + k] != WORD].view(np.int64)])
+
                 for names in (True, False):
                     text, symbol, kind, value, place = template(*found, names)
                     size = min(WINDOW, len(symbol))
@@ -264,6 +297,9 @@ def _index(benchmark: DataFrame) -> DataFrame:
                         continue
                     at, h = windows(text, symbol, kind, size)
                     most = max(most, len(at))
+                    if names:
+                        first = np.concatenate(([0], np.cumsum(found[1] == HEAD)))
+                        free = int((first[place[at + size - 1] + 1] == first[place[at]]).sum())
                     for a, g in zip(at, h.view(np.int64)):
                         held[int(place[a]), int(g)] = (size, [int(x) for x in value[a : a + size][kind[a : a + size] != WORD].view(np.int64)])
                     if names and not len(at):
@@ -274,9 +310,15 @@ def _index(benchmark: DataFrame) -> DataFrame:
                         at, h = literal_windows(text, value, size)
                         for a, g in zip(at, h.view(np.int64)):
                             held_literal[int(place[a]), int(g)] = (size, [])
+                        read = tokens([t], vocabulary, SIGNED)
+                        if (read[1] == NUM).sum() >= 3 and len(read[1]) > len(found[1]):
+                            stretch("signs", read)
+                if (found[1] == HEAD).any() and not rows_only and free < max(1, min(NEED, -(-most // 2))):
+                    stretch("heads", found)
                 rows = rows_only if not held else []
                 rows += [(item, "plain", size, pos, most, g, slots) for (pos, g), (size, slots) in held.items()]
                 rows += [(item, "long", size, pos, len(held_long), g, slots) for (pos, g), (size, slots) in held_long.items()]
+                rows += [(item, mode, size, pos, len(more), g, slots) for mode, more in held_more.items() for (pos, g), (size, slots) in more.items()]
                 rows += [(item, "literal", size, pos, len(held_literal), g, slots) for (pos, g), (size, slots) in held_literal.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), schema.types)], schema=schema)
@@ -318,7 +360,8 @@ def _fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Of each group with windows enough, how many of the item's it has and how well their slots map."""
     # the same item may hold a window more than once; distinct positions are counted
     per = pairs.groupBy(*keys).agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
-    per = per.where(F.size("at") >= F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE)))
+    need = F.when(F.col("mode") == "signs", F.ceil(F.col("n_windows") * SIGNS_SHARE)).otherwise(F.least(F.lit(NEED), F.ceil(F.col("n_windows") * SHARE)))
+    per = per.where(F.size("at") >= need)
     side = lambda name: F.transform("z", lambda x: x[name])
     slots = F.size("z")
     # every value with one partner: nothing to match
@@ -360,7 +403,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = ["doc_id", "tie", "item_id", "mode", "n_windows"]
     pairs = cut(both.select(*keys, "pos", (F.col("at") - F.col("pos")).alias("off"), F.arrays_zip("theirs", "slots").alias("z")))
     whole = cut(_fit(pairs, keys))
-    fits = F.col("consistency") >= CONSISTENT
+    fits = F.col("consistency") >= F.when(F.col("mode") == "signs", 1.0).otherwise(CONSISTENT)
     # several variants in one document contradict each other: each occurrence, windows at one offset, is looked at by itself
     lost = whole.where(~fits).select(*[F.col(c).alias(f"w_{c}") for c in keys[:4]])
     mine = pairs.join(lost, F.col("doc_id").eqNullSafe(F.col("w_doc_id")) & (F.col("tie") == F.col("w_tie")) & F.col("item_id").eqNullSafe(F.col("w_item_id")) & (F.col("mode") == F.col("w_mode")), "left_semi")

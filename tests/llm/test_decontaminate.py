@@ -2,7 +2,7 @@ import random
 import re
 
 from quarrylens.llm import decontaminate as dc
-from quarrylens.llm.decontaminate import NAME, NUM, UNIT, WORD, Vocabulary, leaks, op1_decontaminate, template, tokens
+from quarrylens.llm.decontaminate import HEAD, NAME, NUM, UNIT, WORD, Vocabulary, leaks, op1_decontaminate, template, tokens
 
 ITEM = "A farmer named Mary Smith has 12 apples and gives 5 apples to Bob, who walks 3.5 km home. How many apples are left for Mary Smith in the end?"
 
@@ -13,6 +13,7 @@ def templates(texts, vocabulary, names=True):
 
 def test_templates():
     _, symbol, kind, _ = templates(["The train. It saw Anna Lee go 12 km or m in two hours"], Vocabulary())
+    assert HEAD in tokens(["The train"], Vocabulary())[1]
     assert kind.tolist() == [WORD, WORD, WORD, WORD, NAME, WORD, NUM, UNIT, WORD, WORD, WORD, NUM, UNIT]
     a, b = templates(["Go, to the END"], Vocabulary())[1], templates(["go to\nthe end!"], Vocabulary())[1]
     assert a.tolist() == b.tolist()
@@ -165,3 +166,27 @@ def test_items_in_scripts_without_spaces_and_short_items(spark):
         got = rows(spark, docs, items)
         dc.BROADCAST_BYTES = old
         assert set(got) == {(1, 1), (3, 2), (4, 3), (6, 4)}
+
+
+HEADED = [
+    ("Natalia sold 48 clips in April. Natalia sold 24 clips in May. Natalia sold how many clips?", "Weng sold 50 clips in June. Weng sold 31 clips in August. Weng sold how many clips?"),
+    ("Tom has 5 apples. Tom eats 3 apples. How many apples does Tom have left now?", "Anna has 9 apples. Anna eats 4 apples. How many apples does Anna have left now?"),
+    ("Mary Ann bakes 12 cakes. Bob bakes 7 cakes. Together they sell 4 cakes. Mary Ann keeps the rest. How many cakes are kept?", "Lu bakes 31 cakes. Karl Otto bakes 8 cakes. Together they sell 5 cakes. Lu keeps the rest. How many cakes are kept?"),
+]
+SIGNS = ("12 + 30 = 42, 7 * 6 = 42, what is 42 - 12 then?", "15 + 38 = 53, 9 * 4 = 53, what is 53 - 15 then?", "15 + 38 = 53, 9 * 4 = 36, what is 51 - 11 then?")
+
+
+def test_sentences_that_begin_with_names_and_arithmetic(spark):
+    items = [(i, a) for i, (a, _) in enumerate(HEADED)] + [(7, SIGNS[0]), (8, "The dog ran home. The cat saw it. The end came soon after that day.")]
+    docs = [(10 + i, f"Some words. {a} Others follow.") for i, (a, _) in enumerate(HEADED)] + [(20 + i, f"Some words. {b} Others follow.") for i, (_, b) in enumerate(HEADED)]
+    docs += [(17, f"so: {SIGNS[0]} it is"), (27, f"so: {SIGNS[1]} it is"), (37, f"so: {SIGNS[2]} it is")]
+    docs += [(40, "Tom has 5 apples and Anna has 9. Nobody eats them now. How many cakes are there in the house?"), (41, "1 + 2 = 3, 4 * 5 = 20, 6 - 7 = 8 and so on"), (42, "Weng sold 50 cars in June. Karl sold 31 houses. Weng bought how many shares?")]
+    clashing = "Weng sold 50 clips in June. Karl sold 31 clips in June. Otto sold how many clips?"
+    docs += [(43, f"Some words. {clashing}")]
+    for bound in (1 << 24, 0):
+        dc.BROADCAST_BYTES, old = bound, dc.BROADCAST_BYTES
+        got = rows(spark, docs, items)
+        dc.BROADCAST_BYTES = old
+        want = {(10 + i, i) for i in range(3)} | {(20 + i, i) for i in range(3)} | {(17, 7), (27, 7)}
+        assert set(got) == want
+    assert all(got[20 + i, i].reparameterised and not got[10 + i, i].reparameterised for i in range(3)) and got[27, 7].consistency == 1
