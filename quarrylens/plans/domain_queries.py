@@ -116,6 +116,11 @@ def context_reduction(spark: SparkSession, d: str) -> DataFrame:
 _SLUG = "coalesce(nullif(regexp_replace(substr(upper(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 60), '_+$', ''), ''), 'UNNAMED')"
 
 
+def slug_sql(c: str) -> str:
+    """The identifier of a column in SQL; UNNAMED for null too."""
+    return _SLUG.format(c)
+
+
 @query(f"SELECT 'part' AS kind, p_partkey AS key, {_SLUG.format('p_name')} AS slug FROM part UNION ALL SELECT 'customer', c_custkey, {_SLUG.format('c_name')} FROM customer UNION ALL SELECT 'page', page_id, {_SLUG.format('url')} FROM pages")
 def slug_ids(spark: SparkSession, d: str) -> DataFrame:
     one = lambda t, kind, key, name: table(spark, d, t).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), tx.slug(name).alias("slug"))
