@@ -14,6 +14,7 @@ from quarrylens import codegen, report
 from quarrylens.functions.text import redact, slug_text
 from quarrylens.operators import contract, graph, rules, verify
 from quarrylens.operators import system as sy
+from quarrylens.operators.betweenness import betweenness
 from quarrylens.operators.lineage import cut
 from quarrylens.sources import catalogs, exports, sqlite
 from quarrylens.sources.vb6 import extract, read_sources
@@ -36,6 +37,7 @@ class Engine:
         """From a folder, or from (file, content) rows."""
         self.system = sy.build(extract(sources if sources is not None else read_sources(self.spark, root)))
         self.nodes, self.edges = sy.graph(self.system)
+        self._hubs = None
         return self.system
 
     def clusters(self, method: str = "components") -> tuple[DataFrame, str]:
@@ -47,8 +49,11 @@ class Engine:
         return stats.join(graph.cluster_labels(members, degree), "root", "left"), used
 
     def hubs(self) -> DataFrame:
-        central = graph.degree_centrality(self.nodes, self.edges)
-        return graph.hubs(central, ["COMPONENT", "PROCEDURE", "TABLE", "VIEW", "DBPROC"], graph.betweenness(self.nodes, self.edges))
+        """Computed once for each analysis."""
+        if self._hubs is None:
+            central = graph.degree_centrality(self.nodes, self.edges)
+            self._hubs = cut(graph.hubs(central, ["COMPONENT", "PROCEDURE", "TABLE", "VIEW", "DBPROC"], betweenness(self.nodes, self.edges)))
+        return self._hubs
 
     def slice(self, entry: str, depth: int = 5) -> dict:
         """The bounded flow from an entry: its row, nodes with distance, edges and redacted fragments."""

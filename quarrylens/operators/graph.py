@@ -57,13 +57,17 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hubs(central: DataFrame, kinds: list[str], betweenness: DataFrame | None = None) -> DataFrame:
-    """Nodes of the given kinds with more than one link and at least HUB_RATIO of the highest centrality, ranked."""
+    """Nodes of the given kinds with more than one link and at least HUB_RATIO of the highest centrality, ranked and numbered.
+
+    Equal centrality is told apart by betweenness (id, betweenness) to 12 digits, then by id.
+    """
     some = central.where(F.col("kind").isin(*kinds))
     peak = some.agg(F.max("centrality").alias("peak"))
     some = some.crossJoin(F.broadcast(peak)).where((F.col("links") > 1) & (F.col("centrality") >= F.col("peak") * HUB_RATIO))
     some = some.join(betweenness, "id", "left").na.fill(0.0, ["betweenness"]) if betweenness is not None else some.withColumn("betweenness", F.lit(0.0))
-    placed = numbered(some, "_rank", F.col("centrality").desc(), F.col("betweenness").desc(), "id")
-    return placed.withColumn("rank", F.col("_rank") + 1).select("id", "label", "links", "centrality", "betweenness", "rank")
+    placed = numbered(some, "_rank", F.col("centrality").desc(), F.round("betweenness", 12).desc(), "id")
+    name = F.concat(F.lit("HUB-"), F.upper("label"), F.format_string("-%02d", "_rank"))
+    return placed.withColumns({"rank": F.col("_rank") + 1, "hub_id": name}).select("hub_id", "id", "label", "links", "centrality", "betweenness", "rank")
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -247,44 +251,6 @@ def communities(nodes: DataFrame, edges: DataFrame, method: str = "components",
     return rest.select("node", F.coalesce("root", "node").alias("root")), method
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, block_rows: int = 20_000_000) -> DataFrame:
-    """(id, betweenness): directed, unweighted, normalised by (n - 1)(n - 2), for graphs of any size.
-
-    Shortest paths are counted from many sources at once, level by level, and the
-    shares of the nodes between are summed from the last level back. Sources come
-    in blocks, so that a block reaches ``block_rows`` nodes at most.
-    """
-    n = nodes.count()
-    if n < 3:
-        return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    simple = cut(edges.where("source <> target").select("source", "target").distinct())
-    blocks = -(-n * n // block_rows)
-    part = None
-    for i in range(blocks):
-        sources = nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        levels = [cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("w")))]
-        known = levels[0].select("s", "v")
-        while True:
-            new = levels[-1].join(simple, F.col("v") == F.col("source")).groupBy("s", F.col("target").alias("v")).agg(F.sum("w").alias("w"))
-            new = cut(new.join(known, ["s", "v"], "left_anti"))
-            if new.isEmpty():
-                break
-            levels.append(new)
-            known = known.unionByName(new.select("s", "v"))
-        # x: what the node adds to those before it
-        after = levels[-1].select("s", "v", "w", F.lit(0.0).alias("x"))
-        for level in levels[-2:0:-1]:
-            back = after.join(simple, F.col("v") == F.col("target")).select("s", F.col("source").alias("v"), ((1 + F.col("x")) / F.col("w")).alias("y"))
-            back = level.join(back, ["s", "v"], "left").groupBy("s", "v").agg(F.first("w").alias("w"), F.sum("y").alias("y"))
-            after = cut(back.select("s", "v", "w", (F.col("w") * F.coalesce("y", F.lit(0.0))).alias("x")))
-            got = after.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("x"))
-            part = got if part is None else part.unionByName(got)
-    if part is None:
-        return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    part = cut(part.groupBy("id").agg(F.sum("x").alias("x")))
-    return nodes.select("id").join(part, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("betweenness"))
-
-
 def contained(members: DataFrame, reached: DataFrame) -> DataFrame:
     """The clusters (node, root) of which every member is in a slice (id)."""
     out = members.join(reached.select(F.col("id").alias("node")), "node", "left_anti").select("root").distinct()

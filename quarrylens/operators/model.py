@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.operators.lineage import cut, scratch
+
 
 def resolve_calls(calls: DataFrame, procedures: DataFrame) -> DataFrame:
     """Calls (call_id, callee, kind) bound by lower-cased name to procedures (id, name): one candidate binds,
@@ -47,23 +49,62 @@ def state_names(transitions: DataFrame) -> DataFrame:
     return names.where("name IS NOT NULL AND name <> '' AND name <> 'UNKNOWN'").distinct()
 
 
+#: Runs of letters and digits, and runs of anything else: every character belongs to one token.
+TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+
+
+def _tokens(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+
+
+def _grams(text: str, size: int) -> Column:
+    """The distinct pieces of ``size`` characters, in linear time."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def token_keys(needles: DataFrame, vocabulary: DataFrame, gram: int = 3) -> DataFrame:
+    """(_k, needle, tok): tokens of the vocabulary (tok, df) of which every text that holds the needle has one.
+
+    A token with others on both sides stands whole in such texts: of these the one
+    in the fewest texts is the key. A needle of one or two tokens may begin and end
+    inside of longer ones: the vocabulary's tokens that hold such a piece are found
+    by the piece's rarest gram, and of two pieces the one whose tokens are in fewer
+    texts counts. Needles without a key are in no text.
+    """
+    known = cut(needles.where("needle <> ''").select("_k", "needle", _tokens("needle").alias("t")))
+    inner = known.where("size(t) > 2").select("_k", "needle", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("tok"))
+    inner = inner.join(vocabulary, "tok", "left").groupBy("_k", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok")).alias("x"))
+    whole = inner.where("x.df > 0").select("_k", "needle", "x.tok")
+    pieces = known.where("size(t) <= 2").select("_k", "needle", F.explode(F.array_distinct("t")).alias("piece"))
+    asked = cut(pieces.select("*", F.explode(F.when(F.length("piece") >= gram, _grams("piece", gram)).otherwise(F.array("piece"))).alias("g")))
+    sizes = F.array_distinct(F.flatten(F.array(*[_grams("tok", n) for n in range(1, gram + 1)])))
+    held = vocabulary.select("tok", "df", F.explode(sizes).alias("g"))
+    held = cut(held.join(asked.select("g").distinct(), "g", "left_semi"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "g", "left").groupBy("_k", "needle", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x"))
+    met = cut(rarest.select("_k", "needle", "piece", F.col("x.g").alias("g")).join(held, "g").where(F.contains(F.col("tok"), F.col("piece"))))
+    cost = pieces.join(met.groupBy("_k", "needle", "piece").agg(F.sum("df").alias("cost")), ["_k", "needle", "piece"], "left")
+    best = cost.groupBy("_k", "needle").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "piece")).alias("x")).where("x.cost > 0").select("_k", "needle", "x.piece")
+    return whole.unionByName(met.join(best, ["_k", "needle", "piece"]).select("_k", "needle", "tok"))
+
+
 def attribute(needles: DataFrame, fragments: DataFrame, key: str, order: str) -> DataFrame:
     """The first fragment (by ``order``) whose text holds the needle, else the first fragment.
 
-    A word inside a needle, with something else on both sides, stands as a word
-    in every text that holds the needle: the longest such word joins needles and
-    texts by equality, and what meets is compared. Only needles without one are
-    held against all texts.
+    Texts and needles meet by equality of one rare token each, whatever the needle
+    (see ``token_keys``), and what meets is compared. A null needle is in no
+    text, an empty one in every text that is not null.
     """
-    apart = r"[^\p{L}\p{N}]+"
-    inner = F.slice(F.split("needle", apart), 2, F.greatest(F.lit(0), F.size(F.split("needle", apart)) - 2))
-    named = needles.select(F.col(key).alias("_k"), "needle", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_w"))
-    words = fragments.select(F.col(order).alias("_o"), F.explode(F.array_distinct(F.split("text", apart))).alias("_w"))
-    met = words.join(named.where("_w <> ''"), "_w").select("_o", "_k", "needle").distinct()
-    holds = F.contains(F.col("text"), F.col("needle"))
-    by_word = fragments.join(met, F.col(order) == F.col("_o")).where(holds).select("_k", order)
-    by_text = fragments.join(named.where("_w IS NULL OR _w = ''"), holds).select("_k", order)
-    hits = by_word.unionAll(by_text).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
+    named = needles.select(F.col(key).alias("_k"), "needle").distinct()
+    with scratch(needles.sparkSession) as kept:
+        held = fragments.select(F.col(order).alias("_o"), F.explode(F.array_distinct(_tokens("text"))).alias("tok"))
+        vocabulary = cut(held.groupBy("tok").agg(F.count("*").alias("df")))
+        keys = cut(token_keys(named, vocabulary))
+        met = held.join(keys, "tok").select("_o", "_k", "needle").distinct()
+        hits = fragments.join(met, F.col(order) == F.col("_o")).where(F.contains(F.col("text"), F.col("needle"))).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
+        every = fragments.where("text IS NOT NULL").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs")).where("n_docs > 0")
+        hits = cut(hits.unionByName(named.where("needle = ''").select("_k").distinct().crossJoin(F.broadcast(every))))
+        kept.append(hits)
     default = fragments.agg(F.min(order).alias("_default"))
     out = needles.join(hits, F.col(key) == F.col("_k"), "left").crossJoin(F.broadcast(default))
     return out.select(key, F.coalesce("_first", "_default").alias(order), F.col("_first").isNotNull().alias("attributed"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

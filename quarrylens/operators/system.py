@@ -56,7 +56,6 @@ def build(extracted: DataFrame) -> System:
     # an entry point of a component that is only declared is none
     entries = entries.join(components.select(F.col("id").alias("component_id")), "component_id", "left_semi")
     declared = entity(x, "declaration")
-    stems = components.select("name", F.lower(F.regexp_extract("file", r"([^/\\]+)[.][^.]+$", 1)).alias("k")).unionAll(components.select("name", F.lower("name"))).distinct()
     # by the file's stem first, then by name
     by_stem = components.select(F.col("name").alias("by_stem"), F.lower(F.regexp_extract("file", r"([^/\\]+)[.][^.]+$", 1)).alias("k1"))
     by_name = components.select(F.col("name").alias("by_name"), F.lower("name").alias("k2"))

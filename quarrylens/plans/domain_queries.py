@@ -404,6 +404,19 @@ def evidence_attribution(spark: SparkSession, d: str) -> DataFrame:
     return md.attribute(table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle")), docs, "item_id", "doc_id")
 
 
+@query("""WITH f AS (SELECT item_id, split_part(text, ' ', 1) AS a, split_part(text, ' ', 2) AS b, text FROM benchmark),
+k AS (SELECT item_id * 5 AS id, a AS needle FROM f UNION ALL SELECT item_id * 5 + 1, a || ' ' || b FROM f UNION ALL SELECT item_id * 5 + 2, substr(text, 3, 7) FROM f UNION ALL SELECT item_id * 5 + 3, substr(text, 2, 2) FROM f UNION ALL SELECT item_id * 5 + 4, substr(text, length(text) - 3, 5) FROM f),
+x AS (SELECT id, doc_id FROM k JOIN documents d ON contains(d.text, needle)), m AS (SELECT id, min(doc_id) AS doc_id, count(*) AS n_docs FROM x GROUP BY id)
+SELECT k.id, coalesce(m.doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, m.doc_id IS NOT NULL AS attributed, coalesce(n_docs, 0) AS n_docs FROM k LEFT JOIN m USING (id)""")
+def short_evidence_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """The same for short needles: first words of passages, pieces that begin and end within words, their last characters."""
+    b, words = table(spark, d, "benchmark"), F.split("text", " ")
+    first, second = words[0], F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    parts = (first, F.concat(first, F.lit(" "), second), F.substring("text", 3, 7), F.substring("text", 2, 2), F.substring(F.col("text"), F.length("text") - 3, F.lit(5)))
+    needles = b.select("item_id", F.posexplode(F.array(*parts)).alias("j", "needle")).select((F.col("item_id") * 5 + F.col("j")).alias("id"), "needle")
+    return md.attribute(needles, table(spark, d, "documents").select("doc_id", "text"), "id", "doc_id")
+
+
 @query("""SELECT metric, value FROM (SELECT CAST(count(*) AS DOUBLE) AS documents, CAST(count(DISTINCT source) AS DOUBLE) AS sources, CAST(max(length(text)) AS DOUBLE) AS longest, CAST(sum(length(text)) AS DOUBLE) AS characters, round(avg(CASE WHEN lang = 'en' THEN 1 ELSE 0 END), 6) AS english_share FROM documents)
 UNPIVOT (value FOR metric IN (documents, sources, longest, characters, english_share))""")
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.operators import graph as g
+from quarrylens.operators import slices as sl
+from quarrylens.operators.betweenness import betweenness
 from quarrylens.operators.lineage import cut
 from quarrylens.plans import order_graph as og
 
@@ -87,8 +89,7 @@ HUBS = f"""{CENTRAL}, k AS (SELECT * FROM c WHERE kind IN ('COMPONENT', 'PROCEDU
 
 @query(f"WITH {HUBS} SELECT 'HUB-' || upper(label) || '-' || CASE WHEN rank <= 10 THEN '0' ELSE '' END || (rank - 1) AS hub_id, id, links, round(centrality, 6) AS centrality, rank FROM hub")
 def hubs(spark: SparkSession, d: str) -> DataFrame:
-    h = _hubs(spark, d)
-    return h.select(F.concat(F.lit("HUB-"), F.upper("label"), F.lit("-"), F.when(F.col("rank") <= 10, "0").otherwise(""), (F.col("rank") - 1).cast("string")).alias("hub_id"), "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
+    return _hubs(spark, d).select("hub_id", "id", "links", F.round("centrality", 6).alias("centrality"), "rank")
 
 
 def _hubs(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,40 @@ def _hubs(spark: SparkSession, d: str) -> DataFrame:
 )
 SELECT n_nationkey AS id, round(coalesce(x, 0) / ((SELECT count(*) - 1 FROM nation) * (SELECT count(*) - 2 FROM nation)), 6) AS betweenness FROM nation LEFT JOIN b ON id = n_nationkey""")
 def betweenness_trade(spark: SparkSession, d: str) -> DataFrame:
-    return g.betweenness(og.trade_nodes(spark, d), og.trade_edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return betweenness(og.trade_nodes(spark, d), og.trade_edges(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+#: shortest paths by levels over the order graph up to its orders; from a supplier over nations and a region to an order it is five steps
+_LEVEL = """p{1} AS (SELECT p.s, t.target AS v, {1} AS d, sum(p.n) AS n FROM p{0} p JOIN t ON t.source = p.v WHERE t.target <> p.s AND NOT EXISTS (SELECT 1 FROM ({2}) k WHERE k.s = p.s AND k.v = t.target) GROUP BY 1, 2)"""
+_LEVELS = [_LEVEL.format(i, i + 1, " UNION ALL ".join(f"SELECT s, v FROM p{j}" for j in range(1, i + 1))) for i in range(1, 7)]
+NO_PARTS = f"""{WITH_GRAPH}, nn AS (SELECT * FROM n WHERE id NOT LIKE 'PART-%'), t AS (SELECT DISTINCT source, target FROM e WHERE source NOT LIKE 'PART-%' AND target NOT LIKE 'PART-%'),
+p1 AS (SELECT source AS s, target AS v, 1 AS d, CAST(1 AS DOUBLE) AS n FROM t), {', '.join(_LEVELS)},
+p AS ({' UNION ALL '.join(f'SELECT s, v, d, n FROM p{i}' for i in range(1, 8))}), b AS (
+  SELECT a.v AS id, sum(a.n * b.n / c.n) AS x FROM p a JOIN p b ON a.v = b.s AND a.s <> b.v JOIN p c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d GROUP BY a.v
+), bt AS (SELECT nn.id, kind, label, coalesce(x, 0) / ((SELECT count(*) - 1 FROM nn) * (SELECT count(*) - 2 FROM nn)) AS betweenness FROM nn LEFT JOIN b USING (id))"""
+
+
+def _no_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The order graph up to its orders."""
+    return og.nodes(spark, d).where("id NOT LIKE 'PART-%'"), og.edges(spark, d, merged=False).where("source NOT LIKE 'PART-%' AND target NOT LIKE 'PART-%'")
+
+
+@query(f"WITH {NO_PARTS} SELECT id, round(betweenness, 9) AS betweenness FROM bt")
+def betweenness_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Of regions, nations, suppliers, customers, segments and orders: all orders and suppliers are taken off, customers of one nation and segment are one class."""
+    nodes, edges = _no_parts(spark, d)
+    return betweenness(nodes, edges).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query(f"""WITH {NO_PARTS}, l AS (SELECT id, count(*) AS links FROM (SELECT source AS id FROM t UNION ALL SELECT target FROM t) GROUP BY id),
+k AS (SELECT * FROM bt JOIN l USING (id) WHERE kind IN ('COMPONENT', 'PROCEDURE', 'TABLE')),
+hub AS (SELECT *, row_number() OVER (ORDER BY links DESC, round(betweenness, 12) DESC, id) AS rank FROM k WHERE links > 1 AND links >= 0.6 * (SELECT max(links) FROM k))
+SELECT 'HUB-' || upper(label) || '-' || printf('%02d', rank - 1) AS hub_id, id, links, round(betweenness, 9) AS betweenness, rank FROM hub""")
+def hubs_by_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Hubs of the order graph up to its orders; nations with as many links rank by betweenness."""
+    nodes, edges = _no_parts(spark, d)
+    found = g.hubs(g.degree_centrality(nodes, edges), list(STRUCTURAL), betweenness(nodes, edges))
+    return found.select("hub_id", "id", "links", F.round("betweenness", 9).alias("betweenness"), "rank")
 
 
 def _slice_sql(start: str, depth: int) -> str:
@@ -162,6 +196,68 @@ def slice_excluded_hubs(spark: SparkSession, d: str) -> DataFrame:
     return _hubs(spark, d).join(_slice(spark, d, og.HUB_START)[0].select("id"), "id", "left_anti").select("id", "rank")
 
 
+#: every customer is an entry; orders, parts and suppliers follow
+ALL_DEPTH = 3
+ALL = f"""{WITH_GRAPH}, r(entry, id, d) AS (
+  SELECT id, id, 0 FROM n WHERE id LIKE 'CUST-%' UNION SELECT r.entry, s.target, r.d + 1 FROM r JOIN {STEPS} s ON s.source = r.id WHERE r.d < {ALL_DEPTH}
+), sl AS (SELECT entry, id, CAST(min(d) AS BIGINT) AS distance FROM r GROUP BY entry, id)"""
+
+
+def _slices(spark: SparkSession, d: str) -> DataFrame:
+    nodes = og.nodes(spark, d)
+    followed = og.edges(spark, d, merged=False).where(F.col("kind").isin(*g.TRAVERSED))
+    starts = nodes.where("id LIKE 'CUST-%'").select(F.col("id").alias("entry"), "id")
+    return sl.reach_all(followed, starts, ALL_DEPTH, nodes.where(F.col("kind").isin(*g.IN_FLOW)).select("id"))
+
+
+@query(f"WITH RECURSIVE {ALL} SELECT entry, id, distance FROM sl")
+def slices_all(spark: SparkSession, d: str) -> DataFrame:
+    """The slices of all customers, one pass for each level."""
+    return _slices(spark, d)
+
+
+@query(f"""WITH RECURSIVE {ALL}, m AS (SELECT 'SUPP-' || s_suppkey AS node, 'NATION-' || s_nationkey AS root FROM supplier UNION ALL SELECT 'PART-' || p_partkey, 'SIZE-' || p_brand || p_size FROM part),
+z AS (SELECT root, count(*) AS size FROM m GROUP BY root), w AS (SELECT entry, root, count(*) AS k FROM sl JOIN m ON node = id GROUP BY 1, 2), c AS (SELECT entry, count(*) AS n_clusters FROM w JOIN z USING (root) WHERE k = size GROUP BY entry),
+x AS (SELECT entry, count(*) AS n_nodes, count(*) FILTER (kind = 'PROCEDURE') AS n_procedures, 0 AS n_sql, count(*) FILTER (kind = 'TABLE') AS n_objects, max(distance) AS max_distance,
+  CAST(sum(CASE WHEN kind = 'PROCEDURE' THEN (length(label) + 3) // 4 ELSE 0 END) AS BIGINT) AS tokens FROM sl JOIN n USING (id) GROUP BY entry)
+SELECT x.*, coalesce(n_clusters, 0) AS n_clusters, max_distance = {ALL_DEPTH} AS truncated, CASE WHEN max_distance = {ALL_DEPTH} THEN 'more may lie beyond the bound' ELSE '' END AS warnings FROM x LEFT JOIN c USING (entry)""")
+def slice_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What each customer's slice holds; clusters are the suppliers of a nation, and parts of one brand and size."""
+    nodes = og.nodes(spark, d)
+    texts = nodes.where("kind = 'PROCEDURE'").select("id", F.expr("(length(label) + 3) DIV 4").alias("tokens"))
+    member = lambda t, name, root: og.table(spark, d, t).select(F.concat(*name).alias("node"), F.concat(*root).alias("root"))
+    members = member("supplier", (F.lit("SUPP-"), F.col("s_suppkey").cast("string")), (F.lit("NATION-"), F.col("s_nationkey").cast("string")))
+    members = members.unionAll(member("part", (F.lit("PART-"), F.col("p_partkey").cast("string")), (F.lit("SIZE-"), F.col("p_brand"), F.col("p_size").cast("string"))))
+    return sl.summaries(_slices(spark, d), nodes, ALL_DEPTH, texts, members)
+
+
+#: from each line's part to that of the next line of its order, if they share a brand
+NEXT_PARTS = """f AS (SELECT DISTINCT source, target FROM (SELECT l_partkey AS source, p_brand AS b, lead(l_partkey) OVER w AS target, lead(p_brand) OVER w AS nb
+  FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) WHERE b = nb AND source <> target)"""
+
+
+def _next_parts(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = og.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(og.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    nxt = lines.select(F.col("l_partkey").alias("source"), F.col("p_brand").alias("b"), F.lead("l_partkey").over(w).alias("target"), F.lead("p_brand").over(w).alias("nb"))
+    return nxt.where("b = nb AND source <> target").select("source", "target").distinct()
+
+
+@query(f"""WITH RECURSIVE {NEXT_PARTS}, r(s, v) AS (SELECT source, target FROM f UNION SELECT r.s, f.target FROM r JOIN f ON f.source = r.v),
+x AS (SELECT source AS node FROM f UNION SELECT target FROM f), b AS (SELECT a.s AS node, min(a.v) AS m FROM r a JOIN r b ON a.s = b.v AND a.v = b.s GROUP BY a.s)
+SELECT node, least(node, coalesce(m, node)) AS root FROM x LEFT JOIN b USING (node)""")
+def strong_components_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that lead to each other by next lines of one brand."""
+    return sl.strong_components(cut(_next_parts(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {NEXT_PARTS}, r(entry, id) AS (SELECT p_brand, p_partkey FROM part WHERE p_size = 1 UNION SELECT r.entry, f.target FROM r JOIN f ON f.source = r.id) SELECT entry, id FROM r""")
+def reachable_parts(spark: SparkSession, d: str) -> DataFrame:
+    """All parts that those of size 1 lead to, by brand, without a bound."""
+    starts = og.table(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("entry"), F.col("p_partkey").alias("id"))
+    return sl.reachable(cut(_next_parts(spark, d)), starts)
+
+
 LINES = """l AS (SELECT DISTINCT doc_id, md5(line) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 20),
 m AS (SELECT h, min(doc_id) AS first FROM l GROUP BY h), e AS (SELECT DISTINCT l.doc_id AS source, m.first AS target FROM l JOIN m USING (h) WHERE l.doc_id <> m.first)"""
 COMPONENTS = f"""{LINES}, b AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),

@@ -133,6 +133,34 @@ def test_attribution_by_words_and_without(spark):
     assert {r.k: (r.doc, r.attributed, r.n_docs) for r in got.collect()} == {"a": (1, True, 1), "b": (1, True, 2), "c": (3, True, 1), "d": (1, True, 2), "e": (1, False, 0), "f": (1, False, 0)}
 
 
+def test_attribution_of_any_needle(spark):
+    """Short needles, pieces of words, white space, signs, and letters of several scripts, against every text."""
+    import random
+
+    rnd = random.Random(5)
+    words = ["ab", "abc", "a", "bca", "x1", "\u00e9t\u00e9", "\u4e2d\u6587", "--", "a+b", ".", "  ", "\n"]
+    texts = [(i, "".join(rnd.choice(words) + rnd.choice(("", " ", "_")) for _ in range(rnd.randint(0, 12)))) for i in range(60)] + [(60, None), (61, ""), (61, "ab")]
+    needles = [(f"n{i}", (t := rnd.choice(texts[:60])[1])[(a := rnd.randint(0, len(t))) : a + rnd.randint(0, 9)]) for i in range(300)]
+    needles += [("none", None), ("empty", ""), ("far", "zzz"), ("farther", "ab zzz ab"), ("same", "ab"), ("same", "ab")]
+    got = model.attribute(spark.createDataFrame(needles, "k string, needle string"), spark.createDataFrame(texts, "doc long, text string"), "k", "doc")
+    rows = {r.k: (r.doc, r.attributed, r.n_docs) for r in got.collect()}
+    for k, needle in needles:
+        hits = [d for d, t in texts if needle is not None and t is not None and needle in t]
+        assert rows[k] == (min(hits, default=0), bool(hits), len(hits)), needle
+    assert got.count() == len(needles)
+    assert not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoopJoin LeftOuter", "CartesianProduct"))
+    none = spark.createDataFrame([], "k string, needle string")
+    assert model.attribute(none, spark.createDataFrame(texts, "doc long, text string"), "k", "doc").count() == 0
+
+
+def test_keys_of_needles_are_rare_tokens(spark):
+    vocabulary = spark.createDataFrame([("the", 900), ("cat", 3), ("cats", 2), (" ", 1000), ("zebra", 1)], "tok string, df long")
+    named = spark.createDataFrame([("a", "x the cat y"), ("b", "at"), ("c", "the z"), ("d", "lion the king is"), ("e", "ebr")], "_k string, needle string")
+    keys = {(r._1, r.tok) for r in model.token_keys(named, vocabulary).select(F.col("_k").alias("_1"), "tok").collect()}
+    # an inner token that no text has leaves nothing; a piece is looked for in all tokens
+    assert keys == {("a", "cat"), ("b", "cat"), ("b", "cats"), ("e", "zebra")} | {k for k in keys if k[0] == "c"}
+
+
 def test_cases_and_rules_without_a_flow(spark):
     cases = spark.createDataFrame([("c1", "A", {"x": "1"}), ("c2", None, {"x": "1"}), ("c3", "", {"x": "9"}), ("c4", "any", {"x": "1"})], "case_id string, flow_id string, inputs map<string,string>")
     rules = spark.createDataFrame([("r1", "A", "x = 1", "accept"), ("r2", None, "x = 1", "reject"), ("r3", "B", "x = 1", None), ("r4", "", "y = 1", "accept")], "rule_id string, flow_id string, expression string, behavior_type string")
