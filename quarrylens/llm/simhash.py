@@ -23,7 +23,10 @@ verification by the exact similarity of the shingle sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +127,9 @@ RATIO = round((1 + SIMILAR) / (1 - SIMILAR))
 FITS = f"least(l.n, r.n) >= {SIMILAR} * greatest(l.n, r.n)"
 #: Sets that a crowd's reference is made of; classes of partners; rounds in which crowds of one popular set are merged, and after which they may grow, so that they end.
 REFERENCE, CLASSES, MERGED, ROUNDS = 15, 10, 2, 12
+#: Counters for each element of a crowd's sets, and in all at most; elements that one task counts; counters that are summed at once.
+PLACES, MOST_PLACES, PIECE, FAN = 16, 1 << 22, 1 << 19, 32
+LISTED = pa.schema([("c", pa.int64()), ("id", pa.int64()), *((n, pa.int32()) for n in ("n", "a", "size")), ("asks", pa.bool_()), ("cls", pa.int32()), ("r", pa.int32()), ("key", pa.int64()), ("j", pa.int32())])
 _rng = np.random.default_rng(20)
 FACTORS, SHIFTS = _rng.integers(0, 1 << 63, (2, SEGMENTS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -215,25 +221,13 @@ def crowd_links(members: DataFrame, have: DataFrame, bucket: int):
         d = F.concat(F.array_except("h", "v"), F.transform(F.array_except("v", "h"), lambda e: F.xxhash64(e)))
         x = x.select("c", "id", F.size("h").alias("n"), F.size("v").alias("nv"), d.alias("d")).withColumn("a", F.expr(f"{RATIO} * size(d) - n"))
         x = cut(x)
-        least = x.groupBy("c").agg(F.min(F.struct("a", "id")).alias("s")).select("c", F.col("s.a").alias("least"), F.col("s.id").alias("dst"))
+        least = x.groupBy("c").agg(F.min(F.struct("a", "id")).alias("s"), F.sum(F.size("d")).alias("total")).select("c", "total", F.col("s.a").alias("least"), F.col("s.id").alias("dst"))
         x = x.join(least, "c").withColumn("asks", F.expr("a + least > 0 AND id <> dst"))
         yield x.where("NOT asks AND id <> dst").select(F.col("id").alias("src"), "dst")
         x = x.join(x.where("asks").select("c").distinct(), "c", "left_semi")
         # classes of a; a partner's is that of its class at least, and one of a set that asks, for a set that does not
-        wide = "greatest(1, nv) / 2"
-        x = x.withColumn("cls", F.expr(f"CAST(least({CLASSES} - 1, floor((a - least) / ({wide}))) AS INT)")).withColumn("size", F.size("d"))
-        row = ["c", "id", "n", "a", "size", "asks", "cls"]
-        held = x.select(*row, "least", "nv", F.explode("d").alias("key"))
-        often = held.groupBy("c", "key").agg(F.count("*").alias("f"), F.count_if("asks").alias("asked"))
-        order = F.row_number().over(Window.partitionBy("c", "id").orderBy("f", "key"))
-        shared = F.count_if(F.col("f") > 1).over(Window.partitionBy("c", "id"))
-        held = held.join(often, ["c", "key"]).withColumn("r", order).withColumn("shared", shared).where("f > 1 AND asked > 0")
-        partner = f"CASE WHEN asks THEN least + j * {wide} ELSE greatest(least + j * {wide}, - least) END"
-        need = f"greatest(1, ceil((a + {partner}) / {2 * RATIO} - 1e-9))"
-        # no more than what others of the crowd have too, nor than the D of such a partner can have
-        room = f"(j = {CLASSES} - 1 OR {need} <= (least + (j + 1) * {wide} + n / {SIMILAR}) / {RATIO})"
-        classes = F.expr(f"filter(sequence(0, {CLASSES} - 1), j -> r <= size + 1 - {need} AND {need} <= shared AND {room})")
-        held = held.select(*row, "r", "key", F.explode(classes).alias("j"))
+        x = x.withColumn("wide", F.expr("greatest(1, nv) / 2")).withColumn("cls", F.expr(f"CAST(least({CLASSES} - 1, floor((a - least) / wide)) AS INT)")).withColumn("size", F.size("d"))
+        held = needed_keys(x)
         held = cut(held.withColumn("key", F.xxhash64("key", F.least("cls", "j"), F.greatest("cls", "j"))))
         size = held.groupBy("c", "key").agg(F.count_if("asks").alias("many"), F.count("*").alias("p")).where("many > 0 AND p > 1")
         held = held.join(size, ["c", "key"])
@@ -249,6 +243,87 @@ def crowd_links(members: DataFrame, have: DataFrame, bucket: int):
             bucket *= 2
 
 
+def _slots(d: np.ndarray, size: int) -> np.ndarray:
+    x = d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(size)).astype(np.int64)
+
+
+def needed_keys(x: DataFrame) -> DataFrame:
+    """(c, id, n, a, size, asks, cls, r, key, j): of each set's D the elements that it needs as keys for a class j of partners.
+
+    How many sets of the crowd hold an element is counted by its hash, in counters
+    of which a crowd has PLACES for each element: never too low, so what counts
+    once is held by no other set, and elements come in one order for all sets of
+    the crowd, the rarest first. Counters are made for pieces of PIECE elements,
+    summed, and sent to the pieces again: elements that no partner shares are not
+    listed at all.
+    """
+    x = x.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("total") / PIECE))).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
+    x = cut(x.withColumn("places", F.least(F.lit(MOST_PLACES), F.greatest(F.lit(64), F.col("total") * PLACES))))
+
+    def count(part: pa.Table) -> pa.Table:
+        size = part["places"][0].as_py()
+        many, asked = np.zeros(size, np.int64), np.zeros(size, bool)
+        for batch in part.to_batches():
+            for d, asks in zip(batch["d"], batch["asks"].to_pylist()):
+                at = _slots(np.asarray(d.values), size)
+                many += np.bincount(at, minlength=size)
+                if asks:
+                    asked[at] = True
+        return counters(part["c"][0].as_py(), part["to"][0].as_py(), many, asked)
+
+    def counters(c: int, to: int, many: np.ndarray, asked: np.ndarray) -> pa.Table:
+        both = np.minimum(many, 127).astype(np.uint8) | (asked.astype(np.uint8) << 7)
+        return pa.table({"c": [c], "to": [to], "counts": [both.tobytes()]}, schema=pa.schema([("c", pa.int64()), ("to", pa.int64()), ("counts", pa.binary())]))
+
+    def add(part: pa.Table) -> pa.Table:
+        all_ = [np.frombuffer(b.as_py(), np.uint8) for b in part["counts"]]
+        return counters(part["c"][0].as_py(), part["to"][0].as_py(), sum((b & 127).astype(np.int64) for b in all_), np.bitwise_or.reduce(all_) > 127)
+
+    made = "c long, to long, counts binary"
+    counts = x.select("c", "piece", "places", "asks", "d", F.floor(F.col("piece") / FAN).alias("to")).groupBy("c", "piece").applyInArrow(count, made)
+    most = x.agg(F.max("pieces")).first()[0] or 1
+    while most > 1:
+        # pieces' counters are summed by FAN at once, however many there are
+        most = -(-most // FAN)
+        counts = counts.groupBy("c", F.col("to").alias("piece")).applyInArrow(add, made).withColumn("to", F.floor(F.col("to") / FAN))
+    of = x.select("c", "piece").distinct().join(counts.select("c", "counts"), "c").select(F.col("c").alias("of"), F.col("piece").alias("part"), "counts")
+
+    def choose(sets: pa.Table, counted: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f.name: [] for f in LISTED}
+        if sets.num_rows:
+            both = np.frombuffer(counted["counts"][0].as_py(), np.uint8)
+            for row in sets.to_batches():
+                cols = {n: row[n].to_pylist() for n in ("c", "id", "n", "a", "size", "asks", "cls", "least", "wide")}
+                for i, d in enumerate(row["d"]):
+                    v = {n: x[i] for n, x in cols.items()}
+                    d = np.asarray(d.values)
+                    f = both[_slots(d, len(both))]
+                    order = np.lexsort((d, f & 127))
+                    d, f = d[order], f[order]
+                    shared = int(((f & 127) > 1).sum())
+                    can = ((f & 127) > 1) & (f > 127)
+                    for j in range(CLASSES):
+                        partner = v["least"] + j * v["wide"]
+                        if not v["asks"]:
+                            partner = max(partner, -v["least"])
+                        need = max(1, math.ceil((v["a"] + partner) / (2 * RATIO) - 1e-9))
+                        # no more than what others of the crowd have too, nor than the D of such a partner can have
+                        if need > shared or j < CLASSES - 1 and need > (v["least"] + (j + 1) * v["wide"] + v["n"] / SIMILAR) / RATIO:
+                            continue
+                        at = np.flatnonzero(can[: max(0, v["size"] + 1 - need)])
+                        for n in ("c", "id", "n", "a", "size", "asks", "cls"):
+                            out[n] += [v[n]] * len(at)
+                        out["r"] += (at + 1).tolist()
+                        out["key"] += d[at].tolist()
+                        out["j"] += [j] * len(at)
+        return pa.table(out, schema=LISTED)
+
+    ddl = "c long, id long, n int, a int, size int, asks boolean, cls int, r int, key long, j int"
+    sets = x.select("c", "piece", "id", "n", "a", "size", "asks", "cls", F.col("least").alias("least"), F.col("wide").cast("double").alias("wide"), "d")
+    return sets.groupBy("c", "piece").cogroup(of.groupBy("of", "part")).applyInArrow(choose, ddl)
+
+
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` without near copies (similarity of 5-word shingle sets of 0.8 and more): of each group the least doc_id stays.
 
