@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.lineage import cut, scratch
+from quarrylens.operators.lineage import cut, drop, scratch
 
 # Kinds of edges that carry a flow, and kinds of nodes that belong to one. What contains what is shape, not flow.
 TRAVERSED = ("CALLS", "READS", "WRITES", "QUERIES", "INVOKES", "DEPENDS_ON", "ENTRY_TO", "TRIGGERS", "OBSERVES")
@@ -19,6 +19,10 @@ IN_FLOW = ("PROCEDURE", "TABLE", "VIEW", "DBPROC", "SQL", "ENTRY", "COMPONENT",
 GIANT_SHARE, HUB_RATIO = 0.5, 0.6
 
 
+class NotSettled(RuntimeError):
+    """A method did not come to an end within its rounds."""
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -198,7 +202,9 @@ def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
 
     All nodes of a sweep see the same communities. Half of them, by a hash that
     changes with the sweep, move to where they gain most, so that neighbours do
-    not swap for ever; the best state of a level is kept. Reruns agree.
+    not swap for ever; the best state of a level is kept. At the end communities
+    that do not hang together are split, which costs no modularity, so that each is
+    connected. Reruns agree. NotSettled if something is still gained after ``levels``.
     """
     with scratch(edges.sparkSession) as kept:
         pairs = cut(both_ways(edges.where("source <> target")).distinct().withColumn("w", F.lit(1).cast("long")))
@@ -231,22 +237,120 @@ def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
             members = cut(members.join(over, "root").select("node", F.col("over").alias("root")))
             a, b = (found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
             pairs = cut(pairs.join(a, "source").join(b, "target").groupBy(F.col("rsource").alias("source"), F.col("rtarget").alias("target")).agg(F.sum("w").alias("w")))
-        kept.append(members)
-    return members
-
-
-def communities(nodes: DataFrame, edges: DataFrame, method: str = "components", rounds: int = 8) -> tuple[DataFrame, str]:
-    """(node, root) and the method that was used; fewer than three nodes are one cluster."""
-    if nodes.limit(3).count() < 3:
-        return nodes.select(F.col("id").alias("node"), F.min("id").over(Window.partitionBy(F.lit(0))).alias("root")), "singleton"
-    if method == "label_propagation":
-        found = propagate_labels(edges, rounds).withColumnRenamed("label", "root")
-    elif method == "louvain":
-        found = louvain(edges)
-    elif method == "components":
-        found = connected(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
-    else:
+        else:
+            if total:
+                raise NotSettled(f"modularity still grows after {levels} levels")
+        out = cut(refine(members, edges))
+        kept.append(out)
+    return out
+
+
+def refine(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): clusters (node, root) split into pieces that edges inside of them connect; the root is a piece's least node."""
+    a, b = (members.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
+    inner = edges.select("source", "target").join(a, "source").join(b, "target").where("rsource = rtarget AND source <> target")
+    pieces = connected(inner.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    return members.select("node").join(pieces, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def colouring(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, colour) of symmetric pairs (source, target): neighbours differ, colours start at 0.
+
+    In each round the nodes whose hash is the greatest among their neighbours
+    without a colour take the least colour that no neighbour has.
+    """
+    with scratch(pairs.sparkSession) as kept:
+        rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        nodes = pairs.select(F.col("source").alias("node")).distinct()
+        done = nodes.select("node", F.lit(None).cast("int").alias("colour"))
+        for _ in range(rounds):
+            of = done.select(F.col("node").alias("target"), F.col("colour").alias("near"))
+            around = pairs.join(of, "target").groupBy(F.col("source").alias("node")).agg(
+                F.max(F.when(F.col("near").isNull(), rank("target"))).alias("best"), F.collect_set("near").alias("taken")
+            )
+            least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), "taken"))
+            new = done.join(around, "node").select("node", F.coalesce("colour", F.when(F.col("best").isNull() | (rank("node") > F.col("best")), least)).alias("colour"))
+            done = cut(new)
+            if done.where("colour IS NULL").isEmpty():
+                break
+        else:
+            raise NotSettled(f"no colouring after {rounds} rounds")
+        kept.append(done)
+    return done
+
+
+def settle_labels(edges: DataFrame, sweeps: int = 60) -> DataFrame:
+    """(node, label) by asynchronous label propagation: at the end every node's label is among the commonest around it.
+
+    Nodes of one colour have no edges between them and move together, one colour
+    after another. A node moves only to a label that more neighbours have than its
+    own, the least of these, so each move adds edges within labels and the sweeps
+    end, on bipartite graphs too. NotSettled after ``sweeps``.
+    """
+    with scratch(edges.sparkSession) as kept:
+        pairs = cut(both_ways(edges).where("source <> target").distinct())
+        colour = colouring(pairs)
+        classes = [r.colour for r in colour.select("colour").distinct().orderBy("colour").collect()]
+        labels = cut(colour.select("node", "colour", F.col("node").alias("label")))
+        still = 0
+        for sweep in range(sweeps * max(1, len(classes))):
+            c = classes[sweep % len(classes)] if classes else 0
+            mine = labels.where(F.col("colour") == c)
+            told = pairs.join(mine.select(F.col("node").alias("source")), "source").join(labels.select(F.col("node").alias("target"), "label"), "target")
+            votes = told.groupBy("source", "label").agg(F.count("*").alias("n"))
+            votes = votes.join(mine.select(F.col("node").alias("source"), F.col("label").alias("own")), "source")
+            # the most votes, then the own label, then the least
+            best = votes.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("x"))
+            moved = cut(best.where("x.moves").select(F.col("source").alias("node"), F.col("x.label").alias("to")))
+            if moved.isEmpty():
+                still += 1
+                if still >= len(classes):
+                    break
+                continue
+            still = 0
+            old = labels
+            labels = cut(labels.join(moved, "node", "left").select("node", "colour", F.coalesce("to", "label").alias("label")))
+            drop(old)
+        else:
+            if classes:
+                raise NotSettled(f"labels still move after {sweeps} sweeps")
+        out = cut(labels.select("node", "label"))
+        kept.append(out)
+    return out
+
+
+#: Methods in the order in which they are tried, and the name that is reported of each.
+CHAIN = ("louvain", "label_propagation", "components")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, method: str = "components", **options) -> tuple[DataFrame, str]:
+    """(node, root) and the method that was used; fewer than three nodes are one cluster, none are "none".
+
+    With method "auto" modularity is tried first, then label propagation, then
+    components: the next one if the one before does not settle. ``options`` go to
+    the first method. Clusters are connected whatever the method.
+    """
+    if method != "auto" and method not in CHAIN:
         raise ValueError(f"no such method: {method}")
+    few = nodes.limit(3).count()
+    if few < 3:
+        return nodes.select(F.col("id").alias("node"), F.min("id").over(Window.partitionBy(F.lit(0))).alias("root")), "singleton" if few else "none"
+    chain = CHAIN if method == "auto" else (method,)
+    for at, name in enumerate(chain):
+        more = options if at == 0 else {}
+        try:
+            if name == "louvain":
+                found = louvain(edges, **more)
+            elif name == "label_propagation":
+                labelled = settle_labels(edges, **more).withColumnRenamed("label", "root")
+                found = refine(labelled, edges)
+            else:
+                found = connected(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+            method = name
+            break
+        except NotSettled:
+            if name == chain[-1]:
+                raise
     rest = nodes.select(F.col("id").alias("node")).join(found, "node", "left")
     return rest.select("node", F.coalesce("root", "node").alias("root")), method
 

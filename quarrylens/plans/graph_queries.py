@@ -325,3 +325,44 @@ _ROUND = "l{1} AS (SELECT node, label FROM (SELECT b.source AS node, l.label, ro
 {', '.join(_ROUND.format(i, i + 1) for i in range(3))} SELECT node, label FROM l3""")
 def label_propagation_rounds(spark: SparkSession, d: str) -> DataFrame:
     return g.propagate_labels(og.trade_edges(spark, d), 3)
+
+
+#: customers in cliques of thirty by number, joined in a chain by one edge each: modularity is greatest with a community for each clique
+CLIQUE = 30
+
+
+def _cliques(spark: SparkSession, d: str, chained: bool) -> tuple[DataFrame, DataFrame]:
+    nodes = og.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    of = nodes.select("id", F.expr(f"id DIV {CLIQUE}").alias("k"))
+    inner = of.select(F.col("id").alias("source"), "k").join(of.select(F.col("id").alias("target"), "k"), "k").where("source < target").select("source", "target")
+    bridge = nodes.where(F.col("id") % CLIQUE == 0).select((F.col("id") - 1).alias("source"), F.col("id").alias("target"))
+    return nodes, cut(g.admit(inner.unionAll(bridge) if chained else inner, nodes))
+
+
+PLANTED = f"SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_custkey // {CLIQUE}) AS root FROM customer"
+
+
+@query(PLANTED)
+def communities_planted(spark: SparkSession, d: str) -> DataFrame:
+    """By modularity, the first method that is tried."""
+    return g.communities(*_cliques(spark, d, True), "auto")[0]
+
+
+@query(PLANTED)
+def labels_planted(spark: SparkSession, d: str) -> DataFrame:
+    """By label propagation over the same cliques without the chain: a clique is at rest with one label only."""
+    return g.communities(*_cliques(spark, d, False), "label_propagation")[0]
+
+
+@query(f"""WITH RECURSIVE {COMPONENTS} SELECT node, count(*) AS neighbours, TRUE AS settled, c.root AS component FROM c JOIN b ON b.a = c.node GROUP BY node, c.root""")
+def labels_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Label propagation over documents with common lines: no label around a node is commoner than its own, and labels stay in their component."""
+    edges = line_edges(spark, d)
+    labels = g.settle_labels(edges)
+    pairs = g.both_ways(edges).where("source <> target").distinct()
+    votes = pairs.join(labels.select(F.col("node").alias("target"), "label"), "target").groupBy(F.col("source").alias("node"), "label").agg(F.count("*").alias("n"))
+    own = votes.join(labels.withColumnRenamed("label", "own"), "node").groupBy("node").agg(F.sum("n").alias("neighbours"), (F.max(F.when(F.col("label") == F.col("own"), F.col("n"))) == F.max("n")).alias("settled"))
+    roots = g.connected(edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))).withColumnRenamed("root", "component")
+    # the component of the node that gave the label
+    given = labels.join(roots.select(F.col("node").alias("label"), "component"), "label").select("node", "component")
+    return own.select("node", "neighbours", F.coalesce("settled", F.lit(False)).alias("settled")).join(given, "node")

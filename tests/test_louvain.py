@@ -1,7 +1,10 @@
-"""Communities by modularity."""
+"""Communities: by modularity, by labels, and the chain of methods."""
 
+import random
 from itertools import combinations
 
+import pytest
+
 from quarrylens.operators import graph as g
 
 
@@ -11,20 +14,77 @@ def cliques(n, size):
     return out + [(f"{c:02}0", f"{(c + 1) % n:02}1") for c in range(n)]
 
 
-def test_ring_of_cliques(spark):
-    rows = cliques(5, 5)
-    # the other way round, repeated and loops: the graph is simple
-    edges = spark.createDataFrame(rows + [(b, a) for a, b in rows[:7]] + rows[:3] + [("000", "000")], "source string, target string")
-    nodes = spark.createDataFrame([(x,) for x in sorted({x for r in rows for x in r})] + [("lone",)], "id string")
-    members, used = g.communities(nodes, edges, "louvain")
+def groups(members):
     got = {}
     for r in members.collect():
         got.setdefault(r.root, set()).add(r.node)
-    want = [{f"{c:02}{a}" for a in range(5)} for c in range(5)] + [{"lone"}]
-    assert used == "louvain" and sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    return sorted(map(sorted, got.values()))
+
+
+RING = cliques(5, 5)
+NAMES = [(x,) for x in sorted({x for r in RING for x in r})] + [("lone",)]
+WANT = sorted([[f"{c:02}{a}" for a in range(5)] for c in range(5)] + [["lone"]])
+
+
+def test_ring_of_cliques(spark):
+    # the other way round, repeated and loops: the graph is simple
+    edges = spark.createDataFrame(RING + [(b, a) for a, b in RING[:7]] + RING[:3] + [("000", "000")], "source string, target string")
+    nodes = spark.createDataFrame(NAMES, "id string")
+    members, used = g.communities(nodes, edges, "auto")
+    assert used == "louvain" and groups(members) == WANT
+
+
+def test_methods_fall_through(spark):
+    edges, nodes = spark.createDataFrame(RING, "source string, target string"), spark.createDataFrame(NAMES, "id string")
+    members, used = g.communities(nodes, edges, "auto", levels=1)
+    assert used == "label_propagation"
+    for group in groups(members):
+        assert len(group) == 1 or g.connected(edges.where(g.F.col("source").isin(group) & g.F.col("target").isin(group)).select(g.F.col("source").alias("src"), g.F.col("target").alias("dst"))).select("root").distinct().count() == 1
+    with pytest.raises(g.NotSettled):
+        g.communities(nodes, edges, "louvain", levels=1)
+    with pytest.raises(ValueError):
+        g.communities(nodes, edges, "guess")
+    assert g.communities(nodes.limit(0), edges)[1] == "none" and g.communities(nodes.limit(2), edges)[1] == "singleton"
 
 
 def test_no_edges(spark):
     edges = spark.createDataFrame([("a", "a")], "source string, target string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
-    assert {(r.node, r.root) for r in g.communities(nodes, edges, "louvain")[0].collect()} == {("a", "a"), ("b", "b"), ("c", "c")}
+    for method in ("auto", "label_propagation", "components"):
+        assert {(r.node, r.root) for r in g.communities(nodes, edges, method)[0].collect()} == {("a", "a"), ("b", "b"), ("c", "c")}
+
+
+def test_communities_are_split_into_connected_pieces(spark):
+    members = spark.createDataFrame([(i, i // 4 * 4) for i in range(12)], "node long, root long")
+    edges = spark.createDataFrame([(0, 1), (2, 3), (3, 2), (1, 5), (4, 5), (5, 6), (6, 7), (8, 8)], "source long, target long")
+    assert groups(g.refine(members, edges)) == [[0, 1], [2, 3], [4, 5, 6, 7], [8], [9], [10], [11]]
+
+
+@pytest.mark.parametrize("kind", ["bipartite", "random", "star"])
+def test_labels_settle(spark, kind):
+    rnd = random.Random(3)
+    if kind == "bipartite":  # synchronous rounds would swap the sides' labels for ever
+        rows = [(a, 100 + b) for a in range(8) for b in range(8)]
+    elif kind == "star":
+        rows = [(0, i) for i in range(1, 60)] + [(200, 201)]
+    else:
+        rows = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(150)]
+    edges = spark.createDataFrame(rows + rows[:5], "source long, target long")
+    near = {}
+    for a, b in rows:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    pairs = g.both_ways(edges).where("source <> target").distinct()
+    colour = {r.node: r.colour for r in g.colouring(pairs).collect()}
+    assert colour.keys() == near.keys() and all(colour[a] != colour[b] for a in near for b in near[a])
+    assert max(colour.values()) <= max(map(len, near.values()))
+    label = {r.node: r.label for r in g.settle_labels(edges).collect()}
+    assert label.keys() == near.keys()
+    for v, around in near.items():
+        votes = [label[u] for u in around]
+        assert votes.count(label[v]) == max(map(votes.count, votes))
+    if kind != "random":
+        assert len({label[v] for v in near if v < 200}) == 1
+    with pytest.raises(g.NotSettled):
+        g.settle_labels(edges, sweeps=0)
