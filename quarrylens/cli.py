@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     add("graph", ("root",))
     add("slice", ("root",), ("entry",), ("--depth", int, 5))
     add("extract-rules", ("root",), ("entry",), ("--depth", int, 5))
-    add("rules", ("--status", str, None))
+    add("rules", ("--status", str, None), ("--export", str, None))
     add("review", ("rule",), ("--decision", str, "approve"), ("--reviewer", str, None), ("--note", str, None))
     add("review-all", ("--decision", str, "approve"), ("--reviewer", str, None))
     add("validate")
@@ -37,7 +37,7 @@ def _add(sub, name: str, *args: tuple) -> None:
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
-    a = parser().parse_args(argv)
+    a, given = parser().parse_args(argv), load()
     from quarrylens.facade import Engine, NotAvailable
     from quarrylens.operators.answers import http_answers
     from quarrylens.operators.contract import ContractError
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     e = Engine(spark, a.system, a.home)
     try:
         if getattr(a, "root", None):
-            s = e.analyse(a.root)
+            s = e.analyse(a.root, cache=f"file://{given.ast_dir.resolve()}" if given.parser else None, parser=given.parser.split() or None, timeout=given.parser_timeout)
         if a.command == "analyze":
             bad = s.files.where("status <> 'OK'").count()
             print(f"{s.files.count()} files, {s.procedures.count()} procedures, {bad} not read in full")
@@ -69,6 +69,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             cat = cat.where(cat.status == a.status) if a.status else cat
             for r in cat.orderBy("rule_id").collect():
                 print(r.rule_id, r.status, r.confidence, r.name)
+            if a.export:
+                print(e.export_catalog(a.export))
         elif a.command == "review":
             e.review(a.rule, a.decision, a.reviewer, a.note)
         elif a.command == "review-all":
@@ -80,7 +82,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif a.command == "contract":
             print(e.contract())
         elif a.command == "generate":
-            e.generate_code()
+            e.generate_code(command=given.generator, timeout=given.generator_timeout)
         elif a.command == "verify":
             results, records, totals = e.verify(a.cases, http_answers(a.url) if a.url else None)
             t = totals.first()

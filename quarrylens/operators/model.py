@@ -19,6 +19,48 @@ def resolve_calls(calls: DataFrame, procedures: DataFrame) -> DataFrame:
     return j.select("call_id", "callee", F.when(own & (F.col("n") == 1), F.col("id")).alias("callee_id"), F.when(own & (F.col("n") > 1), "UNRESOLVED").otherwise(F.col("kind")).alias("kind"), F.when(own, F.coalesce("n", F.lit(0))).otherwise(0).alias("candidates"))
 
 
+def infer_types(declared: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(var, type): the types (var, type) that variables are declared with or given, and those of what is assigned (var, source) to them.
+
+    Only what was new in the last round meets the assignments in the next, until
+    nothing is; cycles of assignments end.
+    """
+    with scratch(declared.sparkSession) as kept:
+        steps = cut(assigned.where("var <> source").select("var", "source").distinct())
+        known = new = cut(declared.where("var IS NOT NULL AND type IS NOT NULL").select("var", "type").distinct())
+        while not new.isEmpty():
+            passed = new.select(F.col("var").alias("source"), "type").join(steps, "source").select("var", "type").distinct()
+            new = cut(passed.join(known, ["var", "type"], "left_anti"))
+            known = known.unionByName(new)
+        out = cut(known)
+        kept.append(out)
+    return out
+
+
+def resolve_typed(calls: DataFrame, procedures: DataFrame, types: DataFrame) -> DataFrame:
+    """resolve_calls for calls with a receiver (call_id, callee, kind, receiver): a procedure (id, component, name) of one of its types comes first.
+
+    If exactly one answers, the call is bound to it; several make it UNRESOLVED;
+    only if none does is it resolved by its bare name.
+    """
+    leaf = F.lower(F.element_at(F.split("callee", r"\."), -1))
+    own = calls.where("kind <> 'EXTERNAL' AND receiver IS NOT NULL").select("call_id", "receiver", leaf.alias("lname"))
+    # equal questions are asked once
+    asked = own.select("receiver", "lname").distinct().join(types.select(F.col("var").alias("receiver"), F.lower("type").alias("lcomponent")).distinct(), "receiver")
+    of = procedures.select(F.lower("component").alias("lcomponent"), F.lower("name").alias("lname"), "id")
+    answer = asked.join(of, ["lcomponent", "lname"]).groupBy("receiver", "lname").agg(F.countDistinct("id").alias("typed"), F.min("id").alias("typed_id"))
+    typed = own.join(answer, ["receiver", "lname"]).select("call_id", "typed", "typed_id")
+    bare = resolve_calls(calls.select("call_id", "callee", "kind"), procedures)
+    j = bare.join(typed, "call_id", "left")
+    by_type = F.col("typed").isNotNull()
+    return j.select(
+        "call_id", "callee",
+        F.when(by_type, F.when(F.col("typed") == 1, F.col("typed_id"))).otherwise(F.col("callee_id")).alias("callee_id"),
+        F.when(by_type & (F.col("typed") > 1), "UNRESOLVED").when(by_type, "TYPED").otherwise(F.col("kind")).alias("kind"),
+        F.coalesce("typed", "candidates").alias("candidates"),
+    )
+
+
 def merge_objects(seen: DataFrame) -> DataFrame:
     """Observations (object_id, order, seen_in, proven, ref) as one row for each object: first place, best status, sorted references."""
     per = seen.groupBy("object_id").agg(F.count("*").alias("n_seen"), F.min_by("seen_in", "order").alias("first_seen"), F.bool_or("proven").alias("ok"), F.array_sort(F.collect_set("ref")).alias("refs"))

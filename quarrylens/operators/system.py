@@ -11,7 +11,7 @@ from quarrylens.functions.sqlfacts import facts
 from quarrylens.functions.text import slug
 from quarrylens.operators import graph as g
 from quarrylens.operators.lineage import cut
-from quarrylens.operators.model import inferred_transitions
+from quarrylens.operators.model import infer_types, inferred_transitions, resolve_typed
 from quarrylens.sources.vb6 import entity
 
 
@@ -35,8 +35,8 @@ def _id(prefix: str, *parts: str):
     return F.concat_ws("-", F.lit(prefix), *[slug(p) for p in parts])
 
 
-def build(extracted: DataFrame) -> System:
-    """All tables; the extraction is written down once."""
+def build(extracted: DataFrame, by_type: bool = False) -> System:
+    """All tables; the extraction is written down once. With ``by_type`` a call with a receiver goes to the procedure of its type first."""
     x = cut(extracted)
     files = entity(x, "file").select(_id("FILE", "file").alias("id"), "file", "sha256", "line_count", "status", "diagnostics")
     components = g.keep_first(entity(x, "component").withColumn("id", _id("CMP", "name")), ["id"], "file", "seq")
@@ -46,7 +46,7 @@ def build(extracted: DataFrame) -> System:
     calls = entity(x, "call").withColumn("caller_id", _id("PROC", "component", "procedure"))
     order = Window.partitionBy("caller_id", "line").orderBy("seq")
     calls = calls.withColumn("i", F.row_number().over(order) - 1).withColumn("id", F.concat_ws("-", F.lit("CALL"), "caller_id", slug("callee"), F.concat(F.lit("L"), "line"), "i"))
-    calls = _resolve(calls, procedures)
+    calls = _resolve_by_type(calls, procedures, components, x) if by_type else _resolve(calls, procedures)
     sql = entity(x, "sql").withColumn("f", facts("text")).select("file", "seq", "component", "procedure", "text", "raw", "is_dynamic", "line", "state_tokens", "mentions_state_column", "domain", "f.*")
     sql = sql.withColumn("id", F.concat_ws("-", F.lit("SQL"), slug("file"), F.concat(F.lit("L"), "line"), F.substring(F.sha2("raw", 256), 1, 8))).withColumn("procedure_id", _id("PROC", "component", "procedure"))
     writes = entity(x, "state_write").withColumn("procedure_id", _id("PROC", "component", "procedure"))
@@ -61,7 +61,6 @@ def build(extracted: DataFrame) -> System:
     by_name = components.select(F.col("name").alias("by_name"), F.lower("name").alias("k2"))
     declared = declared.join(by_stem, F.lower("stem") == F.col("k1"), "left").join(by_name, F.lower("component") == F.col("k2"), "left")
     declared = declared.select("file", "component", "kind", F.coalesce("by_stem", "by_name").alias("real"), F.coalesce("by_stem", "by_name").isNull().alias("orphan"))
-    del stems
     return System(files, components, procedures, entity(x, "variable"), calls, sql, _objects(sql, calls), transitions, entries, declared)
 
 
@@ -72,6 +71,34 @@ def _resolve(calls: DataFrame, procedures: DataFrame) -> DataFrame:
     return j.withColumns({"callee_id": F.when(own & (F.col("n") == 1), F.col("only")), "kind": F.when(own & (F.col("n") > 1), "UNRESOLVED").otherwise(F.col("kind"))}).drop("lname", "n", "only", "i")
 
 
+def _resolve_by_type(calls: DataFrame, procedures: DataFrame, components: DataFrame, x: DataFrame) -> DataFrame:
+    """Receivers are variables of the procedure, of its component, or public ones, in this order, or components by name."""
+    c = F.col
+    low = lambda *parts: F.concat_ws("|", *[F.lower(F.coalesce(p, F.lit(""))) for p in parts])
+    none = F.lit("")
+    spot = lambda scope: F.when(scope == "local", low(c("component"), c("procedure"), c("name"))).when(scope == "global", low(none, none, c("name"))).otherwise(low(c("component"), none, c("name")))
+    leaf = lambda t: F.element_at(F.split(t, r"\."), -1)
+    variables = entity(x, "variable").select(spot(c("scope")).alias("var"), leaf("type_name").alias("type"))
+    given = procedures.select("component", c("name").alias("procedure"), F.explode("parameters").alias("p"))
+    variables = variables.unionAll(given.select(low(c("component"), c("procedure"), c("p.name")), leaf("p.type_name")))
+    variables = cut(variables.unionAll(components.select(low(none, none, c("name")), c("name"))))
+    known = variables.select("var").distinct()
+
+    def place(df: DataFrame, name: str, out: str) -> DataFrame:
+        keys = (low(c("component"), c("procedure"), c(name)), low(c("component"), none, c(name)), low(none, none, c(name)))
+        for i, key in enumerate(keys):
+            df = df.join(known.select(c("var").alias(f"_{i}")), key == c(f"_{i}"), "left")
+        return df.withColumn(out, F.when(c(name).isNotNull(), F.coalesce("_0", "_1", "_2", keys[0]))).drop("_0", "_1", "_2")
+
+    sets = cut(place(place(entity(x, "assignment").withColumn("source", F.regexp_replace("source", r"(?i)^me\.", "")), "target", "var"), "source", "from"))
+    declared = variables.unionAll(sets.where("type_name IS NOT NULL").select("var", leaf("type_name")))
+    types = infer_types(declared, sets.where("source IS NOT NULL").select("var", c("from").alias("source")))
+    asked = place(calls.select("id", "callee", "kind", "component", "procedure", F.regexp_replace("receiver", r"(?i)^me\.", "").alias("name")), "name", "receiver")
+    got = resolve_typed(asked.select(c("id").alias("call_id"), "callee", "kind", "receiver"), procedures.where("NOT declared"), types)
+    got = cut(got.select(c("call_id").alias("id"), "callee_id", F.when(c("kind") == "TYPED", "DYNAMIC").otherwise(c("kind")).alias("kind")))
+    return calls.drop("kind", "i").join(got, "id")
+
+
 def _objects(sql: DataFrame, calls: DataFrame) -> DataFrame:
     """Tables, views and stored procedures that statements name, each once, with the first place, the callers and out parameters."""
     place = F.struct("file", "line")

@@ -432,3 +432,54 @@ def runlog_stage_stats(spark: SparkSession, d: str) -> DataFrame:
 
     line = F.to_json(F.struct(F.col("event_type").alias("stage"), F.concat(F.lit("EXEC-"), F.col("user_id").cast("string")).alias("execution_id"), F.col("value").alias("duration_ms"), F.col("ts").cast("string").alias("timestamp")))
     return stage_stats(parse(table(spark, d, "events").select(line.alias("value"))), slow_ms=100.0)
+
+
+#: the old system's states of a user, and the new one's: some are lost, some take another name
+TRACES = """ev AS (SELECT user_id, event_type AS s, event_id, ts, CASE WHEN event_id % 11 = 0 THEN 'click' ELSE event_type END AS t FROM events),
+tr AS (SELECT user_id AS case_id, list(s ORDER BY ts, event_id) AS a, coalesce(list(t ORDER BY ts, event_id) FILTER (event_id % 29 <> 0 AND user_id % 3 <> 0 OR user_id % 4 = 0), []) AS b FROM ev WHERE user_id % 10 <> 9 OR event_id % 2 = 0 GROUP BY user_id)"""
+
+
+@query(f"""WITH RECURSIVE {TRACES}, lcs(case_id, i, r) AS (
+  SELECT case_id, 0, list_transform(range(len(b) + 1), lambda x: 0) FROM tr
+  UNION ALL SELECT case_id, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE r[k] END))) FROM lcs JOIN tr USING (case_id) WHERE i < len(a)),
+w AS (SELECT case_id, CAST(list_max(r) AS INTEGER) AS n_common FROM lcs JOIN tr USING (case_id) WHERE i = len(a)),
+f AS (SELECT case_id, list_min(list_filter(range(greatest(len(a), len(b))), lambda i: a[i + 1] IS DISTINCT FROM b[i + 1])) AS first FROM tr)
+SELECT case_id, n_common, CAST(first AS INTEGER) AS first, CASE WHEN first IS NULL THEN 'match' ELSE 'divergence' END AS outcome,
+  'state_trace' || CASE WHEN first IS NULL THEN '' ELSE ': at ' || first || ' expected ' || coalesce(a[first + 1], 'the end') || ', got ' || coalesce(b[first + 1], 'the end') || '; ' || n_common || ' of ' || len(a) || ' states in order' END AS detail
+FROM tr JOIN w USING (case_id) JOIN f USING (case_id)""")
+def state_trace_compare(spark: SparkSession, d: str) -> DataFrame:
+    """The states of each user in the old and in the new system."""
+    e, mine = table(spark, d, "events"), F.col("user_id")
+    e = e.where((mine % 10 != 9) | (F.col("event_id") % 2 == 0))
+    kept = ((F.col("event_id") % 29 != 0) & (mine % 3 != 0)) | (mine % 4 == 0)
+    order = lambda v: F.transform(F.array_sort(F.collect_list(v)), lambda x: x["s"])
+    new = F.when(F.col("event_id") % 11 == 0, "click").otherwise(F.col("event_type"))
+    per = e.groupBy(mine.alias("case_id")).agg(order(F.struct("ts", "event_id", F.col("event_type").alias("s"))).alias("a"), order(F.when(kept, F.struct("ts", "event_id", new.alias("s")))).alias("b"))
+    return vf.compare_traces(per.select("case_id", F.col("a").alias("trace")), per.select("case_id", F.col("b").alias("trace"))).select("case_id", "n_common", "first", "outcome", "detail")
+
+
+#: nations are components with a procedure for each segment of their customers; suppliers are variables, of which every third is declared with its nation
+TYPED = """pr AS (SELECT DISTINCT 'PROC-' || c_nationkey || '-' || c_mktsegment AS id, n_name AS component, c_mktsegment AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+ln AS (SELECT l_orderkey, l_suppkey AS v, lead(l_suppkey) OVER w AS nxt, row_number() OVER w AS i FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey)),
+asg AS (SELECT DISTINCT v, nxt AS source FROM ln WHERE l_orderkey % 97 = 0 AND v % 3 <> 0 AND nxt IS NOT NULL),
+cl AS (SELECT o_orderkey AS call_id, lower(c_mktsegment) AS callee, v, CASE WHEN o_orderkey % 7 = 0 THEN 'EXTERNAL' ELSE 'DYNAMIC' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN ln ON l_orderkey = o_orderkey AND i = 1)"""
+
+
+@query(f"""WITH RECURSIVE {TYPED}, t(v, type) AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0 UNION SELECT asg.v, t.type FROM t JOIN asg ON asg.source = t.v),
+y AS (SELECT call_id, count(DISTINCT id) AS n, min(id) AS id FROM cl JOIN t USING (v) JOIN pr ON component = type AND lower(name) = callee WHERE kind <> 'EXTERNAL' GROUP BY call_id),
+z AS (SELECT lower(name) AS callee, count(*) AS n, min(id) AS id FROM pr GROUP BY 1)
+SELECT cl.call_id, CASE WHEN y.n = 1 THEN y.id WHEN y.n IS NULL AND kind <> 'EXTERNAL' AND z.n = 1 THEN z.id END AS callee_id,
+  CASE WHEN kind = 'EXTERNAL' THEN kind WHEN y.n = 1 THEN 'TYPED' WHEN y.n > 1 OR z.n > 1 THEN 'UNRESOLVED' ELSE kind END AS kind, CASE WHEN kind = 'EXTERNAL' THEN 0 ELSE coalesce(y.n, z.n, 0) END AS candidates
+FROM cl LEFT JOIN y USING (call_id) LEFT JOIN z USING (callee)""")
+def typed_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of names that many components share, told apart by what their receivers are declared as or were assigned."""
+    t = lambda n: table(spark, d, n)
+    procedures = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("-", F.lit("PROC"), F.col("c_nationkey").cast("string"), "c_mktsegment").alias("id"), F.col("n_name").alias("component"), F.col("c_mktsegment").alias("name")).distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
+    lines = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("var"), F.lead("l_suppkey").over(w).alias("source"), F.row_number().over(w).alias("i"))
+    assigned = lines.where("l_orderkey % 97 = 0 AND var % 3 <> 0 AND source IS NOT NULL")
+    declared = t("supplier").where("s_suppkey % 3 = 0").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("var"), F.col("n_name").alias("type"))
+    first = lines.where("i = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("var").alias("receiver"))
+    calls = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(first, "o_orderkey", "left")
+    calls = calls.select(F.col("o_orderkey").alias("call_id"), F.lower("c_mktsegment").alias("callee"), "receiver", F.when(F.col("o_orderkey") % 7 == 0, "EXTERNAL").otherwise("DYNAMIC").alias("kind"))
+    return md.resolve_typed(calls, procedures, md.infer_types(declared, assigned.select("var", "source"))).select("call_id", "callee_id", "kind", "candidates")

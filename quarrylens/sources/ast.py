@@ -87,6 +87,31 @@ def acquire(sources: DataFrame, parser_version: str, cache: DataFrame | None = N
     return out
 
 
+OWN = "array<struct<seq:int,entity:string,payload:string>>"
+
+
+def entities(documents: DataFrame) -> DataFrame:
+    """(file, entity, seq, payload) of documents, as ``vb6.extract`` gives them.
+
+    Documents of the own reader have all entities. Of foreign ones come the
+    component and its procedures, as far as they are told; a document that is not
+    there leaves a file that failed.
+    """
+    own = documents.where("document LIKE '[%'").select("file", F.explode(F.from_json("document", OWN)).alias("x")).select("file", "x.entity", "x.seq", "x.payload")
+    rest = documents.where("document IS NULL OR document NOT LIKE '[%'")
+    told = rest.select("file", "sha256", "note", "document").join(translate(rest.select("file", "document")), "file")
+    notes = F.when(F.col("note").isNotNull(), F.array("note")).otherwise(F.array().cast("array<string>"))
+    status = F.when(F.col("document").isNull(), "FAILED").otherwise(F.col("status"))
+    rows = lambda df, entity, seq, payload: df.select("file", F.lit(entity).alias("entity"), seq.cast("int").alias("seq"), F.to_json(payload).alias("payload"))
+    files = rows(told, "file", F.lit(0), F.struct("sha256", F.lit(0).alias("line_count"), status.alias("status"), notes.alias("diagnostics")))
+    named = told.where("component IS NOT NULL")
+    none = F.array().cast("array<string>")
+    components = rows(named, "component", F.lit(1), F.struct(F.col("component").alias("name"), F.lit("UNKNOWN").alias("kind"), "status", none.alias("depends_on"), none.alias("attention_points")))
+    each = named.select("file", "component", F.posexplode("procedures").alias("i", "p")).where("p.name IS NOT NULL")
+    procedures = rows(each, "procedure", F.col("i") + 2, F.struct("component", F.col("p.name").alias("name"), F.coalesce("p.kind", F.lit("sub")).alias("kind"), F.lit("public").alias("visibility"), F.lit(False).alias("declared"), F.lit("").alias("body"), F.array().cast("array<struct<name:string>>").alias("parameters")))
+    return own.unionByName(files).unionByName(components).unionByName(procedures)
+
+
 def store(documents: DataFrame, path: str) -> None:
     """Adds documents to the cache; they are looked up by file, content and parser version."""
     documents.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(path)

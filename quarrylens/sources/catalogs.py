@@ -1,4 +1,4 @@
-"""Catalogs in YAML: rules, golden cases, language guidance; small files, read and written on the driver."""
+"""Catalogs: the log of rules and reviews as tables; rules, golden cases and language guidance as YAML, small files that the driver reads and writes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylens.operators.graph import keep_first
+from quarrylens.operators.lineage import exists
+from quarrylens.operators.rules import review
 
 RULE_SCHEMA = "rule_id string, name string, description string, flow_id string, entry_point_id string, status string, confidence string, condition_type string, expression string, fields array<string>, behavior_type string, target string, observation array<string>, inference array<string>, file string, line int, procedures array<string>, reviewed_by string, review_note string, reviewed_at string"
 CASE_SCHEMA = "case_id string, flow_id string, entry_point string, procedure string, description string, inputs map<string,string>, expected map<string,string>, legacy_output map<string,string>, state_trace array<string>, captured_from string, evidence string, confidence string, tags array<string>"
@@ -52,6 +57,46 @@ def save_rules(rules: DataFrame, path: str, system_id: str) -> None:
     Path(path).write_text(yaml.safe_dump({"version": 1, "system_id": system_id, "rules": rows}, sort_keys=False, allow_unicode=True))
 
 
+DECISION_SCHEMA = "rule_id string, decision string, reviewer string, at string, note string"
+
+
+class RuleLog:
+    """The rules of a system as two append-only tables: rules as they were extracted, and decisions about them.
+
+    Writers only add files, so none loses what another one adds. Of a rule that was
+    added twice the first counts; decisions are replayed in the order of their times.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, system_id: str):
+        self.spark, self.path, self.system_id = spark, path.rstrip("/"), system_id
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{table}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def rules(self) -> DataFrame:
+        """The catalog as it stands."""
+        added = self._read("rules", f"{RULE_SCHEMA}, system_id string, added timestamp")
+        other = added.where(F.col("system_id") != self.system_id).limit(1).collect()
+        if other:
+            raise CatalogError(f"{self.path} belongs to {other[0].system_id!r}, not to {self.system_id!r}")
+        first = keep_first(added, ["rule_id"], "added", F.xxhash64(*_names(RULE_SCHEMA))).drop("system_id", "added")
+        return review(first, self._read("decisions", DECISION_SCHEMA), strict=False).select(*_names(RULE_SCHEMA))
+
+    def add(self, rules: DataFrame) -> None:
+        """Those whose ids the catalog lacks; columns that are missing are null."""
+        have = dict(rules.dtypes)
+        types = {f.name: f.dataType for f in self.spark.createDataFrame([], RULE_SCHEMA).schema}
+        new = rules.join(self.rules().select("rule_id"), "rule_id", "left_anti")
+        new = new.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in types.items()], F.lit(self.system_id).alias("system_id"), F.current_timestamp().alias("added"))
+        new.write.mode("append").parquet(f"{self.path}/rules")
+
+    def decide(self, decisions: DataFrame) -> None:
+        """Adds decisions (rule_id, decision, reviewer, at, note); unknown ones, and those without a reviewer, are refused."""
+        review(self.spark.createDataFrame([], "rule_id string, status string, confidence string"), decisions)
+        decisions.select(*_names(DECISION_SCHEMA)).write.mode("append").parquet(f"{self.path}/decisions")
+
+
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases, from a list or a mapping with ``cases``; each needs accepted evidence and something expected."""
     data = yaml.safe_load(Path(path).read_text()) or []

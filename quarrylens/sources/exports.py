@@ -59,8 +59,9 @@ def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    # one document is one file; graphs that go into GraphML tools are small
-    graphml_rows(nodes, edges).repartition(1).sortWithinPartitions("part", "position").select("value").write.mode("overwrite").text(path)
+    """Files in order, written by many tasks: one after the other by name they are the document."""
+    rows = graphml_rows(nodes, edges)
+    rows.repartitionByRange("part", "position").sortWithinPartitions("part", "position").select("value").write.mode("overwrite").text(path)
 
 
 def save_tables(prefix: str, **tables: DataFrame) -> list[str]:
@@ -83,7 +84,8 @@ def slice_json(flow: dict, reached: DataFrame, edges: DataFrame, fragments: Data
     ids = reached.agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("nodes"))
     links = edges.agg(F.sort_array(F.collect_list(F.struct("kind", "source", "target"))).alias("edges"))
     texts = fragments.select("fragment", "procedure", "file", "line", redact("text").alias("text")).agg(F.sort_array(F.collect_list(F.struct("fragment", "procedure", "file", "line", "text"))).alias("fragments"))
-    fields = [F.lit(v).alias(k) for k, v in flow.items()]
+    # lists are of texts
+    fields = [(F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(k) for k, v in flow.items()]
     if standalone:
         many = F.expr("aggregate(fragments, 0L, (n, x) -> n + (length(x.text) + 3) DIV 4)")
         return ids.crossJoin(links).crossJoin(texts).select(F.to_json(F.struct(*fields, "nodes", "edges", F.col("fragments").alias("source_fragments"), many.alias("context_token_estimate"))).alias("value"))

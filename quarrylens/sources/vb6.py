@@ -34,6 +34,9 @@ SQL_HEAD = re.compile(r"(?i)^\s*(select|insert\s+into|update|delete\s+from|merge
 SQL_CALL = re.compile(r"(?i)^\s*\{?\s*call\b")
 SQL_TAIL = re.compile(r"(?i)\b(from|into|set|values|where|join|group\s+by|order\s+by)\b")
 OUT_NAME = re.compile(r"^P_[A-Z0-9_]+$")
+#: Changes when the reader gives other entities of the same text.
+PARSER_VERSION = "own-3"
+SET = re.compile(r"(?i)\s*set\s+(?:me\s*\.\s*)?(\w+)\s*=\s*(new\s+)?(?:me\s*\.\s*)?([\w.]+)\s*\Z")
 STATE_ASSIGN = re.compile(r'^\s*([A-Za-z_][\w.$]*)\s*=\s*"([A-Z][A-Z0-9_]*)"\s*$')
 STATE_SETTER = re.compile(r'^\s*(?:call\s+)?([A-Za-z_][\w.$]*)\s+([A-Za-z_][\w.$]*)\s*,\s*"([A-Z][A-Z0-9_]*)"\s*$')
 STATE_CALL = re.compile(r'^\s*(?:call\s+)?[A-Za-z_][\w.$]*\s*\(\s*([A-Za-z_][\w.$]*)?\s*,\s*(?:(?:adVar|Types\.)?\w+\s*,\s*)?"([A-Z][A-Z0-9_]*)"')
@@ -284,6 +287,12 @@ def state_write(s: Statement) -> dict | None:
     return None
 
 
+def assignment(s: Statement) -> dict | None:
+    """Set x = New T, or Set x = y: the target, and the type or variable that it is given."""
+    m = SET.match(s.text)
+    return m and {"target": m[1], "type_name": m[3] if m[2] else None, "source": None if m[2] else m[3], "line": s.line}
+
+
 def attention(s: Statement) -> list[str]:
     low = re.sub(r"\s+", " ", s.text.lower())
     found = {"on error resume next": "resume-next", "on error goto": "error-goto", "err.": "err-object", "doevents": "do-events", "createobject(": "late-binding"}
@@ -347,6 +356,8 @@ def read_file(file: str, source: str) -> Iterator[tuple[str, dict]]:
         if current:
             for c in calls(s):
                 rows.append(("call", c | {"procedure": where}))
+            if given := assignment(s):
+                rows.append(("assignment", given | {"procedure": where}))
             w = state_write(s)
             if w:
                 rows.append(("state_write", w | {"procedure": where, "domain": state_domain(f"{w['target']} {where}")}))
@@ -395,6 +406,7 @@ SCHEMAS = {
     "call": "component string, procedure string, callee string, receiver string, kind string, line int, arguments array<string>, expression string",
     "sql": "component string, procedure string, text string, raw string, is_dynamic boolean, line int, state_tokens array<string>, mentions_state_column boolean, domain string",
     "state_write": "component string, procedure string, target string, value string, line int, shape string, domain string",
+    "assignment": "component string, procedure string, target string, type_name string, source string, line int",
     "control": "component string, name string, kind string, line int",
     "attention": "component string, procedure string, note string, line int",
     "entry_point": "name string, kind string, component string, procedure string, line int",

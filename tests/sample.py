@@ -1,4 +1,4 @@
-"""A small invented system, for queries and tests that need source text."""
+"""A small invented system, for tests that need source text."""
 
 FILES = {
     "app/Orders.bas": '''Attribute VB_Name = "Orders"

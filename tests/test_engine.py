@@ -12,7 +12,7 @@ from quarrylens.operators import graph as g
 from quarrylens.operators import rules as rl
 from quarrylens.operators.contract import ContractError
 from quarrylens.operators.system import EntryNotFound, resolve_entry
-from quarrylens.plans.sample import FILES
+from sample import FILES
 from quarrylens.sources import catalogs
 from quarrylens.sources.vb6 import LexError, read_file, split_statements, tokenize
 from quarrylens.streaming import runlog

@@ -5,7 +5,7 @@ import pytest
 from quarrylens import codegen, report, settings
 from quarrylens.facade import Engine, NotAvailable
 from quarrylens.operators.answers import http_answers
-from quarrylens.plans.sample import FILES
+from sample import FILES
 from quarrylens.sources import exports, sqlite
 
 

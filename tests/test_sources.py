@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import prompts
 from quarrylens.operators.lineage import cut
-from quarrylens.plans.sample import FILES
+from sample import FILES
 from quarrylens.sources import ast
 from quarrylens.sources.vb6 import decode
 
