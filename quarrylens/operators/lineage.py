@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def register(path: str) -> None:
+    """A folder that something else wrote, for clean() and the scope that it belongs to."""
+    _written[-1].append(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at a path of any store."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
