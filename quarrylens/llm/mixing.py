@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import cut
+from quarrylens.operators.graph import numbered
 
 #: Documents of a block; blocks merged in one.
 BLOCK, MERGE = 4096, 1024
@@ -128,7 +129,11 @@ def mix(docs: DataFrame, *keep: str, weights: tuple = WEIGHTS, share: float = 1.
     goal = cut(goal.select(F.col("source").alias("g"), "source_size", "n_docs", "target", rate.alias("rate")))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK))
     units = sized.where("size > 0").join(goal, F.expr("source <=> g")).where(f"rate - floor(rate) > {EPS}")
-    state = cut(_fly(units.withColumn("p", F.expr("rate - floor(rate)")).withColumn("block", F.expr("pmod(tie, 9223372036854775807)") % blocks), False))
+    # a block is BLOCK rows that follow each other in the order of a hash; equal rows are told apart by their place, so that any number of them is split
+    placed = cut(numbered(units.select("row", "tie", "doc_id", "source", "size", "rate"), "place", F.col("source").asc_nulls_last(), "tie", F.col("doc_id").asc_nulls_last(), "row"))
+    first = placed.groupBy(F.col("source").alias("f")).agg(F.min("place").alias("begin"))
+    placed = placed.join(first, F.expr("source <=> f")).withColumn("block", F.expr(f"(place - begin) DIV {BLOCK}"))
+    state = cut(_fly(placed.withColumn("p", F.expr("rate - floor(rate)")), False))
     decided = [state.where("p = 0 OR p = 1").select("row", "p")]
     left = goal.agg(F.max(blocks)).first()[0] or 1
     while True:

@@ -80,3 +80,22 @@ def test_edge_cases(spark):
     assert mix(df.limit(0), "doc_id").count() == 0
     zero = mix(df.where("doc_id IN (1, 2)"), "doc_id").collect()
     assert [(r.target, r.taken) for r in zero] == [(0.0, 0)] * 2
+
+
+def test_equal_rows_are_split_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    sizes = []
+    fly = mixing._fly
+
+    def spy(df, land):
+        sizes.append(df.groupBy("source", "block").count().agg({"count": "max"}).first()[0])
+        return fly(df, land)
+
+    monkeypatch.setattr(mixing, "_fly", spy)
+    rows = [(7, "one two three", "a")] * 3000 + [(i, "w " * (1 + i % 9), "b") for i in range(500)] + [(7, "one two three", None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mix(df, "doc_id", "source").collect()
+    assert sizes[0] == 64 and max(sizes) < 200
+    check(got)
+    again = mix(df.repartition(3), "doc_id", "source").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
