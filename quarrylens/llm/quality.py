@@ -1,7 +1,9 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic classifier over statistics of the whole text gives each document its
-evidence. Sites add to it: a host's documents are summed up (labels where there
+A logistic classifier over statistics of the whole text, and over what its words
+say, gives each document its evidence. The words' weights are log odds from the
+labelled sample, in two halves: a document is judged by the half that it is not
+in, so that no label speaks for its own text. Sites add to it: a host's documents are summed up (labels where there
 are labels, else classifier probabilities) and shrunk towards the global mean, a
 path's documents towards their host. How strongly is estimated from the data by
 moments, once for hosts and once for paths: where sites hardly differ, or have
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -23,12 +26,38 @@ from quarrylens.llm.common import cut, map_batches, share
 
 #: The classifier is fitted on so many labelled documents at most, chosen by hash.
 FIT_ROWS = 20_000
-FEATURES = ("log_words", "word_length", "word_spread", "distinct", "top_word", "again", "upper", "shout", "symbols", "digits", "pipes", "line_repeat", "ends", "function")
+FEATURES = ("log_words", "word_length", "word_spread", "distinct", "top_word", "again", "upper", "shout", "symbols", "digits", "pipes", "line_repeat", "ends", "function", "words")
+#: Words count by hash; the mean of their log odds is the last of FEATURES.
+BUCKETS = 1 << 18
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER, _SYMBOL, _DIGIT, _END = (re.compile(x) for x in (r"[A-Z]+", r"[^\w\s.,;:!?'\"()-]+", r"[0-9]+", r"[.?][ \n]"))
 
 
-def features(text: str | None) -> list[float]:
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+
+
+def half(doc_id: int | None) -> int:
+    """In which half of the labelled sample a document is, or would be."""
+    return zlib.crc32(f"half {doc_id}".encode()) & 1
+
+
+class Words:
+    """Log odds of good against bad for each bucket of words, by presence in labelled documents of either half."""
+
+    def __init__(self, counts: np.ndarray, docs: np.ndarray):
+        """counts[half, label, bucket] and docs[half, label]: in how many documents, and of how many."""
+        share = (counts + 0.5) / (docs[:, :, None] + 1)
+        # a half without both labels says nothing
+        both = (docs > 0).all(axis=1)
+        self.weights = np.where(both[:, None], np.log(share[:, 1]) - np.log(share[:, 0]), 0.0).astype(np.float32)
+
+    def evidence(self, words, doc_id: int | None) -> float:
+        at = np.fromiter({bucket(w) for w in words}, np.int64)
+        return float(self.weights[1 - half(doc_id), at].mean()) if len(at) else 0.0
+
+
+def features(text: str | None, doc_id: int | None = None, known: Words | None = None) -> list[float]:
     """Statistics of a whole text, in the order of FEATURES; all 0 without words."""
     w = _WORDS.findall(text or "")
     n = len(w)
@@ -56,6 +85,7 @@ def features(text: str | None) -> list[float]:
         1 - len(set(lines)) / max(1, len(lines)),
         len(_END.findall(text)) / n,
         short / n,
+        known.evidence(count, doc_id) if known else 0.0,
     ]
 
 
@@ -120,6 +150,28 @@ def _strength(groups: DataFrame, inside: str | None) -> tuple[float, float]:
     return mean, min(max(mean * (1 - mean) / var - 1, 1.0), 1e6)
 
 
+def _words(source: DataFrame, labelled: DataFrame) -> Words:
+    """From the whole texts of the labelled documents: a row for each half, label and bucket, whatever their number."""
+
+    def rows(x: dict) -> dict:
+        out: dict[str, list] = {"h": [], "y": [], "b": []}
+        for i, y, t in zip(x["doc_id"], x["y"], x["text"]):
+            # bucket -1 counts the documents
+            found = [-1, *{bucket(w) for w in _WORDS.findall(t or "")}]
+            out["h"] += [half(i)] * len(found)
+            out["y"] += [int(y)] * len(found)
+            out["b"] += found
+        return out
+
+    counts, docs = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
+    got = map_batches(source.join(labelled, "doc_id").select("doc_id", "y", "text"), rows, "h int, y int, b int").groupBy("h", "y", "b").agg(F.count("*").alias("n")).toArrow()
+    h, y, b, n = (got[c].to_numpy() for c in ("h", "y", "b", "n"))
+    words = b >= 0
+    counts[h[words], y[words], b[words]] = n[words]
+    docs[h[~words], y[~words]] = n[~words]
+    return Words(counts, docs)
+
+
 def score(docs: DataFrame, labels: DataFrame, sites: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, host, path, p_text, p_host, p_path, quality and keep.
 
@@ -130,14 +182,17 @@ def score(docs: DataFrame, labels: DataFrame, sites: DataFrame) -> DataFrame:
     every probability is 1/2. Extra columns are ignored; empty tables are fine.
     """
 
-    def rows(x: dict) -> dict:
-        return {"doc_id": x["doc_id"], "f": [features(t) for t in x["text"]]}
-
-    feats = cut(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, f array<double>"))
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = cut(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("double").alias("y")))
     # thinned by hash first: else every partition would send FIT_ROWS rows to the driver
     most = math.ceil((1 << 20) * min(1.0, 1.25 * FIT_ROWS / max(1, known.count())))
-    thin = known.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 20}) < {most}"))
+    thin = cut(known.where(F.expr(f"pmod(xxhash64(doc_id), {1 << 20}) < {most}")))
+    words = share(docs.sparkSession, _words(source, thin))
+
+    def rows(x: dict) -> dict:
+        return {"doc_id": x["doc_id"], "f": [features(t, i, words()) for t, i in zip(x["text"], x["doc_id"])]}
+
+    feats = cut(map_batches(source, rows, "doc_id long, f array<double>"))
     sample = feats.join(thin, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(FIT_ROWS).collect()
     model = Classifier(np.array([r.f for r in sample]).reshape(-1, len(FEATURES)), np.array([r.y for r in sample]))
     shared = share(docs.sparkSession, model)

@@ -82,3 +82,50 @@ def test_edge_cases(spark):
     assert len(got) == 6 and all(0 <= r.quality <= 1 for r in got)
     assert score(docs.limit(0), labels, sites).count() == 0
     assert features("") == [0.0] * len(FEATURES)
+
+
+def test_words_tell_where_statistics_do_not(spark):
+    """Texts of the same lengths and shapes that differ in what they are about."""
+    rnd = np.random.default_rng(4)
+    good, bad = (["".join(rnd.choice(list("abcdefghij"), 6)) for _ in range(60)] for _ in range(2))
+    common = ["".join(rnd.choice(list("klmnop"), 6)) for _ in range(60)]
+    text = lambda own: " ".join(rnd.choice(own if rnd.random() < 0.3 else common) for _ in range(40)) + "."
+    rows = [(i, text(good if i % 2 else bad), "s") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    labels = df.where("doc_id < 400").selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    got = score(df, labels, df.selectExpr("doc_id", "host", "host AS path")).where("doc_id >= 400").collect()
+    assert np.mean([(r.p_text > 0.5) == bool(r.doc_id % 2) for r in got]) > 0.95
+
+
+def test_words_of_a_label_do_not_speak_for_their_own_text(spark):
+    """Labels without any meaning: a word that only one document has must not tell its label back."""
+    rnd = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, f"alpha beta own{i} gamma", int(rnd.integers(2))) for i in range(400)], "doc_id long, text string, quality int")
+    got = {r.doc_id: r.p_text for r in score(df.select("doc_id", "text"), df.select("doc_id", "quality"), df.selectExpr("doc_id", "'h' AS host", "'p' AS path")).collect()}
+    right = np.mean([(got[r.doc_id] > 0.5) == bool(r.quality) for r in df.collect()])
+    assert right < 0.65
+
+
+def test_query_links_pages_and_documents(spark, sf):
+    """Each document once; its site from the addresses of pages, told by a parser of its own."""
+    from urllib.parse import urlsplit
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    sites = {}
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        u = urlsplit(p.url)
+        parts = [x for x in u.path.split("/") if x]
+        number = parts[-1].removesuffix(".html") if parts else ""
+        if number.isascii() and number.isdigit():
+            sites.setdefault(int(number), []).append((u.hostname, f"/{parts[0]}"))
+    got = op8_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d.doc_id for d in docs)
+    by = {r.doc_id: r for r in got}
+    linked = 0
+    for d in docs:
+        r = by[d.doc_id]
+        want = min(sites.get(d.doc_id, []) + [(f"~{d.source}", f"~{d.lang}")])
+        assert (r.host, r.path) == want
+        linked += not r.host.startswith("~")
+        assert 0 <= r.quality <= 1 and r.keep == (r.quality >= 0.5)
+    assert linked > 10
