@@ -1,11 +1,14 @@
 """Web archives packaged as ZIP: written by tasks, read by range without extraction.
 
-An archive is a ZIP file with two stored members: ``archive/data.warc.gz``, in
-which each record is a gzip member of its own, and ``indexes/index.cdx``, one
-line with offset, length and record id for each record. The reader parses the end record, the ZIP64 end record and the central directory, finds
-where the stored members begin, reads the index, and then reads single records
-by their byte range. Nothing is unpacked to disk, and files are opened through
-the filesystem that their URI names.
+An archive is a ZIP file with stored members: ``archive/data.warc.gz``, in which
+each record is a gzip member of its own, ``indexes/index.cdxj``, a line of JSON
+with file, offset and length for each record, and ``datapackage.json``, which
+lists both. The reader takes archives of others too, with several data members,
+CDX or CDXJ indexes, compressed or not, or none. It parses the end record, the
+ZIP64 end record and the central directory, finds where the stored members begin,
+reads the indexes, and then single records by their byte range; data without an
+index is read through by pieces. Nothing is unpacked to disk, and files are
+opened through the filesystem that their URI names.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
+import re
 import struct
 import uuid
 import zipfile
@@ -25,10 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import cut, shared_dir
+from quarrylens.operators.lineage import register
 
 #: An archive is closed at so many bytes; records below this payload are never revisits.
 ARCHIVE_BYTES, LEAST_REVISIT = 16 << 20, 100
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+_INDEX = re.compile(r"(?i)(?:\A|/)[^/]+\.cdxj?(?:\.gz)?\Z")
+_DATA = re.compile(r"(?i)\.warc(?:\.gz)?\Z")
+#: Bytes of an archive that are read at once where it has no index.
+PIECE = 1 << 18
 CRLF = b"\r\n"
 
 
@@ -50,13 +60,18 @@ def render(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def package(records: list[tuple[str, bytes]]) -> bytes:
-    """A ZIP archive of the compressed records and their index, both stored; sizes and offsets are kept as ZIP64."""
-    out, at, lines = io.BytesIO(), 0, []
-    for name, data in records:
-        lines.append(f"{at} {len(data)} {name}\n")
-        at += len(data)
+    """A ZIP archive of the compressed records, their index and a description, all stored; sizes and offsets are kept as ZIP64."""
+    out, at, lines, data = io.BytesIO(), 0, [], hashlib.sha256()
+    for name, body in records:
+        about = {"url": name, "filename": DATA.rsplit("/", 1)[1], "offset": str(at), "length": str(len(body))}
+        lines.append(f"{name} 20000101000000 {json.dumps(about)}\n")
+        data.update(body)
+        at += len(body)
+    index = "".join(lines).encode()
+    listed = [{"name": p.rsplit("/", 1)[1], "path": p, "hash": f"sha256:{h}", "bytes": n} for p, h, n in ((DATA, data.hexdigest(), at), (INDEX, hashlib.sha256(index).hexdigest(), len(index)))]
+    about = json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": listed}).encode()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        for name, parts in ((DATA, [d for _, d in records]), (INDEX, ["".join(lines).encode()])):
+        for name, parts in ((DATA, [d for _, d in records]), (INDEX, [index]), (ABOUT, [about])):
             with z.open(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), "w", force_zip64=True) as f:
                 for part in parts:
                     f.write(part)
@@ -108,17 +123,28 @@ class ZipReader:
             self.members[name] = (local + shift, packed, method)
             pos += 46 + n_name + n_extra + n_note
 
-    def stored(self, name: str) -> tuple[int, int]:
-        """Where the data of a stored member begins, and its length."""
-        local, length, method = self.members[name]
-        if method:
-            raise ValueError(f"{name} is compressed; ranges of it cannot be read")
+    def where(self, name: str) -> tuple[int, int]:
+        """Where the data of a member begins, and its length as it is stored."""
+        local, length, _ = self.members[name]
         raw = self.read(local, 30)
         if raw[:4] != b"PK\3\4":
             raise ValueError("broken local header")
         n_name, n_extra = struct.unpack_from("<HH", raw, 26)
         return local + 30 + n_name + n_extra, length
 
+    def stored(self, name: str) -> tuple[int, int]:
+        """The same of a member of which ranges can be read."""
+        if self.members[name][2]:
+            raise ValueError(f"{name} is compressed; ranges of it cannot be read")
+        return self.where(name)
+
+    def whole(self, name: str) -> bytes:
+        """A small member, such as an index, stored or deflated."""
+        raw, method = self.read(*self.where(name)), self.members[name][2]
+        if method not in (0, 8):
+            raise ValueError(f"{name} is compressed by method {method}")
+        return zlib.decompress(raw, -15) if method else raw
+
 
 def parse(raw: bytes) -> dict:
     """Headers (lower-case names), HTTP headers under "http", and payload of one record."""
@@ -129,30 +155,119 @@ def parse(raw: bytes) -> dict:
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(2 * CRLF)
+    if not block.startswith(b"HTTP/"):
+        http, payload = b"", block
     fields["http"] = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     fields["payload"] = payload
     return fields
 
 
+def index_lines(raw: bytes) -> Iterator[tuple[str, int, int | None]]:
+    """File, offset and length (where it is told) of the records in a CDXJ index, or a CDX index that names its columns."""
+    columns = "N b a m s k r M S V g".split()
+    for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "surrogateescape").splitlines():
+        if line.lstrip().startswith("CDX "):
+            columns = line.split()[1:]
+        elif "{" in line:
+            x = json.loads(line[line.index("{") :])
+            if "offset" in x:
+                yield str(x.get("filename") or ""), int(x["offset"]), int(x["length"]) if x.get("length") else None
+        elif line.strip() and not line.startswith("!"):
+            x = dict(zip(columns, line.split(" ")))
+            if x.get("V", "-") != "-":
+                yield x.get("g", ""), int(x["V"]), int(x["S"]) if x.get("S", "-") != "-" else None
+
+
+def ranges(z: ZipReader) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
+    """Offset and length of the indexed records of each data member, in order, and the members that have no index.
+
+    A record whose length no index tells goes on to the next one or the member's end.
+    """
+    data = [n for n in z.members if _DATA.search(n)]
+    by_name: dict[str, list[str]] = {}
+    for n in data:
+        by_name.setdefault(n.rsplit("/", 1)[-1], []).append(n)
+    found: dict[str, dict[int, int | None]] = {}
+    for name in sorted(n for n in z.members if _INDEX.search(n)):
+        for file, at, length in index_lines(z.whole(name)):
+            of = [file] if file in z.members else by_name.get(file.rsplit("/", 1)[-1], []) if file else data
+            if len(of) != 1:
+                raise ValueError(f"{name} names a file that is not there, or not alone: {file!r}")
+            here = found.setdefault(of[0], {})
+            here[at] = here.get(at) or length
+    out = {}
+    for member, here in found.items():
+        at = sorted(here)
+        ends = [*at[1:], z.stored(member)[1]]
+        out[member] = [(a, here[a] or e - a) for a, e in zip(at, ends)]
+    return out, [n for n in data if n not in found]
+
+
+def inflate(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def records(read, size: int, most: int = 1 << 20) -> Iterator[dict]:
-    """All records of an archive, by the ranges in its index; ranges that follow one another are fetched up to ``most`` bytes at once."""
+    """All records of an archive, by the ranges in its indexes; ranges that follow one another are fetched up to ``most`` bytes at once."""
     z = ZipReader(read, size)
-    at, length = z.stored(INDEX)
-    lines = [(int(a), int(b)) for a, b, _ in (x.split(" ", 2) for x in read(at, length).decode().splitlines())]
-    base, whole = z.stored(DATA)
-    i = 0
-    while i < len(lines):
-        j, total = i, 0
-        while j < len(lines) and (j == i or total + lines[j][1] <= most) and lines[j][0] == lines[i][0] + total:
-            total += lines[j][1]
-            j += 1
-        if lines[i][0] + total > whole:
-            raise ValueError("a range beyond its member")
-        chunk, p = read(base + lines[i][0], total), 0
-        for _, n in lines[i:j]:
-            yield parse(gzip.decompress(chunk[p : p + n]))
-            p += n
-        i = j
+    indexed, rest = ranges(z)
+    for member, lines in indexed.items():
+        base, whole = z.stored(member)
+        i = 0
+        while i < len(lines):
+            j, total = i, 0
+            while j < len(lines) and (j == i or total + lines[j][1] <= most) and lines[j][0] == lines[i][0] + total:
+                total += lines[j][1]
+                j += 1
+            if lines[i][0] + total > whole:
+                raise ValueError("a range beyond its member")
+            chunk, p = read(base + lines[i][0], total), 0
+            for _, n in lines[i:j]:
+                yield parse(inflate(chunk[p : p + n]))
+                p += n
+            i = j
+    for member in rest:
+        yield from read_through(read, *z.stored(member))
+
+
+def read_through(read, base: int, whole: int) -> Iterator[dict]:
+    """The records of a data member without an index: gzip members, or plain records one after the other, read by pieces."""
+    at, held = 0, b""
+
+    def more() -> bool:
+        nonlocal at, held
+        n = min(PIECE, whole - at)
+        if n:
+            held += read(base + at, n)
+            at += n
+        return n > 0
+
+    while held or more():
+        if len(held) < 2:
+            more()
+        if held[:2] == b"\x1f\x8b":
+            one, parts = zlib.decompressobj(wbits=31), []
+            while not one.eof:
+                parts.append(one.decompress(held))
+                held = one.unused_data
+                if not one.eof and not more():
+                    raise ValueError("a record is cut off")
+            yield parse(b"".join(parts))
+            continue
+        held = held.lstrip(CRLF)
+        while 2 * CRLF not in held and more():
+            held = held.lstrip(CRLF)
+        head, found, _ = held.partition(2 * CRLF)
+        length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+        if not found or not length:
+            if held.strip():
+                raise ValueError("what follows is no record")
+            return
+        n = len(head) + 4 + int(length[1])
+        while len(held) < n and more():
+            pass
+        yield parse(held[:n])
+        held = held[n:]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -238,7 +353,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to ZIP-packaged archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    archives = write_archives(pages, f"{shared_dir(spark)}/quarrylens/archives-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/quarrylens/archives-{uuid.uuid4().hex}"
+    register(folder)  # clean() deletes it
+    archives = write_archives(pages, folder)
     archives = archives.repartition(max(1, min(archives.count(), 4 * spark.sparkContext.defaultParallelism)), "uri")
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
