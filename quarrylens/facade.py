@@ -239,6 +239,12 @@ class Engine:
         parts.insert(0, report.summary_line(catalog, verified, str(made) if made.exists() else None, self.generated.summary() if self.generated else None))
         if verified:
             (self.home / "divergences.md").write_text(report.divergence_report(self.system_id, verified[1]) + "\n")
+        # a report shows the first rows of long tables; whole they lie beside it
+        tables = {"clusters": (stats, "idx"), "hubs": (self.hubs(), "rank"), "rules": (catalog, "rule_id")}
+        if verified:
+            tables |= {"results": (verified[0], "case_id"), "divergences": (verified[1], "divergence_id")}
+        for name, (df, order) in tables.items():
+            exports.write_csv(df, f"file://{self.home.resolve()}/report/{name}", order)
         path = self.home / "report.md"
         path.write_text("\n\n".join(parts) + "\n")
         return str(path)

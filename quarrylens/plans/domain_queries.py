@@ -63,17 +63,18 @@ def redact_pages(spark: SparkSession, d: str) -> DataFrame:
     return _redacted(table(spark, d, "pages"), "page_id", "html")
 
 
+#: what stands before and after a customer's name, which is the secret in most of them
 SHAPES = (
-    'dbPassword = "hun ter2"',
-    "API_TOKEN As String = 'abc'",
-    "Authorization: Bearer abcdefgh12345",
-    "pwd=plain;next=1",
-    '{"client_secret": "x y"}',
-    "jdbc:oracle://host:1521/x;password=abc user",
-    "https://me:pass1@host/path",
-    "If total > limit Then",
-    "tokenise the input",
-    "conn_str := Provider",
+    ('dbPassword = "hun ', '"'),
+    ("API_TOKEN As String = '", "'"),
+    ("Authorization: Bearer abcdefgh", ""),
+    ("pwd=", ";next=1"),
+    ('{"client_secret": "', ' y"}'),
+    ("jdbc:oracle://host:1521/x;password=", " user"),
+    ("https://me:", "@host/path"),
+    ("If total > limit Then ", ""),
+    ("tokenise the ", ""),
+    ("conn_str := ", ""),
 )
 
 
@@ -86,9 +87,20 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
 
 
-@query(f"SELECT id, {redact_sql('shape')} AS safe FROM {_values([*enumerate(SHAPES)], 'id, shape')}")
+def _filled(spark: SparkSession, d: str, shapes: tuple, name: F.Column) -> DataFrame:
+    """(id, i, text): each shape around something of each customer."""
+    made = F.array(*[F.concat(F.lit(a), name, F.lit(b)) for a, b in shapes])
+    return table(spark, d, "customer").select(F.col("c_custkey"), F.posexplode(made).alias("i", "text")).select((F.col("c_custkey") * len(shapes) + F.col("i")).alias("id"), "i", "text")
+
+
+def _filled_sql(shapes: tuple, name: str) -> str:
+    return f"(SELECT c_custkey * {len(shapes)} + i AS id, i, a || {name} || b AS text FROM customer, {_values([(i, a, b) for i, (a, b) in enumerate(shapes)], 'i, a, b')})"
+
+
+@query(f"SELECT id, {redact_sql('text')} AS safe FROM {_filled_sql(SHAPES, 'c_name')}")
 def redact_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return _inline(spark, list(enumerate(SHAPES)), "id int, shape string").select("id", tx.redact("shape").alias("safe"))
+    """Every shape of a secret with every customer's name in it."""
+    return _filled(spark, d, SHAPES, F.col("c_name")).select("id", tx.redact("text").alias("safe"))
 
 
 @query(f"""SELECT event_id, {_quote(tx.PLACEHOLDER)} AS token, {redact_sql("event_type || '=' || json_extract_string(props, '$.k')")} AS detail FROM events""")
@@ -187,34 +199,35 @@ def declaration_fold(spark: SparkSession, d: str) -> DataFrame:
     return md.fold_declarations(declared, c.where("c_custkey % 5 <> 0").select(F.col("c_name").alias("name")))
 
 
+#: what stands before and after the name of a table
 STATEMENTS = (
-    "SELECT a FROM t",
-    "insert into t values (1)",
-    "  Update t SET a = 1",
-    "DELETE FROM t",
-    "MERGE INTO t USING s ON 1 = 1",
-    "create table t (a int)",
-    "ALTER TABLE t ADD b int",
-    "DROP TABLE t",
-    "truncate table t",
-    "{call pkg.proc(?, ?)}",
-    "call proc(1)",
-    "GRANT x TO y",
-    "",
-    "WITH a AS (SELECT 1 FROM b) SELECT * FROM a",
-    "-- note\nDELETE FROM t",
-    "/* note */ WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x",
+    ("SELECT a FROM ", ""),
+    ("insert into ", " values (1)"),
+    ("  Update ", " SET a = 1"),
+    ("DELETE FROM ", ""),
+    ("MERGE INTO ", " USING s ON 1 = 1"),
+    ("create table ", " (a int)"),
+    ("ALTER TABLE ", " ADD b int"),
+    ("DROP TABLE ", ""),
+    ("truncate table ", ""),
+    ("{call pkg.", "(?, ?)}"),
+    ("call ", "(1)"),
+    ("GRANT x TO ", ""),
+    ("-- ", ""),
+    ("WITH a AS (SELECT 1 FROM ", ") SELECT * FROM a"),
+    ("-- note\nDELETE FROM ", ""),
+    ("/* note */ WITH x AS (SELECT 1) INSERT INTO ", " SELECT * FROM x"),
 )
 #: by hand
 OPERATIONS = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE", "ALTER", "DROP", "TRUNCATE", "CALL", "CALL", "UNKNOWN", "UNKNOWN", "SELECT", "DELETE", "INSERT")
 
 
-
-@query(f"""SELECT id, operation, CASE WHEN operation = 'SELECT' THEN 'READ' WHEN operation IN ('UNKNOWN', 'CALL') THEN 'UNKNOWN' ELSE 'WRITE' END AS access_mode FROM (
-SELECT id, operation FROM {_values([*enumerate(OPERATIONS)], 'id, operation')})""")
+@query(f"""SELECT id, operation, CASE WHEN operation = 'SELECT' THEN 'READ' WHEN operation IN ('UNKNOWN', 'CALL') THEN 'UNKNOWN' ELSE 'WRITE' END AS access_mode
+FROM {_filled_sql(STATEMENTS, "'T' || c_custkey")} JOIN {_values([*enumerate(OPERATIONS)], 'i, operation')} o USING (i)""")
 def sql_access_mode(spark: SparkSession, d: str) -> DataFrame:
-    s = _inline(spark, list(enumerate(STATEMENTS)), "id int, stmt string")
-    return s.select("id", operation("stmt").alias("operation"), access_mode(operation("stmt")).alias("access_mode"))
+    """Every kind of statement on a table for every customer."""
+    s = _filled(spark, d, STATEMENTS, F.concat(F.lit("T"), F.col("c_custkey").cast("string"))).withColumn("operation", operation("text"))
+    return s.select("id", "operation", access_mode(F.col("operation")).alias("access_mode"))
 
 
 #: rule_id, flow, expression, behaviour

@@ -101,6 +101,26 @@ def test_one_answer_for_a_statement(spark):
     assert got == [analyse(t)["operation"] for t in texts] == ["SELECT", "DELETE", "UPDATE", "CALL", "UNKNOWN", "UNKNOWN"]
 
 
+def test_operation_ids_match_one_after_the_other(spark):
+    import random
+
+    rnd = random.Random(2)
+    names = [rnd.choice(("pay", "pay2", "pay 2", "pay3", "load", "load it", "x9", "x", "only", "")) for _ in range(300)] + ["same name"] * 400
+    rows = [(f"R{i:04d}", n, "validated", None) for i, n in enumerate(names)]
+    rnd.shuffle(rows)
+    none = spark.createDataFrame([], "entry_point_id string, kind string")
+    got = {r.rule_id: r.operation_id for r in operations(spark.createDataFrame(rows, "rule_id string, name string, status string, entry_point_id string"), none).collect()}
+    base = {"pay": "pay", "pay2": "pay2", "pay 2": "pay2", "pay3": "pay3", "load": "load", "load it": "loadIt", "x9": "x9", "x": "x", "only": "only", "": "rule", "same name": "sameName"}
+    taken, want = set(), {}
+    for rule, name, _, _ in sorted(rows):
+        n, free = 2, base[name]
+        while free in taken:
+            free, n = f"{base[name]}{n}", n + 1
+        taken.add(free)
+        want[rule] = free
+    assert got == want
+
+
 def test_numbers_in_order(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("x"), (F.col("id") % 3).alias("y")).repartition(7)
     got = [(r.n, r.y, r.x) for r in g.numbered(df, "n", F.col("y").desc(), "x").collect()]
