@@ -57,6 +57,8 @@ OTHER = COMMENTS | frozenset(
     "copyright disclaimer skip hidden form".split()
 )
 ARTICLE_WORDS = frozenset("article entry post story content body".split())
+#: Where no element is an article, the smallest one with such a word that holds this share of the plain text is the region.
+REGION_WORDS, REGION_SHARE = ARTICLE_WORDS | {"main"}, 0.6
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|\Z))""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -376,10 +378,10 @@ def main_blocks(source: str | None) -> list[str]:
 
 
 def _article(page: Page, element: list[int], plain: np.ndarray) -> int:
-    """The article or main element with the article, 0 if none holds a fifth of the plain text.
+    """The article or main element with the article; else an element whose class or id names it; 0 if there is none.
 
-    Of main elements, or articles in each other, the outermost; in it a single
-    article with half of its text.
+    Of main elements, or articles in each other, the outermost, if it holds a fifth
+    of the plain text; in it a single article with half of its text.
     """
     own = [0.0] * len(page.tag)
     for e, k in zip(element, plain):
@@ -387,7 +389,8 @@ def _article(page: Page, element: list[int], plain: np.ndarray) -> int:
     size = _totals(page.parent, own)
     roles = [e for e in range(1, len(page.tag)) if page.role[e] and size[e] > 0]
     if not roles:
-        return 0
+        named = [e for e in range(1, len(page.tag)) if page.tag[e] not in ("html", "body") and size[e] >= REGION_SHARE * size[0] > 0 and not REGION_WORDS.isdisjoint(page.words[e])]
+        return min(named, key=lambda e: (size[e], -e), default=0)
     inner = _inside(page.parent, [r > 0 for r in page.role])
     outer = [e for e in roles if not inner[page.parent[e]]]
     best = max(outer, key=lambda e: (size[e], -e))

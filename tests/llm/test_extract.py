@@ -31,6 +31,8 @@ PAGES = {
     "comment articles": f'<main><article class="post"><h1>Title</h1>{ps(P)}</article><section id="comments"><article class="comment-body">{ps(P)}</article><article class="comment-body">{ps(P)}</article></section></main>',
     "comment heading": f"<body><div><h1>Title</h1>{ps(P)}<h3>3 Comments</h3><p>{P[0]} I agree.</p><p>{P[1]} Me too.</p></div></body>",
     "links below": f"<article><h1>Title</h1>{ps(P)}<h3>Related</h3><ul>{MENU}</ul></article>",
+    "named region": f"<div class=top><a href=/>Home</a> <a href=/n>News</a></div><div class=main><h2>Title</h2>{ps(P)}</div><div class=right>Buy one, today, or two. Now.</div>",
+    "wordpress": f'<body class="single ad-enabled"><div id="page"><header id="masthead"><h1>Blog</h1></header><div id="content"><div class="post-5 hentry"><div class="entry-header"><h1>Title</h1></div><div class="entry-content">{ps(P)}<div class="social-links">Share</div></div></div><div id="comments" class="comments-area"><ol class="comment-list"><li><p>{P[0]} {P[1]}</p></li></ol></div></div><div id="secondary" class="widget-area"><p>{P[2]}</p></div></div>',
     "roles": f'<div role="banner">The Daily</div><div role="navigation">{MENU}</div><div itemprop="articleBody"><h1>Title</h1>{ps(P)}</div><div role="contentinfo">Imprint</div>',
     "quotes": f"""<article data-x="a > b" title='it"s'><h1 title=it's>Title</h1>{ps(P)}<img alt="<p>no</p>"></article>""",
     "inline advert": f"<article><h1>Title</h1><p>{P[0][:20]}<span class='ad'>no</span>{P[0][20:]}</p>{ps(P[1:])}</article>",
