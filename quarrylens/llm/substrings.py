@@ -34,6 +34,8 @@ from quarrylens.llm.common import cut, slices
 WINDOW, GRAM = 200, 32
 #: Bytes of text handled at once; bytes of a shard; strips of one anchor in a shard.
 CHUNK, SHARD, STRIPS = 128 << 10, 1 << 20, 4096
+#: Spans that are merged at once.
+SPANS = 1 << 18
 POS_BITS = 23
 BASE = 0x9E3779B97F4A7C55
 NONE = -(1 << 63)
@@ -315,7 +317,7 @@ def _search(bodies: DataFrame, crowded: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k, doc_id, spans): byte spans of each text that are covered by repeated windows, unmerged."""
+    """(k, doc_id, spans): byte spans of each text that are covered by repeated windows; those that meet in a task are merged."""
     found = cut(find_strips(docs))
     # written down: both sides of the join then come from exchanges, and a crowded anchor can be split
     anchors = cut(found.groupBy("anchor").agg(F.count("*").alias("m"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("m > 1").select(F.col("anchor").alias("again"), (F.col("lo") != F.col("hi")).alias("unequal")))
@@ -334,7 +336,38 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = named.select("k", "doc_id", "anchor", "digest", "s", "n", deal.alias("shard"), F.col("kinds").isNotNull().alias("big"))
     parts = _search(_fetch(texts, wanted), crowded)
     spans = whole(hits.where("NOT unequal")).unionAll(whole(equal)).unionAll(parts)
-    return spans.groupBy("k", "doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    # a text of a short period has a span for almost every byte: merged where they are before they are gathered
+    return merge_batches(spans).groupBy("k", "doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+def merge_batches(spans: DataFrame) -> DataFrame:
+    """Spans (k, doc_id, a, b) with those of one text that overlap or touch merged, within SPANS rows of a partition."""
+    schema = pa.schema([(c, pa.int64()) for c in ("k", "doc_id", "a", "b")])
+
+    def merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k, d, a, b = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(4))
+        order = np.lexsort((a, d, k))
+        k, d, a, b = k[order], d[order], a[order], b[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
+        # texts are set apart, so that one running maximum serves all
+        shift = (np.cumsum(new) - 1) * (int(b.max()) + 1)
+        reach = np.maximum.accumulate(b + shift) - shift
+        first = np.flatnonzero(np.concatenate(([True], new[1:] | (a[1:] > reach[:-1]))))
+        last = np.concatenate((first[1:], [len(a)])) - 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[first], d[first], a[first], reach[last])], schema=schema)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= SPANS:
+                yield merge(held)
+                held, n = [], 0
+        if n:
+            yield merge(held)
+
+    return spans.select("k", "doc_id", "a", "b").mapInArrow(run, "k long, doc_id long, a long, b long")
 
 
 def merged(spans: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray]:

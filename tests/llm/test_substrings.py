@@ -101,3 +101,12 @@ def test_against_brute_force(spark, monkeypatch):
 def test_whole_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(op5_substrings(spark, sf)) == brute(docs)
+
+
+def test_spans_of_a_repetitive_text_are_merged_before_they_are_gathered(spark):
+    rows = [(1, "ab" * 100_000), (2, "x" * 50_000 + "".join(chr(97 + i * i % 26) for i in range(400))), (3, "no repeats here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sub.repeated_spans(df, sub.packed_texts(df)).collect()
+    # 100,000 and more before; a few for each task that has some
+    assert {r.doc_id for r in spans} == {1, 2} and all(len(r.spans) <= 10 for r in spans)
+    assert result(remove_repeats(df)) == brute(rows)
