@@ -46,9 +46,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Incident edges (a loop counts once) and distinct neighbours of every node."""
-    ends = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    near = both_ways(edges).distinct().groupBy(F.col("source").alias("id")).agg(F.count("*").alias("neighbours"))
-    return nodes.select("id").join(ends, "id", "left").join(near, "id", "left").na.fill(0, ["degree", "neighbours"])
+    # one pass over the edges; a loop stands twice among its node's pairs
+    pairs = both_ways(edges).groupBy("source", "target").agg(F.count("*").alias("n"))
+    mine = F.when(F.col("source") == F.col("target"), F.expr("n DIV 2")).otherwise(F.col("n"))
+    ends = pairs.groupBy(F.col("source").alias("id")).agg(F.sum(mine).alias("degree"), F.count("*").alias("neighbours"))
+    return nodes.select("id").join(ends, "id", "left").na.fill(0, ["degree", "neighbours"])
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
