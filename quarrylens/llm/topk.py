@@ -7,9 +7,13 @@ known, that lower bound on the distance is an upper bound on the inner product.
 Bounds are tried from few segments to many against the k-th best score already
 known, and only what survives is scored exactly.
 
-Queries are a stated set (every ``every``-th id). Query blocks meet candidate
-blocks in tasks of bounded size; each task returns k rows for each query. Rows
-that are equal count as one row with a number.
+Queries are a stated set (every ``every``-th id). Rows are put into blocks of
+neighbours: by the signs of their coarse segment means, then by norm. A block is
+known by its greatest norm and the range of each statistic, a block of queries
+also by the least score that its queries have to beat, which SAMPLE rows of the
+greatest norms give. Only rows of blocks that can win are sent to each other;
+such pairs meet in tasks of bounded size, and each task returns k rows for each
+query. Rows that are equal count as one row with a number.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut
+from quarrylens.llm.common import cut, share
+from quarrylens.operators.graph import numbered
 
 #: Queries and candidates that meet in one group; queries that are scored at once; partitions for the groups at most.
 QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE, PARTITIONS = 8192, 4096, 1024, 20_000
+#: Segments that blocks are known by; rows that give each query a score to beat; blocks of candidates that tasks hold at once.
+COARSE, SAMPLE, ENVELOPES = 8, 2048, 50_000
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -102,6 +109,118 @@ def quantised(df: DataFrame, scale: int = 64) -> DataFrame:
     return df.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform({x}, x -> CAST(floor({scale} * x) AS DOUBLE))").alias("v"))
 
 
+def summarised(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v, m, d) with norm, s (means and deviations of COARSE segments) and the signs of the means as code; written down."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v")
+            d = batch.column("d").to_numpy()
+            norm, code, stats = np.zeros(len(d)), np.zeros(len(d), np.int64), [None] * len(d)
+            for width in np.unique(d):
+                at = np.flatnonzero(d == width)
+                if not width:
+                    for i in at:
+                        stats[i] = []
+                    continue
+                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width)
+                norm[at] = np.sqrt((x**2).sum(1))
+                s = statistics(x, COARSE)
+                code[at] = (s[:, ::2] > 0) @ (1 << np.arange(s.shape[1] // 2))
+                for i, row in zip(at, s):
+                    stats[i] = row
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("vec_id", "v", "m", "d")] + [pa.array(norm), pa.array(code), pa.array(stats, pa.list_(pa.float64()))], names=["vec_id", "v", "m", "d", "norm", "code", "s"])
+
+    return cut(vectors.mapInArrow(run, "vec_id long, v array<double>, m long, d int, norm double, code long, s array<double>"))
+
+
+def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows with the number of their block: ``size`` rows that follow each other by length, code and norm, whatever their ids."""
+    order = ("d", "code", F.col("norm").desc(), "vec_id", F.xxhash64("v"))
+    return cut(numbered(vectors, "_place", *order).withColumn(name, F.expr(f"_place DIV {size}")).drop("_place"))
+
+
+def with_floor(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Queries with floor: the k-th best score over SAMPLE rows of great norms, which its own k best reach too; without so many rows none."""
+    some = vectors.orderBy(F.col("norm").desc(), "vec_id", F.xxhash64("v")).limit(SAMPLE).select("vec_id", "v", "d").collect()
+    by_width: dict[int, tuple] = {}
+    for width in {r.d for r in some}:
+        rows = [r for r in some if r.d == width]
+        by_width[width] = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], float).reshape(len(rows), width)
+    shared = share(vectors.sparkSession, by_width)
+
+    def run(batches):
+        for batch in batches:
+            d, ids = batch.column("d").to_numpy(), batch.column("vec_id").to_numpy()
+            floor = np.full(len(d), -np.inf)
+            for width in np.unique(d):
+                if width not in shared() or len(shared()[width][0]) < k:
+                    continue
+                theirs, rows = shared()[width]
+                at = np.flatnonzero(d == width)
+                for lo in range(0, len(at), AT_ONCE):
+                    i = at[lo : lo + AT_ONCE]
+                    x = batch.column("v").take(pa.array(i)).flatten().to_numpy(zero_copy_only=False).reshape(len(i), width)
+                    score = x @ rows.T
+                    score[ids[i][:, None] == theirs[None, :]] = -np.inf
+                    floor[i] = np.partition(score, len(theirs) - k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], names=[*batch.schema.names, "floor"])
+
+    return queries.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in queries.dtypes) + ", floor double")
+
+
+def envelopes(rows: DataFrame, name: str) -> DataFrame:
+    """(d, block, norm: the greatest, lo, hi: of each statistic, floor: the least) of each block."""
+    with_ = rows.withColumn("floor", F.lit(0.0))
+    if "floor" in rows.columns:
+        # per unit of a query's length, so that short queries do not lower what long ones have to beat; a null vector takes part everywhere
+        own = F.when(F.col("norm") > 0, F.col("norm"))
+        with_ = rows.withColumns({"floor": F.coalesce(F.col("floor") / own, F.lit(float("-inf"))), "s": F.transform("s", lambda x: F.coalesce(x / own, F.lit(0.0))), "norm": F.lit(1.0)})
+
+    def run(part: pa.Table) -> pa.Table:
+        s = np.array(part["s"].to_pylist(), float).reshape(part.num_rows, -1)
+        lo, hi = (s.min(0), s.max(0)) if s.shape[1] else (np.empty(0),) * 2
+        return pa.table({"d": part["d"][:1], name: part[name][:1], "norm": [max(part["norm"].to_pylist())], "lo": [lo], "hi": [hi], "floor": [min(part["floor"].to_pylist())]})
+
+    return cut(with_.select("d", name, "norm", "s", "floor").groupBy("d", name).applyInArrow(run, f"d int, {name} long, norm double, lo array<double>, hi array<double>, floor double"))
+
+
+def can_win(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(d, qb, cb): blocks of which a candidate may reach the score that a query has to beat, by norms and ranges.
+
+    Candidates' blocks go to the tasks ENVELOPES at a time: some 300 bytes each.
+    """
+    spark = queries.sparkSession
+    last = candidates.agg(F.max("cb")).first()[0]
+    out = spark.createDataFrame([], "d int, qb long, cb long")
+    for lo in range(0, -1 if last is None else last + 1, ENVELOPES):
+        held: dict[int, tuple] = {}
+        part = candidates.where(f"cb >= {lo} AND cb < {lo + ENVELOPES}").toArrow()
+        d = part["d"].to_numpy()
+        for width in np.unique(d):
+            at = np.flatnonzero(d == width)
+            rows = part.take(pa.array(at))
+            held[int(width)] = rows["cb"].to_numpy(), rows["norm"].to_numpy(), *(np.array(rows[x].to_pylist(), float).reshape(len(at), -1) for x in ("lo", "hi"))
+        shared = share(spark, held)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                got: list[list] = [[], [], []]
+                for r in batch.to_pylist():
+                    if r["d"] not in shared():
+                        continue
+                    cb, norm, low, high = shared()[r["d"]]
+                    a, b = np.array(r["lo"]), np.array(r["hi"])
+                    top = np.maximum(np.maximum(a * low, a * high), np.maximum(b * low, b * high)).sum(1) if len(a) else np.zeros(len(cb))
+                    slack = 1e-9 * r["norm"] * norm + 1e-3
+                    win = cb[np.minimum(top, r["norm"] * norm) + slack >= r["floor"]].tolist()
+                    got = [g + x for g, x in zip(got, ([r["d"]] * len(win), [r["qb"]] * len(win), win))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, (pa.int32(), pa.int64(), pa.int64()))], names=["d", "qb", "cb"])
+
+        out = out.unionByName(queries.select("d", "qb", "norm", "lo", "hi", "floor").mapInArrow(run, "d int, qb long, cb long"))
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score over (vec_id, v), for ids divisible by ``every`` against all others.
 
@@ -111,16 +230,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vectors of equal length are compared; those of length 0 score 0. Ties go to
     the smaller vec_id.
     """
-    vectors = cut(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("m"), F.size(F.first("v")).alias("d")))
+    vectors = summarised(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("m"), F.size(F.first("v")).alias("d")))
     is_query = F.col("vec_id") % every == 0
-    sizes = cut(vectors.groupBy("d").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("nc"), F.ceil(F.count_if(is_query) / QUERY_BLOCK).alias("nq")))
-    groups = sizes.agg(F.sum(F.expr("nc * nq"))).first()[0] or 0
-    # by row, so that no id fills a block
-    vectors = vectors.withColumn("h", F.expr("pmod(xxhash64(monotonically_increasing_id()), 2147483647)")).join(sizes, "d")
-    half = lambda role, own, other: (F.lit(role).alias("role"), "d", "vec_id", "v", "m", F.expr(own).alias("own"), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias("other"))
-    q = vectors.where(is_query & (F.col("nq") > 0)).select(*half(0, "h % nq", "nc"))
-    c = vectors.where("nq > 0").select(*half(1, "h % nc", "nq"))
-    both = q.select("role", "d", "vec_id", "v", "m", F.col("own").alias("qb"), F.col("other").alias("cb")).unionAll(c.select("role", "d", "vec_id", "v", "m", F.col("other").alias("qb"), F.col("own").alias("cb")))
+    c = blocks(vectors, CANDIDATE_BLOCK, "cb")
+    q = blocks(with_floor(vectors.where(is_query), vectors, k), QUERY_BLOCK, "qb")
+    pairs = cut(can_win(envelopes(q, "qb"), envelopes(c, "cb")))
+    groups = pairs.count()
+    row = ["role", "d", "vec_id", "v", "m", "qb", "cb"]
+    both = q.withColumn("role", F.lit(0)).join(pairs, ["d", "qb"]).select(*row).unionAll(c.withColumn("role", F.lit(1)).join(pairs, ["d", "cb"]).select(*row))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:

@@ -49,3 +49,30 @@ def test_repeated_ids_match_sql(spark, tmp_path, monkeypatch):
     want = sorted(con.execute(OP10_SQL).fetchall())
     assert sorted(map(tuple, op10_topk(spark, str(tmp_path)).collect())) == want and len(want) == 100
     assert all(q != v for q, _, v, _ in want)
+
+
+def test_blocks_that_cannot_win_are_not_sent(spark, monkeypatch):
+    """Vectors about a few directions and of very different norms: most blocks of candidates cannot win, and nothing is lost."""
+    rnd = np.random.default_rng(8)
+    ways = rnd.normal(size=(6, 32)) * 20
+    v = np.array([ways[i % 6] * rnd.uniform(0.01, 2) ** 2 + rnd.normal(size=32) for i in range(3000)])
+    rows = [(i, np.floor(x).tolist()) for i, x in enumerate(v)]
+    for name, n in (("QUERY_BLOCK", 16), ("CANDIDATE_BLOCK", 64), ("SAMPLE", 400), ("ENVELOPES", 20)):
+        monkeypatch.setattr(topk, name, n)
+    kept, can_win = [], topk.can_win
+
+    def spy(q, c):
+        out = can_win(q, c)
+        kept.append((out.count(), q.count() * c.count()))
+        return out
+
+    monkeypatch.setattr(topk, "can_win", spy)
+    got = sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), 5).collect()))
+    m = np.array([r[1] for r in rows])
+    want = []
+    for i in range(0, 3000, 20):
+        score = (m @ m[i]).astype(np.int64)
+        order = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(order)]
+    assert got == sorted(want)
+    assert kept[0][0] < 0.5 * kept[0][1]
