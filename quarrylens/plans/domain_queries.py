@@ -12,7 +12,6 @@ from quarrylens.operators import model as md
 from quarrylens.operators import rules as rl
 from quarrylens.operators import verify as vf
 from quarrylens.operators.contract import operations
-from quarrylens.plans import order_graph as og
 from quarrylens.plans.order_graph import table
 
 QUERIES: dict = {}

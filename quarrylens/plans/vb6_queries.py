@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import graph as g
 from quarrylens.operators import rules as rl
 from quarrylens.operators import system as sy
 from quarrylens.sources.vb6 import entity, extract
