@@ -84,6 +84,9 @@ def slice_json(flow: dict, reached: DataFrame, edges: DataFrame, fragments: Data
     ids = reached.agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("nodes"))
     links = edges.agg(F.sort_array(F.collect_list(F.struct("kind", "source", "target"))).alias("edges"))
     texts = fragments.select("fragment", "procedure", "file", "line", redact("text").alias("text")).agg(F.sort_array(F.collect_list(F.struct("fragment", "procedure", "file", "line", "text"))).alias("fragments"))
+    if standalone:
+        # told of the redacted texts of this file
+        flow = {k: v for k, v in flow.items() if k != "context_token_estimate"}
     # lists are of texts
     fields = [(F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(k) for k, v in flow.items()]
     if standalone:
