@@ -89,7 +89,9 @@ def _values(rows: list[tuple], names: str) -> str:
 def _filled(spark: SparkSession, d: str, shapes: tuple, name: F.Column) -> DataFrame:
     """(id, i, text): each shape around something of each customer."""
     made = F.array(*[F.concat(F.lit(a), name, F.lit(b)) for a, b in shapes])
-    return table(spark, d, "customer").select(F.col("c_custkey"), F.posexplode(made).alias("i", "text")).select((F.col("c_custkey") * len(shapes) + F.col("i")).alias("id"), "i", "text")
+    # a small file is one task, and the work on its texts is not small: a number given here keeps it spread
+    rows = table(spark, d, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return rows.select(F.col("c_custkey"), F.posexplode(made).alias("i", "text")).select((F.col("c_custkey") * len(shapes) + F.col("i")).alias("id"), "i", "text")
 
 
 def _filled_sql(shapes: tuple, name: str) -> str:
