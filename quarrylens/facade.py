@@ -102,7 +102,7 @@ class Engine:
         """Of every entry point at once: its summary, and (entry, id, distance) of its nodes."""
         with self._timed("slices"):
             starts = self.nodes.where("kind = 'ENTRY'").select(F.col("id").alias("entry"), "id")
-            reached = slices.reach_all(graph.flow_edges(self.nodes, self.edges), starts, depth)
+            reached = cut(slices.reach_all(graph.flow_edges(self.nodes, self.edges), starts, depth))
             texts = self.system.procedures.where("body <> ''").select("id", text.token_estimate("body").alias("tokens"))
             self._some_clusters()
             return cut(slices.summaries(reached, self.nodes, depth, texts, self.members)), reached
