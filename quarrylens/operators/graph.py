@@ -198,41 +198,111 @@ def propagate_labels(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def _modularity(pairs: DataFrame, at: DataFrame, total: int) -> float:
-    """Of communities (node, root) of weighted (source, target, w), given both ways, of weight ``total``."""
+def _modularity(pairs: DataFrame, at: DataFrame) -> float:
+    """Of communities (node, root) of weighted (source, target, w, total), given both ways; of several graphs, ``total`` being the weight of a pair's own, the sum."""
     a, b = (at.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
-    per = pairs.join(a, "source").join(b, "target").groupBy("rsource").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("rsource") == F.col("rtarget"), F.col("w")).otherwise(0)).alias("inner"))
-    return per.agg(F.sum(F.col("inner") / total - (F.col("tot") / total) ** 2)).first()[0]
+    per = pairs.join(a, "source").join(b, "target").groupBy("rsource").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("rsource") == F.col("rtarget"), F.col("w")).otherwise(0)).alias("inner"), F.max("total").alias("total"))
+    return per.agg(F.sum(F.col("inner") / F.col("total") - (F.col("tot") / F.col("total")) ** 2)).first()[0]
 
 
 def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
     """(node, root) by modularity of the undirected simple graph: nodes move, then communities become nodes, until nothing is gained.
 
+    Modularity of a large graph joins small communities whatever lies between them
+    (its resolution limit), so each community is then taken as a graph of its own,
+    of what the first level found in it, and is split where that tells enough of its edges (``_splits``), until none is.
+    At the end communities that do not hang together are split, which costs no
+    modularity, so that each is connected. Reruns agree. NotSettled if something is
+    still gained after ``levels``.
+    """
+    with scratch(edges.sparkSession) as kept:
+        simple = cut(both_ways(edges.where("source <> target")).distinct().withColumn("w", F.lit(1).cast("long")))
+        total = simple.agg(F.sum("w")).first()[0]
+        if not total:
+            out = cut(simple.select(F.col("source").alias("node"), F.col("source").alias("root")))
+            kept.append(out)
+            return out
+        members, base = _climb(simple.withColumn("total", F.lit(total)), sweeps, levels)
+        # splits are made of what single nodes came to by themselves, which the limit does not reach: these are the nodes now
+        small = cut(_merged(simple, base, F.sum("w").alias("w")))
+        left = base.join(members, "node").groupBy(F.col("base").alias("node")).agg(F.first("root").alias("root"), F.count("*").alias("size"))
+        left = placed = cut(left)
+        while True:
+            inner = cut(_inside(small, left))
+            if inner.isEmpty():
+                break
+            finer = _climb(inner.select("source", "target", "w", "total"), sweeps, levels)[0]
+            split = _splits(inner, left, finer)
+            left = cut(left.join(split, "root", "left_semi").drop("root").join(finer, "node"))
+            if left.isEmpty():
+                break
+            placed = cut(placed.join(left.select("node", F.col("root").alias("piece")), "node", "left").select("node", F.coalesce("piece", "root").alias("root")))
+        members = base.join(placed.select(F.col("node").alias("base"), "root"), "base").select("node", "root")
+        out = cut(refine(members, edges))
+        kept.append(out)
+    return out
+
+
+def _merged(pairs: DataFrame, at: DataFrame, *sums: Column) -> DataFrame:
+    """(source, target) and sums over pairs, of communities (node, base) instead of nodes."""
+    a, b = (at.select(F.col("node").alias(end), F.col("base").alias(f"r{end}")) for end in ("source", "target"))
+    return pairs.join(a, "source").join(b, "target").groupBy(F.col("rsource").alias("source"), F.col("rtarget").alias("target")).agg(*sums)
+
+
+def _inside(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, source, target, w, total, n) of pairs inside of communities (node, root, size): total is the weight of a community's pairs, n its size.
+
+    Of m edges no split tells more than m * ln(1 / density), and it costs n * ln(2) at
+    least: communities that fall short of it, such as cliques, are left out.
+    """
+    a, b = (members.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
+    inner = pairs.join(a, "source").join(b, "target").where("rsource = rtarget").select(F.col("rsource").alias("root"), "source", "target", "w")
+    size = inner.groupBy("root").agg(F.sum("w").alias("total")).join(members.groupBy("root").agg(F.sum("size").alias("n"), F.count("*").alias("parts")), "root")
+    return inner.join(size.where("parts > 1 AND total / 2 * ln(n * (n - 1) / total) > n * ln(2)").drop("parts"), "root")
+
+
+def _splits(inner: DataFrame, members: DataFrame, finer: DataFrame) -> DataFrame:
+    """(root) of the communities of ``_inside`` whose edges are told shorter by their pieces (node, root).
+
+    With a share q of m edges inside of pieces, that have a share p of the pairs of n
+    nodes, the k pieces tell m * (q ln(q / p) + (1 - q) ln((1 - q) / (1 - p))), the
+    surprise, and naming each node's piece costs n * ln(k). Trees are never split.
+    """
+    a, b = (finer.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
+    pieces = members.join(finer.select("node", F.col("root").alias("piece")), "node").groupBy("root", "piece").agg(F.sum("size").alias("size"))
+    per = pieces.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.col("size") * (F.col("size") - 1)).alias("near"), F.sum("size").alias("n"))
+    within = inner.join(a, "source").join(b, "target").groupBy("root").agg(F.sum(F.when(F.col("rsource") == F.col("rtarget"), F.col("w")).otherwise(0)).alias("within"), F.max("total").alias("total"))
+    told = per.join(within, "root").where("k > 1").select("root", "k", "n", "total", (F.col("within") / F.col("total")).alias("q"), F.expr("near / (n * (n - 1))").alias("p")).where("q > p")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    q, p = F.col("q"), F.col("p")
+    return told.where(F.col("total") / 2 * (part(q, p) + part(1 - q, 1 - p)) > F.col("n") * F.log("k")).select("root")
+
+
+def _climb(pairs: DataFrame, sweeps: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root), and (node, base) as the first level left it, by modularity of weighted (source, target, w, total), given both ways, of one graph or of several without pairs between them.
+
     All nodes of a sweep see the same communities. Half of them, by a hash that
     changes with the sweep, move to where they gain most, so that neighbours do
-    not swap for ever; the best state of a level is kept. At the end communities
-    that do not hang together are split, which costs no modularity, so that each is
-    connected. Reruns agree. NotSettled if something is still gained after ``levels``.
+    not swap for ever; the best state of a level is kept.
     """
-    with scratch(edges.sparkSession) as kept:
-        pairs = cut(both_ways(edges.where("source <> target")).distinct().withColumn("w", F.lit(1).cast("long")))
+    with scratch(pairs.sparkSession) as kept:
         members = cut(pairs.select(F.col("source").alias("node")).distinct().withColumn("root", F.col("node")))
-        total = pairs.agg(F.sum("w")).first()[0]
-        for level in range(levels if total else 0):
-            degree = cut(pairs.groupBy("source").agg(F.sum("w").alias("k")))
+        base = members
+        for level in range(levels):
+            degree = cut(pairs.groupBy("source").agg(F.sum("w").alias("k"), F.max("total").alias("total")))
             at = degree.select(F.col("source").alias("node"), F.col("source").alias("root"))
-            best, found, idle = _modularity(pairs, at, total), None, 0
+            best, found, idle = _modularity(pairs, at), None, 0
             for sweep in range(sweeps):
                 mine = degree.join(at.select(F.col("node").alias("source"), F.col("root").alias("own")), "source")
                 tot = mine.groupBy(F.col("own").alias("root")).agg(F.sum("k").alias("tot"))
                 near = pairs.where("source <> target").join(at.withColumnRenamed("node", "target"), "target").select("source", "root", "w")
                 near = near.unionAll(mine.select("source", "own", F.lit(0).cast("long"))).groupBy("source", "root").agg(F.sum("w").alias("w"))
                 away = F.col("root") != F.col("own")
-                loss = F.col("w") * -1.0 + F.col("k") * (F.col("tot") - F.when(away, 0).otherwise(F.col("k"))) / total
+                loss = F.col("w") * -1.0 + F.col("k") * (F.col("tot") - F.when(away, 0).otherwise(F.col("k"))) / F.col("total")
                 pick = near.join(tot, "root").join(mine, "source").groupBy("source").agg(F.min(F.struct(loss.alias("loss"), away.alias("away"), "root")).alias("to"), F.min("own").alias("own"))
                 turn = F.pmod(F.xxhash64("source", F.lit(level * sweeps + sweep)), F.lit(2)) == 0
                 at = cut(pick.select(F.col("source").alias("node"), F.when(turn, F.col("to.root")).otherwise(F.col("own")).alias("root")))
-                q = _modularity(pairs, at, total)
+                q = _modularity(pairs, at)
                 if q > best + 1e-9:
                     best, found, idle = q, at, 0
                 else:
@@ -243,14 +313,12 @@ def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
                 break
             over = found.select(F.col("node").alias("root"), F.col("root").alias("over"))
             members = cut(members.join(over, "root").select("node", F.col("over").alias("root")))
-            a, b = (found.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
-            pairs = cut(pairs.join(a, "source").join(b, "target").groupBy(F.col("rsource").alias("source"), F.col("rtarget").alias("target")).agg(F.sum("w").alias("w")))
+            base = members if level == 0 else base
+            pairs = cut(_merged(pairs, found.withColumnRenamed("root", "base"), F.sum("w").alias("w"), F.max("total").alias("total")))
         else:
-            if total:
-                raise NotSettled(f"modularity still grows after {levels} levels")
-        out = cut(refine(members, edges))
-        kept.append(out)
-    return out
+            raise NotSettled(f"modularity still grows after {levels} levels")
+        kept += [members, base]
+    return members, base.select("node", F.col("root").alias("base"))
 
 
 def refine(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -34,6 +34,15 @@ def test_ring_of_cliques(spark):
     assert used == "louvain" and groups(members) == WANT
 
 
+def test_no_clique_is_lost_in_a_large_graph(spark):
+    # of 60 cliques in a ring plain modularity joins neighbours; a tree is not taken apart for it
+    chain = [(f"t{i}", f"t{i + 1}") for i in range(9)]
+    edges = spark.createDataFrame(cliques(60, 5) + chain, "source string, target string")
+    members = g.louvain(edges)
+    assert [x for x in groups(members) if x[0][0] != "t"] == [[f"{c:02}{a}" for a in range(5)] for c in range(60)]
+    assert max(len(x) for x in groups(members) if x[0][0] == "t") > 4
+
+
 def test_methods_fall_through(spark):
     edges, nodes = spark.createDataFrame(RING, "source string, target string"), spark.createDataFrame(NAMES, "id string")
     members, used = g.communities(nodes, edges, "auto", levels=1)
