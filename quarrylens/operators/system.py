@@ -213,7 +213,7 @@ def resolve_entry(nodes: DataFrame, name: str) -> str:
     raise EntryNotFound(f"nothing is called {name!r}")
 
 
-def fragments(s: System, reached: DataFrame) -> DataFrame:
-    """Bodies of the procedures in a slice, in order: fragment, procedure, file, line, text."""
-    bodies = s.procedures.join(reached.select("id"), "id", "left_semi").where("body <> ''")
+def fragments(s: System, reached: DataFrame | None = None) -> DataFrame:
+    """Bodies of the procedures in a slice, without one of all, in order: fragment, procedure, file, line, text."""
+    bodies = (s.procedures if reached is None else s.procedures.join(reached.select("id"), "id", "left_semi")).where("body <> ''")
     return bodies.select(F.col("id").alias("fragment"), F.concat_ws(".", "component", "name").alias("procedure"), "file", "line", F.col("body").alias("text"))

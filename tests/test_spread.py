@@ -1,6 +1,7 @@
 """What the driver and single tasks are given does not grow as fast as the input."""
 
 from quarrylens.operators import graph as g
+from quarrylens.sources import vb6
 
 
 def test_pairs_are_dealt_before_they_are_held(spark):
@@ -18,3 +19,15 @@ def test_sweeps_broadcast_nothing(spark, monkeypatch):
     got = {r.node: r.label for r in g.settle_labels(edges).collect()}
     assert len({got[v] for v in range(4)}) == 1 and got[8] == got[9] != got[0]
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_readers_look_only_for_what_is_asked(monkeypatch):
+    from quarrylens.plans.vb6_queries import FORM
+
+    text = FORM + "Declare Function GetTick Lib \"k\" () As Long\nSub Late()\nOn Error Resume Next\nSet x = New Foo\nSet y = x\nEnd Sub\n"
+    whole = list(vb6.read_file("a/C1.frm", text))
+    for only in ({"procedure"}, {"procedure", "call"}, {"state_write", "sql"}, {"component", "entry_point"}, {"variable", "assignment", "attention"}):
+        assert list(vb6.read_file("a/C1.frm", text, None, frozenset(only))) == [x for x in whole if x[0] in only]
+    for name in ("calls", "assignment", "state_write", "sql_string", "attention"):
+        monkeypatch.setattr(vb6, name, None)
+    assert [x for x in whole if x[0] == "procedure"] == list(vb6.read_file("a/C1.frm", text, None, frozenset({"procedure"})))
