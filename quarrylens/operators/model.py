@@ -91,7 +91,8 @@ def state_names(transitions: DataFrame) -> DataFrame:
     return names.where("name IS NOT NULL AND name <> '' AND name <> 'UNKNOWN'").distinct()
 
 
-#: Runs of letters and digits, and runs of anything else: every character belongs to one token.
+#: Runs of letters and digits, and runs of anything else: every character belongs to one token. Needles of up to FEW may be found by their ends.
+FEW = 5
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 
@@ -111,13 +112,15 @@ def token_keys(needles: DataFrame, vocabulary: DataFrame, gram: int = 3) -> Data
     in the fewest texts is the key. A needle of one or two tokens may begin and end
     inside of longer ones: the vocabulary's tokens that hold such a piece are found
     by the piece's rarest gram, and of two pieces the one whose tokens are in fewer
+    texts counts. Of a needle of a few more tokens the first and the last are such
+    pieces too, since all that stands between may be a space: what is in the fewest
     texts counts. Needles without a key are in no text.
     """
     known = cut(needles.where("needle <> ''").select("_k", "needle", _tokens("needle").alias("t")))
     inner = known.where("size(t) > 2").select("_k", "needle", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("tok"))
     inner = inner.join(vocabulary, "tok", "left").groupBy("_k", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok")).alias("x"))
-    whole = inner.where("x.df > 0").select("_k", "needle", "x.tok")
-    pieces = known.where("size(t) <= 2").select("_k", "needle", F.explode(F.array_distinct("t")).alias("piece"))
+    ends = F.array_distinct(F.array(F.element_at("t", 1), F.element_at("t", -1)))
+    pieces = known.where(f"size(t) <= {FEW}").select("_k", "needle", F.explode(ends).alias("piece"))
     asked = cut(pieces.select("*", F.explode(F.when(F.length("piece") >= gram, _grams("piece", gram)).otherwise(F.array("piece"))).alias("g")))
     sizes = F.array_distinct(F.flatten(F.array(*[_grams("tok", n) for n in range(1, gram + 1)])))
     held = vocabulary.select("tok", "df", F.explode(sizes).alias("g"))
@@ -126,7 +129,9 @@ def token_keys(needles: DataFrame, vocabulary: DataFrame, gram: int = 3) -> Data
     rarest = asked.join(often, "g", "left").groupBy("_k", "needle", "piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x"))
     met = cut(rarest.select("_k", "needle", "piece", F.col("x.g").alias("g")).join(held, "g").where(F.contains(F.col("tok"), F.col("piece"))))
     cost = pieces.join(met.groupBy("_k", "needle", "piece").agg(F.sum("df").alias("cost")), ["_k", "needle", "piece"], "left")
-    best = cost.groupBy("_k", "needle").agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "piece")).alias("x")).where("x.cost > 0").select("_k", "needle", "x.piece")
+    cost = cost.select("_k", "needle", F.coalesce("cost", F.lit(0)).alias("cost"), "piece").unionAll(inner.select("_k", "needle", "x.df", F.lit("")))
+    best = cost.groupBy("_k", "needle").agg(F.min(F.struct("cost", "piece")).alias("x")).where("x.cost > 0").select("_k", "needle", "x.piece")
+    whole = inner.join(best.where("piece = ''"), ["_k", "needle"], "left_semi").select("_k", "needle", "x.tok")
     return whole.unionByName(met.join(best, ["_k", "needle", "piece"]).select("_k", "needle", "tok"))
 
 

@@ -1,6 +1,7 @@
 """What the driver and single tasks are given does not grow as fast as the input."""
 
 from quarrylens.operators import graph as g
+from quarrylens.operators import model as md
 from quarrylens.sources import vb6
 
 
@@ -31,3 +32,9 @@ def test_readers_look_only_for_what_is_asked(monkeypatch):
     for name in ("calls", "assignment", "state_write", "sql_string", "attention"):
         monkeypatch.setattr(vb6, name, None)
     assert [x for x in whole if x[0] == "procedure"] == list(vb6.read_file("a/C1.frm", text, None, frozenset({"procedure"})))
+
+
+def test_two_words_are_not_looked_for_by_the_space_between_them(spark):
+    needles = spark.createDataFrame([("a", "rare word"), ("b", "no where"), ("c", "x y z")], "_k string, needle string")
+    vocabulary = spark.createDataFrame([(" ", 1000), ("rare", 2), ("unrare", 1), ("word", 9), ("x", 500), ("y", 1), ("z", 500)], "tok string, df long")
+    assert {(r._k, r.tok) for r in md.token_keys(needles, vocabulary).collect()} == {("a", "rare"), ("a", "unrare"), ("c", "y")}
