@@ -76,7 +76,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def near_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
-    """(src, dst) over distinct fingerprints ``fp``: enough links to connect all that differ in at most 2 bits."""
+    """(src, dst) over distinct fingerprints ``fp``: enough links to connect all that differ in at most 2 bits.
+
+    Joins are told to sort: Spark takes what is exploded for no more rows than before, and would send it through the driver.
+    """
     segment = [F.struct(F.lit(0).alias("s"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("v")), F.struct(F.lit(1).alias("s"), F.shiftrightunsigned("fp", 32).alias("v"))]
     segs = fps.select("fp", F.explode(F.array(*segment)).alias("x")).select("fp", "x.s", "x.v")
     dense = segs.groupBy("s", "v").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
@@ -85,21 +88,22 @@ def near_links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     own = dense.select("s", "v", F.lit((1 << 32) - 1).cast("long").alias("mask"))
     side = dense.select("s", "v", bit.alias("p")).select("s", F.expr("v ^ shiftleft(1L, p)").alias("v"), F.expr("shiftleft(1L, p)").alias("mask"))
     masks = own.unionAll(side).groupBy("s", "v").agg(F.expr("bit_or(mask)").alias("mask"))
-    segs = cut(segs.join(masks, ["s", "v"], "left").select("fp", "s", "v", F.coalesce("mask", F.lit(0)).alias("mask")))
+    segs = cut(segs.join(masks.hint("merge"), ["s", "v"], "left").select("fp", "s", "v", F.coalesce("mask", F.lit(0)).alias("mask")))
 
     # equal segments: one bucket; segments one bit apart: the variant without that bit, 0 on one side and 1 on the other
     plain = segs.where(F.col("mask") != (1 << 32) - 1)
     near = F.expr("bit_count(a.fp ^ b.fp) <= 2")
-    same = plain.alias("a").join(plain.alias("b"), ["s", "v"]).where(F.expr("a.fp < b.fp") & near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    same = plain.alias("a").join(plain.alias("b").hint("merge"), ["s", "v"]).where(F.expr("a.fp < b.fp") & near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     # one long holds segment, bit and the value without the bit
     variants = plain.select("fp", "s", "v", "mask", bit.alias("p")).where("(shiftright(mask, p) & 1) = 0")
     variants = variants.select("fp", F.expr("(shiftright(v, p) & 1) = 1").alias("one"), F.expr("shiftleft(CAST(s * 32 + p AS BIGINT), 32) | (v & ~shiftleft(1L, p))").alias("k"))
     zero, one = variants.where("NOT one").select("fp", "k"), variants.where("one").select("fp", "k")
-    differ = zero.alias("a").join(one.alias("b"), "k").where(near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    differ = zero.alias("a").join(one.alias("b").hint("merge"), "k").where(near).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
     crowded = segs.where("mask <> 0").select("fp").distinct()
     flips = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.expr(f"fp ^ shiftleft(1L, {i})") for i in range(64)])).alias("z"))
-    star = flips.join(flips.groupBy("z").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").select("z", "dst"), "z").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
+    centre = flips.groupBy("z").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).where("n > 1").select("z", "dst")
+    star = flips.join(centre.hint("merge"), "z").where("fp <> dst").select(F.col("fp").alias("src"), "dst")
     return same.unionAll(differ).unionAll(star).distinct()
 
 
@@ -113,11 +117,11 @@ def simhash_groups(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFra
     each = cut(fingerprints(docs, words))
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(near_links(distinct.select("fp"), bucket))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     comp = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    of = cut(rooted.join(comp, "root").select("fp", "component_id", "group_size"))
-    return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    of = cut(rooted.join(comp.hint("merge"), "root").select("fp", "component_id", "group_size"))
+    return each.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
 #: Near copies: exact similarity of shingle sets; candidates agree in all but at most one of the ROWS least hashes of one of SEGMENTS segments.
@@ -171,9 +175,10 @@ def near_copy_links(keys: DataFrame, sets, bucket: int = 24) -> DataFrame:
     a crowd (see ``crowd_links``). No pair that shares a key is left out.
     """
     each = keys.select("id", "n", F.explode("k").alias("k"))
-    each = cut(each.join(each.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "k"))
+    # told to sort, as in near_links
+    each = cut(each.join(each.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").hint("merge"), "k"))
     few = each.where(F.col("m") <= bucket).select("id", "n", "k")
-    pairs = cut(few.alias("l").join(few.alias("r"), "k").where(F.expr(f"l.id < r.id AND {FITS}")).select(F.col("l.id").alias("src"), F.col("r.id").alias("dst")).distinct())
+    pairs = cut(few.alias("l").join(few.alias("r").hint("merge"), "k").where(F.expr(f"l.id < r.id AND {FITS}")).select(F.col("l.id").alias("src"), F.col("r.id").alias("dst")).distinct())
     members = merged_crowds(each.where(F.col("m") > bucket).select("k", "id"))
     members = cut(merged_crowds(members.select(F.col("c").alias("k"), "id")))
     have = cut(sets(pairs.select(F.col("src").alias("id")).unionAll(pairs.select("dst")).unionAll(members.select("id")).distinct()))

@@ -62,3 +62,18 @@ def test_whole_table_matches_brute_force(spark, sf):
         first[root[f]] = min(i, first.get(root[f], i))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op2_simhash(spark, sf).collect()}
     assert got == {i: (f"{f & (2**64 - 1):016x}", first[root[f]]) for i, f in fp.items()}
+
+
+def test_no_variants_go_through_the_driver(spark, monkeypatch):
+    """Spark takes exploded variants for few rows and would broadcast them: over 1 GB for 380,000 fingerprints."""
+    from quarrylens.llm import simhash
+
+    plans, cut = [], simhash.cut
+    said = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(said(df)) or cut(df))
+    plans.append(said(near_links(spark.range(50).selectExpr("id * 3 AS fp"))))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(4)] + [(9, "a b c d e f g 0")], "doc_id long, text string")
+    plans.append(said(simhash_groups(docs)))
+    simhash.keep_one(docs).count()
+    held = [p for p in plans if "explode" in p]
+    assert len(held) >= 4 and not any("Broadcast" in p for p in [plans[1], *held])
