@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,20 +139,108 @@ def token_keys(needles: DataFrame, vocabulary: DataFrame, gram: int = 3) -> Data
     return whole.unionByName(met.join(best, ["_k", "needle", "piece"]).select("_k", "needle", "tok"))
 
 
+#: Bytes of needles that every task can be given; characters of a text that are coded at once.
+GIVEN, CODED = 2 << 20, 1 << 20
+
+
+def _present(text: str, wanted: np.ndarray, maybe: np.ndarray, sizes: set[int]) -> np.ndarray:
+    """The places in ``wanted``, which is in order, of the text's grams of these sizes; ``maybe`` tells by 16 bits of a hash which can be there."""
+    found = []
+    for start in range(0, len(text), CODED):
+        x = np.frombuffer(text[start : start + CODED + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        for size in sizes:
+            code = x[: max(0, len(x) - size + 1)]
+            for j in range(1, size):
+                code = (code << np.uint64(21)) | x[j : len(x) - size + 1 + j]
+            code = code[maybe[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)]]
+            at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+            found.append(at[wanted[at] == code])
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def _code(gram: str) -> int:
+    code = 0
+    for c in gram:
+        code = code << 21 | ord(c) + 1
+    return code
+
+
+def _asked(codes: Iterable[int]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """What _present() looks for."""
+    wanted = np.array(sorted(codes), np.uint64)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(wanted * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)] = True
+    return wanted, maybe, {1 + (c.bit_length() - 1) // 21 for c in wanted.tolist()}
+
+
+def _met_in_tasks(needles: list[str], fragments: DataFrame, order: str) -> DataFrame:
+    """(needle, _first, n): the first fragment of all that hold a needle, and their number.
+
+    Tasks are given the needles and shuffle one row for each at most. A needle is
+    looked for in texts that hold the one of its grams of three characters (of its
+    one or two) that is in the fewest texts.
+    """
+    spark = fragments.sparkSession
+    texts = fragments.where(F.col("text").isNotNull() & F.col(order).isNotNull()).select(F.col(order).alias("_o"), "text")
+    grams = [{_code(s[i : i + 3]) for i in range(max(1, len(s) - 2))} for s in needles]
+    every = spark.sparkContext.broadcast(_asked(set().union(*grams)))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, maybe, sizes = every.value
+        n = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                n[_present(text.as_py(), wanted, maybe, sizes)] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[at].view(np.int64)), pa.array(n[at])], names=["g", "n"])
+
+    df = needles and {r.g: r.n for r in texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    by: dict[int, list[tuple[int, str]]] = {}
+    for i, mine in enumerate(grams):
+        rarest = min(mine, key=lambda g: (df.get(g, 0), g))
+        if rarest in df:
+            by.setdefault(rarest, []).append((i, needles[i]))
+    rows = "i int, _o " + texts.schema["_o"].dataType.simpleString()
+    few = spark.sparkContext.broadcast((*_asked(by), [by[g] for g in sorted(by)]))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, maybe, sizes, asked = few.value
+        for batch in batches:
+            at, found = [], []
+            for row, value in enumerate(batch["text"] if len(wanted) else ()):
+                text = value.as_py()
+                hits = [i for g in _present(text, wanted, maybe, sizes) for i, needle in asked[g] if needle in text]
+                found += hits
+                at += [row] * len(hits)
+                if len(at) > 1 << 17 or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch["_o"].take(pa.array(at, pa.int64()))], names=["i", "_o"])
+                    at, found = [], []
+
+    hits = texts.mapInArrow(meet, rows).groupBy("i").agg(F.min("_o").alias("_first"), F.count("*").alias("n"))
+    return hits.join(spark.createDataFrame(list(enumerate(needles)), "i int, needle string"), "i").select("needle", "_first", "n")
+
+
 def attribute(needles: DataFrame, fragments: DataFrame, key: str, order: str) -> DataFrame:
     """The first fragment (by ``order``) whose text holds the needle, else the first fragment.
 
-    Texts and needles meet by equality of one rare token each, whatever the needle
-    (see ``token_keys``), and what meets is compared. A null needle is in no
-    text, an empty one in every text that is not null.
+    Tasks look for needles of up to GIVEN bytes in their own texts, which are not
+    shuffled. Texts and more needles meet by equality of one rare token each,
+    whatever the needle (see ``token_keys``), and what meets is compared. A null
+    needle is in no text, an empty one in every text that is not null.
     """
     named = needles.select(F.col(key).alias("_k"), "needle").distinct()
     with scratch(needles.sparkSession) as kept:
-        held = fragments.select(F.col(order).alias("_o"), F.explode(F.array_distinct(_tokens("text"))).alias("tok"))
-        vocabulary = cut(held.groupBy("tok").agg(F.count("*").alias("df")))
-        keys = cut(token_keys(named, vocabulary))
-        met = held.join(keys, "tok").select("_o", "_k", "needle").distinct()
-        hits = fragments.join(met, F.col(order) == F.col("_o")).where(F.contains(F.col("text"), F.col("needle"))).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
+        some = named.where("needle <> ''").select("needle").distinct()
+        size = some.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+        if size <= GIVEN:
+            hits = named.join(_met_in_tasks(sorted(r.needle for r in some.collect()), fragments, order), "needle")
+            hits = hits.groupBy("_k").agg(F.min("_first").alias("_first"), F.sum("n").alias("n_docs"))
+        else:
+            held = fragments.select(F.col(order).alias("_o"), F.explode(F.array_distinct(_tokens("text"))).alias("tok"))
+            vocabulary = cut(held.groupBy("tok").agg(F.count("*").alias("df")))
+            keys = cut(token_keys(named, vocabulary))
+            met = held.join(keys, "tok").select("_o", "_k", "needle").distinct()
+            hits = fragments.join(met, F.col(order) == F.col("_o")).where(F.contains(F.col("text"), F.col("needle"))).groupBy("_k").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs"))
         every = fragments.where("text IS NOT NULL").agg(F.min(order).alias("_first"), F.count("*").alias("n_docs")).where("n_docs > 0")
         hits = cut(hits.unionByName(named.where("needle = ''").select("_k").distinct().crossJoin(F.broadcast(every))))
         kept.append(hits)

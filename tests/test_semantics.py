@@ -173,6 +173,22 @@ def test_attribution_of_any_needle(spark):
     assert model.attribute(none, spark.createDataFrame(texts, "doc long, text string"), "k", "doc").count() == 0
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Needles go to the texts: no token, no pair of a text and a needle is shuffled or written. More needles meet texts by joins, with the same result."""
+    texts = [(i, "the cat sat " * (i % 3) + "\U0001f600 mat" + "x" * i) for i in range(30)] + [(None, "the cat"), (31, None)]
+    needles = [("a", "the"), ("b", "cat sat the"), ("c", "\U0001f600"), ("d", "t "), ("e", "x" * 29), ("f", "\U0001f600 mat"), ("g", "sat  "), ("b", "mat")]
+    plans, cut = [], model.cut
+    monkeypatch.setattr(model, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr(model, "CODED", 7)
+    ask = lambda: sorted((r.k, r.doc, r.attributed, r.n_docs) for r in model.attribute(spark.createDataFrame(needles, "k string, needle string"), spark.createDataFrame(texts, "doc long, text string"), "k", "doc").collect())
+    got = ask()
+    hits = {k: [d for key, x in needles if key == k for d, t in texts if d is not None and t and x in t] for k, _ in needles}
+    assert got == sorted((k, min(hits[k], default=0), bool(hits[k]), len(hits[k])) for k, _ in needles)
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "explode" not in plans[0]
+    monkeypatch.setattr(model, "GIVEN", 0)
+    assert ask() == got and any("explode" in p for p in plans)
+
+
 def test_keys_of_needles_are_rare_tokens(spark):
     vocabulary = spark.createDataFrame([("the", 900), ("cat", 3), ("cats", 2), (" ", 1000), ("zebra", 1)], "tok string, df long")
     named = spark.createDataFrame([("a", "x the cat y"), ("b", "at"), ("c", "the z"), ("d", "lion the king is"), ("e", "ebr")], "_k string, needle string")
