@@ -97,3 +97,20 @@ def test_labels_settle(spark, kind):
         assert len({label[v] for v in near if v < 200}) == 1
     with pytest.raises(g.NotSettled):
         g.settle_labels(edges, sweeps=0)
+
+
+@pytest.mark.parametrize("kind", ("long", "string"))
+def test_small_components_settle_in_tasks_as_in_sweeps(spark, monkeypatch, kind):
+    rnd = random.Random(7)
+    rows = [(c * 40 + rnd.randrange(12), c * 40 + rnd.randrange(12)) for c in range(9) for _ in range(30)] + [(500, 501), (501, 500), (900, 900)]
+    edges = spark.createDataFrame(rows, "source long, target long").selectExpr(f"CAST(source AS {kind}) AS source", f"CAST(target AS {kind}) AS target")
+    swept, colouring = [], g.colouring
+    monkeypatch.setattr(g, "colouring", lambda pairs: swept.append(pairs.count()) or colouring(pairs))
+    got = {}
+    for most in (100_000, 40):
+        monkeypatch.setattr(g, "IN_TASK", most)
+        got[most] = {r.node: r.label for r in g.settle_labels(edges).collect()}
+    pairs = {(a, b) for x, y in rows if x != y for a, b in ((x, y), (y, x))}
+    assert len(swept) == 1 and 0 < swept[0] < len(pairs)
+    assert got[100_000] == got[40] and len(got[40]) == len({a for a, _ in pairs})
+    assert 9 < len(set(got[40].values())) < len(got[40])
