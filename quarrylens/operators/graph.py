@@ -202,13 +202,6 @@ def propagate_labels(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def _modularity(pairs: DataFrame, at: DataFrame) -> float:
-    """Of communities (node, root) of weighted (source, target, w, total), given both ways; of several graphs, ``total`` being the weight of a pair's own, the sum."""
-    a, b = (at.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")) for end in ("source", "target"))
-    per = pairs.join(a, "source").join(b, "target").groupBy("rsource").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("rsource") == F.col("rtarget"), F.col("w")).otherwise(0)).alias("inner"), F.max("total").alias("total"))
-    return per.agg(F.sum(F.col("inner") / F.col("total") - (F.col("tot") / F.col("total")) ** 2)).first()[0]
-
-
 def louvain(edges: DataFrame, sweeps: int = 16, levels: int = 20) -> DataFrame:
     """(node, root) by modularity of the undirected simple graph: nodes move, then communities become nodes, until nothing is gained.
 
@@ -293,26 +286,38 @@ def _climb(pairs: DataFrame, sweeps: int, levels: int) -> tuple[DataFrame, DataF
         members = cut(pairs.select(F.col("source").alias("node")).distinct().withColumn("root", F.col("node")))
         base = members
         for level in range(levels):
-            degree = cut(pairs.groupBy("source").agg(F.sum("w").alias("k"), F.max("total").alias("total")))
+            own_w = F.when(F.col("source") == F.col("target"), F.col("w")).otherwise(0)
+            degree = cut(pairs.groupBy("source").agg(F.sum("w").alias("k"), F.sum(own_w).alias("loop"), F.max("total").alias("total")))
             at = degree.select(F.col("source").alias("node"), F.col("source").alias("root"))
-            best, found, idle = _modularity(pairs, at), None, 0
-            for sweep in range(sweeps):
-                mine = degree.join(at.select(F.col("node").alias("source"), F.col("root").alias("own")), "source")
-                tot = mine.groupBy(F.col("own").alias("root")).agg(F.sum("k").alias("tot"))
-                near = pairs.where("source <> target").join(at.withColumnRenamed("node", "target"), "target").select("source", "root", "w")
-                near = near.unionAll(mine.select("source", "own", F.lit(0).cast("long"))).groupBy("source", "root").agg(F.sum("w").alias("w"))
+            best = found = None
+            idle = 0
+            # what tells where to go tells how good it is here: pairs are shuffled to the ends that are told, and back, once for each sweep
+            for sweep in range(sweeps + 1):
+                mine = degree.join(at.select(F.col("node").alias("source"), F.col("root").alias("own")).hint("shuffle_hash"), "source")
+                mine = mine.join(mine.groupBy("own").agg(F.sum("k").alias("tot")).hint("shuffle_hash"), "own")
+                of = mine.select(F.col("source").alias("target"), F.col("own").alias("root"), "tot")
+                near = pairs.where("source <> target").join(of.hint("shuffle_hash"), "target").select("source", "root", "tot", "w")
+                near = near.unionAll(mine.select("source", "own", "tot", F.lit(0).cast("long"))).repartition("source")
+                near = near.groupBy("source", "root").agg(F.max("tot").alias("tot"), F.sum("w").alias("w"))
                 away = F.col("root") != F.col("own")
                 loss = F.col("w") * -1.0 + F.col("k") * (F.col("tot") - F.when(away, 0).otherwise(F.col("k"))) / F.col("total")
-                pick = near.join(tot, "root").join(mine, "source").groupBy("source").agg(F.min(F.struct(loss.alias("loss"), away.alias("away"), "root")).alias("to"), F.min("own").alias("own"))
+                pick = near.join(mine.select("source", "own", "k", "loop", "total").hint("shuffle_hash"), "source").groupBy("source").agg(
+                    F.min(F.struct(loss.alias("loss"), away.alias("away"), "root")).alias("to"), F.min("own").alias("own"), F.max("k").alias("k"), F.max("total").alias("total"),
+                    (F.max(F.when(away, 0).otherwise(F.col("w"))) + F.max("loop")).alias("inner"),
+                )
                 turn = F.pmod(F.xxhash64("source", F.lit(level * sweeps + sweep)), F.lit(2)) == 0
-                at = cut(pick.select(F.col("source").alias("node"), F.when(turn, F.col("to.root")).otherwise(F.col("own")).alias("root")))
-                q = _modularity(pairs, at)
-                if q > best + 1e-9:
+                state = cut(pick.select(F.col("source").alias("node"), "own", "k", "total", "inner", F.when(turn, F.col("to.root")).otherwise(F.col("own")).alias("root")))
+                per = state.groupBy("own").agg(F.sum("k").alias("tot"), F.sum("inner").alias("inner"), F.max("total").alias("total"))
+                q = per.agg(F.sum(F.col("inner") / F.col("total") - (F.col("tot") / F.col("total")) ** 2)).first()[0]
+                if best is None:
+                    best = q
+                elif q > best + 1e-9:
                     best, found, idle = q, at, 0
                 else:
                     idle += 1
                     if idle == 3:
                         break
+                at = state.select("node", "root")
             if found is None:
                 break
             over = found.select(F.col("node").alias("root"), F.col("root").alias("over"))

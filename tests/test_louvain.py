@@ -114,3 +114,20 @@ def test_small_components_settle_in_tasks_as_in_sweeps(spark, monkeypatch, kind)
     assert len(swept) == 1 and 0 < swept[0] < len(pairs)
     assert got[100_000] == got[40] and len(got[40]) == len({a for a, _ in pairs})
     assert 9 < len(set(got[40].values())) < len(got[40])
+
+
+def test_a_sweep_tells_how_good_its_state_is(spark, monkeypatch):
+    """Modularity comes with the sweep, without joining all pairs twice more, and is right, loops and weights included."""
+    rows = [(a, b, 1 + (a + b) % 3) for a, b in combinations(range(6), 2)] + [(a, b, 1) for a, b in combinations(range(6, 10), 2)] + [(0, 6, 1)]
+    rows += [(b, a, w) for a, b, w in rows] + [(2, 2, 4)]
+    total = sum(w for *_, w in rows)
+    states, cut = [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df: (x := cut(df), states.append([tuple(r) for r in x.select("node", "own", "k", "inner").collect()]) if "inner" in x.columns else None)[0])
+    members, _ = g._climb(spark.createDataFrame([(*r, total) for r in rows], "source long, target long, w long, total long"), 16, 20)
+    assert groups(members) == [[*range(6)], [*range(6, 10)]]
+    first = [x for x in states if len(x) == 10]
+    assert len(first) > 2
+    for state in first:
+        own = {n: c for n, c, *_ in state}
+        for n, c, k, inner in state:
+            assert k == sum(w for a, _, w in rows if a == n) and inner == sum(w for a, b, w in rows if a == n and own[b] == c)
